@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planmatch.llm import quality_rules
+from planmatch.llm import quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
 }
