@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planmatch.llm import quality_rules, substring_dedup
+from planmatch.llm import mixing, nearest, packing, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op10_nearest": nearest.op10_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
+    "op10_nearest": nearest.SQL,
 }
