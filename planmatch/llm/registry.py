@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planmatch.llm import html_extract, mixing, nearest, packing, quality_rules, substring_dedup
+from planmatch.llm import html_extract, mixing, nearest, packing, personal_data, quality_model, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_model": quality_model.op2_quality_model,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_personal_data": personal_data.op6_personal_data,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_html_extract": html_extract.op8_html_extract,
     "op10_nearest": nearest.op10_nearest,
