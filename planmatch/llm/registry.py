@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planmatch.llm import html_extract, mixing, nearest, packing, personal_data, quality_model, quality_rules, substring_dedup
+from planmatch.llm import html_extract, jaccard_join, language_model, mixing, nearest, packing, personal_data, quality_model, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_quality_model": quality_model.op2_quality_model,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": personal_data.op6_personal_data,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_html_extract": html_extract.op8_html_extract,
+    "op9_language_model": language_model.op9_language_model,
     "op10_nearest": nearest.op10_nearest,
 }
 
