@@ -3,7 +3,8 @@
 Each source's target is its share of the mix, capped at ``most`` times its size with the excess reshared. Targets become whole
 blocks of equal tokens: first per source, then per shard of a source, always by highest quotients (votes over 1, 3, 5, ...), solved
 by searching the divisor, so that no list of quotients is built. A shard is a seeded line of its documents, laid out ``most`` times;
-its quota of blocks is drawn by seeded rank, and a document takes the words of its copies that lie in drawn blocks.
+its quota of blocks begins at a seeded block and goes round, so that documents stay whole but for the two where it begins and ends, and a document
+takes as many words as its copies have in those blocks.
 
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of its own, last in order; repeated rows are
 documents of their own, told apart by their place among equal ids and sizes, so equal rows may swap their draws; an empty table gives an empty table. If all
@@ -65,15 +66,14 @@ def sainte_lague(votes: np.ndarray, seats: int, limits: np.ndarray) -> np.ndarra
 
 
 def drawn(size: np.ndarray, quota: int, block: int, most: int, seed: int) -> np.ndarray:
-    """Words that each document of a shard takes: its overlap with ``quota`` blocks of the shard's line, drawn by seeded rank."""
+    """Words that each document of a shard takes: its overlap with ``quota`` blocks of the shard's line from a seeded one on."""
     ends = np.cumsum(np.tile(size, most))
     if not len(ends) or not ends[-1] or quota <= 0:
         return np.zeros(len(size), np.int64)
     n = -(-int(ends[-1]) // block)
-    with np.errstate(over="ignore"):
-        rank = np.argsort(mix(np.arange(n, dtype=np.uint64) + np.uint64(seed % 2**63) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
     chosen = np.zeros(n + 1, np.int64)
-    chosen[rank[:quota]] = 1
+    start = int(mix(np.array([seed], np.uint64))[0] % np.uint64(n))
+    chosen[(start + np.arange(min(quota, n))) % n] = 1
     full = np.concatenate([[0], np.cumsum(chosen[:-1])])
     upto = lambda x: full[x // block] * block + chosen[x // block] * (x % block)
     return (upto(ends) - upto(ends - np.tile(size, most))).reshape(most, -1).sum(0)
@@ -83,11 +83,11 @@ def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = Fraction(3, 2), most: int = 2, block: int = 32, seed: int = 7,
     shard_words: int = 1 << 18, max_sources: int = 1_000_000, extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source), and its columns ``extra``."""
+    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source), and its columns ``extra`` as x0, x1, ..."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), *[F.col(f"`{c}`") for c in extra])
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
     found = docs.select(F.col("source").cast("string").alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -95,7 +95,7 @@ def mix_sources(
     sizes = [int(r["size"]) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
     shards = [max(1, -(-s // shard_words)) for s in sizes]
-    sized = sized.withColumn("__salt", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    sized = sized.withColumn("__salt", F.xxhash64(F.lit(seed), "doc_id", "size"))  # equal rows lie side by side
     plan = spark.createDataFrame(
         pd.DataFrame({"__k": np.arange(len(found)), "__source": pd.array([r["source"] for r in found], "string").astype(object), "source_size": sizes, "target": [float(g) for g in goal], "__shards": shards}).replace({np.nan: None})
         if found else [], "__k long, __source string, source_size long, target double, __shards long",
@@ -115,7 +115,7 @@ def mix_sources(
 
     quota = votes.groupBy("__k").applyInPandas(quotas, "__k long, __shard long, __quota long")
     kinds = dict(sized.dtypes)
-    names = ["doc_id", "size", "source_size", "target", *extra]
+    names = ["doc_id", "size", "source_size", "target", *(f"x{i}" for i in range(len(extra)))]
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__salt", "doc_id", "size"], kind="stable")
@@ -125,5 +125,19 @@ def mix_sources(
     return sized.join(quota, ["__k", "__shard"]).groupBy("__k", "__shard").applyInPandas(draw, out)
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``: a document as often as it is taken whole, and once cut to the words that are left."""
+    names = docs.columns
+    found = mix_sources(docs, extra=tuple(names), **options)
+    whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    rows = found.filter("taken > 0").select(*(F.col(f"x{i}").alias(n) for i, n in enumerate(names)), F.explode(copies).alias("__cut"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")
+    rows = rows.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("__cut").cast("int")), " ")))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*names)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
