@@ -22,11 +22,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planmatch.llm.storage import cut
-from planmatch.llm.words import END, START, mix, prime, route, runs, word_hashes
+from planmatch.llm.words import END, START, mix, prime, raw, route_np, runs, slices, word_hashes
 
 STEP = 1 / 2048  # of quantised log10 probabilities: 16 bits reach down to -32
 
@@ -175,8 +176,66 @@ def grown(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint32)
 
 
+def short(hashes: np.ndarray, bits: int) -> bytes:
+    """Sorted hashes of one bucket as 48 bits after the bucket's: counts by the first 8, then 5 bytes each. Two hashes of a bucket of n
+    become one by odds of n * n / 2**49."""
+    h = (hashes << np.uint64(bits)) >> np.uint64(16)
+    top = np.bincount((h >> np.uint64(40)).astype(np.int64), minlength=256).astype("<u4")
+    return top.tobytes() + h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    top = np.repeat(np.arange(256, dtype=np.uint64), np.frombuffer(data, "<u4", 256))
+    low = np.zeros((len(top), 8), np.uint8)
+    low[:, :5] = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, 5)
+    return (top << np.uint64(40)) | low.view("<u8").reshape(-1)
+
+
+DEALT = "g int, docs binary, train binary, lengths binary, texts binary"
 ASKED = "key int, g int, hashes binary, counts binary"
 TOLD = "g int, key int, counts binary, n long, v long"
+NO_ID = np.iinfo(np.int64).min
+
+
+def deal(docs: DataFrame, chunks: int, held: int = 16 << 20) -> DataFrame:
+    """Documents by chunk, in compressed parts."""
+    schema = pa.schema([("g", pa.int32()), *((c, pa.binary()) for c in ("docs", "train", "lengths", "texts"))])
+
+    def go(batches):
+        parts: list[pa.RecordBatch] = []
+
+        def out():
+            for batch in pa.Table.from_batches(parts).combine_chunks().to_batches():
+                doc = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy()
+                g = route_np(doc, chunks)
+                order = np.argsort(g, kind="stable")
+                at = runs(g[order])
+                for i, j in zip(at[:-1], at[1:]):
+                    part = batch.take(pa.array(order[i:j]))
+                    body, off = raw(part.column("text"))
+                    data = (doc[order[i:j]], part.column("train").to_numpy(zero_copy_only=False), np.diff(off))
+                    yield pa.RecordBatch.from_arrays([pa.array([g[order[i]]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data), pa.array([zstandard.compress(body.tobytes(), 3)], pa.binary())], schema=schema)
+
+        size = 0
+        for batch in slices(batches, "text", 1 << 20):
+            parts.append(batch)
+            size += len(raw(batch.column("text"))[0])
+            if size > held:
+                yield from out()
+                parts, size = [], 0
+        if parts:
+            yield from out()
+
+    return docs.mapInArrow(go, DEALT)
+
+
+def undealt(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """doc_id, train and text of a chunk's rows; what is made of them is by row, so the order of parts doesn't matter."""
+    cols = {c: part.column(c).to_pylist() for c in ("docs", "train", "lengths", "texts")}
+    doc, train, lengths = (np.concatenate([np.frombuffer(x, t) for x in cols[c]]) for c, t in (("docs", np.int64), ("train", bool), ("lengths", np.int64)))
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(b"".join(map(zstandard.decompress, cols["texts"])))])
+    return doc, train, text
 
 
 def score_texts(docs: DataFrame, train: Column, strength: float = 200.0, chunk_bytes: int = 4 << 20, bucket_items: int = 1 << 20) -> DataFrame:
@@ -186,19 +245,19 @@ def score_texts(docs: DataFrame, train: Column, strength: float = 200.0, chunk_b
     size, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     chunks = prime(max(1, int(size / chunk_bytes)))
     bits = max(1, int(size / 6 / bucket_items)).bit_length()
-    dealt = docs.withColumn("g", route(F.coalesce("doc_id", F.lit(-1)), chunks)).select("g", "doc_id", "train", "text")
+    dealt = deal(docs.select("doc_id", "train", "text"), chunks)
 
     def ask(key: tuple, part: pa.Table) -> pa.Table:
-        train = part.column("train").to_numpy()
+        _, train, text = undealt(part)
         rows = []
-        for level, (own, _, counts) in enumerate(levels(part.column("text"), train)[0]):
+        for level, (own, _, counts) in enumerate(levels(text, train)[0]):
             bucket = (own >> np.uint64(64 - bits)).astype(np.int64)
             at = runs(bucket)
-            rows += [((level << bits) + int(bucket[i]), key[0].as_py(), own[i:j].tobytes(), shrunk(counts[i:j])) for i, j in zip(at[:-1], at[1:]) if j > i]
+            rows += [((level << bits) + int(bucket[i]), key[0].as_py(), short(own[i:j], bits), shrunk(counts[i:j])) for i, j in zip(at[:-1], at[1:]) if j > i]
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("key", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())))})
 
     def tell(key: tuple, part: pa.Table) -> pa.Table:
-        asked, counts = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()], [grown(x) for x in part.column("counts").to_pylist()]
+        asked, counts = [long(x) for x in part.column("hashes").to_pylist()], [grown(x) for x in part.column("counts").to_pylist()]
         own, which = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(which, np.concatenate(counts), len(own)).astype(np.int64)
         cuts = np.cumsum([len(x) for x in asked])[:-1]
@@ -216,14 +275,14 @@ def score_texts(docs: DataFrame, train: Column, strength: float = 200.0, chunk_b
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
     def score(part: pa.Table, told: pa.Table) -> pa.Table:
-        both, at = levels(part.column("text"), part.column("train").to_numpy())
-        order = np.argsort(told.column("key").to_numpy(), kind="stable")
+        doc, train, text = undealt(part)
+        both, at = levels(text, train)
         data, key = told.column("counts").to_pylist(), told.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
         c = [np.concatenate([np.zeros(0, np.uint32), *(grown(data[i]) for i in order if key[i] >> bits == level)]).astype(np.int64) for level in (0, 1)]
-        (own, which, _), (pairs, pair, _) = both
+        (own, word, _), (pairs, pair, _) = both
         if len(c[0]) != len(own) or len(c[1]) != len(pairs):
             raise RuntimeError("a chunk's texts changed between two reads")
-        word = which
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[at[:-1]] = len(own)  # the start
@@ -234,13 +293,12 @@ def score_texts(docs: DataFrame, train: Column, strength: float = 200.0, chunk_b
         trie = Trie(len(own), c[0], np.append(c[0], texts), number[seen][order], c[1][seen][order], n, v, strength)
         base = np.log10((c[0] + 0.5) / (n + 0.5 * (v + 1)))[word]
         # distinct pairs are looked up once
-        unique = trie.scores((number // np.uint64(len(own))).astype(np.int64), (number % np.uint64(len(own))).astype(np.int64))
-        model = unique[pair]
+        model = trie.scores((number // np.uint64(len(own))).astype(np.int64), (number % np.uint64(len(own))).astype(np.int64))[pair]
         trie.close()
         add = lambda x: np.add.reduceat(x, at[:-1])
         return pa.table(
             {
-                "doc_id": part.column("doc_id"), "train": part.column("train"), "n_tokens": pa.array(np.diff(at), pa.int64()), "n_known": pa.array(add((c[0] > 0)[word].astype(np.int64))),
+                "doc_id": pa.array(doc, mask=doc == NO_ID), "train": pa.array(train), "n_tokens": pa.array(np.diff(at), pa.int64()), "n_known": pa.array(add((c[0] > 0)[word].astype(np.int64))),
                 "base_score": pa.array(add(base)), "score": pa.array(add(model)),
             }
         )

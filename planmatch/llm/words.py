@@ -66,11 +66,13 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     starts, begins, first = word_spans(body, at)
     if not len(starts):
         return np.zeros(0, np.uint64), first
-    place = np.arange(len(body)) - starts[np.cumsum(begins) - 1]
-    values = (_LOWER if lower else _BYTES)[body] * _PLACE[place & (PLACES - 1)]
-    if place.max() >= PLACES:
+    place = np.arange(starts[0], len(body))
+    place -= np.repeat(starts, np.diff(starts, append=len(body)))
+    values = np.take(_LOWER if lower else _BYTES, body[starts[0] :])
+    if (longest := int(place.max())) >= PLACES:
         values *= (2 * (place // PLACES) + 1).astype(np.uint64)
-    return mix(np.add.reduceat(values, starts)), first
+    values *= np.take(_PLACE, place, mode="wrap") if longest >= PLACES else np.take(_PLACE, place, mode="clip")
+    return mix(np.add.reduceat(values, starts - starts[0])), first
 
 
 def windows(hashes: np.ndarray, size: int, base: int = 0x100000001B3) -> np.ndarray:
@@ -85,7 +87,7 @@ def windows(hashes: np.ndarray, size: int, base: int = 0x100000001B3) -> np.ndar
     return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batches' rows in parts of at most ``most`` bytes of ``column``, or of one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -123,5 +125,11 @@ def route_np(key: np.ndarray, groups: int) -> np.ndarray:
     return (u ^ (u >> np.uint64(16)) ^ (u >> np.uint64(33))).view(np.int64) % groups
 
 
+def ordered(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Order by row, then value, of rows that are few: a sort by value, then a stable one by row, which for 16 bits is by radix."""
+    first = np.argsort(value)
+    return first[np.argsort(row[first].astype(np.uint16 if not len(row) or row.max() < 1 << 16 else np.int64), kind="stable")]
+
+
 def blob(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
