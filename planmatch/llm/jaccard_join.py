@@ -3,11 +3,13 @@
 1. Equal sets form a class by digest; only one set of a class goes on.
 2. Shingles are ordered by how often their hash cell occurs in all documents (a sketch of bounded size, rarest first), then by hash. Two
    sets that link share a shingle among the first |x| - ceil(t |x|) + 1 of each. Those go to index lists, packed by hash range.
-3. A list is sorted by set size and cut into blocks: the first set of a block is its pivot, and the block ends where sets grow too
-   large to link with it. Every set is compared with its blocks' pivots only, unless size or position in the order already rule the pair out.
+3. A list is sorted by set size and cut into blocks, each ending where sets grow too large to link with its first. The pivot of a block is the set
+   in which the shingle stands earliest: it has the fewest rare shingles of its own. Every set is compared with its blocks' pivots only, unless size or
+   position in the order already rule the pair out.
 4. Links join sets to components. Then only pairs across components are left: lists within one component are skipped
    whole, and of the other pairs those are skipped whose overlap with a common pivot, known by now, decides them either way:
-   |x & p| + |y & p| - |p| <= |x & y| <= min(|x & p|, |y & p|) + min(|x| - |x & p|, |y| - |y & p|). The rest is compared.
+   |x & p| + |y & p| - |p| <= |x & y| <= min(|x & p|, |y & p|) + min(|x| - |x & p|, |y| - |y & p|). The rest is compared: a few pairs of any
+   two components first, then all that these haven't joined.
 
 Every pair of different sets that links is compared, decided by a bound, or inside a component already: the classes and components are
 exact, but for 64-bit hashes, which stand for shingles and sets.
@@ -22,13 +24,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planmatch.llm.components import connected
 from planmatch.llm.storage import cut
 from planmatch.llm.substring_dedup import NO_ID, ids
-from planmatch.llm.words import mix, runs, slices, windows, word_hashes
+from planmatch.llm.words import mix, ordered, runs, slices, windows, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -47,7 +49,7 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         for w in words[first[r] : first[r + 1]]:
             short[i : i + 1] = mix(short[i : i + 1] * np.uint64(31) + w + np.uint64(n[r]))
     h, row = np.concatenate([h[fits], short]), np.concatenate([row[fits], few])
-    order = np.lexsort((h, row))
+    order = ordered(row, h)
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -71,24 +73,24 @@ def prefix(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-SCAN = "cells int, data binary, docs binary, sizes binary, nodes binary"
+SCAN = "cells int, data binary, docs binary, keys binary, sizes binary, nodes binary"
 ENTRY = "token long, node long, size int, pos int"
 
 
 def scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Of each task: ids, set sizes and digests of its documents in parts, and how often each cell of hashes occurs."""
-    schema = pa.schema([("cells", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary())])
+    schema = pa.schema([("cells", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary())])
 
     def go(batches):
         cells = np.zeros(1 << bits, np.uint32)
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), size)
             cells += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids(batch.column("doc_id")), np.diff(at).astype(np.int64), digests(h, at)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids(batch.column("doc_id")), batch.column("key").to_numpy(), np.diff(at).astype(np.int64), digests(h, at)))], schema=schema)
         parts = np.split(cells, max(1, 1 << (bits - 16)))
         for k, part in enumerate(parts):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(3))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], schema=schema)
 
     return docs.mapInArrow(go, SCAN)
 
@@ -108,16 +110,16 @@ def sketch(scanned: DataFrame, bits: int) -> np.ndarray:
 
 
 def unpacked(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """doc_id, key, n_shingles, node of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def go(batches):
         for batch in batches:
-            for d, s, n in zip(*(batch.column(c).to_pylist() for c in ("docs", "sizes", "nodes"))):
+            for d, k, s, n in zip(*(batch.column(c).to_pylist() for c in ("docs", "keys", "sizes", "nodes"))):
                 doc, node = np.frombuffer(d, np.int64), np.frombuffer(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(np.frombuffer(s, np.int64)), pa.array(node, mask=node == 0)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(s, np.int64)), pa.array(node, mask=node == 0)], schema=schema)
 
-    return scanned.filter("cells is null").select("docs", "sizes", "nodes").mapInArrow(go, "doc_id long, n_shingles long, node long")
+    return scanned.filter("cells is null").select("docs", "keys", "sizes", "nodes").mapInArrow(go, "doc_id long, key long, n_shingles long, node long")
 
 
 def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, bucket_bits: int) -> DataFrame:
@@ -146,8 +148,9 @@ def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, buc
                     seen.add(x)
                     fresh[i] = True
             row = np.repeat(np.arange(len(n)), n)
-            # sorted by text and hash already: a stable sort by text and level keeps the hashes in order
-            order = np.argsort(row * 256 + levels.value[(h >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+            # sorted by text and hash already: stable sorts by level, then text, keep the hashes in order
+            order = np.argsort(levels.value[(h >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+            order = order[np.argsort(row[order].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]
             pos = np.arange(len(h)) - at[row]
             keep = (pos < prefix(n, percent)[row]) & fresh[row]
             held.append((h[order][keep], node[row][keep], n[row][keep].astype(np.int32), pos[keep].astype(np.int32)))
@@ -194,6 +197,10 @@ def live(lists: DataFrame, percent: int) -> DataFrame:
             begin = np.full(len(token), len(token))
             np.minimum.at(begin, pivot[over], over)
             pivot[over] = begin[pivot[over]]
+        # any two of a block may link; the one with the fewest rarer shingles of its own is the likeliest centre of the others
+        block = pivot
+        best = np.lexsort((node, n, pos, block))
+        pivot = best[np.searchsorted(block[best], block)]
         ok = possible(n, pos, n[pivot], pos[pivot], percent) & (pivot != np.arange(len(n)))
         return pa.table(
             {
@@ -255,8 +262,9 @@ def bloom(nodes: DataFrame, bits: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(found[0]["data"], np.uint8)).astype(bool) if found else np.zeros(1 << bits, bool)
 
 
-def sets_of(docs: DataFrame, size: int, cells, bits: int) -> DataFrame:
-    """node, set of the documents whose node falls in a marked cell; once a task each."""
+def sets_of(docs: DataFrame, size: int, nodes: DataFrame, bits: int) -> DataFrame:
+    """node, set of each of ``nodes``; a filter of bounded size keeps nearly all other texts' sets from being sent."""
+    cells = docs.sparkSession.sparkContext.broadcast(bloom(nodes, bits))
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def go(batches):
@@ -273,7 +281,7 @@ def sets_of(docs: DataFrame, size: int, cells, bits: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.mapInArrow(go, "node long, set binary")
+    return docs.mapInArrow(go, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,9 +297,32 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets.select(*names, "a_set", "b_set").mapInArrow(go, "a long, a_size long, b long, b_size long, overlap long")
 
 
-def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_bits: int = 24, bucket_entries: int = 1 << 19, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with an equal set), component_id of every row."""
+def undecided(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those that a common pivot rules out; ``sure`` marks those it links. Of its pivots a set takes the one it shares most with."""
+    both = known.select("a", "b", "overlap", F.col("b_size").alias("p_size")).unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("a_size").alias("p_size")))
+    own = both.groupBy("a").agg(F.max_by(F.struct("b", "overlap", "p_size"), F.struct("overlap", "b")).alias("p")).select("a", F.col("p.b").alias("pivot"), F.col("p.overlap").alias("ap"), F.col("p.p_size").alias("p_size"))
+    bounded = pairs.join(own, "a", "left").join(both.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.col("overlap").alias("bp")), ["b", "pivot"], "left")
+    need = F.ceil(percent * (F.col("a_size") + F.col("b_size")) / (100 + percent))
+    most = F.least("ap", "bp") + F.least(F.col("a_size") - F.col("ap"), F.col("b_size") - F.col("bp"))
+    known_all = F.col("ap").isNotNull() & F.col("bp").isNotNull()
+    bounded = bounded.filter(~known_all | (most >= need))
+    return bounded.select("a", "a_size", "b", "b_size", F.coalesce(F.col("ap") + F.col("bp") - F.col("p_size") >= need, F.lit(False)).alias("sure"))
+
+
+def separate(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` whose ends are in different components so far, with these as ra < rb."""
+    found = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    found = found.withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b")).filter("x <> y")
+    return found.select(*pairs.columns, F.least("x", "y").alias("ra"), F.greatest("x", "y").alias("rb"))
+
+
+def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_bits: int = 24, bucket_entries: int = 1 << 19, tries: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, key, n_shingles, class_id (smallest doc_id with an equal set), component_id, first of every row.
+
+    ``key`` tells rows of one doc_id apart by their text; ``first`` marks the smallest (doc_id, key) of each component.
+    """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("text"))
     spark = docs.sparkSession
     bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shingles = max(1, int(bytes_ / 6))
@@ -304,35 +335,44 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
 
     first = entries.filter("pivot is not null").select(F.least("node", "pivot").alias("a"), F.when(F.col("node") < F.col("pivot"), F.col("size")).otherwise(F.col("pivot_size")).cast("long").alias("a_size"),
         F.greatest("node", "pivot").alias("b"), F.when(F.col("node") < F.col("pivot"), F.col("pivot_size")).otherwise(F.col("size")).cast("long").alias("b_size")).distinct()
-    cells = spark.sparkContext.broadcast(bloom(entries.select("node"), bits))
-    sets = cut(sets_of(docs, size, cells, bits).groupBy("node").agg(F.first("set").alias("set")))
-    known = cut(overlaps(first, sets))
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    known = cut(overlaps(first, sets_of(docs, size, ends(first), bits)))
     links = F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
-    found = known.filter(links).select("a", "b")
-    roots = connected(found)
+    roots = connected(known.filter(links).select("a", "b"))
 
     marked = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = marked.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    groups = 1 << buckets
-    left = across(marked.join(mixed, "token", "left_semi").select("token", "node", "size", "pos", "root", F.pmod(F.xxhash64("token"), F.lit(groups)).alias("group")), percent)
-    left = left.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    # a set's own pivot is the one it shares most with; through it the pairs' overlaps are bounded
-    both = known.select("a", "b", "overlap", F.col("b_size").alias("p_size")).unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("a_size").alias("p_size")))
-    own = both.groupBy("a").agg(F.max_by(F.struct("b", "overlap", "p_size"), F.struct("overlap", "b")).alias("p")).select("a", F.col("p.b").alias("pivot"), F.col("p.overlap").alias("ap"), F.col("p.p_size").alias("p_size"))
-    bounded = left.join(own, "a", "left").join(both.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.col("overlap").alias("bp")), ["b", "pivot"], "left")
-    need = F.ceil(percent * (F.col("a_size") + F.col("b_size")) / (100 + percent))
-    most = F.least("ap", "bp") + F.least(F.col("a_size") - F.col("ap"), F.col("b_size") - F.col("bp"))
-    bounded = cut(bounded.select("a", "a_size", "b", "b_size", F.coalesce(most >= need, F.lit(True)).alias("open"), F.coalesce(F.col("ap") + F.col("bp") - F.col("p_size") >= need, F.lit(False)).alias("sure")))
-    more = overlaps(bounded.filter("open and not sure").select("a", "a_size", "b", "b_size"), sets).filter(links).select("a", "b").unionByName(bounded.filter("sure").select("a", "b"))
-    more = cut(more)
-    if more.limit(1).count():
-        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    classes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "root").select("node", "class_id", "component_id")
+    left = across(marked.join(mixed, "token", "left_semi").select("token", "node", "size", "pos", "root", F.pmod(F.xxhash64("token"), F.lit(1 << buckets)).alias("group")), percent)
+    left = cut(undecided(left.join(known.select("a", "b"), ["a", "b"], "left_anti"), known, percent))
+    if left.limit(1).count():
+        sets = cut(sets_of(docs, size, ends(left.filter("not sure")), bits))
+        # first, of any two components, the pairs of the most equal sizes; what these join needs no further comparison
+        apart = separate(left, roots)
+        order = Window.partitionBy("ra", "rb").orderBy(F.desc("sure"), F.abs(F.col("a_size") - F.col("b_size")), "a", "b")
+        tried = cut(apart.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= tries).select("a", "a_size", "b", "b_size", "sure"))
+        for pairs in (tried, left.join(tried.select("a", "b"), ["a", "b"], "left_anti")):
+            pairs = separate(pairs, roots)
+            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
+            roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    rank = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("key"))
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min(rank).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    top = classes.groupBy("root").agg(F.min("least").alias("top"))
+    classes = classes.join(top, "root").select("node", F.col("least.doc_id").alias("class_id"), "top")
     out = rows.join(classes, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    back = lambda c, own: F.when(F.col("top").isNull(), F.col(own)).otherwise(F.nullif(c, F.lit(int(NO_ID))))
+    return out.select(
+        "doc_id", "key", "n_shingles", back(F.col("class_id"), "doc_id").alias("class_id"), back(F.col("top.doc_id"), "doc_id").alias("component_id"), F.coalesce(F.col("top") == rank, F.lit(True)).alias("first")
+    )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that come first in their component, once each."""
+    names = docs.columns
+    first = similar(docs, doc_id=doc_id, text=text, **options).filter("first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text}`").cast("string"))).withColumn("__doc", F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(int(NO_ID))))
+    first = first.select(F.coalesce("__id", F.lit(int(NO_ID))).alias("__doc"), F.col("__k").alias("__key"))
+    return keyed.join(first, ["__doc", "__key"], "left_semi").dropDuplicates(["__doc", "__key"]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
