@@ -30,7 +30,8 @@ def evaluate(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows whose text is a catalog id, or has a letter, a digit and the shape of one."""
     bare = rows.withColumn("normalized_text", normalized(unwrapped("raw_text"))).filter("normalized_text <> ''")
     exact = bare.join(cat.by_id(catalog), F.col("normalized_text") == F.col("pole_id"), "left")
-    shaped = exact.join(cat.shapes(catalog).select(F.col("shape").alias("__shape")), shape("normalized_text") == F.col("__shape"), "left")
+    # a join key is a column of its own: a sort would evaluate an expression at each comparison
+    shaped = exact.withColumn("__own", shape("normalized_text")).join(cat.shapes(catalog).select(F.col("shape").alias("__shape")), F.col("__own") == F.col("__shape"), "left")
     status = F.when(F.col("pole_id").isNotNull(), "reference_exact").when(F.col("__shape").isNotNull() & letter_and_digit("normalized_text"), "reference_pattern")
     return shaped.withColumn("match_status", status).filter("match_status is not null").select(
         *bare.columns, "match_status", F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("source_ids", F.array().cast("array<string>")).alias("matched_source_ids")

@@ -1,4 +1,4 @@
-"""Resolves readings of labels to catalog ids: one explode of spelling variants, one lookup, one shuffle by reading.
+"""Resolves readings of labels to catalog ids: one explode of spelling variants, one lookup, one shuffle by distinct text.
 
 Variants come in phases: the text itself (0), without separators (1), the body behind a marker with look-alike letters for
 its leading digit (2), and those with a last F added or taken off (3). A reading's first phase with a hit counts; within it penalties
@@ -25,12 +25,14 @@ def _variant(phase: int, order: int, text: Column, penalty: Column, steps: Colum
 
 def base_variants(body: Column, name: Column, penalty: Column, letters: Column) -> Column:
     """The body, and the body with each look-alike of its leading digit that begins a catalog id."""
+    table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(d).alias("digit"), F.lit(x).alias("letter"), F.lit(cost).alias("cost"), F.lit(lookalike_name(d, x)).alias("step")) for i, (d, x, cost) in enumerate(LOOKALIKES, 1)])
+    alike = F.filter(table, lambda x: (x["digit"] == F.left(body, F.lit(1))) & F.array_contains(letters, x["letter"]))
     rest = F.substring(body, 2, 2**31 - 1)
-    found = [F.when(body != "", _variant(2, 0, body, penalty, F.array(name)))]
-    for i, (digit, letter, cost) in enumerate(LOOKALIKES, 1):
-        on = (F.left(body, F.lit(1)) == digit) & F.array_contains(letters, letter)
-        found.append(F.when(on, _variant(2, i, F.concat(F.lit(letter), rest), penalty + cost, F.array(name, F.lit(lookalike_name(digit, letter))))))
-    return F.array_compact(F.array(*found))
+    more = F.transform(
+        alike,
+        lambda x: F.struct(F.lit(2).alias("phase"), x["ord"].alias("ord"), F.concat(x["letter"], rest).alias("text"), (penalty + x["cost"]).cast("int").alias("penalty"), F.array(name, x["step"]).alias("steps")).cast(VARIANT),
+    )
+    return F.when(body == "", F.array().cast(f"array<{VARIANT}>")).otherwise(F.concat(F.array(_variant(2, 0, body, penalty, F.array(name))), more))
 
 
 def toggled(variant: Column) -> Column:
@@ -42,7 +44,7 @@ def toggled(variant: Column) -> Column:
     ).cast(VARIANT)
 
 
-SPELLED = ["raw", "norm", "unknown", "joined", "body", "body_unknown", "context", "base", "more", "variants"]
+SPELLED = ["raw", "norm", "unknown", "joined", "body", "body_unknown", "context", "base", "more", "variants", "norm_shape"]
 
 
 def spelled(readings: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def spelled(readings: DataFrame, catalog: DataFrame) -> DataFrame:
 
             def finished(base: Column, more: Column) -> Column:
                 found = F.when((n == "") | unknown.isNotNull(), none).otherwise(F.filter(F.concat(plain, base, more), lambda v: v["text"] != ""))
-                values = (raw, n, unknown, joined, body, body_unknown, context, base, more, found)
+                values = (raw, n, unknown, joined, body, body_unknown, context, base, more, found, shape(n))
                 return F.struct(*[v.alias(k) for k, v in zip(SPELLED, values)])
 
             toggles = lambda b: F.when(context, none).otherwise(F.filter(F.transform(b, toggled), lambda v: v["text"] != ""))
@@ -82,17 +84,34 @@ def spelled(readings: DataFrame, catalog: DataFrame) -> DataFrame:
     return readings.withColumn("__letters", cat.letters_array(catalog)).withColumn("__s", whole).select(*given, *(F.col(f"__s.{c}").alias(c) for c in SPELLED))
 
 
-def resolve(readings: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each reading (``keys``, raw_text, explicit_pole_context and whatever else it has) with its resolution."""
+def resolve(readings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``readings`` (raw_text, explicit_pole_context and whatever else) with their resolution.
+
+    It depends on the normalised text and the context alone: each distinct pair is resolved once and joined back.
+    """
+    rows = readings.withColumn("raw_text", trimmed(F.coalesce(F.col("raw_text").cast("string"), F.lit(""))))
+    rows = rows.withColumn("__norm", normalized("raw_text")).withColumn("__context", F.coalesce(F.col("explicit_pole_context"), F.lit(False)))
+    keys = ["__norm", "__context"]
+    # few bytes a row but much work: as many tasks as shuffles have, which a count given keeps from being merged
+    tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.select(*keys).distinct().repartition(tasks, *keys).withColumn("raw_text", F.col("__norm")).withColumn("explicit_pole_context", F.col("__context"))
+    found = resolve_texts(texts, catalog, keys).drop("raw_text", "explicit_pole_context", "raw_normalized_text")
+    given = [c for c in rows.columns if c in keys or c not in found.columns]
+    return rows.select(*given).join(found, keys).drop("__context").withColumnRenamed("__norm", "raw_normalized_text")
+
+
+def resolve_texts(readings: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each of ``readings``, which ``keys`` tell apart."""
     r = spelled(readings, catalog)
     ids = cat.by_id(catalog, neighbours=True)
-    v = r.select(*keys, F.explode("variants").alias("v")).join(ids, F.col("v.text") == F.col("pole_id"))
+    # the outer form, as the plain one infers a filter that would be pushed below the distinct texts and spell every reading
+    v = r.select(*keys, F.explode_outer("variants").alias("v")).join(ids, F.col("v.text") == F.col("pole_id"))
     hit = F.struct("v.phase", "v.penalty", F.col("pole_id"), "v.steps", "match_count", "source_ids", "neighbours")
     hits = v.groupBy(*keys).agg(F.min("v.phase").alias("phase"), F.array_sort(F.collect_list(hit)).alias("hits"))
     # sorted by phase first: the first phase's hits lead
     hits = hits.withColumn("hits", F.filter("hits", lambda h: h["phase"] == F.col("phase")))
     r = r.join(hits, keys, "left").join(
-        cat.shapes(catalog).select(F.col("shape").alias("__shape")), shape("norm") == F.col("__shape"), "left"
+        cat.shapes(catalog).select(F.col("shape").alias("__shape")), F.col("norm_shape") == F.col("__shape"), "left"
     )  # one row at most for each shape
     best, second = F.get("hits", 0), F.get("hits", 1)
     alone = second.isNull() | (second["penalty"] - best["penalty"] >= MARGIN)

@@ -13,7 +13,7 @@ def visual(readings: DataFrame, catalog: DataFrame, *, keys: list[str], tile_key
     """Parsed readings (tile_keys, pos, raw_text, label_text, model_*) to judged candidates."""
     if "explicit_pole_context" not in readings.columns:
         readings = readings.withColumn("explicit_pole_context", explicit_label("label_text") | explicit_label("raw_text"))
-    resolved = resolver.resolve(readings, catalog, [*tile_keys, "pos"])
+    resolved = resolver.resolve(readings, catalog)
     judged = evidence.judged(evidence.candidates(resolved, tile_keys), keys, threshold)
     return {"resolved": resolved, "ignored": evidence.ignored(resolved), "judged": judged, "review_queue": evidence.review_queue(judged)}
 

@@ -214,12 +214,14 @@ def prefix_removal(spark, d):
 
 @query
 def variants(spark, d):
-    r = resolver.spelled(_labelled(spark, d), fx.catalog(spark, d))
-    return r.select(*TILE, "pos", F.explode("variants").alias("v")).select(*TILE, "pos", "v.phase", "v.text", F.col("v.penalty").alias("penalty"), joined("v.steps", "steps"))
+    rows = _labelled(spark, d).withColumn("__norm", normalized("raw_text"))
+    texts = rows.select("__norm", "explicit_pole_context").distinct().withColumn("raw_text", F.col("__norm"))
+    r = rows.join(resolver.spelled(texts, fx.catalog(spark, d)).select("__norm", "explicit_pole_context", "variants"), ["__norm", "explicit_pole_context"])
+    return r.select(*TILE, "pos", F.explode_outer("variants").alias("v")).filter("v is not null").select(*TILE, "pos", "v.phase", "v.text", F.col("v.penalty").alias("penalty"), joined("v.steps", "steps"))
 
 
 def _resolved(spark, d):
-    return resolver.resolve(_labelled(spark, d), fx.catalog(spark, d), [*TILE, "pos"])
+    return resolver.resolve(_labelled(spark, d), fx.catalog(spark, d))
 
 
 @query
@@ -272,7 +274,8 @@ def unmatched_ids(spark, d):
 
 @query
 def review_queue(spark, d):
-    return evidence.review_queue(_judged(spark, d)).groupBy("page_number", F.explode("review_reasons").alias("reason")).agg(F.count("*").alias("observations"))
+    reasons = evidence.review_queue(_judged(spark, d)).select("page_number", F.explode("review_reasons").alias("reason"))
+    return reasons.groupBy("page_number", "reason").agg(F.count("*").alias("observations"))
 
 
 # ---------------------------------------------------------------- merged poles
@@ -352,7 +355,8 @@ def work_area_ring(spark, d):
 @query
 def work_area_bbox(spark, d):
     areas = geometry.work_areas(_permit_poles(spark, d), ["doc_id"])
-    ends = {f"{f}_{c}": F.round((F.array_min if f == "min" else F.array_max)(F.transform("ring", lambda p, i=i: F.get(p, i))), 4) for i, c in enumerate("xy") for f in ("min", "max")}
+    part = lambda i: F.transform("ring", lambda p: F.get(p, i))
+    ends = {f"{f}_{c}": F.round((F.array_min if f == "min" else F.array_max)(part(i)), 4) for i, c in enumerate("xy") for f in ("min", "max")}
     return areas.select("doc_id", *(v.alias(k) for k, v in ends.items()))
 
 
