@@ -14,7 +14,10 @@ WORDS = "doc_id string, page_number int, page_index int, text string, x0 double,
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content of the files below ``path``; ``readStream`` over the same format takes arrivals."""
+    """path, length and content of the files below ``path``; ``readStream`` over the same format takes arrivals.
+
+    Spark leaves out files without a byte, so that the check for them is for tables from elsewhere.
+    """
     return spark.read.format("binaryFile").load(path)
 
 
