@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planmatch.functions.text import LOOKALIKES, PENALTY, lookalike_name, normalized, plan_prefix, shape, trimmed, unknown_body, without_separators
-from planmatch.functions.values import once
 from planmatch.operators import catalog as cat
 
 MARGIN = 500
@@ -48,40 +47,22 @@ SPELLED = ["raw", "norm", "unknown", "joined", "body", "body_unknown", "context"
 
 
 def spelled(readings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``readings`` with SPELLED: normal form, body behind a marker and spelling variants, each evaluated once a row."""
-    none = F.array().cast(f"array<{VARIANT}>")
+    """``readings`` with SPELLED: normal form, body behind a marker and spelling variants."""
+    none, nothing = F.array().cast(f"array<{VARIANT}>"), F.array().cast("array<string>")
     explicit = "model_confirmed_explicit_pole_context"
-    nothing = F.array().cast("array<string>")
-
-    def listed(raw: Column, n: Column, joined: Column, unknown: Column, p: Column, context: Column, letters: Column) -> Column:
-        def with_body(body: Column, body_unknown: Column) -> Column:
-            name, penalty = F.coalesce(p["name"], F.lit(explicit)), F.coalesce(p["penalty"], F.lit(PENALTY[explicit]))
-            base = F.when(body.isNotNull() & body_unknown.isNull() & (n != "") & unknown.isNull(), base_variants(body, name, penalty, letters)).otherwise(none)
-            plain = F.array_compact(
-                F.array(_variant(0, 0, n, F.lit(0), nothing), F.when(joined != n, _variant(1, 0, joined, F.lit(0), F.array(F.lit("removed_identifier_separators")))))
-            )
-
-            def finished(base: Column, more: Column) -> Column:
-                found = F.when((n == "") | unknown.isNotNull(), none).otherwise(F.filter(F.concat(plain, base, more), lambda v: v["text"] != ""))
-                values = (raw, n, unknown, joined, body, body_unknown, context, base, more, found, shape(n))
-                return F.struct(*[v.alias(k) for k, v in zip(SPELLED, values)])
-
-            toggles = lambda b: F.when(context, none).otherwise(F.filter(F.transform(b, toggled), lambda v: v["text"] != ""))
-            return once(base, lambda b: once(toggles(b), lambda m: finished(b, m)))
-
-        return once(F.when(context, n).otherwise(p["body"]), lambda body: once(unknown_body(p["body"]), lambda u: with_body(body, u)))
-
-    def with_norm(raw: Column, n: Column, letters: Column) -> Column:
-        explicit_digit = F.coalesce(F.col("explicit_pole_context"), F.lit(False)) & F.left(n, F.lit(1)).rlike(r"\p{Nd}|[²³¹]")
-        return once(
-            plan_prefix(n, letters),
-            lambda p: once(unknown_body(n), lambda u: once(without_separators(n), lambda j: once(p.isNull() & explicit_digit, lambda c: listed(raw, n, j, u, p, c, letters)))),
-        )
-
-    text = trimmed(F.coalesce(F.col("raw_text").cast("string"), F.lit("")))
-    whole = once(F.col("__letters"), lambda letters: once(text, lambda raw: once(normalized(raw), lambda n: with_norm(raw, n, letters))))
-    given = [c for c in readings.columns if c not in SPELLED]
-    return readings.withColumn("__letters", cat.letters_array(catalog)).withColumn("__s", whole).select(*given, *(F.col(f"__s.{c}").alias(c) for c in SPELLED))
+    r = readings.withColumn("raw", trimmed(F.coalesce(F.col("raw_text").cast("string"), F.lit("")))).withColumns({"norm": normalized("raw"), "__letters": cat.letters_array(catalog)})
+    r = r.withColumns({"unknown": unknown_body("norm"), "joined": without_separators("norm"), "norm_shape": shape("norm"), "__p": plan_prefix("norm", F.col("__letters"))})
+    context = F.col("__p").isNull() & F.coalesce(F.col("explicit_pole_context"), F.lit(False)) & F.left("norm", F.lit(1)).rlike(r"\p{Nd}|[²³¹]")
+    r = r.withColumns({"context": context, "body_unknown": unknown_body(F.col("__p.body"))}).withColumn("body", F.when(F.col("context"), F.col("norm")).otherwise(F.col("__p.body")))
+    readable = (F.col("norm") != "") & F.col("unknown").isNull()
+    name, penalty = F.coalesce(F.col("__p.name"), F.lit(explicit)), F.coalesce(F.col("__p.penalty"), F.lit(PENALTY[explicit]))
+    base = F.when(F.col("body").isNotNull() & F.col("body_unknown").isNull() & readable, base_variants(F.col("body"), name, penalty, F.col("__letters"))).otherwise(none)
+    r = r.withColumn("base", base)
+    r = r.withColumn("more", F.when(F.col("context"), none).otherwise(F.filter(F.transform("base", toggled), lambda v: v["text"] != "")))
+    joined = F.when(F.col("joined") != F.col("norm"), _variant(1, 0, F.col("joined"), F.lit(0), F.array(F.lit("removed_identifier_separators"))))
+    plain = F.array_compact(F.array(_variant(0, 0, F.col("norm"), F.lit(0), nothing), joined))
+    r = r.withColumn("variants", F.when(readable, F.filter(F.concat(plain, "base", "more"), lambda v: v["text"] != "")).otherwise(none))
+    return r.select(*[c for c in readings.columns if c not in SPELLED], *SPELLED)
 
 
 def resolve(readings: DataFrame, catalog: DataFrame) -> DataFrame:
