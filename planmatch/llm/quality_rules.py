@@ -77,12 +77,13 @@ def failing(line: Column, n_words: Column, max_marks: float, max_symbols: float)
 
 
 def clean_lines(
-    docs: DataFrame, text: str = "text", max_marks: float = 0.3, max_symbols: float = 0.5, max_lost: float = 0.5, min_words: int = 20
+    docs: DataFrame, text: str = "text", max_marks: float = 0.3, max_symbols: float = 0.5, max_lost: float = 0.5, min_words: int = 20, only_kept: bool = False
 ) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text, n_lost_words, kept.
 
     ``kept``: the base rules hold and at most ``max_lost`` of the words are in lines that fail. ``clean_text``: the lines
-    that pass, joined by line feeds, lines without words included as they are.
+    that pass, joined by line feeds, lines without words included as they are. ``only_kept`` leaves out rejected rows; it
+    costs nothing more, where a filter on ``kept`` would be pushed down and evaluate all rules twice.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_lost_words", "kept"]
     rest = [c for c in docs.columns if c.lower() not in own]
@@ -108,10 +109,13 @@ def clean_lines(
         return let(fails, judged)
 
     whole = let(body, lambda t: let(F.split(t, "\n", -1), lambda lines: let(line_words(t), lambda lw: stats(t, lines, lw))))
+    failed = lambda x: (x["n_words"] < min_words) | (x["n_repeat_words"] * 100 > x["n_words"] * 30)
+    lost = lambda x: x["n_lost_words"] > x["n_words"] * max_lost
+    if only_kept:
+        whole = F.explode(let(whole, lambda x: F.filter(F.array(x), lambda y: ~failed(y) & ~lost(y))))
     out = docs.select(*[F.col(f"`{c}`") for c in rest], whole.alias("__s"))
-    out = out.select(*[F.col(f"`{c}`") for c in rest], "__s.*")
-    out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= F.col("n_words") * max_lost))
+    s = F.col("__s")
+    return out.select(*[F.col(f"`{c}`") for c in rest], "__s.*", failed(s).alias("base_failed"), (~failed(s) & ~lost(s)).alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
