@@ -27,7 +27,7 @@ def with_text(found: DataFrame, names: list[str], text: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that fail."""
     aside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
-    return with_text(clean_lines(aside).filter("kept"), docs.columns, "clean_text")
+    return with_text(clean_lines(aside, only_kept=True), docs.columns, "clean_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
