@@ -51,6 +51,19 @@ def unpacked(docs: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.
     return np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32)), np.frombuffer(hashes, np.uint64)
 
 
+def cropped(row: tuple) -> tuple:
+    """A packed row of a bucket without the hashes' highest byte, which the bucket's number holds: at least 8 bits of it are theirs."""
+    bucket, docs, counts, hashes = row
+    return bucket, docs, counts, np.frombuffer(hashes, np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def restored(bucket: int, hashes: bytes, bits: int) -> bytes:
+    low = np.frombuffer(hashes, np.uint8).reshape(-1, 7)
+    out = np.full((len(low), 8), bucket >> (bits - 8), np.uint8)
+    out[:, :7] = low
+    return out.tobytes()
+
+
 SENT = "bucket int, docs binary, counts binary, hashes binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
@@ -81,7 +94,8 @@ def repeated(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def removals(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFrame:
     """Rows (g, docs, counts, hashes): the windows of each document that a smaller document has too, by the documents' group."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    bits = buckets.bit_length() - 1
+    shift = np.uint64(64 - bits)
 
     def told(d: np.ndarray, h: np.ndarray, kind: int) -> list[tuple]:
         """By group of the documents; bucket -1 - g marks what is decided already."""
@@ -100,9 +114,9 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFra
             gone, first = later & ~again, ~later & ~again
             rows = told(d[gone], h[gone], 0)
             h, d = h[first], d[first]
-            key = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
+            key = (h >> shift).astype(np.int64)
             at = runs(key)
-            rows += [packed(int(key[i]), d[i:j], h[i:j]) for i, j in zip(at[:-1], at[1:]) if j > i]
+            rows += [cropped(packed(int(key[i]), d[i:j], h[i:j])) for i, j in zip(at[:-1], at[1:]) if j > i]
             return rows
 
         for batch in slices(batches, "text"):
@@ -134,7 +148,7 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFra
                     if parts:
                         yield from flush(end(), _SENT)
                     key, parts = bucket, []
-                parts.append(unpacked(d, c, h))
+                parts.append(unpacked(d, c, restored(bucket, h, bits)))
         if parts:
             yield from flush(end(), _SENT)
 
@@ -158,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int =
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = 1 << max(0, int(size / 6 / bucket_windows)).bit_length()
+    buckets = 1 << max(8, int(size / 6 / bucket_windows).bit_length())
     groups = prime(max(1, int(size / (4 << 20))))
     gone = removals(docs, window, buckets, groups)
     none = F.lit(None).cast("binary")
