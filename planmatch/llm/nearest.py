@@ -105,9 +105,8 @@ def nearest(
         width = found["w"] if found else 1
     c, q = (part(df).filter(usable(F.col("v"), width)) for df in (candidates, queries))
     groups = max(1, -(-candidates.count() // group_rows))
-    cb = pack(c, block).withColumn("g", (F.monotonically_increasing_id() % groups).cast("int"))
+    cb = pack(c, block).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     qb = pack(q, block).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    # block numbers are spread by place, so that groups hold about as many blocks each
     pairs = cb.repartition(groups, "g").join(qb, "g")
     schema = pa.schema([("query_id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
 
