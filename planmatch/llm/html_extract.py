@@ -6,7 +6,8 @@ id says notice, advert, comments and the like) are left out before. One linear s
 sum, and its text is put together block by block.
 
 Defined results: null or empty html, or html without words, gives an empty text; a tag that is never closed (``<nav>``
-without ``</nav>``) leaves out only the text up to the next tag; of runs with equal sums the first wins; repeated rows are
+without ``</nav>``) leaves out only the text up to the next tag; of runs with equal sums the first wins; of attributes only class,
+id, role, hidden and aria-hidden by their whole names leave an element out, never what other attributes' values say; repeated rows are
 extracted each by itself; an empty table gives an empty table.
 """
 
@@ -36,7 +37,8 @@ FURNITURE = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar\w*|footer|header|masthead|notice\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|"
     r"comments?|commentlist|replies|disqus|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|search|login|signup|contentinfo|complementary|alert)(?:$|[\s_-])"
 )
-ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: An attribute of a tag, one after the other from the start: a whole name, and a value that is consumed with its quotes.
+ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\S*))?")
 WHITE = re.compile(r"[ \t\n\r\f\v ]+")
 
 #: Labelled pages: what stands between the two marks is content.

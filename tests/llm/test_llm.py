@@ -280,6 +280,19 @@ def test_html(page, want):
     assert html_extract.extract(page or "", html_extract.item_weights()) == want
 
 
+@pytest.mark.parametrize(
+    "attributes, left_out",
+    [
+        ('style="overflow:hidden"', False), ('href="/posts/hidden-costs"', False), ('title="hidden gems"', False), ('href="/x?id=login"', False), ('data-id="search"', False), ("data-class='ad' x-hidden", False), ("alt=\"it's class='ad'\"", False),
+        ("href=/a?class=ad", False), ('class="text" title="role=\'search\' hidden"', False), ('aria-hidden="false"', False), ("hidden", True), ('HIDDEN=""', True), ('title="a"hidden', True), ("id = login", True), ("class='x ad' href=y", True), ('href="/hidden" role=search', True),
+        ('aria-hidden="true"', True), ("data-x class=ad", True),
+    ],
+)
+def test_attributes(attributes, left_out):
+    page = f"<article><p>one two</p><div {attributes}>three four</div><p>five six</p></article>"
+    assert html_extract.extract(page, html_extract.item_weights()) == ("one two\nfive six" if left_out else "one two\nthree four\nfive six")
+
+
 def test_html_table(spark, empty):
     df = spark.createDataFrame([(1, "<p>a</p>", "old"), (1, "<p>a</p>", "old"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html_extract.main_text(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
