@@ -8,7 +8,8 @@ tiles' lists are merged by heaps.
 
 Every query block meets every candidate block through an equi-join on the candidates' group: queries are the stated
 set, copied once to each group. Defined results: vectors that are null, zero, of another length than ``width``, or with a null or
-non-finite part take no part; ties go to the smaller vec_id; a query never finds its own row, by vec_id; fewer than k candidates
+non-finite part take no part; ties go to the smaller vec_id; a query never finds its own row, by vec_id; every row of candidates counts, so that repeated
+rows take a place each, and of rows of queries with one vec_id all distances count together, as in the SQL; fewer than k candidates
 give all; an empty table gives an empty table.
 """
 
@@ -114,9 +115,10 @@ def nearest(
         for batch in batches:
             for x in zip(*(batch.column(n).to_pylist() for n in ("ids", "vectors", "qids", "qvectors"))):
                 qid, cid, d = tile(*unpack(*x[:2]), *unpack(*x[2:]), k)
-                order = np.argsort(qid, kind="stable")
+                order = np.lexsort((cid, d, qid))
                 at = np.concatenate([[0], np.flatnonzero(np.diff(qid[order])) + 1, [len(qid)]]) if len(qid) else [0]
-                rows = [(int(qid[order[i]]), cid[order[i:j]].tobytes(), d[order[i:j]].tobytes()) for i, j in zip(at[:-1], at[1:])]
+                # rows of queries that share a vec_id have one list
+                rows = [(int(qid[order[i]]), cid[order[i : min(j, i + k)]].tobytes(), d[order[i : min(j, i + k)]].tobytes()) for i, j in zip(at[:-1], at[1:])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(y, t) for y, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -138,9 +140,8 @@ def nearest(
                     heap, key = [], qid
                 for i, d in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(scores, np.float64).tolist()):
                     if len(heap) < k:
-                        if (-d, -i) not in heap:
-                            heapq.heappush(heap, (-d, -i))
-                    elif (-d, -i) > heap[0] and (-d, -i) not in heap:
+                        heapq.heappush(heap, (-d, -i))
+                    elif (-d, -i) > heap[0]:
                         heapq.heapreplace(heap, (-d, -i))
             if done:
                 yield pd.concat(done)
@@ -148,7 +149,8 @@ def nearest(
         if heap:
             yield out()
 
-    # each tile sends at most k rows a query: a group of this step has k times the number of candidate blocks, whatever the data
+    # each tile sends at most k rows a query: a group of this step has k times the number of tiles that hold its vec_id, one for each
+    # candidate block where queries aren't repeated
     return lists.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 

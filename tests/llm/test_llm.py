@@ -359,6 +359,27 @@ def test_nearest(spark):
     assert nearest.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_nearest_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(300, 8)), 1).astype(np.float32)
+    v[7] = v[0]
+    rows = [(int(i), [float(y) for y in x]) for i, x in enumerate(v)]
+    rows += [rows[7]] * 5 + [rows[150]] * 14 + [(9, rows[0][1])] * 2  # copies, and an id with two vectors
+    rows += [rows[100]] * 3 + [(200, rows[3][1])]  # queries
+    spark.createDataFrame(rows + [(150, rows[100][1])] * 12, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.sql(nearest.SQL).fetchall())
+    assert len(want) == 30
+    for block, group_rows in ((64, 100), (4096, 1 << 16)):
+        found = nearest.nearest(df.filter("vec_id % 100 = 0").repartition(3), df.repartition(5), block=block, group_rows=group_rows)
+        got = sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect())
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
