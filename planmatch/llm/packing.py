@@ -6,7 +6,7 @@ functions. A partition that meets the bound is certified and done. The others ke
 pieces of all bins with room to the next round, where fewer partitions exchange and repack them, until one is left or the rounds are used up.
 
 Defined results: null text counts as empty and is the end token alone; every row is a document, repeated ids included; an empty
-table gives an empty table; strings of special tokens are ordinary text.
+table gives an empty table; the file's added tokens (``<|endoftext|>``) are found in texts and have their own ids, as tokenizers does by default.
 """
 
 from __future__ import annotations
@@ -30,19 +30,22 @@ END = 0
 
 @functools.cache
 def encoder(path: str):
-    """Encoding of a byte-level BPE vocabulary in a tokenizers file: its ids are the ranks of its merges."""
+    """Encoding, in tiktoken, of a byte-level BPE vocabulary in a tokenizers file: its ids are the ranks of its merges, and added tokens are cut out of texts before."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], {t["content"]: t["id"] for t in whole["added_tokens"]}
+    if any(t[x] for t in whole["added_tokens"] for x in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token isn't taken literally")
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(printable)))}
-    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token) and token != "<|endoftext|>"}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token) and token not in added}
     merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
     if any(ranks[bytes(byte[c] for c in m.replace(" ", ""))] != 256 + i for i, m in enumerate(merged)):
         raise ValueError("ids aren't in the order of merges")
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def default_tokenizer() -> str:
@@ -56,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def go(batches):
-        encode = encoder(tokenizer).encode_ordinary
+        encode = functools.partial(encoder(tokenizer).encode, allowed_special="all")
         for batch in slices(batches, "text", 4 << 20):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

@@ -187,6 +187,20 @@ def test_packing(docs, empty, spark):
     assert packing.pack(empty).count() == 0 and packing.pack(odd(spark)).count() == 4
 
 
+def test_packing_takes_added_tokens(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext|", "ü<|endoftext|>" * 40, "<|ENDOFTEXT|> <|endoftext|>>", "plain  text \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length in (8, 2048):
+        got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(df, length=length).collect()}
+        for d, t in enumerate(texts):
+            ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+            own = [got.pop((d, p)) for p in range(-(-len(ids) // length))]
+            assert sum(n for _, n, _ in own) == len(ids) and all(zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) == crc for a, n, crc in own)
+        assert not got
+
+
 def test_lower_bound_holds():
     rng = np.random.default_rng(4)
     for _ in range(30):
