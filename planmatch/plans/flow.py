@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planmatch.errors import EngineError
 from planmatch.functions.text import explicit_label
 from planmatch.operators import evidence, geometry, merge, native, pages, permits, replies, resolver
 
@@ -22,8 +23,10 @@ def run(*, catalog: DataFrame, inspections: DataFrame, words: DataFrame, preview
     """All relations of the flow for one set of documents, lazily.
 
     inspections, words: by page_number; previews: page_number, raw_response; tile_replies: page_number, tile_index, raw_response;
-    requests: doc_id, submitted_at. Documents of several sets are told apart by running sets with their own page numbers.
+    requests: doc_id, submitted_at, one row at most, which is counted at once, as all poles are its document's. Documents of several sets are told apart by running sets with their own page numbers.
     """
+    if requests.limit(2).count() > 1:
+        raise EngineError("poles of one set of documents can't be dealt to more than one request")
     found = native.candidates(words, catalog)
     summaries = native.page_summary(inspections, words, found)
     inspected = pages.inspect(inspections)
@@ -39,7 +42,7 @@ def run(*, catalog: DataFrame, inspections: DataFrame, words: DataFrame, preview
     seen = visual(read, catalog, keys=["page_number"], tile_keys=["page_number", "tile_index"])
     poles = merge.accepted(found, seen["judged"], catalog)
     numbered = permits.numbers(requests, last_number, by=["submitted_at", "doc_id"], year=F.lit(year))
-    owned = poles.crossJoin(F.broadcast(numbered.select("doc_id").limit(1)))
+    owned = poles.crossJoin(F.broadcast(numbered.select("doc_id")))
     permit = permits.permit_rows(numbered, owned, ["doc_id"])
     return {
         "native": found, "summaries": summaries, "selected": selected, "routed": routed, "skipped": pages.skipped(routed, ["page_number"]), "tiles": grid, **seen, "poles": poles, "status": merge.status(poles, seen["judged"]),

@@ -65,6 +65,21 @@ def test_numbers_go_on(spark):
     assert [r["number"] for r in got] == list(range(6, 1006)) and got[0]["permit_number"] == "6-2026"
 
 
+def test_flow_takes_one_request(spark):
+    from planmatch.operators import catalog, native
+    from planmatch.plans import flow
+
+    poles = catalog.load(spark.createDataFrame([("S1", "O131F", 1.0, 2.0)], "source_id string, pole_id_raw string, x double, y double"))
+    text = "page_number int, page_index int, block_number int, line_number int, word_number int, text string, x0 double, y0 double, x1 double, y1 double"
+    words = native.words(spark.createDataFrame([(1, 0, 0, 0, 0, "O131F", 0.0, 0.0, 8.0, 10.0)], text))
+    page = spark.createDataFrame([(1, 2592.0, 1728.0, 3, 1, 0.2)], "page_number int, width_points double, height_points double, embedded_word_count int, image_count int, largest_image_coverage double")
+    replies = spark.createDataFrame([(1, 1, "{}")], "page_number int, tile_index int, raw_response string")
+    asked = spark.createDataFrame([(7, 1), (8, 2)], "doc_id long, submitted_at long")
+    given = {"catalog": poles, "inspections": page, "words": words, "previews": replies.drop("tile_index"), "tile_replies": replies, "year": 2026}
+    with pytest.raises(EngineError, match="more than one request"):
+        flow.run(**given, requests=asked)
+
+
 def test_fields():
     assert permits.resolve_fields(["Permit_Number", "X"], ["permit_number"]) == {"permit_number": "Permit_Number"}
     with pytest.raises(FieldError, match="a, b"):
