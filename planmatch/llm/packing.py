@@ -1,11 +1,11 @@
 """Best-fit packing of tokenised documents into sequences, with certified partitions.
 
-Documents are tokenised once and cut into pieces of at most the sequence length. Pieces are dealt evenly to partitions of bounded size; each
+Documents are tokenised once and cut into pieces of at most the sequence length. Pieces are dealt evenly to partitions of bounded size, equal rows among them; each
 packs its own by best-fit decreasing and compares its number of bins with the lower bound of dual feasible
 functions. A partition that meets the bound is certified and done. The others keep their full bins and give the
 pieces of all bins with room to the next round, where fewer partitions exchange and repack them, until one is left or the rounds are used up.
 
-Defined results: null text counts as empty and is the end token alone; every row is a document, repeated ids included; an empty
+Defined results: null text counts as empty and is the end token alone; every row is a document, repeated ids included, and a null doc_id stays null; an empty
 table gives an empty table; the file's added tokens (``<|endoftext|>``) are found in texts and have their own ids, as tokenizers does by default.
 """
 
@@ -16,7 +16,6 @@ import json
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,13 +115,17 @@ COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 def packer(length: int, turn: int, last: bool):
     """Packs one partition; ``done`` marks the bins that take no part in the next round."""
 
-    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
-        sizes = pdf["length"].to_numpy(np.int64)
+    def packed(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.select(COLUMNS).sort_by([(c, "ascending") for c in COLUMNS])
+        sizes = part.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(sizes, length)
         certified = len(room) == lower_bound(sizes, length)
         done = np.ones(len(room), bool) if certified or last else room == 0
-        return pdf[COLUMNS].assign(sequence_id=(turn << 58) + (int(key[0]) << 24) + bins, offset=offsets, certified=certified, done=done[bins])
+        own = {
+            "sequence_id": pa.array((turn << 58) + (key[0].as_py() << 24) + bins), "offset": pa.array(offsets),
+            "certified": pa.array(np.full(len(bins), certified)), "done": pa.array(done[bins]),
+        }
+        return pa.table({**{c: part.column(c) for c in COLUMNS}, **own})
 
     return packed
 
@@ -138,8 +141,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, pa
         last = parts == 1 or turn == rounds - 1
 
         packed = packer(length, turn, last)
-        dealt = left.withColumn("__part", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(parts)))
-        result = dealt.groupBy("__part").applyInPandas(packed, out)
+        # by place in the checkpoint, which a lost task reads again as it was: equal rows are dealt apart too
+        dealt = left.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), F.monotonically_increasing_id()), F.lit(parts)))
+        result = dealt.groupBy("part").applyInArrow(packed, out)
         if last:
             finished.append(result)
             break
