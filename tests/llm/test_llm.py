@@ -141,6 +141,51 @@ def test_mixing(spark, docs, empty):
     assert words == sum(r["taken"] for r in rows)
 
 
+def test_mixing_many_sources(spark, docs, empty):
+    """Sources planned by aggregates get what sources planned on the driver get."""
+    want = sorted(map(tuple, mixing.mix_sources(docs, shard_words=500).collect()), key=repr)
+    assert sorted(map(tuple, mixing.mix_sources(docs, shard_words=500, max_sources=1).collect()), key=repr) == want
+    assert mixing.mix_sources(empty, max_sources=0).count() == 0
+    rng = random.Random(3)
+    found = [(None if i == 7 else f"s{i:03}", rng.choice([0, 5, 40, 1000])) for i in range(60)]
+    rows = spark.createDataFrame(found, "source string, size long")
+    plain = mixing.planned(rows.collect(), (3, 1, 2), Fraction(3, 2), 2, 4)
+    apart = sorted(map(tuple, mixing.planned_apart(rows, (3, 1, 2), Fraction(3, 2), 2, 4).collect()))
+    assert [x[:3] + x[4:] for x in apart] == [x[:3] + x[4:] for x in plain] and np.allclose([x[3] for x in apart], [x[3] for x in plain])
+
+
+def test_draws_are_words_of_chosen_blocks():
+    """The draw of a shard against its line of words, laid out word by word."""
+    rng = random.Random(9)
+    for seed in range(80):
+        size = [rng.choice([0, 1, 2, 7, 30]) for _ in range(rng.randint(0, 9))]
+        block, most, quota = rng.randint(1, 9), rng.randint(1, 3), rng.randint(0, 12)
+        line = [i for _ in range(most) for i, n in enumerate(size) for _ in range(n)]
+        blocks = [line[i : i + block] for i in range(0, len(line), block)]
+        want = [0] * len(size)
+        if blocks:
+            start = int(mixing.mix(np.array([seed], np.uint64))[0] % np.uint64(len(blocks)))
+            for b in range(min(quota, len(blocks))):
+                for i in blocks[(start + b) % len(blocks)]:
+                    want[i] += 1
+        assert mixing.drawn(np.array(size, np.int64), quota, block, most, seed).tolist() == want
+
+
+BIG = [9007199254740993, 9007199254740995, None]
+
+
+def test_ids_stay_whole(spark):
+    """Ids above 2**53 beside a null one, and thousands of equal rows, through mixing and packing."""
+    rows = [(d, "a b c d", "x") for d in BIG] + [(5, "q r", "y")] * 200 + [(6, "", "y")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mix_sources(df, block=1, shard_rows=16, shard_words=64).collect()
+    assert {r["doc_id"] for r in mixed} == {*BIG, 5, 6} and len(mixed) == len(rows)
+    for source, target in {(r["source_size"], r["target"]) for r in mixed}:
+        assert abs(sum(r["taken"] for r in mixed if r["source_size"] == source) - target) <= 1
+    packed = packing.pack(df, part=64).collect()
+    assert {r["doc_id"] for r in packed} == {*BIG, 5, 6} and len(packed) == len(rows)
+
+
 def test_sainte_lague():
     def plain(votes, seats):
         out = [0] * len(votes)
@@ -184,7 +229,8 @@ def test_packing(docs, empty, spark):
             own.sort(key=lambda r: r["offset"])
             assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:i]) for i in range(len(own))] and sum(r["length"] for r in own) <= length
         assert len(by_sequence) <= 1.03 * packing.lower_bound(np.array([r["length"] for r in rows]), length) + 1
-    assert packing.pack(empty).count() == 0 and packing.pack(odd(spark)).count() == 4
+    assert packing.pack(empty).count() == 0
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["length"]) for r in packing.pack(odd(spark)).collect()) == [(False, 4, 16), (False, 4, 16), (False, 5, 1), (True, None, 16)]
 
 
 def test_packing_takes_added_tokens(spark):
