@@ -1,16 +1,17 @@
 """Nearest neighbours by block matrix join: int8 product tiles with error bounds, then exact distances of what survives.
 
-Vectors are packed in blocks. A vector is stored as int8 numbers times its own scale, with the exact norm of what that loses. For a block
-of candidates and a block of queries one product of int8 numbers (sums stay below 2**24, so single precision holds
-them exactly) gives every distance within a bound by Cauchy-Schwarz. A candidate whose lower bound is above the k-th smallest upper bound
-of its tile cannot be among a query's k nearest; the others are computed in double precision, and the
-tiles' lists are merged by heaps.
-
-Every query block meets every candidate block through an equi-join on the candidates' group: queries are the stated
-set, copied once to each group. Defined results: vectors that are null, zero, of another length than ``width``, or with a null or
-non-finite part take no part; ties go to the smaller vec_id; a query never finds its own row, by vec_id; every row of candidates counts, so that repeated
-rows take a place each, and of rows of queries with one vec_id all distances count together, as in the SQL; fewer than k candidates
-give all; an empty table gives an empty table.
+Vectors are packed in blocks of one width. A vector is stored as int8 numbers times its own scale, with the exact norm of what that loses. For a
+block of candidates and a block of queries one product of int8 numbers gives every distance within a bound by Cauchy-Schwarz; it is summed over at most
+``EXACT`` columns at a time, where single precision holds the sums exactly, and then in double. A candidate whose lower bound is above the k-th
+smallest upper bound of its tile cannot be among a query's k nearest; the others are computed in double precision from the original vectors, and
+the tiles' lists are merged by heaps.
+
+Blocks meet on a grid: query blocks are dealt to its rows and candidate blocks to its columns, and each goes to all cells of its own, so that
+what is sent grows with the square root of the number of cells. Defined results: vectors that are null, zero, empty, or with a null or
+non-finite part take no part; a query meets the candidates of its own width; ties go to the smaller vec_id; a query never finds its own row, by
+vec_id, and rows without a vec_id take no part; every row of candidates counts, so that repeated rows take a place each, and of rows of queries with
+one vec_id all distances count together, as in the SQL; fewer than k candidates give all; columns other than the two named are not read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,140 +19,172 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-PACKED = "ids binary, vectors binary"
+PACKED = "width int, ids binary, vectors binary"
+#: Columns whose int8 products sum to less than 2**24.
+EXACT = 1024
 BLOCK = 4096
+#: Bytes of candidates for which another task is worth while.
+LEAST = 1 << 20
 
 
-def pack(rows: DataFrame, block: int) -> DataFrame:
-    """Blocks of up to ``block`` vectors in rows of two blobs: ids, and single-precision numbers."""
+def pack(rows: DataFrame, block: int, kind: str) -> DataFrame:
+    """Blocks of up to ``block`` vectors of one width in rows of two blobs: ids, and numbers of ``kind``."""
+    schema = pa.schema([("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
     def go(batches):
-        ids, vecs, held = [], [], 0
+        held: dict[int, list] = {}
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vecs).tobytes()], pa.binary())], names=["ids", "vectors"])
+        def out(width: int):
+            ids, vecs = zip(*held.pop(width))
+            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vecs).tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, block):
-                part = batch.slice(k, block)
-                ids.append(part.column(0).to_numpy(zero_copy_only=False))
-                vecs.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32))
-                held += part.num_rows
-                if held >= block:
-                    yield out()
-                    ids, vecs, held = [], [], 0
-        if held:
-            yield out()
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            at = vectors.offsets.to_numpy().astype(np.int64)
+            values, widths = vectors.values.to_numpy(zero_copy_only=False).astype(kind), np.diff(at)
+            for width in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == width)
+                for k in range(0, len(own), block):
+                    chosen = own[k : k + block]
+                    held.setdefault(width, []).append((ids[chosen], values[at[chosen][:, None] + np.arange(width)[None]]))
+                    if sum(len(x) for x, _ in held[width]) >= block:
+                        yield out(width)
+        for width in list(held):
+            yield out(width)
 
     return rows.mapInArrow(go, PACKED)
 
 
-def unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(ids: bytes, vectors: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.float32).reshape(len(i), -1)
+    return i, np.frombuffer(vectors, kind).reshape(len(i), -1)
 
 
 def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 numbers, scales, and norms of the vectors and of what rounding loses."""
     v = v.astype(np.float64)
-    scale = np.abs(v).max(1) / 127
+    scale = np.maximum(np.abs(v).max(1) / 127, np.finfo(float).tiny)
     q = np.rint(v / scale[:, None]).astype(np.int8)
     lost = np.sqrt(((v - q * scale[:, None]) ** 2).sum(1))
     return q, scale, np.sqrt((v**2).sum(1)), lost
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of int8 rows, as doubles."""
+    out = np.zeros((len(a), len(b)))
+    for k in range(0, a.shape[1], EXACT):
+        out += a[:, k : k + EXACT].astype(np.float32) @ b[:, k : k + EXACT].astype(np.float32).T
+    return out
+
+
 def tile(ids_c: np.ndarray, c: np.ndarray, ids_q: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query id, candidate id and distance of each query's k nearest in the block."""
-    ci, cs, cn, ce = quantised(c)
-    qi, qs, qn, qe = quantised(q)
-    out = []
-    wide = ci.astype(np.float32)
-    for a in range(0, len(q), 256):
-        b = slice(a, a + 256)
-        dot = (qi[b].astype(np.float32) @ wide.T).astype(np.float64) * qs[b, None] * cs[None]
-        # |q.c - q'.c'| <= |q - q'| |c| + |q'| |c - c'|, and |q'| <= |q| + |q - q'|
-        slack = 2 * (qe[b, None] * cn[None] + (qn[b] + qe[b])[:, None] * ce[None])
-        far = qn[b, None] ** 2 + cn[None] ** 2 - 2 * dot
-        slack += 1e-9 * (qn[b, None] ** 2 + cn[None] ** 2)
-        far[ids_q[b, None] == ids_c[None]] = np.inf
-        up = far + slack
-        kth = np.partition(up, min(k, up.shape[1]) - 1, axis=1)[:, min(k, up.shape[1]) - 1]
-        r, s = np.nonzero((far - slack <= kth[:, None]) & np.isfinite(far))
-        d = np.sqrt(((q[b][r].astype(np.float64) - c[s].astype(np.float64)) ** 2).sum(1))
-        order = np.lexsort((ids_c[s], d, r))
-        r, s, d = r[order], s[order], d[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        top = place < k
-        out.append((ids_q[b][r[top]], ids_c[s[top]], d[top]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        ci, cs, cn, ce = quantised(c)
+        qi, qs, qn, qe = quantised(q)
+        out = []
+        for a in range(0, len(q), 256):
+            b = slice(a, a + 256)
+            dot = products(qi[b], ci) * qs[b, None] * cs[None]
+            # |q.c - q'.c'| <= |q - q'| |c| + |q'| |c - c'|, and |q'| <= |q| + |q - q'|
+            slack = 2 * (qe[b, None] * cn[None] + (qn[b] + qe[b])[:, None] * ce[None])
+            far = qn[b, None] ** 2 + cn[None] ** 2 - 2 * dot
+            slack += 1e-9 * (qn[b, None] ** 2 + cn[None] ** 2)
+            own = ids_q[b, None] == ids_c[None]
+            low, up = far - slack, far + slack
+            beyond = ~(np.isfinite(low) & np.isfinite(up))  # squares beyond doubles: no bound
+            low[beyond], up[beyond | own] = -np.inf, np.inf
+            kth = np.partition(up, min(k, up.shape[1]) - 1, axis=1)[:, min(k, up.shape[1]) - 1]
+            r, s = np.nonzero((low <= kth[:, None]) & ~own)
+            d = np.sqrt(((q[b][r].astype(np.float64) - c[s].astype(np.float64)) ** 2).sum(1))
+            order = np.lexsort((ids_c[s], d, r))
+            r, s, d = r[order], s[order], d[order]
+            top = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append((ids_q[b][r[top]], ids_c[s[top]], d[top]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def usable(vector: Column, width: int | None = None) -> Column:
-    good = vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
-    return F.coalesce(good & (F.size(vector) == width) if width else good, F.lit(False))
+def usable(vector: Column) -> Column:
+    good = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
+    return F.coalesce(vector.isNotNull() & good, F.lit(False))
+
+
+def push(heap: list, k: int, found) -> None:
+    """Keeps the k nearest of (distance, id) pairs; those of a heap are negative, so that the farthest is on top."""
+    for d, i in found:
+        if len(heap) < k:
+            heapq.heappush(heap, (-d, -i))
+        elif (-d, -i) > heap[0]:
+            heapq.heapreplace(heap, (-d, -i))
 
 
 def nearest(
-    queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = BLOCK, group_rows: int = 1 << 16, vec_id: str = "vec_id", vector: str = "embedding", width: int | None = None
+    queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = BLOCK, cell_bytes: int = 1 << 24, vec_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: exactly the k nearest of each query by Euclidean distance."""
-    part = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("vec_id").isNotNull())
-    if width is None:
-        found = part(candidates).filter(usable(F.col("v"))).groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-        width = found["w"] if found else 1
-    c, q = (part(df).filter(usable(F.col("v"), width)) for df in (candidates, queries))
-    groups = max(1, -(-candidates.count() // group_rows))
-    cb = pack(c, block).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    qb = pack(q, block).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = cb.repartition(groups, "g").join(qb, "g")
-    schema = pa.schema([("query_id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
-
-    def products(batches):
-        for batch in batches:
-            for x in zip(*(batch.column(n).to_pylist() for n in ("ids", "vectors", "qids", "qvectors"))):
-                qid, cid, d = tile(*unpack(*x[:2]), *unpack(*x[2:]), k)
-                order = np.lexsort((cid, d, qid))
-                at = np.concatenate([[0], np.flatnonzero(np.diff(qid[order])) + 1, [len(qid)]]) if len(qid) else [0]
-                # rows of queries that share a vec_id have one list
-                rows = [(int(qid[order[i]]), cid[order[i : min(j, i + k)]].tobytes(), d[order[i : min(j, i + k)]].tobytes()) for i, j in zip(at[:-1], at[1:])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(y, t) for y, t in zip(zip(*rows), schema.types)], schema=schema)
-
-    lists = pairs.select("ids", "vectors", "qids", "qvectors").mapInArrow(products, "query_id long, ids binary, scores binary")
+    """query_id, rank, vec_id, score: exactly the k nearest of each query by Euclidean distance.
+
+    ``cell_bytes``: about how many bytes of either side meet in one task.
+    """
+    single = all(isinstance(df.schema[vector].dataType.elementType, FloatType) for df in (queries, candidates))
+    kind, item = ("<f4", 4) if single else ("<f8", 8)
+    part = lambda df: df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast(f"array<{'float' if single else 'double'}>").alias("v")).filter(F.col("vec_id").isNotNull())
+    q, c = (part(df).filter(usable(F.col("v"))) for df in (queries, candidates))
+    bytes_q, bytes_c, width = (
+        max(1, x) for x in (*(df.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * item for df in (q, c)), c.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0])
+    )
+    down, over = -(-bytes_q // cell_bytes), max(-(-bytes_c // cell_bytes), min(queries.sparkSession.sparkContext.defaultParallelism, -(-bytes_c // LEAST)))
+    block = min(block, max(1, LEAST // (width * item)))
+    place = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qb = pack(q, block, kind).withColumn("down", place(down)).select("*", every(over).alias("over"))
+    cb = pack(c, block, kind).withColumn("over", place(over)).select("*", every(down).alias("down"))
+    cell = ["width", "down", "over"]
+
+    def blocks(table: pa.Table) -> list:
+        return [unpack(i, v, kind) for i, v in zip(table.column("ids").to_pylist(), table.column("vectors").to_pylist())]
+
+    def met(asked: pa.Table, given: pa.Table) -> pa.Table:
+        theirs, heaps = blocks(given), {}
+        for ids_q, vq in blocks(asked):
+            for ids_c, vc in theirs:
+                qid, cid, d = tile(ids_c, vc, ids_q, vq, k)
+                order = np.argsort(qid, kind="stable")
+                at = np.flatnonzero(np.append(True, np.diff(qid[order]) != 0)) if len(qid) else []
+                for i, j in zip(at, [*at[1:], len(qid)]):
+                    o = order[i:j]
+                    push(heaps.setdefault(int(qid[o[0]]), []), k, zip(d[o].tolist(), cid[o].tolist()))
+        lists = [(x, np.array([-i for _, i in h], np.int64).tobytes(), np.array([-d for d, _ in h]).tobytes()) for x, h in heaps.items()]
+        columns = list(zip(*lists)) or [(), (), ()]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "ids": pa.array(columns[1], pa.binary()), "scores": pa.array(columns[2], pa.binary())})
+
+    lists = qb.groupBy(*cell).cogroup(cb.groupBy(*cell)).applyInArrow(met, "query_id long, ids binary, scores binary")
 
     def merge(batches):
-        heap, key = [], None
+        heap, key, done = [], None, []
 
         def out():
-            best = sorted((-d, -i) for d, i in heap)
-            return pd.DataFrame({"query_id": key, "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": [i for _, i in best], "score": [d for d, _ in best]})
+            rows = [(key, n, -i, -d) for n, (d, i) in enumerate(sorted(heap, reverse=True), 1)]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
 
-        done = []
         for batch in batches:
-            for qid, ids, scores in zip(batch["query_id"], batch["ids"], batch["scores"]):
+            for qid, ids, scores in zip(*(batch.column(n).to_pylist() for n in ("query_id", "ids", "scores"))):
                 if qid != key:
                     if heap:
                         done.append(out())
                     heap, key = [], qid
-                for i, d in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(scores, np.float64).tolist()):
-                    if len(heap) < k:
-                        heapq.heappush(heap, (-d, -i))
-                    elif (-d, -i) > heap[0]:
-                        heapq.heapreplace(heap, (-d, -i))
-            if done:
-                yield pd.concat(done)
-                done = []
+                push(heap, k, zip(np.frombuffer(scores, np.float64).tolist(), np.frombuffer(ids, np.int64).tolist()))
+            yield from done
+            done = []
         if heap:
             yield out()
 
-    # each tile sends at most k rows a query: a group of this step has k times the number of tiles that hold its vec_id, one for each
-    # candidate block where queries aren't repeated
-    return lists.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    # a query has a list of at most k for each column of the grid, and for each row that one of its rows is in
+    return lists.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -404,11 +404,12 @@ def test_nearest(spark):
     v = np.round(rng.normal(size=(700, 8)), 1).astype(np.float32)
     v[100:140] = v[0]  # ties
     rows = [(int(i), [float(y) for y in x]) for i, x in enumerate(v)]
-    rows += [(1000, None), (1100, [0.0] * 8), (1200, [float("nan")] + [1.0] * 7), (1300, [None] + [1.0] * 7), (1400, [1.0] * 3), (1500, [])]
+    rows += [(1401, [1.0, 2.0, 3.0]), (1402, [1.0] * 3), (None, [2.0] * 8), (1000, None), (1100, [0.0] * 8), (1200, [float("nan")] + [1.0] * 7), (1300, [None] + [1.0] * 7), (1400, [1.0] * 3), (1500, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     got = {}
-    for r in nearest.nearest(df.filter("vec_id % 100 = 0"), df, block=64, group_rows=150).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest(df.filter("vec_id % 100 = 0"), df, block=64, cell_bytes=4096).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got.pop(1400) == [(1402, 0.0), (1401, 5**0.5)]  # of another width
     assert set(got) == {0, 100, 200, 300, 400, 500, 600}
     for q, found in got.items():
         d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(1))
@@ -419,6 +420,31 @@ def test_nearest(spark):
     assert nearest.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [3, 1040, 2048])
+def test_tiles_are_exact(width):
+    """Wide vectors, doubles nearer to each other than single precision tells, and squares beyond doubles."""
+    rng = np.random.default_rng(width)
+    c = rng.choice([-1.0, 1.0], (90, width)) * (1 + 1e-10 * rng.integers(0, 9, (90, width)))
+    c[:20] = c[20]
+    c[:20, 0] += 1e-10 * np.arange(20)
+    c[85:] *= 1e200
+    q, ids = c[[20, 3, 60, 86]], np.arange(90)
+    d = np.sqrt(((q[:, None] - c[None]) ** 2).sum(2))
+    got: dict = {}
+    for i, j, x in zip(*nearest.tile(ids, c, np.array([20, 3, 60, 86]), q, 12)):
+        got.setdefault(int(i), []).append((int(j), float(x)))
+    for row, i in zip(d, (20, 3, 60, 86)):
+        want = [int(j) for j in np.lexsort((ids, row)) if j != i][:12]
+        assert [j for j, _ in got[i]] == want and np.array_equal([x for _, x in got[i]], row[want])
+    assert (nearest.products(np.full((1, width), 127, np.int8), np.full((1, width), -127, np.int8)) == -127 * 127 * width).all()
+
+
+def test_nearest_keeps_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0 + 2e-10, 0.0]), (2, [1.0 + 1e-10, 0.0]), *((3, [1.0 + 1e-10, 0.0]) for _ in range(15))]
+    found = nearest.nearest(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=17).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [2] + [3] * 15 + [1] and found[0]["score"] < found[-1]["score"] < 3e-10
+
+
 def test_nearest_repeated_rows(spark, tmp_path):
     import duckdb
 
@@ -434,8 +460,8 @@ def test_nearest_repeated_rows(spark, tmp_path):
     db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted(db.sql(nearest.SQL).fetchall())
     assert len(want) == 30
-    for block, group_rows in ((64, 100), (4096, 1 << 16)):
-        found = nearest.nearest(df.filter("vec_id % 100 = 0").repartition(3), df.repartition(5), block=block, group_rows=group_rows)
+    for block, cell_bytes in ((64, 2048), (4096, 1 << 24)):
+        found = nearest.nearest(df.filter("vec_id % 100 = 0").repartition(3), df.repartition(5), block=block, cell_bytes=cell_bytes)
         got = sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect())
         assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
 
