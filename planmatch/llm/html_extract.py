@@ -5,10 +5,12 @@ the content of the labelled pages. Elements that never hold content (scripts, st
 id says notice, advert, comments and the like) are left out before. One linear scan finds the run with the highest
 sum, and its text is put together block by block.
 
-Defined results: null or empty html, or html without words, gives an empty text; a tag that is never closed (``<nav>``
-without ``</nav>``) leaves out only the text up to the next tag; of runs with equal sums the first wins; of attributes only class,
+Markup is read in one pass: comments, declarations, tags with their attributes as HTML reads them (a value in quotes holds ``>``, one without
+doesn't), and elements whose content is no markup. Defined results: null or empty html, or html without words, gives an empty text; a tag, comment or
+declaration that the page ends inside is left out with all behind it; an element that is never closed (``<nav>`` without ``</nav>``) leaves out only the
+text up to the next tag; a quote that is never closed is part of a value without quotes; of runs with equal sums the first wins; of attributes only class,
 id, role, hidden and aria-hidden by their whole names leave an element out, never what other attributes' values say; repeated rows are
-extracted each by itself; an empty table gives an empty table.
+extracted each by itself; other columns are passed on, whatever their names, but for ``html`` and one named as the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planmatch.llm.names import unused
 from planmatch.llm.words import slices
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|['\"])*?)>", re.S)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
 #: Elements that hold no content, by name; fixed by the HTML vocabulary.
 OUTSIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "label", "fieldset", "canvas", "object", "audio", "video", *RAW}
@@ -37,8 +39,11 @@ FURNITURE = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar\w*|footer|header|masthead|notice\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|"
     r"comments?|commentlist|replies|disqus|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|search|login|signup|contentinfo|complementary|alert)(?:$|[\s_-])"
 )
-#: An attribute of a tag, one after the other from the start: a whole name, and a value that is consumed with its quotes.
-ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\S*))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What stands before an attribute's name, the name, and the sign before its value.
+ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(\s*=\s*)?")
+BARE = re.compile(r"[^\s>]*")
+NUMBERS = re.compile(r"&#(?:[0-9]{100,}|[xX][0-9a-fA-F]{100,});?")
 WHITE = re.compile(r"[ \t\n\r\f\v ]+")
 
 #: Labelled pages: what stands between the two marks is content.
@@ -51,37 +56,99 @@ LABELLED = (
 )
 
 
-def excluded(name: str, attributes: str) -> bool:
+def excluded(name: str, attributes: list[tuple[str, str]]) -> bool:
     if name in OUTSIDE:
         return True
     if not attributes or name in ("html", "body", "article", "main") or name in VOID:
         return False
-    for a in ATTRIBUTE.finditer(attributes):
-        kind, value = a[1].lower(), (a[2] or "").strip("\"'")
-        if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind in ("class", "id", "role") and FURNITURE.search(value):
-            return True
-    return False
+    return any(k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k in ("class", "id", "role") and FURNITURE.search(v) for k, v in attributes)
+
+
+class Scan:
+    """One pass over a page. Of each closing mark it is remembered that none is left, so that no search is made twice in vain."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, mark: str, at: int) -> int:
+        if mark in self.gone:
+            return -1
+        place = self.page.find(mark, at)
+        if place < 0:
+            self.gone.add(mark)
+        return place
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """Attributes of a tag from behind its name, and the place behind its end; -1 if the page ends first."""
+        page, out = self.page, []
+        while at < len(page):
+            m = ATTRIBUTE.match(page, at)
+            name, at = m[1].lower(), m.end()
+            if m[2] is None:
+                if name:
+                    out.append((name, ""))
+                if page[at : at + 1] == ">":
+                    return out, at + 1
+                continue
+            quote = page[at : at + 1]
+            end = self.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+            if end >= 0:
+                out.append((name, page[at + 1 : end]))
+                at = end + 1
+            else:
+                value = BARE.match(page, at)
+                out.append((name, value[0].strip("\"'")))
+                at = value.end()
+        return out, -1
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the closing tag of an element without markup inside begins; -1 if there is none."""
+        if f"</{name}" in self.gone:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at)
+        if not m:
+            self.gone.add(f"</{name}")
+        return m.start() if m else -1
+
+    def tags(self):
+        """(start, end, name with a slash before it where closing, attributes) of each piece of markup in order; comments and declarations have no name."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            closing = page.startswith("/", at + 1)
+            name = NAME.match(page, at + 1 + closing)
+            if name:
+                attributes, end = self.attributes(name.end())
+                yield at, end if end >= 0 else len(page), ("/" if closing else "") + name[0].lower() if end >= 0 else "", attributes
+            elif closing or page[at + 1 : at + 2] in ("!", "?"):
+                mark, back = ("-->", 2) if page.startswith("<!--", at) else ("]]>", 9) if page.startswith("<![CDATA[", at) and self.find("]]>", at + 9) >= 0 else (">", 2)
+                found = self.find(mark, at + back)
+                end = found + len(mark) if found >= 0 else -1
+                yield at, end if end >= 0 else len(page), "", []
+            else:
+                at += 1  # a sign in the text
+                continue
+            if end < 0:
+                return
+            at = end
+            if name and not closing and (low := name[0].lower()) in RAW and (stop := self.raw_end(low, at)) >= 0:
+                _, end = self.attributes(stop + 2 + len(low))
+                yield at, end if end >= 0 else len(page), f"/{low}", []
+                if end < 0:
+                    return
+                at = end
 
 
 def items(page: str) -> list[tuple[str, str]]:
     """(tag, '') and ('', text) in page order, without excluded elements. Closing tags begin with a slash."""
     found, at = [], 0
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            found.append(("", page[at : m.start()], ""))
-        at = m.end()
-        if m[2]:
-            name = m[2].lower()
-            found.append((m[1] + name, "", m[3] or ""))
-            if name in RAW and not m[1]:  # no markup inside
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if end:
-                    found.append((f"/{name}", "", ""))
-                    at = end.end()
+    for start, end, name, attributes in Scan(page).tags():
+        if start > at:
+            found.append(("", page[at:start], []))
+        if name:
+            found.append((name, "", attributes))
+        at = end
     if at < len(page):
-        found.append(("", re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]), ""))
+        found.append(("", page[at:], []))
     # the place of each tag's end: from the back, by name
     closes: dict[str, list[int]] = {}
     end = [-1] * len(found)
@@ -152,6 +219,11 @@ def score(key: str, text: str, weights: dict[str, float]) -> float:
     return weights.get(key, -0.02 if key[:3] == "in " else -1.0)
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; numbers far beyond Unicode, which int() refuses, as the standard's replacement."""
+    return entities.unescape(NUMBERS.sub(lambda m: "\ufffd" if m[0].strip("&#;xX").lstrip("0")[10:] else f"&#{m[0][2:].lstrip('0')}" if m[0][2] not in "xX" else f"&#x{m[0][3:].lstrip('0')}", text))
+
+
 def extract(page: str, weights: dict[str, float]) -> str:
     found = items(page)
     a, b = best_run([score(k, t, weights) for k, (_, t) in zip(keyed(found), found)])
@@ -165,7 +237,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
         elif name == "br":
             now.append(" ")
     blocks.append(now)
-    lines = (WHITE.sub(" ", entities.unescape("".join(x))).strip(" ") for x in blocks)
+    lines = (WHITE.sub(" ", decoded("".join(x))).strip(" ") for x in blocks)
     return "\n".join(x for x in lines if x)
 
 
@@ -173,15 +245,16 @@ def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
     """``pages`` with the column ``text`` added or replaced."""
     weights = item_weights()
     keep = [c for c in pages.columns if c.lower() != text.lower()]
-    pages = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").cast("string").alias("__html"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "__html")
+    (source,) = unused(keep, "html_source")
+    pages = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").cast("string").alias(source))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields[:-1]]
 
     def go(batches):
-        for batch in slices(batches, "__html", 4 << 20):
-            out = pa.array([extract(h or "", weights) for h in batch.column("__html").to_pylist()], pa.string())
+        for batch in slices(batches, source, 4 << 20):
+            out = pa.array([extract(h or "", weights) for h in batch.column(source).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], names=[*keep, text])
 
-    return pages.mapInArrow(go, f"{kinds}, `{text}` string" if kinds else f"`{text}` string")
+    return pages.mapInArrow(go, ", ".join([*kinds, f"`{text}` string"]))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import random
+import time
 import zlib
 from fractions import Fraction
 
@@ -353,6 +354,53 @@ def test_attributes(attributes, left_out):
     assert html_extract.extract(page, html_extract.item_weights()) == ("one two\nfive six" if left_out else "one two\nthree four\nfive six")
 
 
+def page_with_article(rng: random.Random) -> tuple[str, str]:
+    """A page of an article between furniture, and the article's text by the contract: blocks in order, white space as one blank."""
+    word = lambda: rng.choice(["Lorem", "ipsum", "dolor", "&amp;", "caf&eacute;", "a&lt;b", "x=&quot;1&quot;", "&#65;&#x42;", "it's", "fin."])
+    plain = {"&amp;": "&", "caf&eacute;": "café", "a&lt;b": "a<b", "x=&quot;1&quot;": 'x="1"', "&#65;&#x42;": "AB"}
+    some = lambda a, b: [word() for _ in range(rng.randint(a, b))]
+    blank = lambda: rng.choice([" ", "\n", "\t ", "  \n "])
+    junk = [
+        lambda: f"<nav class='top'><ul>{''.join(f'<li><a href=/{i}>{word()}</a></li>' for i in range(rng.randint(1, 9)))}</ul></nav>", lambda: "<script>if (a < b) { s = '</p>'; }</script>", lambda: "<style>p > a { color: red }</style>",
+        lambda: f'<div class="ad banner" title="a > b">{" ".join(some(3, 30))}</div>', lambda: f"<aside><p>{' '.join(some(5, 40))}</p></aside>", lambda: f"<form action=/x><label>{word()}</label><input name=q><button>Go</button></form>",
+        lambda: "<!-- <p>no</p> -->", lambda: f"<section id=comments><p>{' '.join(some(10, 60))}</p></section>",
+    ]
+    blocks, want = [], []
+    for _ in range(rng.randint(2, 8)):
+        words = some(3, 40)
+        marked = [rng.choice([w, w, w, f"<b>{w}</b>", f'<a href="/p?a=1&b=2" title=\'x "y" > z\'>{w}</a>', f"<em>{w}</em>"]) for w in words]
+        tag = rng.choice(["p", "p", "p", "h2", "blockquote", "li"])
+        inner = blank().join(marked)
+        blocks.append(f"<ul><li>{inner}</li></ul>" if tag == "li" else f"<{tag}>{blank()}{inner}{blank()}</{tag}>")
+        want.append(" ".join(plain.get(w, w) for w in words))
+        if rng.random() < 0.3:
+            blocks.append(rng.choice(junk)())
+    around = lambda: "\n".join(rng.choice(junk)() for _ in range(rng.randint(0, 4)))
+    page = f"<!DOCTYPE html><html><head><title>{word()}</title></head><body><header><h1>Site</h1></header>{around()}<article>{blank().join(blocks)}</article>{around()}<footer>&copy; {word()}</footer></body></html>"
+    return page, "\n".join(want)
+
+
+def test_html_of_known_articles():
+    rng, weights = random.Random(12), html_extract.item_weights()
+    for _ in range(300):
+        page, want = page_with_article(rng)
+        assert html_extract.extract(page, weights) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>ok</p><a " + " ".join(f'x{i}="v{i}"' for i in range(60)), "ok"), ("<p>ok</p>" + "<a" * 300_000, "ok"), ("<p>ok</p>" + "<a " * 300_000, "ok"), ("<p>ok</p>" + "<a b='" * 200_000, "ok"), ("<p>ok</p>" + '<a b="' * 150_001, "ok"),
+        ("<p>ok</p>" + "<script>" * 100_000, "ok"), ("<p>ok</p>" + "<!--" * 250_000, "ok"), ("<div>" * 200_000 + "ok", "ok"), ("<p>ok &#" + "9" * 900_000 + "; &#" + "0" * 5000 + "65;</p>", "ok \ufffd A"), ("<p>" + "ok " * 300_000, ("ok " * 300_000).strip()),
+    ],
+)
+def test_html_in_linear_time(page, want):
+    """About a megabyte each, which a pattern that backtracks would not end on."""
+    began = time.time()
+    assert html_extract.extract(page, html_extract.item_weights()) == want
+    assert time.time() - began < 10
+
+
 def test_html_table(spark, empty):
     df = spark.createDataFrame([(1, "<p>a</p>", "old"), (1, "<p>a</p>", "old"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html_extract.main_text(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
