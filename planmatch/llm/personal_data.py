@@ -2,19 +2,21 @@
 
 The field labels words from features of their shape and of their neighbours' shapes. It is trained here on a small labelled table made
 by seeded templates (forward-backward gradients in numpy), and decoded by Viterbi over many sequences at once. A sequence is a stretch of
-words in which no more than ``REACH`` words in a row lack a digit or an at sign: words farther from any such word are other text by
-definition, so that the field runs only near them. Spans that the field finds are added where they overlap no
+words in which no more than ``REACH`` words in a row lack a digit, an at sign or an equals sign: words farther from any such word are other text by
+definition, so that the field runs only near them. What is spelt without any of these (``name at host dot com``, a password without its name) stays outside. Spans that the field finds are added where they overlap no
 span of the patterns; those always stay.
 
+The patterns are searched in time that grows with the text alone: e-mail addresses from each at sign, numbers with dots by whole chains of them.
+
 Defined results: null text counts as empty and has no span; offsets are code points, ends exclusive; repeated rows are read each by
-itself; an empty table gives an empty table.
+itself; other columns are passed on, whatever their names, but for the text and those named as results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planmatch.llm.names import unused
 from planmatch.llm.words import raw, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS, "secret"]
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 REACH = 3
 
@@ -41,30 +43,63 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def holds(kind: str, found: str) -> bool:
-    if kind == "email":
-        return True
-    if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
-    digits = re.sub(r"[^0-9]", "", found)
-    return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """From each at sign: the run of local characters before it, as far back as the last match or at sign, and a domain behind it."""
+    last = before = 0
+    at = text.find("@")
+    while at >= 0:
+        run = text[max(last, before) : at]
+        start = at - (len(run) - len(run.rstrip(LOCAL)))
+        if start < at and (domain := DOMAIN.match(text, at + 1)):
+            yield start, domain.end()
+            last = domain.end()
+        before = at + 1
+        at = text.find("@", max(before, last))
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers each from the start of every chain of numbers with single dots between, those with a part above 255 dropped."""
+    for m in CHAIN.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            end = at + sum(map(len, parts[i : i + 4])) + 3
+            if all(len(p) <= 3 and int(p) <= 255 or len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts[i : i + 4]):
+                yield at, end
+            at = end + 1
+
+
+def numbers(pattern: re.Pattern, text: str, holds) -> Iterator[tuple[int, int]]:
+    for m in pattern.finditer(text):
+        if holds(m.group().translate(NOT_DIGITS)):
+            yield m.span()
+
+
+NOT_DIGITS = str.maketrans("", "", " -+().")
+#: What a text must hold for a kind to occur in it, and its spans.
+PATTERNS = {
+    "email": ("@", emails), "ip": (".", addresses), "card": ("", lambda t: numbers(CARD, t, lambda d: 16 <= len(d) <= 19 and luhn(d))), "phone": ("+", lambda t: numbers(PHONE, t, lambda d: 8 <= len(d) <= 15)),
+}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the patterns, by kind, then start."""
-    need = {"email": "@", "phone": "+"}
-    out = []
-    for kind in KINDS:
-        if kind not in need or need[kind] in text:
-            out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if holds(kind, m.group())]
-    return out
+    return [(kind, a, b) for kind, (sign, search) in PATTERNS.items() if sign in text for a, b in search(text)]
 
 
 # ---------------------------------------------------------------- features of a word's shape
 
 
 @functools.lru_cache(1 << 16)
+def short_shape(word: str) -> tuple[str, ...]:
+    return plain_shape(word)
+
+
 def shape(word: str) -> tuple[str, ...]:
+    """Features of a word; those of long words aren't kept."""
+    return short_shape(word) if len(word) <= 64 else plain_shape(word)
+
+
+def plain_shape(word: str) -> tuple[str, ...]:
     body = word.strip(".,;:!?\"'()[]{}<>")
     digits = sum(c.isdigit() for c in word)
     runs = re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"\d+", "9", body)))
@@ -118,12 +153,13 @@ def labelled(count: int = 700, seed: int = 5) -> list[tuple[list[str], list[str]
         "card": lambda: pick([str, lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4)), lambda c: "-".join(c[i : i + 4] for i in range(0, 16, 4))])(card()),
         "phone": phone,
         "secret": lambda: pick([lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "password=" + some("0123456789abcdef", 18), lambda: '"' + some("0123456789abcdef", 40) + '"',
-                                lambda: some("0123456789abcdef", 32), lambda: "api_key=" + some("abcdefghijkLMNOPQRS0123456789", 24)])(),
+                                lambda: some("0123456789abcdef", 32), lambda: "api_key=" + some("abcdefghijkLMNOPQRS0123456789", 24), lambda: pick(["password=", "passwd=", "secret="]) + name() + name()])(),
     }
     plain = [
         lambda: digits(1) + ".", lambda: "4.0.", lambda: digits(4), lambda: str(rng.integers(1, 100)), lambda: digits(2) + "%", lambda: f"{digits(1)}.{digits(2)}", lambda: digits(1) + "," + digits(3), lambda: "(" + digits(4) + ")",
         lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: "v" + digits(1) + "." + digits(1) + "." + digits(1), lambda: pick("ABC") + digits(2), lambda: "@" + name(), lambda: digits(6), lambda: f"${digits(3)}.{digits(2)}", lambda: digits(2) + "th",
         lambda: f"{digits(1)}-{digits(1)}", lambda: pick(["covid", "mp", "b"]) + "-" + digits(2),
+        lambda: name() + "=" + name(), lambda: pick("xyz") + "=" + digits(1), lambda: "=", lambda: name() + "=" + digits(2), lambda: "==",
     ]
     out = []
     for _ in range(count):
@@ -237,13 +273,13 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> np.nd
 
 
 def sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of words near a digit or an at sign, as spans."""
+    """Stretches of words near a digit, an at sign or an equals sign, as spans."""
     out: list[list[tuple[int, int]]] = []
     last = -(10**9)
     held: list[tuple[int, int]] = []
     for i, m in enumerate(WORD.finditer(text)):
         w = m.group()
-        if "@" in w or any(map(w.__contains__, "0123456789")):
+        if any(map(w.__contains__, "@=0123456789")):
             if i - last > 2 * REACH:
                 out.append(held[-REACH:])
             else:
@@ -324,11 +360,11 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def suspects(column: pa.Array) -> np.ndarray:
-    """Rows with a digit or an at sign."""
+    """Rows with a digit, an at sign or an equals sign."""
     body, at = raw(column)
     if not len(body):
         return np.zeros(0, np.int64)
-    hit = np.flatnonzero(((body >= 0x30) & (body <= 0x39)) | (body == 0x40))
+    hit = np.flatnonzero(((body >= 0x30) & (body <= 0x39)) | (body == 0x40) | (body == 0x3D))
     return np.unique(np.searchsorted(at, hit, side="right") - 1)
 
 
@@ -336,13 +372,14 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` and with n_email, n_ip, n_card, n_phone, base_spans, spans, redacted_text, added or replaced."""
     own = [*(f"n_{k}" for k in KINDS), "base_spans", "spans", "redacted_text"]
     keep = [c for c in docs.columns if c.lower() not in own and c != text]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    (source,) = unused([*keep, *own], "source_text")
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(source))
     model = trained()
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), *(f"n_{k} long" for k in KINDS), "base_spans string", "spans string", "redacted_text string"]
 
     def go(batches):
-        for batch in slices(batches, "__text"):
-            column = batch.column("__text")
+        for batch in slices(batches, source):
+            column = batch.column(source)
             rows = suspects(column).tolist()
             texts = [column[i].as_py() for i in rows]
             found = dict(zip(rows, all_spans(texts, model)))
@@ -367,9 +404,3 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
-
-
-def brute_force(text: str) -> tuple[list[int], str]:
-    """Base counts and digest by the patterns alone."""
-    spans = [(k, m.start(), m.end()) for k in KINDS for m in PATTERNS[k].finditer(text) if holds(k, m.group())]
-    return [sum(k == x[0] for x in spans) for k in KINDS], hashlib.sha256(joined(spans).encode()).hexdigest()
