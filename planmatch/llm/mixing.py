@@ -159,10 +159,12 @@ def mix_sources(
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")).cast("long")
     own = [F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source")]
-    found = docs.select(*own).groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n_rows"))
+    rows = docs.select(*own, *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
+    if not extra:  # three short columns, so that texts are split once
+        rows = cut(rows)
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n_rows"))
     listed = found.limit(max_sources + 1).collect()
     shards = lambda words, rows: F.greatest(F.lit(1), F.ceil(words / F.lit(shard_words)), F.ceil(rows / F.lit(shard_rows))).cast("long")
-    rows = docs.select(*own, *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
     if len(listed) > max_sources:
         found = cut(found)
         plan = planned_apart(found, weights, share, most, block).join(found.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -198,15 +200,15 @@ def mix_sources(
 
 
 def spread(sized: DataFrame, shard_rows: int) -> DataFrame:
-    """Rows of one id and size that are more than a shard holds are dealt over the source's shards by place in the input: there are as many
-    of these as its rows fill. Such ids are at most the rows over ``shard_rows``, and few where ids are ids."""
-    many = sized.groupBy("doc_id", "size").agg(F.count("*").alias("c")).filter(F.col("c") > shard_rows)
+    """Rows of an id that has more of them than a shard holds are dealt over the source's shards by place in the input, so that no shard
+    gets them all. There are at most the rows over ``shard_rows`` such ids, and few or none where ids are ids."""
+    many = sized.groupBy("doc_id").agg(F.count("*").alias("c")).filter(F.col("c") > shard_rows)
     if not many.limit(1).count():
         return sized
-    many = many.select(F.col("doc_id").alias("many_id"), F.col("size").alias("many_size"), "c")
-    joined = sized.join(many, F.col("doc_id").eqNullSafe(F.col("many_id")) & (F.col("size") == F.col("many_size")), "left")
+    many = many.select(F.col("doc_id").alias("many_id"), "c")
+    joined = sized.join(many, F.col("doc_id").eqNullSafe(F.col("many_id")), "left")
     over = F.pmod(F.col("salt") + F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("c") / shard_rows)), F.col("n_shards"))
-    return cut(joined.withColumn("shard", F.when(F.col("c").isNull(), F.col("shard")).otherwise(over)).drop("many_id", "many_size", "c"))
+    return cut(joined.withColumn("shard", F.when(F.col("c").isNull(), F.col("shard")).otherwise(over)).drop("many_id", "c"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
