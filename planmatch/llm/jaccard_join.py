@@ -5,17 +5,20 @@
    sets that link share a shingle among the first |x| - ceil(t |x|) + 1 of each. Those go to index lists, packed by hash range.
 3. A list is sorted by set size and cut into blocks, each ending where sets grow too large to link with its first. The pivot of a block is the set
    in which the shingle stands earliest: it has the fewest rare shingles of its own. Every set is compared with its blocks' pivots only, unless size or
-   position in the order already rule the pair out.
+   position in the order already rule the pair out. A list that the sketch says is long is split over tasks by set; each part has its own pivots, and these
+   make a list in turn.
 4. Links join sets to components. Then only pairs across components are left: lists within one component are skipped
    whole, and of the other pairs those are skipped whose overlap with a common pivot, known by now, decides them either way:
    |x & p| + |y & p| - |p| <= |x & y| <= min(|x & p|, |y & p|) + min(|x| - |x & p|, |y| - |y & p|). The rest is compared: a few pairs of any
-   two components first, then all that these haven't joined.
+   two components first, then all that these haven't joined. Long lists are compared in pairs of parts, a task each.
 
 Every pair of different sets that links is compared, decided by a bound, or inside a component already: the classes and components are
-exact, but for 64-bit hashes, which stand for shingles and sets.
+exact, but for 64-bit hashes, which stand for shingles and sets. What a task gets is bounded by ``bucket_entries`` and ``list_part``, not by how often
+a shingle, set or component occurs.
 
 Defined results: null text counts as empty; a text without words has an empty set and links with nothing; rows are told apart by their texts, so
-that equal rows, or texts with equal sets, are one class; a null doc_id takes part and is the largest; an empty table gives an empty table.
+that equal rows, or texts with equal sets, are one class; a null doc_id takes part and is the largest; ``similar`` reads no columns but the two named, and
+``one_of_each`` passes all on, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planmatch.llm.components import connected
+from planmatch.llm.names import unused
+from planmatch.llm.skew import spread_join
 from planmatch.llm.storage import cut
 from planmatch.llm.substring_dedup import NO_ID, ids
 from planmatch.llm.words import mix, ordered, runs, slices, windows, word_hashes
@@ -73,24 +79,36 @@ def prefix(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-SCAN = "cells int, data binary, docs binary, keys binary, sizes binary, nodes binary"
+SCAN = "cells int, salt int, data binary, docs binary, keys binary, sizes binary, nodes binary"
 ENTRY = "token long, node long, size int, pos int"
+#: Tasks' tables are added up in so many parts first.
+ADDERS = 64
+
+
+def added(parts: DataFrame, add) -> list:
+    """cells, data of each part of a table of bounded size, added up over all tasks in two steps."""
+    once = lambda rows, *keys: rows.groupBy(*keys).applyInArrow(lambda t: pa.table({"cells": t.column("cells").slice(0, 1), "data": pa.array([zlib.compress(add(t.column("data")), 1)], pa.binary())}), "cells int, data binary")
+    return once(once(parts, "cells", "salt"), "cells").collect()
+
+
+def adder() -> int:
+    return TaskContext.get().partitionId() % ADDERS
 
 
 def scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """Of each task: ids, set sizes and digests of its documents in parts, and how often each cell of hashes occurs."""
-    schema = pa.schema([("cells", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary())])
+    schema = pa.schema([("cells", pa.int32()), ("salt", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary())])
 
     def go(batches):
-        cells = np.zeros(1 << bits, np.uint32)
+        cells = np.zeros(1 << bits, np.uint64)
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), size)
-            cells += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids(batch.column("doc_id")), batch.column("key").to_numpy(), np.diff(at).astype(np.int64), digests(h, at)))], schema=schema)
+            cells += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int32()), pa.array([None], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids(batch.column("doc_id")), batch.column("key").to_numpy(), np.diff(at).astype(np.int64), digests(h, at)))], schema=schema)
         parts = np.split(cells, max(1, 1 << (bits - 16)))
         for k, part in enumerate(parts):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([adder()], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], schema=schema)
 
     return docs.mapInArrow(go, SCAN)
 
@@ -98,14 +116,13 @@ def scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
 def sketch(scanned: DataFrame, bits: int) -> np.ndarray:
     """A byte for each cell: about four times the logarithm of how often it occurs. 2**bits bytes, whatever the data."""
 
-    def add(part: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in part.column("data").to_pylist()), np.uint64(0))
-        return pa.table({"cells": part.column("cells").slice(0, 1), "data": pa.array([np.minimum(4 * np.log2(total + 1.0), 255).astype(np.uint8).tobytes()], pa.binary())})
+    def add(parts: pa.ChunkedArray) -> bytes:
+        return sum((np.frombuffer(zlib.decompress(x), np.uint64) for x in parts.to_pylist()), np.uint64(0)).tobytes()
 
-    found = scanned.filter("cells is not null").select("cells", "data").groupBy("cells").applyInArrow(add, "cells int, data binary").collect()
+    found = added(scanned.filter("cells is not null").select("cells", "salt", "data"), add)
     out = np.zeros((max(1, 1 << (bits - 16)), min(1 << bits, 1 << 16)), np.uint8)
     for r in found:
-        out[r["cells"]] = np.frombuffer(r["data"], np.uint8)
+        out[r["cells"]] = np.minimum(4 * np.log2(np.frombuffer(zlib.decompress(r["data"]), np.uint64) + 1.0), 255).astype(np.uint8)
     return out.reshape(-1)
 
 
@@ -122,9 +139,10 @@ def unpacked(scanned: DataFrame) -> DataFrame:
     return scanned.filter("cells is null").select("docs", "keys", "sizes", "nodes").mapInArrow(go, "doc_id long, key long, n_shingles long, node long")
 
 
-def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, bucket_bits: int) -> DataFrame:
-    """(bucket, tokens, nodes, sizes, places): the prefix entries of each set, once a task."""
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "places"))])
+def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, bucket_bits: int, bucket_entries: int) -> DataFrame:
+    """(bucket, part, tokens, nodes, sizes, places): the prefix entries of each set, once a task. ``part`` is -1 but in cells of the sketch that hold
+    more than ``bucket_entries``: their sets are dealt over as many parts as they fill."""
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "places"))])
 
     def go(batches):
         seen: set[int] = set()
@@ -133,11 +151,13 @@ def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, buc
         def out():
             token, node, n, pos = (np.concatenate(x) for x in zip(*held))
             bucket = (token >> np.uint64(64 - bucket_bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at = runs(bucket[order])
+            parts = np.ceil(2 ** (levels.value[(token >> np.uint64(64 - bits)).astype(np.int64)] / 4) / bucket_entries).astype(np.int64)
+            own = np.where(parts > 1, (mix(node.view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), -1)
+            order = np.lexsort((own, bucket))
+            at = runs((bucket[order] << 32) + own[order])
             for i, j in zip(at[:-1], at[1:]):
                 o = order[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[o[0]]], pa.int32()), *(pa.array([x[o].tobytes()], pa.binary()) for x in (token, node, n, pos))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[o[0]]], pa.int32()), pa.array([own[o[0]]], pa.int32()), *(pa.array([x[o].tobytes()], pa.binary()) for x in (token, node, n, pos))], schema=schema)
 
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), size)
@@ -161,7 +181,7 @@ def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, buc
         if held:
             yield from out()
 
-    return docs.mapInArrow(go, "bucket int, tokens binary, nodes binary, sizes binary, places binary")
+    return docs.mapInArrow(go, "bucket int, part int, tokens binary, nodes binary, sizes binary, places binary")
 
 
 def possible(n, i, m, j, percent: int):
@@ -169,57 +189,80 @@ def possible(n, i, m, j, percent: int):
     return (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & (1 + np.minimum(n - i - 1, m - j - 1) >= needed(n, m, percent))
 
 
+def pivoted(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, split: bool) -> pa.Table:
+    """The entries of lists that more than one set is in, each with its block's pivot, null where the pair is ruled out or the entry is the pivot.
+    Of parts of lists, entries that are alone are kept, as their list has others."""
+    order = np.lexsort((node, n, token))
+    token, node, n, pos = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node, n, pos = token[new], node[new], n[new], pos[new]
+    at = runs(token)
+    many = np.repeat(np.diff(at) > 1, np.diff(at)) | split
+    token, node, n, pos = token[many], node[many], n[many], pos[many]
+    at = runs(token)
+    first = np.repeat(at[:-1], np.diff(at))
+    pivot = first.copy()
+    while len(over := np.flatnonzero(n * percent > 100 * n[pivot])):
+        # the first entry of each list that its block can't hold begins the next block
+        begin = np.full(len(token), len(token))
+        np.minimum.at(begin, pivot[over], over)
+        pivot[over] = begin[pivot[over]]
+    # any two of a block may link; the one with the fewest rarer shingles of its own is the likeliest centre of the others
+    block = pivot
+    best = np.lexsort((node, n, pos, block))
+    pivot = best[np.searchsorted(block[best], block)]
+    ok = possible(n, pos, n[pivot], pos[pivot], percent) & (pivot != np.arange(len(n)))
+    return pa.table(
+        {
+            "token": pa.array(token.view(np.int64)), "node": pa.array(node), "size": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)),
+            "pivot": pa.array(node[pivot], mask=~ok), "pivot_size": pa.array(n[pivot].astype(np.int32)), "leads": pa.array((pivot == np.arange(len(n))) & split),
+        }
+    )
+
+
+PIVOTED = ENTRY + ", pivot long, pivot_size int, leads boolean"
+
+
 def live(lists: DataFrame, percent: int) -> DataFrame:
-    """Entries of lists that more than one set is in, each with its block's pivot, null where the pair is ruled out."""
+    """Entries with their pivots; ``leads`` marks the pivots of parts of lists."""
 
-    def go(part: pa.Table) -> pa.Table:
+    def go(key: tuple, part: pa.Table) -> pa.Table:
         token, node, n, pos = (np.concatenate([np.frombuffer(x, t) for x in part.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.int32)))
-        rank = np.argsort(token, kind="stable")
-        t = token[rank]
-        several = np.zeros(len(t), bool)
-        several[1:] = t[1:] == t[:-1]
-        several[:-1] |= several[1:]
-        rank = rank[several]
-        token, node, n, pos = token[rank], node[rank], n[rank].astype(np.int64), pos[rank].astype(np.int64)
-        order = np.lexsort((node, n, token))
-        token, node, n, pos = token[order], node[order], n[order], pos[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n, pos = token[new], node[new], n[new], pos[new]
-        at = runs(token)
-        many = np.repeat(np.diff(at) > 1, np.diff(at))
-        token, node, n, pos = token[many], node[many], n[many], pos[many]
-        at = runs(token)
-        first = np.repeat(at[:-1], np.diff(at))
-        pivot = first.copy()
-        while len(over := np.flatnonzero(n * percent > 100 * n[pivot])):
-            # the first entry of each list that its block can't hold begins the next block
-            begin = np.full(len(token), len(token))
-            np.minimum.at(begin, pivot[over], over)
-            pivot[over] = begin[pivot[over]]
-        # any two of a block may link; the one with the fewest rarer shingles of its own is the likeliest centre of the others
-        block = pivot
-        best = np.lexsort((node, n, pos, block))
-        pivot = best[np.searchsorted(block[best], block)]
-        ok = possible(n, pos, n[pivot], pos[pivot], percent) & (pivot != np.arange(len(n)))
-        return pa.table(
-            {
-                "token": pa.array(token.view(np.int64)), "node": pa.array(node), "size": pa.array(n.astype(np.int32)), "pos": pa.array(pos.astype(np.int32)),
-                "pivot": pa.array(node[pivot], mask=~ok), "pivot_size": pa.array(n[pivot].astype(np.int32)),
-            }
-        )
-
-    return lists.groupBy("bucket").applyInArrow(go, ENTRY + ", pivot long, pivot_size int")
-
-
-def across(entries: DataFrame, percent: int) -> DataFrame:
-    """a, a_size, b, b_size: pairs of sets of different components in a list that are not ruled out. ``entries`` have group and root."""
+        split = key[1].as_py() >= 0
+        if not split:  # nearly all shingles have one set: leave these out before the long sort
+            rank = np.argsort(token, kind="stable")
+            t = token[rank]
+            several = np.zeros(len(t), bool)
+            several[1:] = t[1:] == t[:-1]
+            several[:-1] |= several[1:]
+            rank = rank[several]
+            token, node, n, pos = token[rank], node[rank], n[rank], pos[rank]
+        return pivoted(token, node, n, pos, percent, split)
+
+    return lists.groupBy("bucket", "part").applyInArrow(go, PIVOTED)
+
+
+def among_pivots(entries: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """The pivots of parts of lists as lists of their own, with pivots in turn."""
 
     def go(part: pa.Table) -> pa.Table:
-        token, node, n, pos, root = (part.column(c).to_numpy().astype(np.int64) for c in ("token", "node", "size", "pos", "root"))
+        return pivoted(part.column("token").to_numpy().view(np.uint64), *(part.column(c).to_numpy() for c in ("node", "size", "pos")), percent, False)
+
+    group = F.pmod(F.xxhash64("token"), F.lit(tasks)).alias("group")
+    return entries.filter("leads").select("token", "node", "size", "pos", group).groupBy("group").applyInArrow(go, PIVOTED)
+
+
+def across(entries: DataFrame, percent: int, tasks: int, list_part: int) -> DataFrame:
+    """a, a_size, b, b_size: pairs of sets of different components in a list that are not ruled out. ``entries`` have root, and count, the length of their
+    list. Lists longer than ``list_part`` are cut into parts by set; each pair of parts is a group of its own."""
+
+    def go(key: tuple, part: pa.Table) -> pa.Table:
+        token, node, n, pos, root, own = (part.column(c).to_numpy().astype(np.int64) for c in ("token", "node", "size", "pos", "root", "own"))
         order = np.lexsort((node, n, token))
-        token, node, n, pos, root = token[order], node[order], n[order], pos[order], root[order]
+        token, node, n, pos, root, own = token[order], node[order], n[order], pos[order], root[order], own[order]
         found = [np.zeros((0, 4), np.int64)]
+        apart = key[1].as_py() != key[2].as_py()
         i, k, held = np.arange(len(token)), 1, 0
         while len(i):
             i = i[i + k < len(token)]
@@ -227,6 +270,8 @@ def across(entries: DataFrame, percent: int) -> DataFrame:
             on = (token[i] == token[j]) & (n[i] * 100 >= percent * n[j])
             i, j = i[on], j[on]  # sizes only grow: an entry that is out stays out
             hit = (root[i] != root[j]) & possible(n[i], pos[i], n[j], pos[j], percent)
+            if apart:
+                hit &= own[i] != own[j]
             a, b = i[hit], j[hit]
             swap = node[a] > node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -239,31 +284,48 @@ def across(entries: DataFrame, percent: int) -> DataFrame:
         rows = np.unique(np.concatenate(found), axis=0)
         return pa.table({c: pa.array(rows[:, x]) for x, c in enumerate(("a", "a_size", "b", "b_size"))})
 
-    return entries.groupBy("group").applyInArrow(go, "a long, a_size long, b long, b_size long").distinct()
+    parts = F.ceil(F.col("count") / list_part).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    # a list of one part shares its group with others; a pair of parts of a long one has a group to itself
+    group = F.when(F.col("count") > list_part, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(tasks)))
+    dealt = entries.select("token", "node", "size", "pos", "root", group.alias("group"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    cells = dealt.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return cells.groupBy("group", "low", "high").applyInArrow(go, "a long, a_size long, b long, b_size long").distinct()
+
+
+def cell_of(nodes: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(nodes.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def bloom(nodes: DataFrame, bits: int) -> np.ndarray:
-    """Which cells of 2**bits the nodes fall in: 2**bits / 8 bytes, whatever the data."""
+    """Which cells of 2**bits the nodes fall in, a bit each."""
+    part = min(1 << (bits - 3), 1 << 16)
 
     def go(batches):
-        cells = np.zeros(1 << bits, bool)
+        cells = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            cells[(mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([zlib.compress(np.packbits(cells).tobytes(), 1)], pa.binary())], names=["k", "data"])
+            at = cell_of(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k, own in enumerate(cells.reshape(-1, part)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([adder()], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["cells", "salt", "data"])
+
+    def join(parts: pa.ChunkedArray) -> bytes:
+        return np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in parts.to_pylist()]).tobytes()
+
+    out = np.zeros((1 << (bits - 3)) // part * part, np.uint8).reshape(-1, part)
+    for r in added(nodes.mapInArrow(go, "cells int, salt int, data binary"), join):
+        out[r["cells"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+    return out.reshape(-1)
 
-    def join(part: pa.Table) -> pa.Table:
-        total = np.zeros(max(1, (1 << bits) // 8), np.uint8)
-        for x in part.column("data").to_pylist():
-            total |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pa.table({"data": pa.array([total.tobytes()], pa.binary())})
 
-    found = nodes.mapInArrow(go, "k long, data binary").groupBy("k").applyInArrow(join, "data binary").collect()
-    return np.unpackbits(np.frombuffer(found[0]["data"], np.uint8)).astype(bool) if found else np.zeros(1 << bits, bool)
+#: A filter has at most 2**29 cells, 64 MB, and about 16 for each node up to there; beyond, it lets more sets through, and none less.
+FILTER_BITS = 29
 
 
-def sets_of(docs: DataFrame, size: int, nodes: DataFrame, bits: int) -> DataFrame:
-    """node, set of each of ``nodes``; a filter of bounded size keeps nearly all other texts' sets from being sent."""
+def sets_of(docs: DataFrame, size: int, nodes: DataFrame, count: int) -> DataFrame:
+    """node, set of each of ``nodes``, of which there are ``count`` at most; a filter of bounded size keeps nearly all other texts' sets from being sent."""
+    bits = min(FILTER_BITS, max(16, (16 * count).bit_length()))
     cells = docs.sparkSession.sparkContext.broadcast(bloom(nodes, bits))
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
@@ -272,7 +334,8 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, bits: int) -> DataFram
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), size)
             node = digests(h, at)
-            hit = np.flatnonzero(cells.value[(mix(node.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] & (node != 0))
+            at_cell = cell_of(node, bits)
+            hit = np.flatnonzero((cells.value[at_cell >> 3] >> (at_cell & 7).astype(np.uint8) & 1).astype(bool) & (node != 0))
             rows = []
             for i in hit.tolist():
                 if (x := int(node[i])) not in seen:
@@ -284,9 +347,11 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, bits: int) -> DataFram
     return docs.mapInArrow(go, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, a_size, b, b_size) with the size of their sets' intersection."""
-    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
+def overlaps(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (a, a_size, b, b_size), ``rows`` of them, with the size of their sets' intersection."""
+    with_sets = pairs
+    for end in "ab":
+        with_sets = spread_join(with_sets, sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end, rows=rows)
     names = ["a", "a_size", "b", "b_size"]
 
     def go(batches):
@@ -297,11 +362,11 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets.select(*names, "a_set", "b_set").mapInArrow(go, "a long, a_size long, b long, b_size long, overlap long")
 
 
-def undecided(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def undecided(pairs: DataFrame, known: DataFrame, percent: int, rows: int) -> DataFrame:
     """``pairs`` without those that a common pivot rules out; ``sure`` marks those it links. Of its pivots a set takes the one it shares most with."""
     both = known.select("a", "b", "overlap", F.col("b_size").alias("p_size")).unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("a_size").alias("p_size")))
     own = both.groupBy("a").agg(F.max_by(F.struct("b", "overlap", "p_size"), F.struct("overlap", "b")).alias("p")).select("a", F.col("p.b").alias("pivot"), F.col("p.overlap").alias("ap"), F.col("p.p_size").alias("p_size"))
-    bounded = pairs.join(own, "a", "left").join(both.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.col("overlap").alias("bp")), ["b", "pivot"], "left")
+    bounded = spread_join(pairs, own, "a", "left", rows).join(both.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.col("overlap").alias("bp")), ["b", "pivot"], "left")
     need = F.ceil(percent * (F.col("a_size") + F.col("b_size")) / (100 + percent))
     most = F.least("ap", "bp") + F.least(F.col("a_size") - F.col("ap"), F.col("b_size") - F.col("bp"))
     known_all = F.col("ap").isNotNull() & F.col("bp").isNotNull()
@@ -309,14 +374,15 @@ def undecided(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return bounded.select("a", "a_size", "b", "b_size", F.coalesce(F.col("ap") + F.col("bp") - F.col("p_size") >= need, F.lit(False)).alias("sure"))
 
 
-def separate(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def separate(pairs: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """``pairs`` whose ends are in different components so far, with these as ra < rb."""
-    found = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    found = spread_join(pairs, roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left", rows)
+    found = spread_join(found, roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left", rows)
     found = found.withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b")).filter("x <> y")
     return found.select(*pairs.columns, F.least("x", "y").alias("ra"), F.greatest("x", "y").alias("rb"))
 
 
-def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_bits: int = 24, bucket_entries: int = 1 << 19, tries: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_bits: int = 24, bucket_entries: int = 1 << 19, list_part: int = 1 << 14, tries: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key, n_shingles, class_id (smallest doc_id with an equal set), component_id, first of every row.
 
     ``key`` tells rows of one doc_id apart by their text; ``first`` marks the smallest (doc_id, key) of each component.
@@ -331,35 +397,41 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
     rows = unpacked(scanned)
     levels = spark.sparkContext.broadcast(sketch(scanned, bits))
     buckets = max(1, (shingles // 4 // bucket_entries)).bit_length()
-    entries = cut(live(index_lists(docs, size, percent, levels, bits, buckets), percent))
-
-    first = entries.filter("pivot is not null").select(F.least("node", "pivot").alias("a"), F.when(F.col("node") < F.col("pivot"), F.col("size")).otherwise(F.col("pivot_size")).cast("long").alias("a_size"),
-        F.greatest("node", "pivot").alias("b"), F.when(F.col("node") < F.col("pivot"), F.col("pivot_size")).otherwise(F.col("size")).cast("long").alias("b_size")).distinct()
+    tasks = 1 << buckets
+    entries = cut(live(index_lists(docs, size, percent, levels, bits, buckets, bucket_entries), percent))
+
+    pivots = entries.unionByName(among_pivots(entries, percent, tasks)).filter("pivot is not null")
+    swap = F.col("node") < F.col("pivot")
+    ordered_pair = [F.least("node", "pivot").alias("a"), F.when(swap, F.col("size")).otherwise(F.col("pivot_size")).cast("long").alias("a_size"), F.greatest("node", "pivot").alias("b"), F.when(swap, F.col("pivot_size")).otherwise(F.col("size")).cast("long").alias("b_size")]
+    first = cut(pivots.select(*ordered_pair).distinct())
+    n_first = first.count()
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    known = cut(overlaps(first, sets_of(docs, size, ends(first), bits)))
+    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first), n_first))
     links = F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
     roots = connected(known.filter(links).select("a", "b"))
 
-    marked = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = marked.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    left = across(marked.join(mixed, "token", "left_semi").select("token", "node", "size", "pos", "root", F.pmod(F.xxhash64("token"), F.lit(1 << buckets)).alias("group")), percent)
-    left = cut(undecided(left.join(known.select("a", "b"), ["a", "b"], "left_anti"), known, percent))
-    if left.limit(1).count():
-        sets = cut(sets_of(docs, size, ends(left.filter("not sure")), bits))
+    marked = cut(entries.select("token", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = marked.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count")).filter("x <> y").select("token", "count")
+    left = cut(across(spread_join(marked, mixed, "token"), percent, tasks, list_part).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    left = cut(undecided(left, known, percent, left.count()))
+    n_left = left.count()
+    if n_left:
+        sets = cut(sets_of(docs, size, ends(left.filter("not sure")), 2 * n_left))
         # first, of any two components, the pairs of the most equal sizes; what these join needs no further comparison
-        apart = separate(left, roots)
+        apart = separate(left, roots, n_left)
         order = Window.partitionBy("ra", "rb").orderBy(F.desc("sure"), F.abs(F.col("a_size") - F.col("b_size")), "a", "b")
         tried = cut(apart.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= tries).select("a", "a_size", "b", "b_size", "sure"))
         for pairs in (tried, left.join(tried.select("a", "b"), ["a", "b"], "left_anti")):
-            pairs = separate(pairs, roots)
-            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
+            pairs = cut(separate(pairs, roots, n_left))
+            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets, n_left).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
             roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rank = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("key"))
     classes = rows.filter("node is not null").groupBy("node").agg(F.min(rank).alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = cut(classes)
     top = classes.groupBy("root").agg(F.min("least").alias("top"))
-    classes = classes.join(top, "root").select("node", F.col("least.doc_id").alias("class_id"), "top")
-    out = rows.join(classes, "node", "left")
+    classes = spread_join(classes, top, "root").select("node", F.col("least.doc_id").alias("class_id"), "top")
+    out = spread_join(rows, classes, "node", "left")
     back = lambda c, own: F.when(F.col("top").isNull(), F.col(own)).otherwise(F.nullif(c, F.lit(int(NO_ID))))
     return out.select(
         "doc_id", "key", "n_shingles", back(F.col("class_id"), "doc_id").alias("class_id"), back(F.col("top.doc_id"), "doc_id").alias("component_id"), F.coalesce(F.col("top") == rank, F.lit(True)).alias("first")
@@ -369,10 +441,12 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that come first in their component, once each."""
     names = docs.columns
-    first = similar(docs, doc_id=doc_id, text=text, **options).filter("first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{text}`").cast("string"))).withColumn("__doc", F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(int(NO_ID))))
-    first = first.select(F.coalesce("__id", F.lit(int(NO_ID))).alias("__doc"), F.col("__k").alias("__key"))
-    return keyed.join(first, ["__doc", "__key"], "left_semi").dropDuplicates(["__doc", "__key"]).select(*[F.col(f"`{c}`") for c in names])
+    own_id, own_key, first_id, first_key = unused(names, "own_id", "own_key", "first_id", "first_key")
+    rank = lambda c: F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(int(NO_ID)))
+    first = similar(docs, doc_id=doc_id, text=text, **options).filter("first").select(rank("doc_id").alias(first_id), F.col("key").alias(first_key)).distinct()
+    keyed = docs.withColumns({own_key: F.xxhash64(F.col(f"`{text}`").cast("string")), own_id: rank(doc_id)})
+    kept = keyed.join(first, (F.col(own_id) == F.col(first_id)) & (F.col(own_key) == F.col(first_key)), "left_semi")
+    return kept.dropDuplicates([own_id, own_key]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

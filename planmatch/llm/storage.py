@@ -1,8 +1,9 @@
-"""Where lineage is cut: the checkpoint folder that the cluster shares."""
+"""Where lineage is cut: tables in the checkpoint folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, computed once, written as a table in the shared folder and read again: unlike a checkpoint's, its true size is known to later plans."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

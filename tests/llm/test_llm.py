@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from planmatch.llm import components, html_extract, jaccard_join, language_model, mixing, nearest, packing, personal_data, quality_model, quality_rules, substring_dedup
+from planmatch.llm import components, html_extract, jaccard_join, language_model, mixing, nearest, packing, personal_data, quality_model, quality_rules, skew, substring_dedup
 from planmatch.llm.words import prime, route, route_np, word_hashes
 
 
@@ -95,8 +95,30 @@ def test_large_family(spark):
         for _ in range(rng.randint(0, 7)):
             own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
         rows.append((d, " ".join(own)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), tries=1).collect()}
-    assert got == jaccard_join.brute_force(rows)
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), jaccard_join.brute_force(rows)
+    for options in ({"tries": 1}, {"bucket_entries": 40, "list_part": 16, "tries": 1}):  # the second with lists split over tasks
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(df, **options).collect()} == want
+
+
+def test_split_lists(spark, docs):
+    want = jaccard_join.brute_force([tuple(r[:2]) for r in corpus()])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(docs, bucket_entries=2, list_part=2).collect()} == want
+
+
+def test_spread_join(spark):
+    """Keys with many rows, with one, with none, and without a key."""
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), F.col("id").alias("key_salt"))
+    small = spark.createDataFrame([(7, "a"), (4, "b"), (5000, "c")], "k long, x string")
+    want = {"left": big.join(small, "k", "left"), "inner": big.join(small, "k")}
+    for how, rows in want.items():
+        for least in (1, 100, 10_000):
+            assert sorted(map(tuple, skew.spread_join(big, small, "k", how, least=least).select("k", "key_salt", "x").collect()), key=repr) == sorted(map(tuple, rows.select("k", "key_salt", "x").collect()), key=repr)
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 1500)] + [(i, 5000 + i) for i in range(300)]
+    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 1800 and set(got.values()) == {0}
 
 
 def test_components(spark):
