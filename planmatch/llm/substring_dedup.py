@@ -2,18 +2,22 @@
 
 Map side: each chunk of documents sorts its windows' hashes; where several of its documents have a window, all but the
 smallest are decided there and then, so that a window in every document is sent once a chunk, not once a document.
-What is sent goes by hash range to buckets of bounded size, as packed arrays. A bucket finds the smallest document of each
+What is sent goes by hash range to buckets, as packed arrays: documents by their distances, so that ids near to each other take little however few windows
+a document has in a bucket. There are at most ``MOST_BUCKETS``, so that records don't become many and small as the input grows; a bucket with more than
+``HELD`` windows is split by hash on the task's own disk. A bucket finds the smallest document of each
 hash and tells every larger document that has it. The last step brings those hashes to the documents, merges
 the repeated windows of each text into maximal intervals and removes the words inside.
 
 Defined results: null text counts as empty; texts of fewer than 13 words lose nothing; rows with the same doc_id are one document for
 "smaller", each judged on its own text; a null doc_id counts as larger than all others; an empty table gives an empty table.
-Windows are compared by 64-bit hashes: among n windows about n * n / 2**65 pairs are taken as equal that are not.
+No columns but the two named are read. Windows are compared by 64-bit hashes: among n windows about n * n / 2**65 pairs are taken as equal that are not.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,10 @@ NO_ID = np.iinfo(np.int64).max
 WINDOW = 13
 #: Windows sorted at once by a task.
 CHUNK = 1 << 21
+#: Buckets at most: a chunk sends 64 windows to each.
+MOST_BUCKETS = 1 << 15
+#: Windows of a bucket that a task judges at once, and the parts that a larger one is split into.
+HELD, SPLIT = 1 << 22, 64
 
 
 def window_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,15 +48,17 @@ def window_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def packed(bucket: int, docs: np.ndarray, hashes: np.ndarray) -> tuple:
-    """Hashes in order of document, and how many each document has."""
+    """Hashes in order of document, and the documents and how many each has: distances and counts, compressed."""
     order = np.argsort(docs, kind="stable")
     docs = docs[order]
     at = runs(docs)
-    return bucket, blob(docs[at[:-1]]), blob(np.diff(at).astype(np.uint32)), blob(hashes[order])
+    own = docs[at[:-1]]
+    return bucket, zlib.compress(blob(np.diff(own, prepend=np.int64(0))), 1), zlib.compress(blob(np.diff(at).astype(np.uint32)), 1), blob(hashes[order])
 
 
 def unpacked(docs: bytes, counts: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32)), np.frombuffer(hashes, np.uint64)
+    own = np.cumsum(np.frombuffer(zlib.decompress(docs), np.int64))
+    return np.repeat(own, np.frombuffer(zlib.decompress(counts), np.uint32)), np.frombuffer(hashes, np.uint64)
 
 
 def cropped(row: tuple) -> tuple:
@@ -64,6 +74,45 @@ def restored(bucket: int, hashes: bytes, bits: int) -> bytes:
     return out.tobytes()
 
 
+class Bucket:
+    """The (document, hash) pairs of a bucket: in memory, or split by hash into files of this task where they are more than ``held``."""
+
+    def __init__(self, bits: int, held: int):
+        self.shift, self.most, self.parts, self.count, self.files = np.uint64(64 - bits), held, [], 0, []
+
+    def add(self, docs: np.ndarray, hashes: np.ndarray) -> None:
+        self.parts.append((docs, hashes))
+        self.count += len(docs)
+        if self.count > self.most:
+            self.spill()
+
+    def spill(self) -> None:
+        self.files = self.files or [tempfile.TemporaryFile() for _ in range(SPLIT)]
+        d, h = (np.concatenate(x) for x in zip(*self.parts))
+        # bits behind the bucket's own
+        part = ((h << (np.uint64(64) - self.shift)) >> np.uint64(64 - SPLIT.bit_length() + 1)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        at = np.searchsorted(part[order], np.arange(SPLIT + 1))
+        for k, file in enumerate(self.files):
+            own = order[at[k] : at[k + 1]]
+            file.write(np.stack([d[own].view(np.uint64), h[own]], 1).tobytes())
+        self.parts, self.count = [], 0
+
+    def __iter__(self):
+        if not self.files:
+            if self.parts:
+                yield tuple(np.concatenate(x) for x in zip(*self.parts))
+            return
+        if self.parts:
+            self.spill()
+        for file in self.files:
+            file.seek(0)
+            pairs = np.frombuffer(file.read(), np.uint64).reshape(-1, 2)
+            file.close()
+            if len(pairs):
+                yield np.ascontiguousarray(pairs[:, 0]).view(np.int64), np.ascontiguousarray(pairs[:, 1])
+
+
 SENT = "bucket int, docs binary, counts binary, hashes binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
@@ -92,7 +141,7 @@ def repeated(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, d > least, again
 
 
-def removals(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFrame:
+def removals(docs: DataFrame, window: int, buckets: int, groups: int, held: int = HELD) -> DataFrame:
     """Rows (g, docs, counts, hashes): the windows of each document that a smaller document has too, by the documents' group."""
     bits = buckets.bit_length() - 1
     shift = np.uint64(64 - bits)
@@ -105,7 +154,7 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFra
         return [packed(int(g[order[i]]) if kind else -1 - int(g[order[i]]), d[order[i:j]], h[order[i:j]]) for i, j in zip(at[:-1], at[1:])]
 
     def send(batches):
-        hs, ds, held = [], [], 0
+        hs, ds, count = [], [], 0
 
         def chunk():
             h, d = np.concatenate(hs), np.concatenate(ds)
@@ -123,21 +172,21 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFra
             h, row, _ = window_hashes(batch.column("text"), window)
             hs.append(h)
             ds.append(ids(batch.column("doc_id"))[row])
-            held += len(h)
-            if held >= CHUNK:
+            count += len(h)
+            if count >= CHUNK:
                 yield from flush(chunk(), _SENT)
-                hs, ds, held = [], [], 0
-        if held:
+                hs, ds, count = [], [], 0
+        if count:
             yield from flush(chunk(), _SENT)
 
     def judge(batches):
-        key, parts = None, []
+        key, own = None, Bucket(bits, held)
 
         def end():
-            d, h = (np.concatenate(x) for x in zip(*parts))
-            order, later, again = repeated(h, d)
-            keep = order[later & ~again]
-            return told(d[keep], h[keep], 1)
+            for d, h in own:
+                order, later, again = repeated(h, d)
+                keep = order[later & ~again]
+                yield from flush(told(d[keep], h[keep], 1), _SENT)
 
         for batch in batches:
             for bucket, d, c, h in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -145,12 +194,10 @@ def removals(docs: DataFrame, window: int, buckets: int, groups: int) -> DataFra
                     yield table([(-1 - bucket, d, c, h)], _SENT)
                     continue
                 if bucket != key:
-                    if parts:
-                        yield from flush(end(), _SENT)
-                    key, parts = bucket, []
-                parts.append(unpacked(d, c, restored(bucket, h, bits)))
-        if parts:
-            yield from flush(end(), _SENT)
+                    yield from end()
+                    key, own = bucket, Bucket(bits, held)
+                own.add(*unpacked(d, c, restored(bucket, h, bits)))
+        yield from end()
 
     sent = docs.mapInArrow(send, SENT)
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, SENT)
@@ -168,13 +215,13 @@ def kept_words(body: np.ndarray, starts: np.ndarray, at: np.ndarray, keep: np.nd
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int = 1 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int = 1 << 20, held: int = HELD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = 1 << max(8, int(size / 6 / bucket_windows).bit_length())
+    buckets = min(MOST_BUCKETS, 1 << max(8, int(size / 6 / bucket_windows).bit_length()))
     groups = prime(max(1, int(size / (4 << 20))))
-    gone = removals(docs, window, buckets, groups)
+    gone = removals(docs, window, buckets, groups, held)
     none = F.lit(None).cast("binary")
     both = docs.select(
         route(F.coalesce("doc_id", F.lit(int(NO_ID))), groups).alias("g"), F.lit(1).alias("kind"), "doc_id", "text", none.alias("docs"), none.alias("counts"), none.alias("hashes")

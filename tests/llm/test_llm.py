@@ -380,8 +380,9 @@ def test_viterbi_is_best():
 
 def test_substring_dedup(spark, docs, empty):
     want = {d: x for d, *x in substring_dedup.brute_force([tuple(r[:2]) for r in corpus()])}
-    got = {r["doc_id"]: [r["n_words"], r["n_removed"], r["s"]] for r in substring_dedup.remove_repeats(docs, bucket_windows=500).withColumn("s", F.sha2("kept_text", 256)).collect()}
-    assert got == want and sum(x[1] for x in want.values()) > 0
+    for options in ({"bucket_windows": 500}, {"held": 10}):  # the second with buckets split on disk
+        got = {r["doc_id"]: [r["n_words"], r["n_removed"], r["s"]] for r in substring_dedup.remove_repeats(docs, **options).withColumn("s", F.sha2("kept_text", 256)).collect()}
+        assert got == want and sum(x[1] for x in want.values()) > 0
     assert substring_dedup.remove_repeats(empty).count() == 0
     rows = sorted((r["doc_id"] is None, r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(odd(spark)).collect())
     assert rows == [(False, 4, 0), (False, 4, 0), (False, 5, 0), (True, None, 15)]
