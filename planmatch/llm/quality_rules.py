@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planmatch.llm.names import unused
+
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Phrases of page furniture; a line of at most 25 words that holds one fails.
@@ -113,9 +115,10 @@ def clean_lines(
     lost = lambda x: x["n_lost_words"] > x["n_words"] * max_lost
     if only_kept:
         whole = F.explode(let(whole, lambda x: F.filter(F.array(x), lambda y: ~failed(y) & ~lost(y))))
-    out = docs.select(*[F.col(f"`{c}`") for c in rest], whole.alias("__s"))
-    s = F.col("__s")
-    return out.select(*[F.col(f"`{c}`") for c in rest], "__s.*", failed(s).alias("base_failed"), (~failed(s) & ~lost(s)).alias("kept"))
+    (found,) = unused([*rest, *own], "found")
+    out = docs.select(*[F.col(f"`{c}`") for c in rest], whole.alias(found))
+    s = F.col(found)
+    return out.select(*[F.col(f"`{c}`") for c in rest], f"{found}.*", failed(s).alias("base_failed"), (~failed(s) & ~lost(s)).alias("kept"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

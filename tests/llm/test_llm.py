@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from fractions import Fraction
@@ -143,6 +144,41 @@ def test_quality_model(spark, empty):
     assert all(0 <= r["score"] <= 1 for r in found) and len(found) == len(rows)
     assert quality_model.score_quality(empty, df).count() == 0
     assert {r["score"] for r in quality_model.score_quality(odd(spark), df.limit(0)).collect()} == {0.3}
+    # copies of a labelled document change nothing that is learnt
+    more = quality_model.score_quality(df.unionByName(df).select("doc_id", "text"), df.filter("doc_id < 900"), quality_model.fold(F.col("doc_id")) != 0, sample=150).collect()
+    once = quality_model.score_quality(df.select("doc_id", "text"), df.filter("doc_id < 900"), quality_model.fold(F.col("doc_id")) != 0, sample=150).collect()
+    assert {(r["doc_id"], r["score"]) for r in more} == {(r["doc_id"], r["score"]) for r in once} and len(more) == 2 * len(once)
+
+
+def test_statistics_by_plain_python(spark):
+    """The statistics by the words and lines of each text, and the fit by plain gradient steps."""
+    import math
+
+    texts = ["", "One two, two three. #\nFOUR | five!! 66\n\nOne two, two three. #", "é Éa\tb\x0bc", "x" * 50 + " y", "a a a a\na a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", quality_model.statistics(F.col("t")).alias("s")).select("i", "s.*").collect()
+    for r in rows:
+        t = texts[r["i"]]
+        lines = [[w for w in re.split(r"[\x20\x09-\x0D]+", line) if w] for line in t.split("\n")]
+        w = [x for line in lines for x in line]
+        lines, n = [x for x in lines if x], max(1, len(w))
+        chars = max(1, sum(map(len, w)))
+        count = lambda chosen: sum(c in chosen for c in t)
+        want = [
+            math.log1p(len(w)), chars / n, sum(c.isupper() for c in t) / chars, count("!?") / n, count("|") / n, count("#*$%&<>") / n, count("0123456789") / chars, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n,
+            (len(lines) - len({tuple(x) for x in lines})) / max(1, len(lines)), sum(x[-1] in ".,;:" for x in w) / n, math.log1p(len(w) / max(1, len(lines))),
+        ]
+        assert np.allclose([r[k] for k in quality_model.FEATURES], want), t
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    good = x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=200) > 0
+    weights, threshold = quality_model.fit(x, good, 3000, 1e-3, 11)
+    middle, spread = x.mean(0), x.std(0) + 1e-9
+    again = np.random.default_rng(11)
+    d = ((x - middle) / spread)[again.choice(np.flatnonzero(good), 3000)] - ((x - middle) / spread)[again.choice(np.flatnonzero(~good), 3000)]
+    w = np.zeros(4)
+    for _ in range(4000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / 3000 - 1e-3 * w)
+    assert np.allclose(weights, w / spread, atol=1e-4) and abs(threshold - np.quantile(x @ weights, (~good).mean())) < 1e-9
 
 
 # ---------------------------------------------------------------- 3
@@ -576,6 +612,30 @@ def test_nearest_repeated_rows(spark, tmp_path):
         assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
 
 
+# ---------------------------------------------------------------- clashing names
+
+
+CLASHES = ["__s", "__html", "__text", "__key", "__doc", "__row", "found", "html_source", "source_text", "own_id", "own_key", "first_id", "key_salt", "words_left", "key", "node", "salt", "shard", "k", "n_chars", "x0"]
+
+
+@pytest.mark.parametrize(
+    "operator, results",
+    [
+        (lambda d: html_extract.main_text(d, html="text", text="main"), {"main"}), (quality_rules.clean_lines, {"kept", "clean_text", "n_words"}), (personal_data.find_personal_data, {"spans", "redacted_text"}),
+        (jaccard_join.one_of_each, set()), (lambda d: mixing.mixed_documents(d, block=1), {"n_chars"}), (lambda d: quality_model.score_quality(d, d.sparkSession.createDataFrame([(1, 1)], "doc_id long, quality int")), {"score"}),
+    ],
+)
+def test_columns_of_any_name(spark, operator, results):
+    """Values of other columns come through untouched, whatever their names; results replace columns of the same name."""
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").withColumns({c: F.lit(f"own {c}") for c in [*CLASHES, "kept", "spans", "score", "main"]})
+    rows = operator(docs).collect()
+    assert rows and results <= set(rows[0].asDict())
+    for row in rows:
+        assert all(row[c] == f"own {c}" for c in docs.columns[3:] if c in row.asDict() and c not in results)
+        assert set(CLASHES) <= set(row.asDict())
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
