@@ -347,11 +347,9 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, count: int) -> DataFra
     return docs.mapInArrow(go, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
-    """``pairs`` (a, a_size, b, b_size), ``rows`` of them, with the size of their sets' intersection."""
-    with_sets = pairs
-    for end in "ab":
-        with_sets = spread_join(with_sets, sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end, rows=rows)
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, a_size, b, b_size) with the size of their sets' intersection."""
+    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
     names = ["a", "a_size", "b", "b_size"]
 
     def go(batches):
@@ -362,11 +360,11 @@ def overlaps(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     return with_sets.select(*names, "a_set", "b_set").mapInArrow(go, "a long, a_size long, b long, b_size long, overlap long")
 
 
-def undecided(pairs: DataFrame, known: DataFrame, percent: int, rows: int) -> DataFrame:
+def undecided(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """``pairs`` without those that a common pivot rules out; ``sure`` marks those it links. Of its pivots a set takes the one it shares most with."""
     both = known.select("a", "b", "overlap", F.col("b_size").alias("p_size")).unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("a_size").alias("p_size")))
     own = both.groupBy("a").agg(F.max_by(F.struct("b", "overlap", "p_size"), F.struct("overlap", "b")).alias("p")).select("a", F.col("p.b").alias("pivot"), F.col("p.overlap").alias("ap"), F.col("p.p_size").alias("p_size"))
-    bounded = spread_join(pairs, own, "a", "left", rows).join(both.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.col("overlap").alias("bp")), ["b", "pivot"], "left")
+    bounded = pairs.join(own, "a", "left").join(both.select(F.col("a").alias("b"), F.col("b").alias("pivot"), F.col("overlap").alias("bp")), ["b", "pivot"], "left")
     need = F.ceil(percent * (F.col("a_size") + F.col("b_size")) / (100 + percent))
     most = F.least("ap", "bp") + F.least(F.col("a_size") - F.col("ap"), F.col("b_size") - F.col("bp"))
     known_all = F.col("ap").isNotNull() & F.col("bp").isNotNull()
@@ -374,10 +372,9 @@ def undecided(pairs: DataFrame, known: DataFrame, percent: int, rows: int) -> Da
     return bounded.select("a", "a_size", "b", "b_size", F.coalesce(F.col("ap") + F.col("bp") - F.col("p_size") >= need, F.lit(False)).alias("sure"))
 
 
-def separate(pairs: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
+def separate(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` whose ends are in different components so far, with these as ra < rb."""
-    found = spread_join(pairs, roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left", rows)
-    found = spread_join(found, roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left", rows)
+    found = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
     found = found.withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b")).filter("x <> y")
     return found.select(*pairs.columns, F.least("x", "y").alias("ra"), F.greatest("x", "y").alias("rb"))
 
@@ -406,24 +403,28 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
     first = cut(pivots.select(*ordered_pair).distinct())
     n_first = first.count()
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first), n_first))
+    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first)))
     links = F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
     roots = connected(known.filter(links).select("a", "b"))
 
-    marked = cut(entries.select("token", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = marked.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count")).filter("x <> y").select("token", "count")
-    left = cut(across(spread_join(marked, mixed, "token"), percent, tasks, list_part).join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    left = cut(undecided(left, known, percent, left.count()))
+    marked = entries.select("token", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = cut(marked.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count")).filter("x <> y").select("token", "count"))
+    if mixed.filter(F.col("count") > list_part).limit(1).count():
+        listed = spread_join(marked, mixed, "token")
+    else:
+        listed = marked.join(mixed, "token", "left_semi").withColumn("count", F.lit(1))
+    left = across(listed, percent, tasks, list_part).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    left = cut(undecided(left, known, percent))
     n_left = left.count()
     if n_left:
         sets = cut(sets_of(docs, size, ends(left.filter("not sure")), 2 * n_left))
         # first, of any two components, the pairs of the most equal sizes; what these join needs no further comparison
-        apart = separate(left, roots, n_left)
+        apart = separate(left, roots)
         order = Window.partitionBy("ra", "rb").orderBy(F.desc("sure"), F.abs(F.col("a_size") - F.col("b_size")), "a", "b")
         tried = cut(apart.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= tries).select("a", "a_size", "b", "b_size", "sure"))
         for pairs in (tried, left.join(tried.select("a", "b"), ["a", "b"], "left_anti")):
-            pairs = cut(separate(pairs, roots, n_left))
-            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets, n_left).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
+            pairs = separate(pairs, roots)
+            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
             roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rank = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("key"))
@@ -431,7 +432,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
     classes = cut(classes)
     top = classes.groupBy("root").agg(F.min("least").alias("top"))
     classes = spread_join(classes, top, "root").select("node", F.col("least.doc_id").alias("class_id"), "top")
-    out = spread_join(rows, classes, "node", "left")
+    out = rows.join(classes, "node", "left")
     back = lambda c, own: F.when(F.col("top").isNull(), F.col(own)).otherwise(F.nullif(c, F.lit(int(NO_ID))))
     return out.select(
         "doc_id", "key", "n_shingles", back(F.col("class_id"), "doc_id").alias("class_id"), back(F.col("top.doc_id"), "doc_id").alias("component_id"), F.coalesce(F.col("top") == rank, F.lit(True)).alias("first")
