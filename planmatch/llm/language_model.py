@@ -1,17 +1,22 @@
-"""N-gram language-model scores from Elias-Fano tries.
+"""N-gram language-model scores from an Elias-Fano trie in shards.
 
-Documents are dealt to chunks by doc_id. Each chunk sends its distinct words and word pairs, as sorted 64-bit hashes with their
-counts in its training documents, to buckets by hash range; a bucket adds up the counts of all chunks and answers every
-chunk with the totals, in the order it was asked. With them a chunk builds the part of the model that its texts reach: a trie
-of two levels whose pointers and successors are monotone sequences in Elias-Fano code and whose smoothed probabilities are
-quantised to 16 bits, laid out in one memory-mapped file. Texts are scored by successor search within the range of the context.
+Words are numbered first: buckets by hash add up the counts that chunks of documents send, and number their words by count, so that frequent words have small
+numbers everywhere. Then, for each order above one, chunks send their distinct n-grams, as word numbers with their counts in training documents,
+to shards by context. A shard adds them up and builds its part of the trie in one memory-mapped file: contexts as a monotone sequence, a monotone pointer
+for each to where its successors begin, the successors of all contexts as one monotone sequence relative to their context, and smoothed probabilities quantised
+to 16 bits. The n-grams of all chunks, those of held-out documents among them, are answered from it, each distinct one once: the context is
+searched, its two pointers are read, and the word is searched between them alone.
 
-The model is p(w|u) = (c(u w) + strength * p(w)) / (c(u) + strength) with p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)): it sums to one
-over the training words and one unseen word. Counts cover every training document; nothing is pruned. What chunks send grows with the
-input; no table of all words or pairs is ever in one place.
+The model interpolates orders: p(w | context) = (c(context w) + s * p(w | shorter context)) / (c(context) + s), down to p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). It
+sums to one over the training words and one unseen word. A shard holds c(context w) / (c(context) + s) for each successor and s / (c(context) + s) for each context, which
+depend on nothing outside it; a chunk puts the orders together. Counts cover every training document; nothing is pruned.
 
-Defined results: null text counts as empty and has one token, the end; a null doc_id is learnt from and not held out; repeated rows each count; with no
-training documents p(w) is 1 for every token; an empty table gives an empty table.
+What is sent grows with the input, and no table of all words or n-grams is in one place. A context too frequent for one shard is dealt over several by successor; its count is then
+sent to each. Chunks and shards get larger as the input does, so that records don't shrink with its square: they hold hundreds of n-grams up to about a terabyte.
+Documents are dealt to chunks by id, text and how often the task has seen both, so that no repeated row or id fills a chunk.
+
+Defined results: null text counts as empty and has one token, the end; a null doc_id is learnt from and not held out; repeated rows each count; no columns but
+doc_id and text are read; with no training documents p(w) is 1 for every token; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planmatch.llm.storage import cut
-from planmatch.llm.words import END, START, mix, prime, raw, route_np, runs, slices, word_hashes
+from planmatch.llm.words import END, mix, prime, raw, route_np, runs, slices, word_hashes
 
 STEP = 1 / 2048  # of quantised log10 probabilities: 16 bits reach down to -32
+NONE = 65535
 
 
 def fold(doc_id: Column) -> Column:
@@ -41,19 +46,20 @@ def fold(doc_id: Column) -> Column:
 
 
 class EliasFano:
-    """A sorted array of distinct numbers: low bits packed, high bits in unary, with counts of zeros before each word for select."""
+    """A sorted array of numbers: low bits packed, high bits in unary, with counts of zeros before each word for select."""
 
     def __init__(self, values: np.ndarray, universe: int, keep=lambda x: x):
         n = len(values)
         self.n, self.low_bits = n, max(0, int(universe // max(1, n)).bit_length() - 1)
         low, high = values & np.uint64((1 << self.low_bits) - 1), (values >> np.uint64(self.low_bits)).astype(np.int64)
         self.tops = (int(universe) >> self.low_bits) + 1
-        ones = np.zeros(-(-(n + self.tops + 1) // 64) * 8, np.uint8)
+        unary = np.zeros(-(-(n + self.tops + 1) // 64) * 8, np.uint8)
         at = high + np.arange(n)
-        np.bitwise_or.at(ones, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        words = ones.view(np.uint64)
+        np.bitwise_or.at(unary, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = unary.view(np.uint64)
         self.high = keep(words)
-        self.zeros = keep(np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))]).astype(np.int64))
+        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))]).astype(np.int64)
+        self.zeros, self.ones = keep(zeros), keep(64 * np.arange(len(zeros)) - zeros)
         packed = np.zeros((n * self.low_bits >> 6) + 2, np.uint64)
         if self.low_bits:
             bit = np.arange(n, dtype=np.int64) * self.low_bits
@@ -71,10 +77,11 @@ class EliasFano:
         second = np.where(shift > 0, self.low[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return ((self.low[word] >> shift) | second) & np.uint64((1 << self.low_bits) - 1)
 
-    def _select0(self, k: np.ndarray) -> np.ndarray:
-        """Place of zero number k of the unary part."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        bits, rest, place = ~self.high[word], k - self.zeros[word], word * 64
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Place of bit number k of its kind in the unary part."""
+        before = self.ones if one else self.zeros
+        word = np.searchsorted(before, k, side="right") - 1
+        bits, rest, place = self.high[word] if one else ~self.high[word], k - before[word], word * 64
         for width in (32, 16, 8, 4, 2, 1):
             under = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
             skip = rest >= under
@@ -83,39 +90,48 @@ class EliasFano:
             place = place + np.where(skip, width, 0)
         return place
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each number, or -1: successor search among those with its high bits."""
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at places i."""
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of each number among those from ``first`` to before ``end``, or -1: successor search among those with its high bits."""
         if not self.n:
             return np.full(len(x), -1, np.int64)
         high, want = (x >> np.uint64(self.low_bits)).astype(np.int64), x & np.uint64((1 << self.low_bits) - 1)
-        a = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - high + 1, 0)
-        b = end = self._select0(high) - high
+        a = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
+        b = self._select(high, False) - high
+        if first is not None:
+            a, b = np.maximum(a, first), np.minimum(b, end)
+        stop = b
         while (open_ := a < b).any():
             m = (a + b) >> 1
             less = open_ & (self._low(np.minimum(m, self.n - 1)) < want)
             a, b = np.where(less, m + 1, a), np.where(open_ & ~less, m, b)
-        hit = (a < end) & (self._low(np.minimum(a, self.n - 1)) == want)
+        hit = (a < stop) & (self._low(np.minimum(a, self.n - 1)) == want)
         return np.where(hit, a, -1)
 
 
-def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(p) / STEP), 0, NONE - 1).astype(np.uint16)
+
+
+def probability(code: np.ndarray) -> np.ndarray:
+    return np.where(code == NONE, 0.0, 10.0 ** (-STEP * code.astype(float)))
 
 
 class Trie:
-    """Words by number, pairs by successor search; all arrays in one memory-mapped file."""
-
-    def __init__(self, words: int, c1: np.ndarray, ctx: np.ndarray, pairs: np.ndarray, c2: np.ndarray, total: float, types: float, strength: float):
-        """c1: counts by word; ctx: counts of each context (words, then the start); pairs: context * words + word, sorted, those with c2 > 0."""
-        self._file, self._parts, self._size = tempfile.TemporaryFile(), [], 0
-        p1 = (c1 + 0.5) / (total + 0.5 * (types + 1))
-        self.words = words
-        self.p1 = self._keep(quantised(np.log10(p1)))
-        self.back = self._keep(quantised(np.log10(strength / (ctx + strength))))
-        context, word = pairs // np.uint64(words), (pairs % np.uint64(words)).astype(np.int64)
-        self.p2 = self._keep(quantised(np.log10((c2 + strength * p1[word]) / (ctx[context.astype(np.int64)] + strength))))
-        self.next = EliasFano(pairs, words * (len(ctx) + 1), self._keep)
-        self._file.flush()
+    """One level of a shard: contexts, pointers, successors and quantised probabilities, all in one memory-mapped file."""
+
+    def __init__(self, contexts: np.ndarray, total: np.ndarray, owner: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, strength: float):
+        """contexts: sorted hashes with the counts ``total``; owner, word, count: successors by number of context and word, in order; words: above all word numbers."""
+        self._file, self._size, self.words = tempfile.TemporaryFile(), 0, words
+        n = len(contexts)
+        self.contexts = EliasFano(contexts, 1 << 64, self._keep)
+        self.pointers = EliasFano(np.searchsorted(owner, np.arange(n + 1)).astype(np.uint64), len(owner) + 1, self._keep)
+        self.successors = EliasFano(owner.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), max(1, n * words), self._keep)
+        self.back = self._keep(quantised(strength / (total + strength)))
+        self.p = self._keep(quantised(count / (total[owner] + strength)))
 
     def _keep(self, array: np.ndarray) -> np.ndarray:
         at = self._size
@@ -128,73 +144,62 @@ class Trie:
     def close(self) -> None:
         self._file.close()
 
-    def scores(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after its context."""
-        at = self.next.find(context.astype(np.uint64) * np.uint64(self.words) + word.astype(np.uint64))
-        plain = -STEP * (self.back[context].astype(float) + self.p1[word])
-        return np.where(at >= 0, -STEP * self.p2[np.maximum(at, 0)].astype(float), plain) if len(self.p2) else plain
-
-
-# ---------------------------------------------------------------- chunks
-
-
-def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, an end after each text; the first of each text; and the token before each, or START."""
-    words, first = word_hashes(texts, lower=True)
-    n = len(first) - 1
-    at = first + np.arange(n + 1)
-    out = np.full(len(words) + n, END, np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[at[1:] - 1] = False
-    out[inner] = words
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[at[:-1]] = START
-    return out, at, before
-
-
-def pair_hashes(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + now)
-
-
-def levels(texts, train: np.ndarray):
-    """Of words and of pairs: the sorted distinct hashes, which of them each token is, and their counts in training texts."""
-    now, at, before = tokens(texts)
-    weight = np.repeat(train.astype(np.int64), np.diff(at))
+    def look_up(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the share of each word in its context, NONE where it has none, and of what the shorter context gets."""
+        share, back = np.full(len(word), NONE, np.uint16), np.zeros(len(word), np.uint16)
+        c = self.contexts.find(context)
+        known = np.flatnonzero(c >= 0)
+        if len(known):
+            c, w = c[known], word[known]
+            back[known] = self.back[c]
+            first, end = (self.pointers.get(i).astype(np.int64) for i in (c, c + 1))
+            at = self.successors.find(c.astype(np.uint64) * np.uint64(self.words) + w.astype(np.uint64), first, end)
+            if len(self.p):
+                share[known] = np.where(at >= 0, self.p[np.maximum(at, 0)], NONE)
+        return share, back
+
+
+# ---------------------------------------------------------------- what chunks and shards send
+
+
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length; the first one, where sorted, by its differences. Bytes of one weight lie side by side."""
+    parts, head = [], [len(columns)]
+    for i, c in enumerate(columns):
+        c = c.astype(np.uint64)
+        if rising := not i and bool((c[1:] >= c[:-1]).all()):
+            c = np.diff(c, prepend=np.uint64(0))
+        width = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
+        head.append(width | rising << 7)
+        parts.append(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.compress(bytes(head) + b"".join(parts), 1)
+
+
+def grown(data: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
+    head, at = data[1 : 1 + data[0]], 1 + data[0]
+    n = (len(data) - at) // max(1, sum(x & 127 for x in head))
     out = []
-    for h in (now, pair_hashes(before, now)):
-        own, which = np.unique(h, return_inverse=True)
-        out.append((own, which, np.bincount(which, weight, len(own)).astype(np.uint32)))
-    return out, at
-
-
-def shrunk(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
-
-
-def grown(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32)
-
-
-def short(hashes: np.ndarray, bits: int) -> bytes:
-    """Sorted hashes of one bucket as 48 bits after the bucket's: counts by the first 8, then 5 bytes each. Two hashes of a bucket of n
-    become one by odds of n * n / 2**49."""
-    h = (hashes << np.uint64(bits)) >> np.uint64(16)
-    top = np.bincount((h >> np.uint64(40)).astype(np.int64), minlength=256).astype("<u4")
-    return top.tobytes() + h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def long(data: bytes) -> np.ndarray:
-    top = np.repeat(np.arange(256, dtype=np.uint64), np.frombuffer(data, "<u4", 256))
-    low = np.zeros((len(top), 8), np.uint8)
-    low[:, :5] = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, 5)
-    return (top << np.uint64(40)) | low.view("<u8").reshape(-1)
+    for x in head:
+        width = x & 127
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        c = full.view(np.uint64).reshape(-1)
+        out.append(np.cumsum(c, dtype=np.uint64) if x >> 7 else c)
+        at += n * width
+    return out
 
 
 DEALT = "g int, docs binary, train binary, lengths binary, texts binary"
-ASKED = "key int, g int, hashes binary, counts binary"
-TOLD = "g int, key int, counts binary, n long, v long"
+ASKED = "key int, g int, items binary, totals binary"
+TOLD = "g int, key int, first binary, second binary, n long, v long"
 NO_ID = np.iinfo(np.int64).min
+_ASKED = pa.schema([("key", pa.int32()), ("g", pa.int32()), ("items", pa.binary()), ("totals", pa.binary())])
+_TOLD = pa.schema([("g", pa.int32()), ("key", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+
+
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
 def deal(docs: DataFrame, chunks: int, held: int = 16 << 20) -> DataFrame:
@@ -203,11 +208,18 @@ def deal(docs: DataFrame, chunks: int, held: int = 16 << 20) -> DataFrame:
 
     def go(batches):
         parts: list[pa.RecordBatch] = []
+        seen: dict[tuple[int, int], int] = {}
 
         def out():
             for batch in pa.Table.from_batches(parts).combine_chunks().to_batches():
                 doc = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy()
-                g = route_np(doc, chunks)
+                body, off = raw(batch.column("text"))
+                data, key = body.tobytes(), np.zeros(len(doc), np.uint64)
+                for i, d in enumerate(doc.tolist()):
+                    own = d, zlib.crc32(data[off[i] : off[i + 1]])
+                    again = seen[own] = seen.get(own, -1) + 1
+                    key[i] = (own[1] << 20) ^ again
+                g = route_np(mix(key + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), chunks)
                 order = np.argsort(g, kind="stable")
                 at = runs(g[order])
                 for i, j in zip(at[:-1], at[1:]):
@@ -229,82 +241,216 @@ def deal(docs: DataFrame, chunks: int, held: int = 16 << 20) -> DataFrame:
     return docs.mapInArrow(go, DEALT)
 
 
-def undealt(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """doc_id, train and text of a chunk's rows; what is made of them is by row, so the order of parts doesn't matter."""
-    cols = {c: part.column(c).to_pylist() for c in ("docs", "train", "lengths", "texts")}
-    doc, train, lengths = (np.concatenate([np.frombuffer(x, t) for x in cols[c]]) for c, t in (("docs", np.int64), ("train", bool), ("lengths", np.int64)))
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(b"".join(map(zstandard.decompress, cols["texts"])))])
-    return doc, train, text
-
-
-def score_texts(docs: DataFrame, train: Column, strength: float = 200.0, chunk_bytes: int = 4 << 20, bucket_items: int = 1 << 20) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
+class Chunk:
+    """The rows of a chunk in a fixed order, whatever the order of its parts, and their tokens."""
+
+    def __init__(self, part: pa.Table):
+        cols = {c: part.column(c).to_pylist() for c in ("docs", "train", "lengths", "texts")}
+        order = sorted(range(part.num_rows), key=lambda i: (cols["docs"][i], cols["texts"][i], cols["train"][i], cols["lengths"][i]))
+        self.doc, self.train, lengths = (np.concatenate([np.frombuffer(cols[c][i], t) for i in order]) for c, t in (("docs", np.int64), ("train", bool), ("lengths", np.int64)))
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        body = b"".join(zstandard.decompress(cols["texts"][i]) for i in order)
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(body)])
+        words, first = word_hashes(text, lower=True)
+        n = len(first) - 1
+        self.at = first + np.arange(n + 1)
+        tokens = np.full(len(words) + n, END, np.uint64)
+        inner = np.ones(len(tokens), bool)
+        inner[self.at[1:] - 1] = False
+        tokens[inner] = words
+        self.own, self.which = np.unique(tokens, return_inverse=True)
+        self.weight = np.repeat(self.train.astype(np.int64), np.diff(self.at))
+        self.counts = np.bincount(self.which, self.weight, len(self.own)).astype(np.int64)
+
+    def told(self, answers: pa.Table, bits: int) -> None:
+        """Takes the words' numbers and counts over all training documents from the answers of the buckets of words."""
+        parts = sorted((k, a) for k, a in zip(answers.column("key").to_pylist(), answers.column("first").to_pylist()) if k >> bits == 0)
+        number, total = (np.concatenate(x) for x in zip(*(grown(a) for _, a in parts)))
+        if len(number) != len(self.own):
+            raise RuntimeError("a chunk's texts changed between two reads")
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.total = total.astype(np.int64)
+        # place 0 stands for the start of a text
+        self.local, self.numbers, self.frequency = rank[self.which] + 1, np.append(np.uint64(0), number[order]), np.append(np.int64(0), self.total[order])
+
+    def grams(self, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Words of the distinct n-grams of an order, context first, as places in ``numbers``, in order; and which of them each token ends."""
+        columns = [self.local]
+        for back in range(1, order):
+            before = np.zeros_like(self.local)
+            before[back:] = self.local[:-back]
+            for k in range(back):
+                at = self.at[:-1] + k
+                before[at[at < self.at[1:]]] = 0
+            columns.insert(0, before)
+        m, size = len(self.numbers), 1
+        code = np.zeros(len(self.local), np.int64)
+        for c in columns:
+            if size * m >= 1 << 62:
+                code = np.unique(code, return_inverse=True)[1]
+                size = int(code.max()) + 1
+            code, size = code * m + c, size * m
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        return [c[first] for c in columns], which
+
+
+def context_hash(numbers: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(numbers[0]), np.uint64)
+    for c in numbers:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1))
+    return h
+
+
+class Dealing:
+    """Which shard an n-gram goes to: by context, and by successor too where the context may be more frequent than a shard is large."""
+
+    def __init__(self, bits: int, items: int, texts: int):
+        self.bits, self.items, self.texts = bits, items, texts
+
+    def shares(self, chunk: Chunk, context: list[np.ndarray]) -> np.ndarray:
+        """Over how many shards a context is dealt: an n-gram is at most as frequent as each of its words."""
+        most = chunk.frequency.copy()
+        most[0] = self.texts
+        return np.maximum(1, -(-np.minimum.reduce([most[c] for c in context]) // self.items))
+
+    def shard(self, context: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (mix(context + part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def dealt(self, chunk: Chunk, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the n-grams by shard, their shards in that order, and of all n-grams the hash and shares of the context."""
+        numbers = [chunk.numbers[c] for c in columns]
+        h, shares = context_hash(numbers[:-1]), self.shares(chunk, columns[:-1])
+        part = np.where(shares > 1, (mix(numbers[-1]) % shares.astype(np.uint64)).astype(np.int64), 0)
+        shard = self.shard(h, part)
+        order = np.argsort(shard, kind="stable")
+        return order, shard[order], h, shares
+
+
+# ---------------------------------------------------------------- the model
+
+
+def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float = 200.0, chunk_bytes: int | None = None, bucket_items: int | None = None) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
+
+    ``chunk_bytes`` of text are read at once, and a shard gets about ``bucket_items`` n-grams; both follow the size of the input where not given.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("train", F.coalesce(train, F.lit(True)))
     size, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
+    chunk_bytes = chunk_bytes or min(max(size >> 13, 4 << 20), 64 << 20)
+    bucket_items = bucket_items or min(max((size // 6) >> 14, 1 << 20), 1 << 24)
     chunks = prime(max(1, int(size / chunk_bytes)))
     bits = max(1, int(size / 6 / bucket_items)).bit_length()
+    buckets = 1 << bits
+    dealing = Dealing(bits, bucket_items, texts)
     dealt = deal(docs.select("doc_id", "train", "text"), chunks)
 
-    def ask(key: tuple, part: pa.Table) -> pa.Table:
-        _, train, text = undealt(part)
-        rows = []
-        for level, (own, _, counts) in enumerate(levels(text, train)[0]):
-            bucket = (own >> np.uint64(64 - bits)).astype(np.int64)
-            at = runs(bucket)
-            rows += [((level << bits) + int(bucket[i]), key[0].as_py(), short(own[i:j], bits), shrunk(counts[i:j])) for i, j in zip(at[:-1], at[1:]) if j > i]
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("key", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())))})
-
-    def tell(key: tuple, part: pa.Table) -> pa.Table:
-        asked, counts = [long(x) for x in part.column("hashes").to_pylist()], [grown(x) for x in part.column("counts").to_pylist()]
-        own, which = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(which, np.concatenate(counts), len(own)).astype(np.int64)
-        cuts = np.cumsum([len(x) for x in asked])[:-1]
-        first = np.zeros(len(asked), np.int64)
-        first[0] = 1
-        one = key[0].as_py() >> bits == 0
-        return pa.table(
-            {
-                "g": part.column("g"), "key": part.column("key"), "counts": pa.array([shrunk(np.minimum(total[x], 2**32 - 1)) for x in np.split(which, cuts)], pa.binary()),
-                "n": pa.array(first * (int(total.sum()) if one else 0)), "v": pa.array(first * (int((total > 0).sum()) if one else 0)),
-            }
-        )
-
-    answers = cut(dealt.groupBy("g").applyInArrow(ask, ASKED).groupBy("key").applyInArrow(tell, TOLD))
-    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    def ask_words(key: tuple, part: pa.Table) -> pa.Table:
+        chunk = Chunk(part)
+        at = runs((bucket := (chunk.own >> np.uint64(64 - bits)).astype(np.int64)))
+        return rows_of([(int(bucket[i]), key[0].as_py(), squeezed(chunk.own[i:j], chunk.counts[i:j]), None) for i, j in zip(at[:-1], at[1:]) if j > i], _ASKED)
+
+    def tell_words(key: tuple, part: pa.Table) -> pa.Table:
+        asked = [grown(x) for x in part.column("items").to_pylist()]
+        own, which = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, which, np.concatenate([c for _, c in asked]).astype(np.int64))
+        rank = np.empty(len(own), np.int64)
+        rank[np.lexsort((own, -total))] = np.arange(len(own))
+        number = rank * buckets + key[0].as_py() + 1
+        rows, at = [], 0
+        for g, (h, _) in zip(part.column("g").to_pylist(), asked):
+            mine = which[at : at + len(h)]
+            rows.append((g, key[0].as_py(), squeezed(number[mine], total[mine]), None, 0 if at else int(total.sum()), 0 if at else int((total > 0).sum())))
+            at += len(h)
+        return rows_of(rows, _TOLD)
+
+    def ask_grams(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
+        chunk, rows = Chunk(part), []
+        chunk.told(told, bits)
+        for k in range(2, order + 1):
+            columns, which = chunk.grams(k)
+            counts = np.bincount(which, chunk.weight, len(columns[0])).astype(np.int64)
+            by_shard, shard, h, shares = dealing.dealt(chunk, columns)
+            numbers = [chunk.numbers[c] for c in columns]
+            totals: dict[int, list] = {}
+            split = np.flatnonzero((shares > 1) & (counts > 0))
+            if len(split):  # contexts of several shards: their counts go to each
+                own, first, inverse = np.unique(h[split], return_index=True, return_inverse=True)
+                n = np.bincount(inverse, counts[split]).astype(np.int64)
+                for x, c, s in zip(own, n, shares[split][first]):
+                    for b in np.unique(dealing.shard(np.full(s, x, np.uint64), np.arange(s))).tolist():
+                        totals.setdefault(b, []).append((x, c))
+            at = runs(shard)
+            sent = {int(shard[i]): squeezed(*(c[by_shard[i:j]] for c in numbers), counts[by_shard[i:j]]) for i, j in zip(at[:-1], at[1:]) if j > i}
+            extra = {b: squeezed(*(np.array(x, np.uint64) for x in zip(*sorted(rows)))) for b, rows in totals.items()}
+            rows += [((k - 1 << bits) + b, key[0].as_py(), sent.get(b), extra.get(b)) for b in sorted({*sent, *extra})]
+        return rows_of(rows, _ASKED)
+
+    def tell_grams(key: tuple, part: pa.Table) -> pa.Table:
+        asked = [grown(x) for x in part.column("items").to_pylist() if x is not None]
+        if not asked:
+            return rows_of([], _TOLD)
+        columns = [np.concatenate(x) for x in zip(*asked)]
+        h, word = context_hash(columns[:-2]), columns[-2]
+        extra = [grown(x) for x in part.column("totals").to_pylist() if x is not None]
+        split = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in extra)])
+        contexts, number = np.unique(np.concatenate([h, split]), return_inverse=True)
+        words = int(word.max()) + 1
+        distinct, which = np.unique(number[: len(h)].astype(np.uint64) * np.uint64(words) + word, return_inverse=True)
+        count = np.zeros(len(distinct), np.int64)
+        np.add.at(count, which, columns[-1].astype(np.int64))
+        owner, word = (distinct // np.uint64(words)).astype(np.int64), distinct % np.uint64(words)
+        total, given = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        np.add.at(total, owner, count)
+        np.add.at(given, number[len(h) :], np.concatenate([np.zeros(0, np.uint64), *(n for _, n in extra)]).astype(np.int64))
+        total = np.where(given > 0, given, total)
+        # the trie holds what training documents have
+        held, seen = total > 0, count > 0
+        renumbered = np.cumsum(held) - 1
+        trie = Trie(contexts[held], total[held], renumbered[owner[seen]], word[seen], count[seen], words, strength)
+        share, back = trie.look_up(contexts[owner], word)
+        trie.close()
+        rows, at = [], 0
+        for g, x in zip(part.column("g").to_pylist(), part.column("items").to_pylist()):
+            if x is not None:
+                n = len(asked[len(rows)][0])
+                rows.append((g, key[0].as_py(), squeezed(share[which[at : at + n]]), squeezed(back[which[at : at + n]]), 0, 0))
+                at += n
+        return rows_of(rows, _TOLD)
+
+    told_words = dealt.groupBy("g").applyInArrow(ask_words, ASKED).groupBy("key").applyInArrow(tell_words, TOLD)
+    told_grams = dealt.groupBy("g").cogroup(told_words.groupBy("g")).applyInArrow(ask_grams, ASKED).groupBy("key").applyInArrow(tell_grams, TOLD)
+    told = told_words.unionByName(told_grams) if order > 1 else told_words
+    sums = [told_words.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in ("n", "v")]
+    told = told.select("g", "key", "first", "second", sums[0].alias("n"), sums[1].alias("v"))
 
     def score(part: pa.Table, told: pa.Table) -> pa.Table:
-        doc, train, text = undealt(part)
-        both, at = levels(text, train)
-        data, key = told.column("counts").to_pylist(), told.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
-        c = [np.concatenate([np.zeros(0, np.uint32), *(grown(data[i]) for i in order if key[i] >> bits == level)]).astype(np.int64) for level in (0, 1)]
-        (own, word, _), (pairs, pair, _) = both
-        if len(c[0]) != len(own) or len(c[1]) != len(pairs):
-            raise RuntimeError("a chunk's texts changed between two reads")
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[at[:-1]] = len(own)  # the start
-        number = np.zeros(len(pairs), np.uint64)
-        number[pair] = context.astype(np.uint64) * np.uint64(len(own)) + word.astype(np.uint64)
-        seen = c[1] > 0
-        order = np.argsort(number[seen], kind="stable")
-        trie = Trie(len(own), c[0], np.append(c[0], texts), number[seen][order], c[1][seen][order], n, v, strength)
-        base = np.log10((c[0] + 0.5) / (n + 0.5 * (v + 1)))[word]
-        # distinct pairs are looked up once
-        model = trie.scores((number // np.uint64(len(own))).astype(np.int64), (number % np.uint64(len(own))).astype(np.int64))[pair]
-        trie.close()
-        add = lambda x: np.add.reduceat(x, at[:-1])
+        chunk = Chunk(part)
+        chunk.told(told, bits)
+        n, v = told.column("n")[0].as_py(), told.column("v")[0].as_py()
+        plain = (chunk.total + 0.5) / (n + 0.5 * (v + 1))
+        p = plain[chunk.which]
+        answers = sorted(zip(*(told.column(c).to_pylist() for c in ("key", "first", "second"))), key=lambda x: x[0])
+        for k in range(2, order + 1):
+            columns, which = chunk.grams(k)
+            by_shard, *_ = dealing.dealt(chunk, columns)
+            own = [x for x in answers if x[0] >> bits == k - 1]
+            share, back = (np.empty(len(by_shard), np.uint16) for _ in range(2))
+            share[by_shard], back[by_shard] = (np.concatenate([grown(x[i])[0] for x in own]) for i in (1, 2))
+            p = probability(share)[which] + probability(back)[which] * p
+        add = lambda x: np.add.reduceat(x, chunk.at[:-1])
         return pa.table(
             {
-                "doc_id": pa.array(doc, mask=doc == NO_ID), "train": pa.array(train), "n_tokens": pa.array(np.diff(at), pa.int64()), "n_known": pa.array(add((c[0] > 0)[word].astype(np.int64))),
-                "base_score": pa.array(add(base)), "score": pa.array(add(model)),
+                "doc_id": pa.array(chunk.doc, mask=chunk.doc == NO_ID), "train": pa.array(chunk.train), "n_tokens": pa.array(np.diff(chunk.at), pa.int64()), "n_known": pa.array(add((chunk.total > 0)[chunk.which].astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(chunk.doc), n), pa.int64()), "base_score": pa.array(add(np.log10(plain)[chunk.which])), "score": pa.array(add(np.log10(p))),
             }
         )
 
-    scored = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
+    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(score, schema)
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,21 +459,28 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def brute_force(rows: list[tuple[int, str | None]], strength: float = 200.0) -> dict[int, tuple]:
+def brute_force(rows: list[tuple[int, str | None]], order: int = 3, strength: float = 200.0) -> dict[int, tuple]:
     """n_tokens, n_known, train_tokens, base_score, score by dictionaries, for small tables with distinct ids."""
     low = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
     split = {d: [w for w in (t or "").encode().translate(low).split() if w] + ["end"] for d, t in rows}
-    c1: dict = {}
-    c2: dict = {}
-    started = 0
+    counts: dict = {}
     for d, ws in split.items():
         if zlib.crc32(str(d).encode()) % 5 != 1:
-            started += 1
-            for u, w in zip(["start", *ws], ws):
-                c1[w] = c1.get(w, 0) + 1
-                c2[u, w] = c2.get((u, w), 0) + 1
-    n, v = sum(c1.values()), len(c1)
-    p1 = lambda w: (c1.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
-    ctx = lambda u: started if u == "start" else c1.get(u, 0)
-    p2 = lambda u, w: (c2.get((u, w), 0) + strength * p1(w)) / (ctx(u) + strength)
-    return {d: (len(ws), sum(w in c1 for w in ws), n, sum(math.log10(p1(w)) for w in ws), sum(math.log10(p2(u, w)) for u, w in zip(["start", *ws], ws))) for d, ws in split.items()}
+            for i, w in enumerate(ws):
+                for k in range(1, order + 1):
+                    context = tuple((["start"] * order + ws)[i + order - k + 1 : i + order])
+                    counts[context, w] = counts.get((context, w), 0) + 1
+                    counts[context] = counts.get(context, 0) + 1
+    n, v = counts.get((), 0), sum(1 for k in counts if len(k) == 2 and k[0] == () and isinstance(k[1], (bytes, str)))
+
+    def p(context: tuple, w) -> float:
+        if not context:
+            return (counts.get(((), w), 0) + 0.5) / (n + 0.5 * (v + 1))
+        return (counts.get((context, w), 0) + strength * p(context[1:], w)) / (counts.get(context, 0) + strength)
+
+    out = {}
+    for d, ws in split.items():
+        padded = ["start"] * order + ws
+        contexts = [tuple(padded[i + 1 : i + order]) for i in range(len(ws))]
+        out[d] = (len(ws), sum(((), w) in counts for w in ws), n, sum(math.log10(p((), w)) for w in ws), sum(math.log10(p(c, w)) for c, w in zip(contexts, ws)))
+    return out

@@ -516,18 +516,63 @@ def test_best_run():
 # ---------------------------------------------------------------- 9
 
 
-def test_language_model(spark, docs, empty):
+@pytest.mark.parametrize("order, options", [(3, {"chunk_bytes": 2000, "bucket_items": 300}), (3, {}), (2, {"chunk_bytes": 5000, "bucket_items": 20}), (1, {}), (4, {"chunk_bytes": 9000})])
+def test_language_model(spark, docs, order, options):
+    """Also with contexts dealt over several shards."""
     rows = [tuple(r[:2]) for r in corpus()]
-    want = language_model.brute_force(rows, 50.0)
-    for chunk, bucket in ((2000, 300), (1 << 22, 1 << 20)):
-        got = language_model.score_texts(docs, language_model.fold(F.col("doc_id")) != 1, 50.0, chunk_bytes=chunk, bucket_items=bucket).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            tokens, known, total, base, score = want[r["doc_id"]]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, total)
-            assert abs(r["base_score"] - base) < 1e-6 * tokens and abs(r["score"] - score) < 5e-4 * tokens
+    want = language_model.brute_force(rows, order, 50.0)
+    got = language_model.score_texts(docs, language_model.fold(F.col("doc_id")) != 1, order, 50.0, **options).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        tokens, known, total, base, score = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, total)
+        assert abs(r["base_score"] - base) < 1e-6 * tokens and abs(r["score"] - score) < 5e-4 * tokens
+
+
+def test_language_model_odd_rows(spark, empty):
     assert language_model.score_texts(empty, F.lit(True)).count() == 0
-    assert language_model.score_texts(odd(spark), F.lit(False)).count() == 4
+    got = language_model.score_texts(odd(spark), F.lit(False)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["score"], r["base_score"]) for r in got) == [(False, 4, 16, 0.0, 0.0)] * 2 + [(False, 5, 1, 0.0, 0.0), (True, None, 16, 0.0, 0.0)]
+    same = spark.createDataFrame([(1, "a b c")] * 500 + [(2, "a b d")], "doc_id long, text string")
+    got = language_model.score_texts(same, F.col("doc_id") == 1, chunk_bytes=100).collect()
+    assert len(got) == 501 and len({tuple(r) for r in got}) == 2 and got[0]["train_tokens"] == 2000
+
+
+def test_longer_contexts_tell_more(spark):
+    """Held-out texts are likelier the longer the context, where text follows from the two words before."""
+    rng = random.Random(5)
+    follow = {(a, b): rng.sample(range(40), 3) for a in range(40) for b in range(40)}
+    rows = []
+    for d in range(400):
+        ws = [rng.randrange(40), rng.randrange(40)]
+        while len(ws) < 120:
+            ws.append(rng.choice(follow[ws[-2], ws[-1]]))
+        rows.append((d, " ".join(f"w{x}" for x in ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mean = [language_model.score_texts(df, language_model.fold(F.col("doc_id")) != 1, order, 10.0).filter("not train").agg(F.sum("score") / F.sum("n_tokens")).first()[0] for order in (1, 2, 3)]
+    assert mean[0] < mean[1] < mean[2] - 0.2
+
+
+def test_trie():
+    """Pointers and successors against a dictionary, with contexts that have no successor here and words that no context has."""
+    rng = np.random.default_rng(2)
+    contexts = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    pairs = sorted({(int(c), int(w)) for c, w in zip(rng.integers(0, len(contexts) - 5, 500), rng.integers(0, 90, 500))})
+    owner, word = (np.array(x) for x in zip(*pairs))
+    count, total = rng.integers(1, 50, len(pairs)), rng.integers(500, 900, len(contexts))
+    trie = language_model.Trie(contexts, total, owner, word, count, 100, 20.0)
+    share = {(int(contexts[c]), w): n / (total[c] + 20) for (c, w), n in zip(pairs, count.tolist())}
+    back = {int(h): 20 / (t + 20) for h, t in zip(contexts, total)}
+    ask = [(int(h), w) for h in [*contexts.tolist(), 5, 2**62 + 1] for w in range(95)]
+    got = trie.look_up(np.array([h for h, _ in ask], np.uint64), np.array([w for _, w in ask]))
+    assert np.allclose(language_model.probability(got[0]), [share.get(x, 0.0) for x in ask], rtol=1e-3) and np.allclose(language_model.probability(got[1]), [back.get(h, 1.0) for h, _ in ask], rtol=1e-3)
+    trie.close()
+
+
+def test_squeezed():
+    rng = np.random.default_rng(3)
+    for columns in ([np.zeros(0, np.uint64)] * 2, [np.sort(rng.integers(0, 2**40, 50)), rng.integers(0, 3, 50)], [rng.integers(0, 2**63, 9)], [np.array([5, 5, 7]), np.array([2**63, 1, 0], np.uint64)]):
+        assert all((a == b).all() for a, b in zip(language_model.grown(language_model.squeezed(*columns)), columns))
 
 
 def test_elias_fano():
@@ -538,7 +583,9 @@ def test_elias_fano():
         ask = np.concatenate([values, rng.integers(0, universe, 300).astype(np.uint64)])
         place = np.searchsorted(values, ask)
         hit = values[np.minimum(place, len(values) - 1)] == ask
-        assert (code.find(ask) == np.where(hit, place, -1)).all()
+        assert (code.find(ask) == np.where(hit, place, -1)).all() and (code.get(np.arange(len(values))) == values).all()
+        middle = np.full(len(ask), len(values) // 2)
+        assert (code.find(ask, middle, middle + 20) == np.where(hit & (place >= middle) & (place < middle + 20), place, -1)).all()
     assert (language_model.EliasFano(np.zeros(0, np.uint64), 5).find(np.arange(5, dtype=np.uint64)) == -1).all()
 
 
