@@ -103,7 +103,7 @@ def scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
         cells = np.zeros(1 << bits, np.uint64)
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), size)
-            cells += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint64)
+            np.add.at(cells, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint64(1))
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int32()), pa.array([None], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids(batch.column("doc_id")), batch.column("key").to_numpy(), np.diff(at).astype(np.int64), digests(h, at)))], schema=schema)
         parts = np.split(cells, max(1, 1 << (bits - 16)))
         for k, part in enumerate(parts):
@@ -319,13 +319,13 @@ def bloom(nodes: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-#: A filter has at most 2**29 cells, 64 MB, and about 16 for each node up to there; beyond, it lets more sets through, and none less.
+#: A filter has at most 2**29 cells, 64 MB, and at least 64 for each node up to there; beyond, it lets more sets through, and none less.
 FILTER_BITS = 29
 
 
 def sets_of(docs: DataFrame, size: int, nodes: DataFrame, count: int) -> DataFrame:
     """node, set of each of ``nodes``, of which there are ``count`` at most; a filter of bounded size keeps nearly all other texts' sets from being sent."""
-    bits = min(FILTER_BITS, max(16, (16 * count).bit_length()))
+    bits = min(FILTER_BITS, max(16, (64 * count).bit_length()))
     cells = docs.sparkSession.sparkContext.broadcast(bloom(nodes, bits))
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
@@ -347,9 +347,11 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, count: int) -> DataFra
     return docs.mapInArrow(go, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, a_size, b, b_size) with the size of their sets' intersection."""
-    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
+def overlaps(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (a, a_size, b, b_size), ``rows`` of them at most, with the size of their sets' intersection."""
+    with_sets = pairs
+    for end in "ab":  # a pivot may have many pairs
+        with_sets = spread_join(with_sets, sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end, rows=rows)
     names = ["a", "a_size", "b", "b_size"]
 
     def go(batches):
@@ -403,13 +405,13 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
     first = cut(pivots.select(*ordered_pair).distinct())
     n_first = first.count()
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first)))
+    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first), n_first))
     links = F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
     roots = connected(known.filter(links).select("a", "b"))
 
     marked = entries.select("token", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = cut(marked.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count")).filter("x <> y").select("token", "count"))
-    if mixed.filter(F.col("count") > list_part).limit(1).count():
+    mixed = marked.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count")).filter("x <> y").select("token", "count")
+    if entries.groupBy("token").count().filter(F.col("count") > list_part).limit(1).count():
         listed = spread_join(marked, mixed, "token")
     else:
         listed = marked.join(mixed, "token", "left_semi").withColumn("count", F.lit(1))
@@ -424,7 +426,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
         tried = cut(apart.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= tries).select("a", "a_size", "b", "b_size", "sure"))
         for pairs in (tried, left.join(tried.select("a", "b"), ["a", "b"], "left_anti")):
             pairs = separate(pairs, roots)
-            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
+            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets, n_left).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
             roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rank = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("key"))

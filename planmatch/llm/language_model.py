@@ -190,6 +190,19 @@ def grown(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def answered(share: np.ndarray, back: np.ndarray) -> tuple[bytes, bytes]:
+    """Codes of n-grams in order of context as little to send: the share's distance from its context's back-off, which depends on the count alone but for
+    rounding, or ``APART`` for none; and the back-off's change from the n-gram before."""
+    return squeezed(np.where(share == NONE, APART, share - back)), squeezed(np.diff(back, prepend=np.uint16(0)))
+
+
+def codes(first: bytes, second: bytes) -> tuple[np.ndarray, np.ndarray]:
+    away, back = grown(first)[0].astype(np.uint16), np.cumsum(grown(second)[0].astype(np.uint16), dtype=np.uint16)
+    return np.where(away == APART, np.uint16(NONE), away + back), back
+
+
+#: No distance of codes: it would take counts above 10**18.
+APART = np.uint16(32768)
 DEALT = "g int, docs binary, train binary, lengths binary, texts binary"
 ASKED = "key int, g int, items binary, totals binary"
 TOLD = "g int, key int, first binary, second binary, n long, v long"
@@ -417,7 +430,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
         for g, x in zip(part.column("g").to_pylist(), part.column("items").to_pylist()):
             if x is not None:
                 n = len(asked[len(rows)][0])
-                rows.append((g, key[0].as_py(), squeezed(share[which[at : at + n]]), squeezed(back[which[at : at + n]]), 0, 0))
+                rows.append((g, key[0].as_py(), *answered(share[which[at : at + n]], back[which[at : at + n]]), 0, 0))
                 at += n
         return rows_of(rows, _TOLD)
 
@@ -439,7 +452,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
             by_shard, *_ = dealing.dealt(chunk, columns)
             own = [x for x in answers if x[0] >> bits == k - 1]
             share, back = (np.empty(len(by_shard), np.uint16) for _ in range(2))
-            share[by_shard], back[by_shard] = (np.concatenate([grown(x[i])[0] for x in own]) for i in (1, 2))
+            share[by_shard], back[by_shard] = (np.concatenate(x) for x in zip(*(codes(*x[1:]) for x in own)))
             p = probability(share)[which] + probability(back)[which] * p
         add = lambda x: np.add.reduceat(x, chunk.at[:-1])
         return pa.table(

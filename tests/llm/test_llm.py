@@ -570,6 +570,8 @@ def test_trie():
 
 
 def test_squeezed():
+    share, back = np.array([language_model.NONE, 0, 65534, 5, 30000], np.uint16), np.array([7, 7, 65534, 9000, 0], np.uint16)
+    assert all((a == b).all() for a, b in zip(language_model.codes(*language_model.answered(share, back)), (share, back)))
     rng = np.random.default_rng(3)
     for columns in ([np.zeros(0, np.uint64)] * 2, [np.sort(rng.integers(0, 2**40, 50)), rng.integers(0, 3, 50)], [rng.integers(0, 2**63, 9)], [np.array([5, 5, 7]), np.array([2**63, 1, 0], np.uint64)]):
         assert all((a == b).all() for a, b in zip(language_model.grown(language_model.squeezed(*columns)), columns))
