@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planmatch.llm.storage import cut
+from planmatch.llm.storage import cut_for_joins as cut
 
 
 def connected(edges: DataFrame) -> DataFrame:

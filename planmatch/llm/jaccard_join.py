@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from planmatch.llm.components import connected
 from planmatch.llm.names import unused
 from planmatch.llm.skew import spread_join
-from planmatch.llm.storage import cut
+from planmatch.llm.storage import cut_for_joins as cut
 from planmatch.llm.substring_dedup import NO_ID, ids
 from planmatch.llm.words import mix, ordered, runs, slices, windows, word_hashes
 
@@ -351,7 +351,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """``pairs`` (a, a_size, b, b_size), ``rows`` of them at most, with the size of their sets' intersection."""
     with_sets = pairs
     for end in "ab":  # a pivot may have many pairs
-        with_sets = spread_join(with_sets, sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end, rows=rows)
+        with_sets = spread_join(with_sets, sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end, rows=rows, counted=pairs)
     names = ["a", "a_size", "b", "b_size"]
 
     def go(batches):

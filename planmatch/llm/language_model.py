@@ -211,6 +211,17 @@ _ASKED = pa.schema([("key", pa.int32()), ("g", pa.int32()), ("items", pa.binary(
 _TOLD = pa.schema([("g", pa.int32()), ("key", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and which of them each value is."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], which
+
+
 def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
@@ -271,7 +282,7 @@ class Chunk:
         inner = np.ones(len(tokens), bool)
         inner[self.at[1:] - 1] = False
         tokens[inner] = words
-        self.own, self.which = np.unique(tokens, return_inverse=True)
+        self.own, _, self.which = numbered(tokens)
         self.weight = np.repeat(self.train.astype(np.int64), np.diff(self.at))
         self.counts = np.bincount(self.which, self.weight, len(self.own)).astype(np.int64)
 
@@ -305,8 +316,8 @@ class Chunk:
                 code = np.unique(code, return_inverse=True)[1]
                 size = int(code.max()) + 1
             code, size = code * m + c, size * m
-        _, first, which = np.unique(code, return_index=True, return_inverse=True)
-        return [c[first] for c in columns], which
+        _, place, which = numbered(code)
+        return [c[place] for c in columns], which
 
 
 def context_hash(numbers: list[np.ndarray]) -> np.ndarray:
@@ -367,7 +378,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
 
     def tell_words(key: tuple, part: pa.Table) -> pa.Table:
         asked = [grown(x) for x in part.column("items").to_pylist()]
-        own, which = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
+        own, _, which = numbered(np.concatenate([h for h, _ in asked]))
         total = np.zeros(len(own), np.int64)
         np.add.at(total, which, np.concatenate([c for _, c in asked]).astype(np.int64))
         rank = np.empty(len(own), np.int64)
@@ -410,9 +421,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
         h, word = context_hash(columns[:-2]), columns[-2]
         extra = [grown(x) for x in part.column("totals").to_pylist() if x is not None]
         split = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in extra)])
-        contexts, number = np.unique(np.concatenate([h, split]), return_inverse=True)
+        contexts, _, number = numbered(np.concatenate([h, split]))
         words = int(word.max()) + 1
-        distinct, which = np.unique(number[: len(h)].astype(np.uint64) * np.uint64(words) + word, return_inverse=True)
+        distinct, _, which = numbered(number[: len(h)].astype(np.uint64) * np.uint64(words) + word)
         count = np.zeros(len(distinct), np.int64)
         np.add.at(count, which, columns[-1].astype(np.int64))
         owner, word = (distinct // np.uint64(words)).astype(np.int64), distinct % np.uint64(words)

@@ -28,3 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_for_joins(df: DataFrame) -> DataFrame:
+    """The same for a table whose joins are to be by shuffle whatever its size, so that small and large inputs have one plan."""
+    return cut(df).hint("merge")
