@@ -526,7 +526,7 @@ def test_language_model(spark, docs, order, options):
     for r in got:
         tokens, known, total, base, score = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, total)
-        assert abs(r["base_score"] - base) < 1e-6 * tokens and abs(r["score"] - score) < 5e-4 * tokens
+        assert abs(r["base_score"] - base) < 1e-6 * tokens and abs(r["score"] - score) < 1e-3 * tokens
 
 
 def test_language_model_odd_rows(spark, empty):
@@ -565,7 +565,7 @@ def test_trie():
     back = {int(h): 20 / (t + 20) for h, t in zip(contexts, total)}
     ask = [(int(h), w) for h in [*contexts.tolist(), 5, 2**62 + 1] for w in range(95)]
     got = trie.look_up(np.array([h for h, _ in ask], np.uint64), np.array([w for _, w in ask]))
-    assert np.allclose(language_model.probability(got[0]), [share.get(x, 0.0) for x in ask], rtol=1e-3) and np.allclose(language_model.probability(got[1]), [back.get(h, 1.0) for h, _ in ask], rtol=1e-3)
+    assert np.allclose(language_model.probability(got[0]), [share.get(x, 0.0) for x in ask], rtol=3e-3) and np.allclose(language_model.probability(got[1]), [back.get(h, 1.0) for h, _ in ask], rtol=3e-3)
     trie.close()
 
 
