@@ -11,3 +11,7 @@ class CatalogError(EngineError):
 
 class FieldError(EngineError):
     """A sink lacks fields that are to be written."""
+
+
+class ServiceError(RuntimeError):
+    """A remote service refuses a connection or lacks what is asked of it."""

@@ -71,7 +71,10 @@ def left_stripped(c: Column) -> Column:
 
 
 def letter_and_digit(c: Column | str) -> Column:
-    return col(c).rlike(LETTER) & col(c).rlike(DIGIT)
+    """The long class of digits is searched in texts beyond ASCII only."""
+    c = col(c)
+    digit = c.rlike("[0-9]") | c.rlike(r"[^\x00-\x7F]") & c.rlike(DIGIT)
+    return digit & c.rlike(LETTER)
 
 
 def unknown_body(c: Column | str) -> Column:

@@ -49,6 +49,17 @@ def whole(c: Column | str, least: int, default: Column | int) -> Column:
     return F.when(value >= least, value).otherwise(default)
 
 
+def integer_set(c: Column | str) -> Column:
+    """The distinct integers above zero of an array, in order; what is no integer is left out."""
+    numbers = F.transform(col(c), lambda x: x.try_cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(F.coalesce(numbers, F.array().cast("array<int>")), lambda x: x > 0)))
+
+
+def render_scale(dpi: float) -> float:
+    """Pixels for each point of a page."""
+    return dpi / 72.0
+
+
 def joined_box(a: Column, b: Column) -> Column:
     """Smallest box around two, to three places."""
     low, high = F.least, F.greatest
@@ -73,7 +84,8 @@ def axis_starts(length: Column, tile: float, step: float) -> Column:
     last = length - F.lit(tile)
     steps = F.ceil(last / F.lit(step)).cast("int")
     regular = F.transform(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0))), lambda k: k * F.lit(float(step)))
-    return F.when(length <= tile, F.array(F.lit(0.0))).otherwise(F.when(last - F.array_max(regular) > 0.01, F.concat(regular, F.array(last))).otherwise(regular))
+    ended = once(regular, lambda r: F.when(last - F.element_at(r, -1) > 0.01, F.concat(r, F.array(last))).otherwise(r))
+    return F.when(length <= tile, F.array(F.lit(0.0))).otherwise(ended)
 
 
 def pole_status(c: Column, threshold: float = 0.85) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planmatch.errors import CatalogError
@@ -86,16 +86,29 @@ def neighbourhood(catalog: DataFrame) -> DataFrame:
     return ids.select("pole_id").join(found, "pole_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
 
 
+def few(rows: DataFrame, most: int = 200_000) -> bool:
+    """Whether ``rows`` are at most ``most``, by counting no further: what may be broadcast."""
+    return rows.limit(most + 1).count() <= most
+
+
 def by_id(catalog: DataFrame, *, neighbours: bool = False, records: bool = False) -> DataFrame:
-    """One row for each id: match_count, source_ids, and perhaps its records and neighbours."""
-    row = F.struct("source_id", "pole_id_raw", "x", "y", "status", "source_updated_at")
-    extra = [F.array_sort(F.collect_list(row)).alias("records")] if records else []
+    """One row for each id: match_count, source_ids, and perhaps its neighbours and its records: one for each (source_id, x, y), the least of those."""
+    row = F.struct("source_id", "x", "y", "pole_id_raw", "status", "source_updated_at")
+    if records:
+        catalog = catalog.withColumn("again", F.row_number().over(Window.partitionBy("pole_id_normalized", "source_id", "x", "y").orderBy("pole_id_raw", "status", "source_updated_at")))
+    extra = [F.array_sort(F.collect_list(F.when(F.col("again") == 1, row))).alias("records")] if records else []
     out = catalog.groupBy(F.col("pole_id_normalized").alias("pole_id")).agg(F.count("*").alias("match_count"), F.array_sort(F.collect_set("source_id")).alias("source_ids"), *extra)
     if neighbours:
         out = out.join(neighbourhood(catalog), "pole_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
     return out
 
 
+def by_source(catalog: DataFrame) -> DataFrame:
+    """One row for each source id: its records, duplicates kept, in a fixed order."""
+    row = F.struct("pole_id_normalized", "pole_id_raw", "x", "y", "status", "source_updated_at")
+    return catalog.groupBy("source_id").agg(F.array_sort(F.collect_list(row)).alias("records"))
+
+
 def exact_match(rows: DataFrame, column: str, catalog: DataFrame) -> DataFrame:
     """Inner lookup: a row for each record of the id."""
     return rows.join(catalog, F.col(column) == F.col("pole_id_normalized"))

@@ -63,13 +63,18 @@ def by_pole(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def totals(found: DataFrame, skipped: DataFrame) -> DataFrame:
+def totals(found: DataFrame, skipped: DataFrame, assessments: DataFrame | None = None, tile_replies: DataFrame | None = None) -> DataFrame:
+    """One row of counts; with ``assessments`` and ``tile_replies`` (error), also how many pages and tiles were read and how many failed."""
     exact, review = F.col("catalog_match_status") == "reference_exact", F.col("acceptance_status") == "review"
     counts = found.agg(
         F.count("*").alias("candidate_observation_count"), F.count_if(exact).alias("exact_candidate_observation_count"), F.count_if(exact & ~review).alias("accepted_candidate_observation_count"),
         F.count_if(review).alias("review_candidate_observation_count"), F.count_distinct(F.when(exact & ~review, F.col("normalized_text"))).alias("exact_unique_id_count"),
     )
-    return counts.select("*", skipped.agg(F.count("*").alias("n")).scalar().alias("ignored_candidate_observation_count"))
+    more = [skipped.agg(F.count("*")).scalar().alias("ignored_candidate_observation_count")]
+    for rows, read, failed in ((assessments, "preview_assessment_count", "preview_error_count"), (tile_replies, "tile_count", "tile_error_count")):
+        if rows is not None:
+            more += [rows.agg(F.count("*")).scalar().alias(read), rows.agg(F.count_if(F.col("error").isNotNull())).scalar().alias(failed)]
+    return counts.select("*", *more)
 
 
 def unmatched(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ BUFFER = 50.0
 
 
 def hull(points: np.ndarray) -> np.ndarray:
-    """Counter-clockwise hull of points, those on its sides left out: half-planes by sorted sweep, once from either end."""
+    """Counter-clockwise hull of points, those on its sides left out: the monotone chain algorithm."""
     points = np.unique(points, axis=0)
     if len(points) <= 2:
         return points
@@ -39,27 +39,32 @@ def directions(segments: int) -> list[tuple[float, float]]:
 
 
 def work_areas(poles: DataFrame, keys: list[str], buffer: float = BUFFER, segments: int = SEGMENTS) -> DataFrame:
-    """keys and ring (closed, clockwise) of each group of poles (x, y)."""
+    """keys and ring (closed, clockwise) of each group of poles (x, y); null keys are a group like others."""
     if buffer <= 0:
         raise ValueError("the buffer must be positive")
     ways = np.array(directions(segments)) * buffer
     kinds = dict(poles.dtypes)
-
-    def ring(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        inner = hull(pdf[["x", "y"]].to_numpy(float))
-        outer = hull((inner[:, None] + ways[None]).reshape(-1, 2))[::-1]
-        return pd.DataFrame([[*key, [*outer.tolist(), outer[0].tolist()]]], columns=[*keys, "ring"])
+    placed = poles.filter("x is not null and y is not null").select(*keys, F.col("x").cast("double"), F.col("y").cast("double"))
 
     def reduced(batches):
         """Each batch's groups keep the corners of their own hulls only."""
-        for pdf in batches:
-            for key, own in pdf.groupby(keys, sort=False):
-                h = hull(own[["x", "y"]].to_numpy(float))
-                yield pd.DataFrame({**{k: [v] * len(h) for k, v in zip(keys, key)}, "x": h[:, 0], "y": h[:, 1]})
+        for batch in batches:
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
+                groups.setdefault(key, []).append(i)
+            points = np.stack([batch.column(c).to_numpy() for c in "xy"], 1)
+            corners = [(own[0], hull(points[own])) for own in groups.values()]
+            first = pa.array(np.repeat([i for i, _ in corners], [len(h) for _, h in corners]).astype(np.int64))
+            flat = np.concatenate([h for _, h in corners]) if corners else np.zeros((0, 2))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(first) for k in keys), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=[*keys, "x", "y"])
+
+    def ring(part: pa.Table) -> pa.Table:
+        inner = hull(np.stack([part.column(c).to_numpy() for c in "xy"], 1))
+        outer = hull((inner[:, None] + ways[None]).reshape(-1, 2))[::-1]
+        return pa.table({**{k: part.column(k).slice(0, 1) for k in keys}, "ring": pa.array([[*outer.tolist(), outer[0].tolist()]], pa.list_(pa.list_(pa.float64())))})
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    placed = poles.filter("x is not null and y is not null").select(*keys, F.col("x").cast("double"), F.col("y").cast("double"))
-    return placed.mapInPandas(reduced, f"{schema}, x double, y double").groupBy(*keys).applyInPandas(ring, f"{schema}, ring array<array<double>>")
+    return placed.mapInArrow(reduced, f"{schema}, x double, y double").groupBy(*keys).applyInArrow(ring, f"{schema}, ring array<array<double>>")
 
 
 def polygons(permits: DataFrame, areas: DataFrame, keys: list[str], wkid: int = 3734) -> DataFrame:

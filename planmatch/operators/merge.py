@@ -25,8 +25,14 @@ def accepted(native: DataFrame, visual: DataFrame, catalog: DataFrame, keys: lis
     return merged.join(cat.coordinates(catalog), "pole_id", "left").select(*keys, "pole_id", "x", "y", "discovery_sources", "pages", "confidence")
 
 
-def status(poles: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row: status, accepted_pole_count, review_candidate_count."""
-    out = poles.agg(F.count("*").alias("accepted_pole_count")).select("*", judged.agg(F.count_if(F.col("acceptance_status") == "review").alias("n")).scalar().alias("review_candidate_count"))
+def status(poles: DataFrame, judged: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """status, accepted_pole_count, review_candidate_count: one row, or one for each of ``documents`` (its columns are the keys)."""
+    review = F.count_if(F.col("acceptance_status") == "review").alias("review_candidate_count")
+    accepted_ = F.count("*").alias("accepted_pole_count")
+    if documents is None:
+        out = poles.agg(accepted_).select("*", judged.agg(review).scalar().alias("review_candidate_count"))
+    else:
+        keys = documents.columns
+        out = documents.distinct().join(poles.groupBy(*keys).agg(accepted_), keys, "left").join(judged.groupBy(*keys).agg(review), keys, "left").fillna(0, ["accepted_pole_count", "review_candidate_count"])
     verdict = F.when(F.col("review_candidate_count") > 0, "needs_review").when(F.col("accepted_pole_count") > 0, "completed").otherwise("no_poles_found")
-    return out.select(verdict.alias("status"), "accepted_pole_count", "review_candidate_count")
+    return out.select(*(documents.columns if documents is not None else []), verdict.alias("status"), "accepted_pole_count", "review_candidate_count")

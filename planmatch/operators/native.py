@@ -5,44 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planmatch.functions.text import letter_and_digit, normalized, shape, unwrapped
+from planmatch.functions.text import WS, letter_and_digit, normalized, shape, unwrapped
 from planmatch.functions.values import joined_box
 from planmatch.operators import catalog as cat
 
 
-def words(raw: DataFrame) -> DataFrame:
-    """Word rows with normalised text and boxes to three places; blank words are left out."""
+def words(raw: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Word rows with normalised text and boxes to three places; blank words are left out. ``keys`` tell documents apart, here and below."""
     box = F.array(*[F.round(c, 3) for c in ("x0", "y0", "x1", "y1")])
-    return raw.filter(normalized("text") != "").select("page_number", "page_index", "text", normalized("text").alias("normalized_text"), box.alias("bbox"), "block_number", "line_number", "word_number")
+    seen = raw.filter(F.col("text").rlike(WS.replace("[", "[^", 1)))
+    return seen.select(*(keys or []), "page_number", "page_index", "text", normalized("text").alias("normalized_text"), box.alias("bbox"), "block_number", "line_number", "word_number")
 
 
-def pairs(word_rows: DataFrame) -> DataFrame:
+def pairs(word_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Each word with its successor on the line, where their numbers follow each other: raw_text, bbox, ordinal."""
-    line = Window.partitionBy("page_index", "block_number", "line_number").orderBy("word_number")
+    keys = keys or []
+    line = Window.partitionBy(*keys, "page_index", "block_number", "line_number").orderBy("word_number")
     after = F.lead(F.struct("text", "bbox", "word_number")).over(line)
     return (
         word_rows.withColumn("after", after).filter(F.col("after.word_number") == F.col("word_number") + 1)
-        .select("page_number", "page_index", "block_number", "line_number", "word_number", F.concat_ws(" ", "text", "after.text").alias("raw_text"), joined_box(F.col("bbox"), F.col("after.bbox")).alias("bbox"))
+        .select(*keys, "page_number", "page_index", "block_number", "line_number", "word_number", F.concat_ws(" ", "text", "after.text").alias("raw_text"), joined_box(F.col("bbox"), F.col("after.bbox")).alias("bbox"))
     )
 
 
 def evaluate(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows whose text is a catalog id, or has a letter, a digit and the shape of one."""
-    bare = rows.withColumn("normalized_text", normalized(unwrapped("raw_text"))).filter("normalized_text <> ''")
-    exact = bare.join(cat.by_id(catalog), F.col("normalized_text") == F.col("pole_id"), "left")
+    """Rows whose text is a catalog id, or has a letter, a digit and the shape of one.
+
+    Nearly all texts are neither: they are dropped where they stand, against ids and shapes that are broadcast when counted to be few. Of more,
+    distinct texts are matched first, and only rows with a text that matched are shuffled.
+    """
+    bare = rows.withColumn("normalized_text", normalized(unwrapped("raw_text")))
+    ids = cat.by_id(catalog).select(F.col("pole_id").alias("id"), "match_count", "source_ids")
+    few = cat.few(ids)
+    # only the ids travel: their counts and sources join the few rows that matched
+    known = ids.select("id")
+    shapes = cat.shapes(catalog).select(F.col("shape").alias("known_shape"))
+    matched = _matched(bare, F.broadcast(known), F.broadcast(shapes)) if few else bare.join(_matched(bare.select("normalized_text").distinct(), known, shapes), "normalized_text")
+    found = matched.join(ids, F.col("normalized_text") == F.col("id"), "left")
+    return found.select(*bare.columns, "match_status", F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("source_ids", F.array().cast("array<string>")).alias("matched_source_ids"))
+
+
+def _matched(texts: DataFrame, ids: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Those of ``texts`` (normalized_text and more) that match, with match_status."""
+    exact = texts.join(ids.withColumnRenamed("id", "known_id"), F.col("normalized_text") == F.col("known_id"), "left")
     # a join key is a column of its own: a sort would evaluate an expression at each comparison
-    shaped = exact.withColumn("__own", shape("normalized_text")).join(cat.shapes(catalog).select(F.col("shape").alias("__shape")), F.col("__own") == F.col("__shape"), "left")
-    status = F.when(F.col("pole_id").isNotNull(), "reference_exact").when(F.col("__shape").isNotNull() & letter_and_digit("normalized_text"), "reference_pattern")
-    return shaped.withColumn("match_status", status).filter("match_status is not null").select(
-        *bare.columns, "match_status", F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("source_ids", F.array().cast("array<string>")).alias("matched_source_ids")
-    )
+    shaped = exact.withColumn("own_shape", F.when(F.col("known_id").isNull() & letter_and_digit("normalized_text"), shape("normalized_text")))
+    shaped = shaped.join(shapes, F.col("own_shape") == F.col("known_shape"), "left").filter("normalized_text <> '' and (known_id is not null or known_shape is not null)")
+    return shaped.select(*texts.columns, F.when(F.col("known_id").isNotNull(), "reference_exact").otherwise("reference_pattern").alias("match_status"))
 
 
-def candidates(word_rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def candidates(word_rows: DataFrame, catalog: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Single words and pairs, the first of each page, box, text and status: single words come first, in reading order."""
-    single = word_rows.select("page_number", "page_index", "block_number", "line_number", "word_number", F.col("text").alias("raw_text"), "bbox", F.lit(0).alias("pass"))
-    both = single.unionByName(pairs(word_rows).withColumn("pass", F.lit(1)))
-    first = Window.partitionBy("page_index", "bbox", "normalized_text", "match_status").orderBy("pass", "block_number", "line_number", "word_number")
+    keys = keys or []
+    single = word_rows.select(*keys, "page_number", "page_index", "block_number", "line_number", "word_number", F.col("text").alias("raw_text"), "bbox", F.lit(0).alias("pass"))
+    both = single.unionByName(pairs(word_rows, keys).withColumn("pass", F.lit(1)))
+    first = Window.partitionBy(*keys, "page_index", "bbox", "normalized_text", "match_status").orderBy("pass", "block_number", "line_number", "word_number")
     return evaluate(both, catalog).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
@@ -50,15 +67,16 @@ def in_reading_order(found: DataFrame) -> DataFrame:
     return found.orderBy("page_index", F.get("bbox", 1), F.get("bbox", 0), "normalized_text", "pass", "block_number", "line_number", "word_number")
 
 
-def page_summary(pages: DataFrame, word_rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Counts for every page of ``pages`` (page_number), those without words included."""
-    w = word_rows.groupBy("page_number").agg(F.count("*").alias("native_word_count"))
-    c = found.groupBy("page_number").agg(
+def page_summary(pages: DataFrame, word_rows: DataFrame, found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Counts for every page of ``pages`` (keys, page_number), those without words included."""
+    keys = [*(keys or []), "page_number"]
+    w = word_rows.groupBy(*keys).agg(F.count("*").alias("native_word_count"))
+    c = found.groupBy(*keys).agg(
         F.count("*").alias("candidate_count"), F.count_if(F.col("match_status") == "reference_exact").alias("exact_match_count"), F.count_if(F.col("match_status") == "reference_pattern").alias("pattern_match_count")
     )
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
-    return pages.select("page_number").distinct().join(w, "page_number", "left").join(c, "page_number", "left").select(
-        "page_number", (F.col("page_number") - 1).alias("page_index"), *map(zero, ("native_word_count", "candidate_count", "exact_match_count", "pattern_match_count"))
+    return pages.select(*keys).distinct().join(w, keys, "left").join(c, keys, "left").select(
+        *keys, (F.col("page_number") - 1).alias("page_index"), *map(zero, ("native_word_count", "candidate_count", "exact_match_count", "pattern_match_count"))
     )
 
 

@@ -76,8 +76,12 @@ def tiles(pages: DataFrame, *, keys: list[str], dpi: int = 225, tile_pixels: int
     """Tiles of each page (width_points, height_points), row by row from 1, with boxes to three places."""
     size = tile_pixels * 72.0 / dpi
     step = size * (1.0 - overlap)
-    rows = pages.select(*keys, "width_points", "height_points", F.posexplode(axis_starts(F.col("height_points"), size, step)).alias("r", "y0"))
-    cells = rows.select("*", F.posexplode(axis_starts(F.col("width_points"), size, step)).alias("c", "x0"), F.size(axis_starts(F.col("width_points"), size, step)).alias("across"))
+    # starts depend on a page's size alone, and pages have few sizes
+    sizes = pages.select("width_points", "height_points").distinct()
+    sizes = sizes.withColumns({"xs": axis_starts(F.col("width_points"), size, step), "ys": axis_starts(F.col("height_points"), size, step)})
+    placed = pages.select(*keys, "width_points", "height_points").join(sizes, ["width_points", "height_points"])
+    rows = placed.select("*", F.size("xs").alias("across"), F.posexplode("ys").alias("r", "y0"))
+    cells = rows.select("*", F.posexplode("xs").alias("c", "x0"))
     box = [F.col("x0"), F.col("y0"), F.least(F.col("x0") + size, "width_points"), F.least(F.col("y0") + size, "height_points")]
     return cells.select(
         *keys, (F.col("r") * F.col("across") + F.col("c") + 1).alias("tile_index"), (F.col("r") + 1).alias("tile_row"), (F.col("c") + 1).alias("tile_column"), F.array(*[F.round(x, 3) for x in box]).alias("pdf_bbox")

@@ -19,7 +19,7 @@ def numbers(requests: DataFrame, last: int | Column = 0, *, by: list[str], year:
 
     The order is made in two steps: numbers within range partitions, then each partition's start, so that no task holds all rows.
     """
-    ranged = requests.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id())
+    ranged = held(requests.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()))
     part = F.shiftright("__m", 33)
     counts = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))
     # a row for each partition, never one for each request
@@ -30,6 +30,18 @@ def numbers(requests: DataFrame, last: int | Column = 0, *, by: list[str], year:
     return out.withColumn("number", number).withColumn("permit_number", F.concat_ws("-", F.col("number").cast("string"), year.cast("string"))).drop("__m", "__p", "__start")
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """``rows``, kept for both uses as they were computed once, as ranges that are sampled anew may differ: in the checkpoint folder where one is set."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
+
+
+def identified(permits: DataFrame) -> DataFrame:
+    """Permits with object_id and global_id, which their poles name: made from the number, so that a batch run again gives the same."""
+    d = F.upper(F.md5(F.concat(F.lit("permit "), "permit_number")))
+    parts = [F.substring(d, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return permits.withColumns({"object_id": F.col("number"), "global_id": F.concat(F.lit("{"), F.concat_ws("-", *parts), F.lit("}"))})
+
+
 def placed(poles: DataFrame) -> DataFrame:
     return poles.filter("x is not null and y is not null")
 
@@ -43,10 +55,11 @@ def permit_rows(requests: DataFrame, poles: DataFrame, keys: list[str]) -> DataF
 
 
 def pole_rows(requests: DataFrame, poles: DataFrame, keys: list[str], threshold: float = 0.85) -> DataFrame:
-    """A row for each placed pole of a permit."""
+    """A row for each placed pole of a permit, with its permit's global id where ``requests`` have one."""
     confidence = F.coalesce("confidence", F.lit(0.0))
-    return placed(poles).join(requests.select(*keys, "permit_number"), keys).select(
-        *keys, "permit_number", "pole_id", owner("pole_id").alias("pole_owner"), confidence.alias("confidence"), pole_status(confidence, threshold).alias("status"), "x", "y", F.lit(WKID).alias("wkid")
+    own = [F.col("global_id").alias("permit_globalid")] if "global_id" in requests.columns else []
+    return placed(poles).join(requests.select(*keys, "permit_number", *own), keys).select(
+        *keys, "permit_number", *(["permit_globalid"] if own else []), "pole_id", owner("pole_id").alias("pole_owner"), confidence.alias("confidence"), pole_status(confidence, threshold).alias("status"), "x", "y", F.lit(WKID).alias("wkid")
     )
 
 

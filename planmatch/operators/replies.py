@@ -22,14 +22,16 @@ def unfenced(c: Column) -> Column:
 
 
 def first_json(text: Column) -> Column:
-    """The first JSON value that starts at a brace or bracket, written anew; null if none does."""
+    """The first JSON value that starts at a brace or bracket, written anew; null if none does, or if values nest deeper than the decoder goes."""
 
     def found(text: str | None) -> str | None:
         decoder = json.JSONDecoder()
         for i, c in enumerate(text or ""):
             if c in "{[":
                 try:
-                    return json.dumps(decoder.raw_decode(text[i:])[0])
+                    return json.dumps(decoder.raw_decode(text, i)[0])
+                except RecursionError:
+                    return None
                 except ValueError:
                     pass
         return None

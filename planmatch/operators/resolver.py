@@ -65,10 +65,11 @@ def spelled(readings: DataFrame, catalog: DataFrame) -> DataFrame:
     return r.select(*[c for c in readings.columns if c not in SPELLED], *SPELLED)
 
 
-def resolve(readings: DataFrame, catalog: DataFrame) -> DataFrame:
+def resolve(readings: DataFrame, catalog: DataFrame, *, keep: bool = False) -> DataFrame:
     """``readings`` (raw_text, explicit_pole_context and whatever else) with their resolution.
 
-    It depends on the normalised text and the context alone: each distinct pair is resolved once and joined back.
+    It depends on the normalised text and the context alone: each distinct pair is resolved once and joined back. ``keep`` holds the resolved
+    texts in memory, and on disk beyond it, for plans that use the result more than once; ``spark.catalog.clearCache()`` lets go of them.
     """
     rows = readings.withColumn("raw_text", trimmed(F.coalesce(F.col("raw_text").cast("string"), F.lit(""))))
     rows = rows.withColumn("__norm", normalized("raw_text")).withColumn("__context", F.coalesce(F.col("explicit_pole_context"), F.lit(False)))
@@ -77,6 +78,8 @@ def resolve(readings: DataFrame, catalog: DataFrame) -> DataFrame:
     tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.select(*keys).distinct().repartition(tasks, *keys).withColumn("raw_text", F.col("__norm")).withColumn("explicit_pole_context", F.col("__context"))
     found = resolve_texts(texts, catalog, keys).drop("raw_text", "explicit_pole_context", "raw_normalized_text")
+    if keep:
+        found = found.persist()
     given = [c for c in rows.columns if c in keys or c not in found.columns]
     return rows.select(*given).join(found, keys).drop("__context").withColumnRenamed("__norm", "raw_normalized_text")
 

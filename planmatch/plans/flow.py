@@ -1,50 +1,56 @@
-"""The whole flow over tables: text and images of many documents to poles and permits, every step a DataFrame."""
+"""The whole flow over tables: text and images of many documents to poles and permits, every step a DataFrame keyed by document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planmatch.errors import EngineError
 from planmatch.functions.text import explicit_label
 from planmatch.operators import evidence, geometry, merge, native, pages, permits, replies, resolver
 
+DOC, PAGE, TILE = ["doc_id"], ["doc_id", "page_number"], ["doc_id", "page_number", "tile_index"]
+
 
 def visual(readings: DataFrame, catalog: DataFrame, *, keys: list[str], tile_keys: list[str], threshold: float = 0.80) -> dict[str, DataFrame]:
     """Parsed readings (tile_keys, pos, raw_text, label_text, model_*) to judged candidates."""
     if "explicit_pole_context" not in readings.columns:
         readings = readings.withColumn("explicit_pole_context", explicit_label("label_text") | explicit_label("raw_text"))
-    resolved = resolver.resolve(readings, catalog)
-    judged = evidence.judged(evidence.candidates(resolved, tile_keys), keys, threshold)
+    resolved = resolver.resolve(readings, catalog, keep=True)
+    judged = evidence.judged(evidence.candidates(resolved, tile_keys), keys, threshold).persist()
     return {"resolved": resolved, "ignored": evidence.ignored(resolved), "judged": judged, "review_queue": evidence.review_queue(judged)}
 
 
+def selected_pages(inspected: DataFrame, summaries: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages that go on to visual reading. Text pages without a match go on only in documents whose whole text has no exact match."""
+    matched = found.filter("match_status = 'reference_exact'").select(*DOC).distinct()
+    bare = inspected.filter("content_type = 'embedded_text'").join(matched, DOC, "left_anti")
+    both = pages.select(inspected, summaries, keys=PAGE).unionByName(pages.select(bare, summaries, keys=PAGE, with_unmatched_text=True))
+    return both.groupBy(*PAGE).agg(F.max_by("content_type", F.size("reasons")).alias("content_type"), F.max_by("reasons", F.size("reasons")).alias("reasons"))
+
+
 def run(*, catalog: DataFrame, inspections: DataFrame, words: DataFrame, previews: DataFrame, tile_replies: DataFrame, requests: DataFrame, year: int, last_number: int = 0) -> dict[str, DataFrame]:
-    """All relations of the flow for one set of documents, lazily.
+    """All relations of the flow, lazily, for any number of documents, which doc_id tells apart throughout. What several of them are made from
+    (candidates in text, selected pages, assessments, judged readings, poles) is kept once computed; ``spark.catalog.clearCache()`` lets go of it.
 
-    inspections, words: by page_number; previews: page_number, raw_response; tile_replies: page_number, tile_index, raw_response;
-    requests: doc_id, submitted_at, one row at most, which is counted at once, as all poles are its document's. Documents of several sets are told apart by running sets with their own page numbers.
+    inspections, words (raw): doc_id, page_number, ...; previews: doc_id, page_number, raw_response; tile_replies: doc_id, page_number, tile_index,
+    raw_response; requests: doc_id, submitted_at. A request without poles has a permit without a work area; a document without a request has none.
     """
-    if requests.limit(2).count() > 1:
-        raise EngineError("poles of one set of documents can't be dealt to more than one request")
-    found = native.candidates(words, catalog)
-    summaries = native.page_summary(inspections, words, found)
+    word_rows = native.words(words, DOC)
+    found = native.candidates(word_rows, catalog, DOC).persist()
+    summaries = native.page_summary(inspections, word_rows, found, DOC)
     inspected = pages.inspect(inspections)
-    none_exact = found.agg(F.count_if(F.col("match_status") == "reference_exact") == 0).scalar()
-    selected = pages.select(inspected, summaries, keys=["page_number"]).unionByName(
-        # text pages without a match go on only where the whole text has none
-        pages.select(inspected.filter("content_type = 'embedded_text'").filter(none_exact), summaries, keys=["page_number"], with_unmatched_text=True)
-    ).groupBy("page_number").agg(F.max_by("content_type", F.size("reasons")).alias("content_type"), F.max_by("reasons", F.size("reasons")).alias("reasons"))
-    routed = pages.route(replies.assessments(previews.join(selected.select("page_number"), "page_number", "left_semi")), 0.90)
-    chosen = pages.relevant(routed, selected, ["page_number"])
-    grid = pages.tiles(inspected.join(chosen.select("page_number"), "page_number", "left_semi"), keys=["page_number"])
-    read = replies.readings(tile_replies.join(grid.select("page_number", "tile_index"), ["page_number", "tile_index"], "left_semi"), ["page_number", "tile_index"])
-    seen = visual(read, catalog, keys=["page_number"], tile_keys=["page_number", "tile_index"])
-    poles = merge.accepted(found, seen["judged"], catalog)
-    numbered = permits.numbers(requests, last_number, by=["submitted_at", "doc_id"], year=F.lit(year))
-    owned = poles.crossJoin(F.broadcast(numbered.select("doc_id")))
-    permit = permits.permit_rows(numbered, owned, ["doc_id"])
+    selected = selected_pages(inspected, summaries, found).persist()
+    assessed = replies.assessments(previews.join(selected.select(*PAGE), PAGE, "left_semi")).persist()
+    routed = pages.route(assessed, 0.90)
+    chosen = pages.relevant(routed, selected, PAGE)
+    grid = pages.tiles(inspected.join(chosen.select(*PAGE), PAGE, "left_semi"), keys=PAGE)
+    asked = tile_replies.join(grid.select(*TILE), TILE, "left_semi")
+    seen = visual(replies.readings(asked, TILE), catalog, keys=PAGE, tile_keys=TILE)
+    poles = merge.accepted(found, seen["judged"], catalog, DOC).persist()
+    numbered = permits.identified(permits.numbers(requests, last_number, by=["submitted_at", "doc_id"], year=F.lit(year)))
+    permit = permits.permit_rows(numbered, poles, DOC)
     return {
-        "native": found, "summaries": summaries, "selected": selected, "routed": routed, "skipped": pages.skipped(routed, ["page_number"]), "tiles": grid, **seen, "poles": poles, "status": merge.status(poles, seen["judged"]),
-        "permits": geometry.polygons(permit, geometry.work_areas(owned, ["doc_id"]), ["doc_id"]), "pole_rows": permits.pole_rows(numbered, owned, ["doc_id"]),
+        "native": found, "summaries": summaries, "selected": selected, "routed": routed, "skipped": pages.skipped(routed, PAGE), "tiles": grid, **seen, "poles": poles,
+        "status": merge.status(poles, seen["judged"], requests.select(*DOC)), "totals": evidence.totals(seen["judged"], seen["ignored"], assessed, replies.errors(asked)),
+        "permits": geometry.polygons(permit, geometry.work_areas(poles, DOC), DOC), "pole_rows": permits.pole_rows(numbered, poles, DOC),
     }

@@ -10,7 +10,8 @@ TILE = "page_number, tile_index"
 
 
 def norm(c: str) -> str:
-    return rf"regexp_replace(upper({c}), '\s', '', 'g')"
+    """Upper case as Java has it: one letter in it becomes two."""
+    return rf"regexp_replace(upper(replace({c}, 'ß', 'SS')), '\s', '', 'g')"
 
 
 def shape(c: str) -> str:
@@ -30,9 +31,11 @@ def listed(c: str) -> str:
 KNOWN, SEPARATED, FLUSH = r"^(?:P-|P#|PP#|POLE-?NO:?|POLE#?:?)(.+)$", r"^[A-Z]{1,4}[\-#:.,/]+([A-Z0-9]+)$", r"^([A-Z]{1,2})([0-9][A-Z0-9]*)$"
 LETTERS = r"letters as (select list(distinct left(pole_id_normalized, 1)) l from fx_catalog where regexp_matches(left(pole_id_normalized, 1), '\p{L}'))"
 EXPLICIT = "regexp_matches({}, '^(?:P#|PP-|POLE(?:#|:|NO\\.?|NUMBER))')"
+#: Every distinct text and context is spelled and resolved once, under a number, and joined back to the readings.
 SPELLED = (
     f"""{LETTERS},
-r0 as (select *, {EXPLICIT.format(norm("label_text"))} or {EXPLICIT.format(norm("raw_text"))} as explicit_pole_context, {norm("raw_text")} as norm from fx_readings),
+rd as materialized (select *, {EXPLICIT.format(norm("label_text"))} or {EXPLICIT.format(norm("raw_text"))} as explicit_pole_context, {norm("raw_text")} as norm from fx_readings),
+r0 as materialized (select row_number() over (order by norm, explicit_pole_context) as tid, * from (select distinct norm, explicit_pole_context from rd)),
 r1 as (select r0.*, {unknown("norm")} as unknown, translate(norm, '-#:.,/', '') as joined,
     case when starts_with(norm, 'PP-') then substr(norm, 4) when regexp_matches(norm, '{KNOWN}') then ltrim(regexp_extract(norm, '{KNOWN}', 1), '-#:.,/')
          when regexp_matches(norm, '{SEPARATED}') and regexp_matches(regexp_extract(norm, '{SEPARATED}', 1), '[0-9]') then regexp_extract(norm, '{SEPARATED}', 1)
@@ -41,17 +44,17 @@ r1 as (select r0.*, {unknown("norm")} as unknown, translate(norm, '-#:.,/', '')
          when regexp_matches(norm, '{SEPARATED}') and regexp_matches(regexp_extract(norm, '{SEPARATED}', 1), '[0-9]') then 'removed_generic_plan_prefix'
          when regexp_matches(norm, '{FLUSH}') and not list_has_any(string_split(regexp_extract(norm, '{FLUSH}', 1), ''), l) then 'removed_unspaced_plan_prefix' end as pname from r0, letters),
 r2 as (select *, pbody is null and explicit_pole_context and regexp_matches(norm, '^[0-9]') as context, {unknown("pbody")} as body_unknown from r1),
-r as (select *, case when context then norm else pbody end as body, coalesce(pname, 'model_confirmed_explicit_pole_context') as name from r2),
+r as materialized (select *, case when context then norm else pbody end as body, coalesce(pname, 'model_confirmed_explicit_pole_context') as name from r2),
 pen(name, cost) as (values {", ".join(f"('{k}', {v})" for k, v in PENALTY.items())}),
 look(digit, letter, cost, step, o) as (values {", ".join(f"('{a}', '{b}', {c}, '{lookalike_name(a, b)}', {i})" for i, (a, b, c) in enumerate(LOOKALIKES, 1))}),
-base as (select {TILE}, pos, context, 0 as o, body as text, cost as penalty, [name] as steps from r join pen using (name) where body is not null and body_unknown is null and norm <> '' and unknown is null and body <> ''
-    union all select {TILE}, pos, context, o, look.letter || substr(body, 2), pen.cost + look.cost, [name, step] from r join pen using (name) join look on left(body, 1) = look.digit, letters
+base as (select tid, context, 0 as o, body as text, cost as penalty, [name] as steps from r join pen using (name) where body is not null and body_unknown is null and norm <> '' and unknown is null and body <> ''
+    union all select tid, context, o, look.letter || substr(body, 2), pen.cost + look.cost, [name, step] from r join pen using (name) join look on left(body, 1) = look.digit, letters
         where body is not null and body_unknown is null and norm <> '' and unknown is null and list_contains(l, look.letter)),
-more as (select {TILE}, pos, o, case when ends_with(text, 'F') then left(text, len(text) - 1) else text || 'F' end as text, penalty + 1500 as penalty,
+more as (select tid, o, case when ends_with(text, 'F') then left(text, len(text) - 1) else text || 'F' end as text, penalty + 1500 as penalty,
     list_append(steps, case when ends_with(text, 'F') then 'removed_terminal_f' else 'added_terminal_f' end) as steps from base where not context),
-v as (select {TILE}, pos, 0 as phase, 0 as o, norm as text, 0 as penalty, []::varchar[] as steps from r where norm <> '' and unknown is null
-    union all select {TILE}, pos, 1, 0, joined, 0, ['removed_identifier_separators'] from r where norm <> '' and unknown is null and joined <> norm and joined <> ''
-    union all select {TILE}, pos, 2, o, text, penalty, steps from base union all select {TILE}, pos, 3, o, text, penalty, steps from more where text <> '')"""
+v as materialized (select tid, 0 as phase, 0 as o, norm as text, 0 as penalty, []::varchar[] as steps from r where norm <> '' and unknown is null
+    union all select tid, 1, 0, joined, 0, ['removed_identifier_separators'] from r where norm <> '' and unknown is null and joined <> norm and joined <> ''
+    union all select tid, 2, o, text, penalty, steps from base union all select tid, 3, o, text, penalty, steps from more where text <> '')"""
 )
 NEIGHBOURS = r"""nid as (select distinct pole_id_normalized as pole_id, regexp_extract(pole_id_normalized, '^([A-Z]+)([0-9]+)(F?)$', 1) as l, regexp_extract(pole_id_normalized, '^([A-Z]+)([0-9]+)(F?)$', 2) as d
     from fx_catalog where regexp_matches(pole_id_normalized, '^[A-Z]+[0-9]+F?$')),
@@ -60,22 +63,22 @@ nb as (select a.pole_id, list_sort(list(distinct b.pole_id)) as neighbours from
 RESOLVED = f"""{SPELLED}, {NEIGHBOURS},
 ids as (select pole_id_normalized as pole_id, count(*) as match_count, list_sort(list(distinct source_id)) as source_ids, coalesce(any_value(nb.neighbours), []) as neighbours
     from fx_catalog left join nb on nb.pole_id = pole_id_normalized group by 1),
-h0 as (select v.*, ids.*, min(phase) over (partition by {TILE}, pos) as best from v join ids on v.text = ids.pole_id),
-h as (select {TILE}, pos, phase, list(penalty order by penalty, pole_id) as penalties, list(pole_id order by penalty, pole_id) as found, arg_min(steps, (penalty, pole_id)) as steps, arg_min(match_count, (penalty, pole_id)) as n,
+h0 as (select v.*, ids.*, min(phase) over (partition by tid) as best from v join ids on v.text = ids.pole_id),
+h as (select tid, phase, list(penalty order by penalty, pole_id) as penalties, list(pole_id order by penalty, pole_id) as found, arg_min(steps, (penalty, pole_id)) as steps, arg_min(match_count, (penalty, pole_id)) as n,
     arg_min(source_ids, (penalty, pole_id)) as own_sources, arg_min(neighbours, (penalty, pole_id)) as own_near, list_sort(list_distinct(flatten(list(source_ids)))) as all_sources, list_sort(list_distinct(flatten(list(neighbours)))) as all_near
-    from h0 where phase = best group by {TILE}, pos, phase),
+    from h0 where phase = best group by tid, phase),
 shapes as (select distinct {shape("pole_id_normalized")} as s from fx_catalog where pole_id_normalized <> ''),
-texts as (select {TILE}, pos, list(text order by phase, o) filter (phase = 2) as t2, list(text order by phase, o) filter (phase >= 2) as t23 from v group by {TILE}, pos),
+texts as (select tid, list(text order by phase, o) filter (phase = 2) as t2, list(text order by phase, o) filter (phase >= 2) as t23 from v group by tid),
 j as (select r.*, h.phase, h.penalties, h.found, h.steps, h.n, h.own_sources, h.own_near, h.all_sources, h.all_near, s is not null as known, coalesce(t2, []) as t2, coalesce(t23, []) as t23,
     h.phase >= 2 and len(found) > 1 and penalties[2] - penalties[1] < 500 as ambiguous
-    from r left join h using ({TILE}, pos) left join shapes on s = {shape("norm")} left join texts using ({TILE}, pos)),
+    from r left join h using (tid) left join shapes on s = {shape("norm")} left join texts using (tid)),
 k as (select *, case when norm = '' then 'ignored' when unknown is not null then 'unknown_by_design' when phase = 0 then 'reference_exact' when phase = 1 then 'reference_resolved' when body_unknown is not null then 'unknown_by_design'
         when body is null and not known then 'ignored' when ambiguous then 'reference_ambiguous' when phase >= 2 then 'reference_resolved' else 'not_found' end as status,
     case when norm = '' then 'ignored_empty_text' when unknown is not null then 'drafter_marked_pole_unknown' when phase = 0 then 'catalog_exact' when phase = 1 then 'catalog_exact_after_separator_removal'
         when body_unknown is not null then 'drafter_marked_pole_unknown' when body is null and not known then 'ignored_non_pole_text' when body is null then 'catalog_exact_not_found'
         when ambiguous then 'catalog_constrained_ambiguous' when phase >= 2 then 'catalog_constrained_normalization' else 'catalog_constrained_not_found' end as resolution_method,
     case when phase = 0 then norm when phase = 1 then joined else body end as own from j),
-res as (select {TILE}, pos, raw_text, label_text, model_confidence, model_reports_complete, model_reports_edge_clipped, explicit_pole_context, norm as raw_normalized_text, status, resolution_method, found, penalties,
+rt as materialized (select norm, explicit_pole_context, norm as raw_normalized_text, status, resolution_method, found, penalties,
     case when status in ('reference_exact', 'reference_resolved') then found[1] end as resolved_pole_id,
     case when status in ('reference_exact', 'reference_resolved') then steps else [] end as transformations,
     case when norm = '' then [] when unknown is not null then [unknown] when phase = 0 then [norm] when phase = 1 then [norm, joined] when body_unknown is not null then [body] when body is null then [norm] when phase = 2 then t2 else t23 end as candidate_variants,
@@ -84,7 +87,8 @@ res as (select {TILE}, pos, raw_text, label_text, model_confidence, model_report
     case when status like 'reference%' then (10000 - penalties[1]) / 10000.0 else 0.0 end::double as resolution_confidence,
     case when status in ('reference_exact', 'reference_resolved') then ends_with(own, 'F') = ends_with(found[1], 'F') end as f_suffix_agrees,
     case when status in ('reference_exact', 'reference_resolved') then own_near when status = 'reference_ambiguous' then all_near else [] end as near,
-    coalesce(list_has_any(steps, ['added_terminal_f', 'removed_terminal_f']), false) as toggled from k)"""
+    coalesce(list_has_any(steps, ['added_terminal_f', 'removed_terminal_f']), false) as toggled from k),
+res as materialized (select {TILE}, pos, raw_text, label_text, model_confidence, model_reports_complete, model_reports_edge_clipped, rt.* exclude (norm) from rd join rt using (norm, explicit_pole_context))"""
 CANDIDATES = f"""{RESOLVED},
 cand as (select * from (select *, coalesce(resolved_pole_id, raw_normalized_text) as normalized_text, case when status in ('reference_exact', 'reference_resolved') then 'reference_exact' else status end as catalog_match_status,
     row_number() over (partition by {TILE}, coalesce(resolved_pole_id, raw_normalized_text) order by pos) as n
@@ -110,7 +114,7 @@ pp as (select * from (select (page_number - 1)::bigint as doc_id, normalized_tex
 placed as (select *, case when ends_with(pole_id, 'F') then 'Foreign' else 'City' end as pole_owner from pp where x is not null and y is not null)"""
 R = f"{fx.DUCK_CATALOG}, {fx.DUCK_READINGS}"
 
-BARE = """regexp_replace(regexp_replace(upper({}), '^[ \\t\\r\\n.,;:!?()\\[\\]{{}}<>"''`]+|[ \\t\\r\\n.,;:!?()\\[\\]{{}}<>"''`]+$', '', 'g'), '\\s', '', 'g')"""
+BARE = """regexp_replace(regexp_replace(upper(replace({}, 'ß', 'SS')), '^[ \\t\\r\\n.,;:!?()\\[\\]{{}}<>"''`]+|[ \\t\\r\\n.,;:!?()\\[\\]{{}}<>"''`]+$', '', 'g'), '\\s', '', 'g')"""
 
 
 def evaluated(rows: str) -> str:
@@ -143,8 +147,8 @@ def starts(length: str) -> str:
     return f"case when {length} <= 576.0 then [0.0::double] else case when {length} - 576.0 - list_max({regular}) > 0.01 then list_append({regular}, {length} - 576.0) else {regular} end end"
 
 
-PARSED = """with {r}, {p} select page_number, tile_index, cast(pos - 1 as int) + 1 as pos, raw_text, label_text, 'unknown' as context_type, round(round(model_confidence * 100) / 100, 4) as model_confidence,
-    case when pos % 5 = 0 then false else model_reports_complete end as model_reports_complete, model_reports_edge_clipped, {e} as explicit_pole_context from fx_readings where pos <= 8""".format(
+PARSED = """with {r}, {p} select page_number, tile_index, ((pos - 1) // 50)::bigint as reply, ((pos - 1) % 50 + 1)::int as pos, raw_text, label_text, 'unknown' as context_type, round(round(model_confidence * 100) / 100, 4) as model_confidence,
+    case when pos % 5 = 0 then false else model_reports_complete end as model_reports_complete, model_reports_edge_clipped, {e} as explicit_pole_context from fx_readings""".format(
     r=fx.DUCK_CATALOG, p=fx.DUCK_READINGS, e=f"{EXPLICIT.format(norm('label_text'))} or {EXPLICIT.format(norm('raw_text'))}"
 )
 STATE = f"""{fx.DUCK_JOBS}, born as (select job_id, min(seq) as born from fx_jobs where event = 'queued' group by 1),
@@ -187,8 +191,8 @@ SQL: dict[str, str] = {
     "reply_parse": PARSED,
     "reply_salvage": PARSED,
     "explicit_pole_label": f"with {R} select {TILE}, pos, raw_text, label_text, {EXPLICIT.format(norm('label_text'))} or {EXPLICIT.format(norm('raw_text'))} as explicit_pole_context from fx_readings",
-    "prefix_removal": f"with {R}, {SPELLED} select {TILE}, pos, norm, {shape('norm')} as shape, unknown as unknown_body, joined, pbody as body, pname as transformation from r",
-    "variants": f"with {R}, {SPELLED} select {TILE}, pos, phase::int as phase, text, penalty::int as penalty, {listed('steps')} as steps from v",
+    "prefix_removal": f"with {R}, {SPELLED} select {TILE}, pos, norm, {shape('norm')} as shape, unknown as unknown_body, joined, pbody as body, pname as transformation from rd join r using (norm, explicit_pole_context)",
+    "variants": f"with {R}, {SPELLED} select {TILE}, pos, phase::int as phase, text, penalty::int as penalty, {listed('steps')} as steps from rd join r0 using (norm, explicit_pole_context) join v using (tid)",
     "resolve": f"""with {R}, {RESOLVED} select {TILE}, pos, raw_normalized_text, status, resolution_method, resolved_pole_id, {listed('transformations')} as transformations, {listed('candidate_variants')} as candidate_variants, match_count::bigint as match_count,
         {listed('matched_source_ids')} as matched_source_ids, resolution_confidence, f_suffix_agrees, len(near) as id_neighborhood_count, {listed('near[1:12]')} as id_neighborhood_ids,
         case when status in ('reference_exact', 'reference_resolved') then len(near) > 0 or toggled else status = 'reference_ambiguous' end as requires_spatial_confirmation from res""",

@@ -16,6 +16,7 @@ from planmatch.sources import pdf
 from planmatch.streaming import jobs
 
 TILE, PAGE = ["page_number", "tile_index"], ["page_number"]
+REPLY = [*TILE, "reply"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -144,6 +145,7 @@ def image_coverage(spark, d):
 
 
 def _page_counts(p: DataFrame) -> DataFrame:
+    """Summaries of six pages in seven: a page without one is part of what is tested, as its reasons then come from its inspection alone."""
     n = F.col("page_number")
     return p.filter(n % 7 != 0).select("doc_id", "page_number", F.col("embedded_word_count").alias("native_word_count"), (n % 3).alias("exact_match_count"), (n % 2).alias("pattern_match_count"))
 
@@ -186,14 +188,14 @@ def tile_grid(spark, d):
 
 @query
 def reply_parse(spark, d):
-    return replies.readings(fx.replies(spark, d), TILE)
+    return replies.readings(fx.replies(spark, d), REPLY)
 
 
 @query
 def reply_salvage(spark, d):
     """Replies inside prose: the first JSON value is taken out of them."""
     wrapped = fx.replies(spark, d).withColumn("raw_response", F.concat(F.lit("Here is {what} I found: "), F.regexp_replace("raw_response", "```(json)?", ""), F.lit(" -- done")))
-    return replies.readings(wrapped, TILE)
+    return replies.readings(wrapped, REPLY)
 
 
 def _labelled(spark, d):
@@ -220,8 +222,8 @@ def variants(spark, d):
     return r.select(*TILE, "pos", F.explode_outer("variants").alias("v")).filter("v is not null").select(*TILE, "pos", "v.phase", "v.text", F.col("v.penalty").alias("penalty"), joined("v.steps", "steps"))
 
 
-def _resolved(spark, d):
-    return resolver.resolve(_labelled(spark, d), fx.catalog(spark, d))
+def _resolved(spark, d, keep: bool = False):
+    return resolver.resolve(_labelled(spark, d), fx.catalog(spark, d), keep=keep)
 
 
 @query
@@ -244,7 +246,8 @@ def ambiguous_readings(spark, d):
 
 
 def _judged(spark, d):
-    return evidence.judged(evidence.candidates(_resolved(spark, d), TILE), PAGE)
+    """The rules join a page's candidates with its longer ids: resolved texts are used twice."""
+    return evidence.judged(evidence.candidates(_resolved(spark, d, keep=True), TILE), PAGE)
 
 
 @query
@@ -264,7 +267,7 @@ def visual_dedupe(spark, d):
 
 @query
 def visual_totals(spark, d):
-    return evidence.totals(_judged(spark, d), evidence.ignored(_resolved(spark, d)))
+    return evidence.totals(_judged(spark, d), evidence.ignored(_resolved(spark, d, keep=True)))
 
 
 @query
@@ -282,7 +285,8 @@ def review_queue(spark, d):
 
 
 def _pages_of_text(spark, d) -> DataFrame:
-    """Native candidates: readings that print an id in full on every third page."""
+    """Native candidates: readings that print an id in full on every third page. The other pages stand for scans, so that poles are found in text, in images
+    and in both: the merge needs all three."""
     r = fx.readings(spark, d).filter("page_number % 3 = 0").withColumn("normalized_text", normalized("raw_text"))
     ids = fx.catalog(spark, d).select(F.col("pole_id_normalized").alias("normalized_text")).distinct()
     return r.join(ids, "normalized_text").withColumn("match_status", F.lit("reference_exact"))
@@ -326,7 +330,7 @@ def _numbered(spark, d):
 
 
 def _permit_poles(spark, d):
-    """Poles of permits: the accepted poles of a page belong to the permit of that number less one."""
+    """Poles of permits: the accepted poles of a page belong to the permit of that number less one. One permit in ten has none: it has to stay, with counts of zero."""
     found = evidence.accepted(_judged(spark, d)).groupBy((F.col("page_number") - 1).cast("long").alias("doc_id"), F.col("normalized_text").alias("pole_id")).agg(F.max("resolution_confidence").alias("confidence"))
     return found.join(cat.coordinates(fx.catalog(spark, d)), "pole_id").filter("doc_id % 10 <> 3")
 

@@ -1,16 +1,22 @@
-"""Plan sets as files: checks on bytes in expressions, pages and words by an optional parser."""
+"""Plan sets as files: checks on bytes in expressions; pages and words by an optional parser, each file parsed once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planmatch.functions.values import coverage
+
 MAX_MB = 500
-PAGES = "doc_id string, page_number int, page_index int, width_points double, height_points double, embedded_word_count int, image_boxes array<array<double>>"
-WORDS = "doc_id string, page_number int, page_index int, text string, x0 double, y0 double, x1 double, y1 double, block_number int, line_number int, word_number int"
+WORD = "struct<text:string,x0:double,y0:double,x1:double,y1:double,block_number:int,line_number:int,word_number:int>"
+CONTENT = f"doc_id string, page_number int, page_index int, width_points double, height_points double, embedded_word_count int, image_boxes array<array<double>>, words array<{WORD}>"
+_WORD = pa.struct([("text", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1")), *((c, pa.int32()) for c in ("block_number", "line_number", "word_number"))])
+_CONTENT = pa.schema(
+    [("doc_id", pa.string()), ("page_number", pa.int32()), ("page_index", pa.int32()), ("width_points", pa.float64()), ("height_points", pa.float64()), ("embedded_word_count", pa.int32()), ("image_boxes", pa.list_(pa.list_(pa.float64()))), ("words", pa.list_(_WORD))]
+)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -42,32 +48,65 @@ def parser():
     return pymupdf
 
 
-def pages(rows: DataFrame) -> DataFrame:
-    """Page rows of valid files (path as doc_id)."""
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library = parser()
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with library.open(stream=content, filetype="pdf") as document:
-                    rows = [
-                        (path, i + 1, i, page.rect.width, page.rect.height, len(page.get_text("words", sort=False)), [list(map(float, image["bbox"])) for image in page.get_image_info() if image.get("bbox") is not None])
-                        for i, page in enumerate(document)
-                    ]
-                yield pd.DataFrame(rows, columns=["doc_id", "page_number", "page_index", "width_points", "height_points", "embedded_word_count", "image_boxes"])
-
-    return rows.filter("error is null").select("path", "content").mapInPandas(go, PAGES)
-
-
-def words(rows: DataFrame) -> DataFrame:
-    """Word rows of valid files."""
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library = parser()
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with library.open(stream=content, filetype="pdf") as document:
-                    rows = [(path, i + 1, i, w[4], *map(float, w[:4]), *w[5:8]) for i, page in enumerate(document) for w in page.get_text("words", sort=False) if len(w) >= 8 and w[4].strip()]
-                yield pd.DataFrame(rows, columns=["doc_id", "page_number", "page_index", "text", "x0", "y0", "x1", "y1", "block_number", "line_number", "word_number"])
-
-    return rows.filter("error is null").select("path", "content").mapInPandas(go, WORDS)
+def fault(library, content: bytes, name: str) -> str | None:
+    """The first check of an opened file that fails."""
+    try:
+        with library.open(stream=content, filetype="pdf") as document:
+            if not document.is_pdf:
+                return f"the file isn't recognised as a PDF: {name}"
+            if document.needs_pass:
+                return f"the PDF is password protected: {name}"
+            if document.page_count == 0:
+                return f"the PDF has no pages: {name}"
+            if document.load_page(0).rect.get_area() <= 0:
+                return f"the first page has invalid dimensions: {name}"
+    except Exception:  # whatever the library raises means the same to the caller
+        return f"the PDF could not be opened or is damaged: {name}"
+    return None
+
+
+def opened(rows: DataFrame, load: Callable = parser) -> DataFrame:
+    """Validated ``rows`` with the checks that need a parser added to ``error``; ``load`` gives the library, once a task."""
+    schema = rows.schema
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = load()
+        for batch in batches:
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            found = [e if e is not None else fault(library, c, p.rsplit("/", 1)[-1]) for e, c, p in zip(*(columns[n].to_pylist() for n in ("error", "content", "path")))]
+            columns["error"] = pa.array(found, pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(go, schema)
+
+
+def content(rows: DataFrame, load: Callable = parser) -> DataFrame:
+    """A row for each page of files without an error, with its words and the boxes of its images."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = load()
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with library.open(stream=data, filetype="pdf") as document:
+                    for i, page in enumerate(document):
+                        words = page.get_text("words", sort=False)
+                        boxes = [list(map(float, x["bbox"])) for x in page.get_image_info() if x.get("bbox") is not None]
+                        kept = [dict(zip(_WORD.names, (w[4], *map(float, w[:4]), *w[5:8]))) for w in words if len(w) >= 8 and w[4].strip()]
+                        row = (path, i + 1, i, float(page.rect.width), float(page.rect.height), len(words), boxes, kept)
+                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CONTENT)], schema=_CONTENT)
+
+    # a row at a time, as a file may have hundreds of megabytes
+    return rows.filter("error is null").select("path", "content").mapInArrow(go, CONTENT)
+
+
+def pages(content: DataFrame) -> DataFrame:
+    """Page rows as ``operators.pages.inspect`` takes them."""
+    area = F.col("width_points") * F.col("height_points")
+    return content.select(
+        "doc_id", "page_number", "page_index", "width_points", "height_points", "embedded_word_count", F.size("image_boxes").alias("image_count"), coverage(F.col("image_boxes"), area).alias("largest_image_coverage")
+    )
+
+
+def words(content: DataFrame) -> DataFrame:
+    """Word rows as ``operators.native.words`` takes them."""
+    return content.select("doc_id", "page_number", "page_index", F.explode("words").alias("w")).select("doc_id", "page_number", "page_index", "w.*")

@@ -20,10 +20,11 @@ def evidence(report: DataFrame, path: str) -> None:
     report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_features(permits: DataFrame, poles: DataFrame, folder: str) -> None:
-    """Permits first, then their poles: the order in which a remote service would be told."""
-    permits.write.mode("overwrite").parquet(f"{folder}/permits")
-    poles.write.mode("overwrite").parquet(f"{folder}/poles")
+def write_features(permits: DataFrame, poles: DataFrame, folder: str, batch_id: int = 0) -> None:
+    """Permits first, then their poles: the order in which a remote service would be told. Each batch has folders of its own, which the same
+    batch run again replaces and other batches leave as they are; permits without their poles show where a batch broke off."""
+    permits.write.mode("overwrite").parquet(f"{folder}/permits/batch={batch_id}")
+    poles.write.mode("overwrite").parquet(f"{folder}/poles/batch={batch_id}")
 
 
 def attachments(permits: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -68,17 +68,41 @@ def stream_state(events: DataFrame) -> DataFrame:
     return keyed.groupBy("job_id").transformWithStateInPandas(JobState(), OUTPUT, "Update", "None")
 
 
-def serialized(jobs: DataFrame) -> DataFrame:
-    """What a caller sees of a job: the status, and the permit, error or detail that goes with it."""
-    return jobs.select("job_id", "status", F.when(F.col("status") == "failed", F.col("error")).alias("error"), F.when(F.col("status").isin("queued", "processing"), F.col("detail")).alias("detail"))
+def serialized(jobs: DataFrame, permits: DataFrame | None = None) -> DataFrame:
+    """What a caller sees of a job: the status, and the error or detail that goes with it; with ``permits`` (job_id, object_id, global_id, permit_number,
+    pole_count) also the permit of a completed one."""
+    out = jobs.select("job_id", "status", F.when(F.col("status") == "failed", F.col("error")).alias("error"), F.when(F.col("status").isin("queued", "processing"), F.col("detail")).alias("detail"))
+    if permits is None:
+        return out
+    names = {"objectId": "object_id", "globalId": "global_id", "permitNumber": "permit_number", "poleCount": "pole_count"}
+    own = permits.select("job_id", F.struct(*[F.col(c).alias(n) for n, c in names.items()]).alias("permit"))
+    return out.join(own, "job_id", "left").withColumn("permit", F.when(F.col("status") == "completed", F.col("permit")))
 
 
-def progress(readings: DataFrame, order: list[str]) -> DataFrame:
-    """Running number of candidates after each tile (order, candidate_count), one document's tiles in one window."""
-    keys = ["doc_id"] if "doc_id" in readings.columns else []
-    names = ", ".join([*keys, *order])
-    part = f"partition by {', '.join(keys)} " if keys else ""
-    return readings.selectExpr(*keys, *order, "candidate_count", f"sum(candidate_count) over ({part}order by {', '.join(order)} rows unbounded preceding) as found_so_far").orderBy(*names.split(", "))
+#: What a job says while it runs, by step.
+STEPS = {
+    "validate": "Checking the plan set...", "catalog": "Loading the pole catalog...", "native": "Searching the text of %d page(s)...", "preview": "Looking at page %d of %d...", "tile": "Reading tile %d of %d; %d candidate(s) so far...",
+    "create": "Creating the permit and %d pole(s)...", "empty": "No poles were found: creating an empty permit...",
+}
+
+
+def message(step: str, *values: Column | str) -> Column:
+    """A step's text with its numbers."""
+    return F.format_string(STEPS[step], *values)
+
+
+def progress(readings: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Running number of candidates after each tile (keys, order, candidate_count) and the text that says so: a window for each document."""
+    keys = keys if keys is not None else [c for c in ("doc_id",) if c in readings.columns]
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return readings.select(*keys, *order, "candidate_count", F.sum("candidate_count").over(window).alias("found_so_far"))
+
+
+def progress_messages(progressed: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
+    """Events (keys, seq, event, text) of tiles read, for the job state."""
+    window = Window.partitionBy(*keys)
+    seq = F.row_number().over(window.orderBy(*order))
+    return progressed.select(*keys, seq.alias("seq"), F.lit("progress").alias("event"), message("tile", seq, F.count("*").over(window), F.col("found_so_far")).alias("text"))
 
 
 class PermitNumbers:
