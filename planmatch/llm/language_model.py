@@ -144,19 +144,22 @@ class Trie:
     def close(self) -> None:
         self._file.close()
 
-    def look_up(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the share of each word in its context, NONE where it has none, and of what the shorter context gets."""
-        share, back = np.full(len(word), NONE, np.uint16), np.zeros(len(word), np.uint16)
-        c = self.contexts.find(context)
+    def look_up(self, contexts: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the share of each word in its context, NONE where it has none, and of what the shorter context gets. ``owner``: the number of each
+        word's context among the distinct ``contexts``, which are searched, and their pointers read, once each."""
+        share, back = np.full(len(word), NONE, np.uint16), np.zeros(len(contexts), np.uint16)
+        c = self.contexts.find(contexts)
         known = np.flatnonzero(c >= 0)
         if len(known):
-            c, w = c[known], word[known]
-            back[known] = self.back[c]
-            first, end = (self.pointers.get(i).astype(np.int64) for i in (c, c + 1))
-            at = self.successors.find(c.astype(np.uint64) * np.uint64(self.words) + w.astype(np.uint64), first, end)
-            if len(self.p):
-                share[known] = np.where(at >= 0, self.p[np.maximum(at, 0)], NONE)
-        return share, back
+            first, end = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+            back[known] = self.back[c[known]]
+            first[known], end[known] = (self.pointers.get(i).astype(np.int64) for i in (c[known], c[known] + 1))
+            own = np.flatnonzero(end[owner] > first[owner])
+            if len(own):
+                o = owner[own]
+                at = self.successors.find(c[o].astype(np.uint64) * np.uint64(self.words) + word[own].astype(np.uint64), first[o], end[o])
+                share[own] = np.where(at >= 0, self.p[np.maximum(at, 0)], NONE)
+        return share, back[owner]
 
 
 # ---------------------------------------------------------------- what chunks and shards send
@@ -435,7 +438,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
         held, seen = total > 0, count > 0
         renumbered = np.cumsum(held) - 1
         trie = Trie(contexts[held], total[held], renumbered[owner[seen]], word[seen], count[seen], words, strength)
-        share, back = trie.look_up(contexts[owner], word)
+        share, back = trie.look_up(contexts, owner, word)
         trie.close()
         rows, at = [], 0
         for g, x in zip(part.column("g").to_pylist(), part.column("items").to_pylist()):
