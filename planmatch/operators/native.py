@@ -55,12 +55,20 @@ def _matched(texts: DataFrame, ids: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def candidates(word_rows: DataFrame, catalog: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Single words and pairs, the first of each page, box, text and status: single words come first, in reading order."""
-    keys = keys or []
-    single = word_rows.select(*keys, "page_number", "page_index", "block_number", "line_number", "word_number", F.col("text").alias("raw_text"), "bbox", F.lit(0).alias("pass"))
-    both = single.unionByName(pairs(word_rows, keys).withColumn("pass", F.lit(1)))
-    first = Window.partitionBy(*keys, "page_index", "bbox", "normalized_text", "match_status").orderBy("pass", "block_number", "line_number", "word_number")
-    return evaluate(both, catalog).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    """Single words and pairs, the first of each page, box, text and status: single words come first, in reading order.
+
+    A word gives itself and its pair in one pass; boxes of pairs are joined only where the pair matches.
+    """
+    place = [*(keys or []), "page_number", "page_index", "block_number", "line_number", "word_number"]
+    line = Window.partitionBy(*(keys or []), "page_index", "block_number", "line_number").orderBy("word_number")
+    after = F.lead(F.struct("text", "bbox", "word_number")).over(line)
+    single = F.struct(F.col("text").alias("raw_text"), F.lit(0).alias("pass"))
+    pair = F.struct(F.concat_ws(" ", "text", "after.text").alias("raw_text"), F.lit(1).alias("pass"))
+    both = F.when(F.col("after.word_number") == F.col("word_number") + 1, F.array(single, pair)).otherwise(F.array(single))
+    rows = word_rows.select(*place, "text", "bbox", after.alias("after")).select(*place, "bbox", F.col("after.bbox").alias("next_bbox"), F.inline(both))
+    found = evaluate(rows, catalog).withColumn("bbox", F.when(F.col("pass") == 1, joined_box(F.col("bbox"), F.col("next_bbox"))).otherwise(F.col("bbox"))).drop("next_bbox")
+    first = Window.partitionBy(*(keys or []), "page_index", "bbox", "normalized_text", "match_status").orderBy("pass", "block_number", "line_number", "word_number")
+    return found.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
 def in_reading_order(found: DataFrame) -> DataFrame:
