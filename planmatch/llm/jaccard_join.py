@@ -347,11 +347,10 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, count: int) -> DataFra
     return docs.mapInArrow(go, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
-    """``pairs`` (a, a_size, b, b_size), ``rows`` of them at most, with the size of their sets' intersection."""
-    with_sets = pairs
-    for end in "ab":  # a pivot may have many pairs
-        with_sets = spread_join(with_sets, sets.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set")), end, rows=rows, counted=pairs)
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, a_size, b, b_size) with the size of their sets' intersection."""
+    # a pivot may have many pairs: Spark splits these; salting would shuffle the sets, which lie by node already, once more for each end
+    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
     names = ["a", "a_size", "b", "b_size"]
 
     def go(batches):
@@ -405,7 +404,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
     first = cut(pivots.select(*ordered_pair).distinct())
     n_first = first.count()
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first), n_first))
+    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first)))
     links = F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
     roots = connected(known.filter(links).select("a", "b"))
 
@@ -426,7 +425,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
         tried = cut(apart.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= tries).select("a", "a_size", "b", "b_size", "sure"))
         for pairs in (tried, left.join(tried.select("a", "b"), ["a", "b"], "left_anti")):
             pairs = separate(pairs, roots)
-            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets, n_left).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
+            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
             roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rank = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("key"))
