@@ -114,13 +114,14 @@ def plain_shape(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def features(before: tuple[str, ...], own: tuple[str, ...], after: tuple[str, ...]) -> list[str]:
+    """Of a word, by its shape and those of its neighbours."""
+    return ["bias", *own, *("-1 " + x for x in before if x[:5] != "lengt"), *("+1 " + x for x in after if x[:5] != "lengt")]
+
+
 def word_features(words: list[str]) -> list[list[str]]:
-    shapes = [shape(w) for w in words]
-    out = []
-    for i, s in enumerate(shapes):
-        before, after = shapes[i - 1] if i else ("start",), shapes[i + 1] if i + 1 < len(shapes) else ("end",)
-        out.append(["bias", *s, *("-1 " + x for x in before if x[:5] != "lengt"), *("+1 " + x for x in after if x[:5] != "lengt")])
-    return out
+    shapes = [("start",), *map(shape, words), ("end",)]
+    return [features(*shapes[i : i + 3]) for i in range(len(words))]
 
 
 # ---------------------------------------------------------------- the labelled table
@@ -247,11 +248,18 @@ def trained(rounds: int = 220, rate: float = 0.3, ridge: float = 3e-4) -> tuple[
     return names, theta[0], theta[1]
 
 
+#: Words from which a sequence is decoded in parts, and words of a part.
+LONG, PART = 4096, 512
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Best labels of all words of all sequences, decoded side by side."""
+    """Best labels of all words of all sequences, decoded side by side; long ones by parts."""
     out = np.zeros(len(scores), np.int64)
     order = np.argsort(lengths, kind="stable")
     first = np.cumsum(lengths) - lengths
+    for i in np.flatnonzero(lengths >= LONG):
+        out[first[i] : first[i] + lengths[i]] = viterbi_by_parts(scores[first[i] : first[i] + lengths[i]], pairs)
+    order = order[lengths[order] < LONG]
     for a in range(0, len(order), 1024):
         chosen = order[a : a + 1024]
         n = lengths[chosen]
@@ -272,6 +280,47 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> np.nd
     return out
 
 
+def viterbi_by_parts(scores: np.ndarray, pairs: np.ndarray, part: int = PART) -> np.ndarray:
+    """Best labels of one sequence: for all parts side by side the best score from each label before a part to each label at its end, which are
+    chained part by part; then all parts side by side again, between the labels that they are now known to have at their ends."""
+    n, k = scores.shape
+    parts = -(-(n - 1) // part)
+    if not parts:
+        return scores.argmax(1)
+    at = 1 + np.arange(parts * part).reshape(parts, part)
+    inside = at < n
+    at = np.minimum(at, n - 1)
+    whole = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(parts, 0)
+    for t in range(part):
+        on = inside[:, t]
+        step = (whole[on][:, :, :, None] + pairs).max(2)
+        whole[on] = step + scores[at[on, t]][:, None]
+    best, came = scores[0], np.zeros((parts, k), np.int64)
+    for p in range(parts):
+        ways = best[:, None] + whole[p]
+        came[p] = ways.argmax(0)
+        best = ways.max(0)
+    ends = np.zeros(parts + 1, np.int64)
+    ends[-1] = best.argmax()
+    for p in range(parts - 1, -1, -1):
+        ends[p] = came[p, ends[p + 1]]
+    best = np.full((parts, k), -np.inf)
+    best[np.arange(parts), ends[:-1]] = 0
+    back = np.zeros((part, parts, k), np.int8)
+    for t in range(part):
+        ways = best[:, :, None] + pairs
+        back[t] = ways.argmax(1)
+        best = np.where(inside[:, t, None], ways.max(1) + scores[at[:, t]], best)
+    out = np.zeros(n, np.int64)
+    label, rows = ends[1:].copy(), np.arange(parts)
+    for t in range(part - 1, -1, -1):
+        on = inside[:, t]
+        out[at[on, t]] = label[on]
+        label = np.where(on, back[t, rows, label], label)
+    out[0] = ends[0]
+    return out
+
+
 def sequences(text: str) -> list[list[tuple[int, int]]]:
     """Stretches of words near a digit, an at sign or an equals sign, as spans."""
     out: list[list[tuple[int, int]]] = []
@@ -298,6 +347,25 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def scored(sequences: list[list[str]], names: dict[str, int], weights: np.ndarray) -> np.ndarray:
+    """Scores of the labels of all words, which depend on the shapes of a word and its neighbours: each three shapes are scored once."""
+    numbers: dict[tuple[str, ...], int] = {("start",): 0, ("end",): 1}
+    own = np.array([numbers.setdefault(shape(w), len(numbers)) for s in sequences for w in s])
+    ends = np.cumsum([len(s) for s in sequences])
+    before, after = np.roll(own, 1), np.roll(own, -1)
+    before[ends - [len(s) for s in sequences]], after[ends - 1] = 0, 1
+    many = len(numbers)
+    three, place = np.unique((before * many + own) * many + after, return_inverse=True)
+    shapes = list(numbers)
+    flat, at = [], []
+    for code in three.tolist():
+        a, b, c = code // many // many, code // many % many, code % many
+        known = [names[x] for x in features(shapes[a], shapes[b], shapes[c]) if x in names]
+        flat += known
+        at.append(len(known))
+    return np.add.reduceat(weights[flat], np.cumsum([0, *at[:-1]]), axis=0)[place]
+
+
 def field_spans(texts: list[str], model) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds in each text: neighbours of one label joined, punctuation around them left out."""
     names, weights, pairs = model
@@ -306,14 +374,7 @@ def field_spans(texts: list[str], model) -> list[list[tuple[str, int, int]]]:
     if not found:
         return out
     lengths = np.array([len(s) for _, s in found])
-    flat, at = [], []
-    for t, s in found:
-        for f in word_features([texts[t][a:b] for a, b in s]):
-            known = [names[x] for x in f if x in names]
-            flat += known
-            at.append(len(known))
-    starts = np.cumsum([0, *at[:-1]])
-    labels = viterbi(np.add.reduceat(weights[flat], starts, axis=0), lengths, pairs)
+    labels = viterbi(scored([[texts[t][a:b] for a, b in s] for t, s in found], names, weights), lengths, pairs)
     place = 0
     for (t, s), n in zip(found, lengths):
         own = labels[place : place + n]

@@ -404,6 +404,24 @@ def test_field_on_held_out_rows():
     assert (found == gold).mean() > 0.98
 
 
+def test_long_sequences_by_parts():
+    """As word by word, for every length about the ends of parts; and a megabyte of short numbers in good time."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 8, 9, 16, 17, 100):
+        scores, pairs = rng.normal(size=(n, 6)), rng.normal(size=(6, 6))
+        want = personal_data.viterbi(scores, np.array([n]), pairs).tolist()
+        assert personal_data.viterbi_by_parts(scores, pairs, 8).tolist() == want, n
+    names, weights, pairs = model = personal_data.trained()
+    words = [rng.choice(["1", "+49", "12-34", "a@b.de", "word", "2024", "10.0.0.1", "="]) for _ in range(3 * personal_data.LONG)]
+    scores = np.array([weights[[names[x] for x in f if x in names]].sum(0) for f in personal_data.word_features(words)])
+    assert np.allclose(scores, personal_data.scored([words], names, weights))
+    plain = personal_data.viterbi_by_parts(scores, pairs, len(words))
+    assert personal_data.viterbi(scores, np.array([len(words)]), pairs).tolist() == plain.tolist()
+    began = time.time()
+    personal_data.all_spans(["1 " * 500_000], model)
+    assert time.time() - began < 8
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(0)
     scores, pairs = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
