@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planmatch.errors import FieldError
 from planmatch.functions.text import owner, single_line
 from planmatch.functions.values import pole_status
+from planmatch.operators.running import held
 
 WORK_AREA_FIELDS = ["permit_number", "totalcitypolecount", "foreignpolecount", "polereviewstatus"]
 POLE_FIELDS = ["permit_number", "permit_globalid", "pole_id", "pole_owner", "confidence", "status"]
@@ -30,11 +31,6 @@ def numbers(requests: DataFrame, last: int | Column = 0, *, by: list[str], year:
     return out.withColumn("number", number).withColumn("permit_number", F.concat_ws("-", F.col("number").cast("string"), year.cast("string"))).drop("__m", "__p", "__start")
 
 
-def held(rows: DataFrame) -> DataFrame:
-    """``rows``, kept for both uses as they were computed once, as ranges that are sampled anew may differ: in the checkpoint folder where one is set."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.persist()
-
-
 def identified(permits: DataFrame) -> DataFrame:
     """Permits with object_id and global_id, which their poles name: made from the number, so that a batch run again gives the same."""
     d = F.upper(F.md5(F.concat(F.lit("permit "), "permit_number")))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from planmatch.operators.running import running
+
 STATUSES = ["queued", "processing", "completed", "failed"]
 
 
@@ -92,10 +94,9 @@ def message(step: str, *values: Column | str) -> Column:
 
 
 def progress(readings: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Running number of candidates after each tile (keys, order, candidate_count) and the text that says so: a window for each document."""
+    """Running number of candidates after each tile (keys, order, candidate_count) and the text that says so, by document or, without keys, over all."""
     keys = keys if keys is not None else [c for c in ("doc_id",) if c in readings.columns]
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return readings.select(*keys, *order, "candidate_count", F.sum("candidate_count").over(window).alias("found_so_far"))
+    return running(readings.select(*keys, *order, "candidate_count"), keys, order, {"found_so_far": F.col("candidate_count")})
 
 
 def progress_messages(progressed: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
