@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planmatch.llm import html_extract, jaccard_join, language_model, mixing, nearest, packing, personal_data, quality_model, quality_rules, substring_dedup, token_files, whitening
+from planmatch.llm import conversation_trie, html_extract, jaccard_join, language_model, mixing, nearest, packing, personal_data, quality_model, quality_rules, substring_dedup, token_files, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_language_model": language_model.op9_language_model,
     "op10_nearest": nearest.op10_nearest,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
     "op12_whitening": whitening.op12_whitening,
     "op13_token_files": token_files.op13_token_files,
 }
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op10_nearest": nearest.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
 }

@@ -10,8 +10,8 @@ ROOT = Path(__file__).resolve().parents[2]
 
 def test_names():
     found = contract.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 11)] == [1] * 10 and "pipeline" in found
-    assert {"op5_quality_rules", "op7_substring_dedup", "op10_nearest"} <= set(contract.oracle_sql()) <= set(found)
+    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 14)] == [1] * 13 and "pipeline" in found
+    assert {"op5_quality_rules", "op7_substring_dedup", "op10_nearest", "op11_conversation_trie"} <= set(contract.oracle_sql()) <= set(found)
 
 
 def test_nothing_else_imports_it():
