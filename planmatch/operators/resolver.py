@@ -1,8 +1,11 @@
-"""Resolves readings of labels to catalog ids: one explode of spelling variants, one lookup, one shuffle by distinct text.
+"""Resolves readings of labels to catalog ids: the catalog is spelled once, in all forms that reach an id, and a distinct text meets them in one equi-join.
 
-Variants come in phases: the text itself (0), without separators (1), the body behind a marker with look-alike letters for
+Hits come in phases: the text itself (0), without separators (1), the body behind a marker with look-alike letters for
 its leading digit (2), and those with a last F added or taken off (3). A reading's first phase with a hit counts; within it penalties
 rank the ids, and a runner-up nearer than the margin makes the reading ambiguous. Penalties are integers, so that margins are exact.
+
+What a reading could mean needs no variants of the reading: those of phases 2 and 3 are undone on the ids instead (``forms``), so that a text is looked up under three
+spellings at most, whatever the look-alikes.
 """
 
 from __future__ import annotations
@@ -65,6 +68,24 @@ def spelled(readings: DataFrame, catalog: DataFrame) -> DataFrame:
     return r.select(*[c for c in readings.columns if c not in SPELLED], *SPELLED)
 
 
+def forms(catalog: DataFrame) -> DataFrame:
+    """form, pole_id, phase, ord, cost, made: every spelling of a label's body that is read as an id, with what that costs and the steps by which it is read so.
+
+    At most nine for each id: itself, with a last F more or less, and each with the digits that its first letter looks like.
+    """
+    ids = catalog.select(F.col("pole_id_normalized").alias("pole_id")).filter("pole_id <> ''").distinct()
+    whole, shorter = F.col("pole_id"), F.expr("left(pole_id, length(pole_id) - 1)")
+    read = lambda text, phase, step: F.struct(text.alias("text"), F.lit(phase).alias("phase"), F.lit(step).alias("toggle"))
+    toggled = F.when(whole.endswith("F") & ~shorter.endswith("F"), read(shorter, 3, "added_terminal_f"))
+    each = ids.select("pole_id", F.inline(F.array_compact(F.array(read(whole, 2, ""), read(F.concat(whole, F.lit("F")), 3, "removed_terminal_f"), toggled)))).filter("text <> ''")
+    table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(d).alias("digit"), F.lit(x).alias("letter"), F.lit(cost).alias("cost"), F.lit(lookalike_name(d, x)).alias("step")) for i, (d, x, cost) in enumerate(LOOKALIKES, 1)])
+    same = F.struct(F.lit(0).alias("ord"), F.col("text").alias("form"), F.lit(0).alias("cost"), F.lit("").alias("step"))
+    alike = F.transform(F.filter(table, lambda x: x["letter"] == F.left("text", F.lit(1))), lambda x: F.struct(x["ord"].alias("ord"), F.concat(x["digit"], F.expr("substring(text, 2)")).alias("form"), x["cost"].alias("cost"), x["step"].alias("step")))
+    spelt = each.select("pole_id", "phase", "toggle", F.inline(F.concat(F.array(same), alike)))
+    cost = F.col("cost") + F.when(F.col("phase") == 3, PENALTY["added_terminal_f"]).otherwise(0)
+    return spelt.select("form", "pole_id", "phase", "ord", cost.cast("int").alias("cost"), F.filter(F.array("step", "toggle"), lambda x: x != "").alias("made"))
+
+
 def resolve(readings: DataFrame, catalog: DataFrame, *, keep: bool = False) -> DataFrame:
     """``readings`` (raw_text, explicit_pole_context and whatever else) with their resolution.
 
@@ -84,14 +105,41 @@ def resolve(readings: DataFrame, catalog: DataFrame, *, keep: bool = False) -> D
     return rows.select(*given).join(found, keys).drop("__context").withColumnRenamed("__norm", "raw_normalized_text")
 
 
+def grammar(readings: DataFrame, letters: Column) -> DataFrame:
+    """``readings`` with the parts of a label: raw, norm, unknown, joined, norm_shape, context, name and penalty of the marker, body, body_unknown."""
+    explicit = "model_confirmed_explicit_pole_context"
+    r = readings.withColumn("raw", trimmed(F.coalesce(F.col("raw_text").cast("string"), F.lit("")))).withColumns({"norm": normalized("raw"), "__letters": letters})
+    r = r.withColumns({"unknown": unknown_body("norm"), "joined": without_separators("norm"), "norm_shape": shape("norm"), "__p": plan_prefix("norm", F.col("__letters"))})
+    context = F.col("__p").isNull() & F.coalesce(F.col("explicit_pole_context"), F.lit(False)) & F.left("norm", F.lit(1)).rlike(r"\p{Nd}|[²³¹]")
+    r = r.withColumns({"context": context, "name": F.coalesce(F.col("__p.name"), F.lit(explicit)), "penalty": F.coalesce(F.col("__p.penalty"), F.lit(PENALTY[explicit])), "body_unknown": unknown_body(F.col("__p.body"))})
+    return r.withColumn("body", F.when(F.col("context"), F.col("norm")).otherwise(F.col("__p.body"))).drop("__p")
+
+
+def tried_bodies(body: Column, letters: Column) -> Column:
+    """The spellings of a body that are looked up: itself, and with look-alikes of its leading digit that begin a catalog id; none of an empty one."""
+    table = F.array(*[F.struct(F.lit(d).alias("digit"), F.lit(x).alias("letter")) for d, x, _ in LOOKALIKES])
+    alike = F.filter(table, lambda x: (x["digit"] == F.left(body, F.lit(1))) & F.array_contains(letters, x["letter"]))
+    rest = F.substring(body, 2, 2**31 - 1)
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(body), F.transform(alike, lambda x: F.concat(x["letter"], rest))))
+
+
 def resolve_texts(readings: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each of ``readings``, which ``keys`` tell apart."""
-    r = spelled(readings, catalog)
+    r = grammar(readings, cat.letters_array(catalog))
     ids = cat.by_id(catalog, neighbours=True)
-    # the outer form, as the plain one infers a filter that would be pushed below the distinct texts and spell every reading
-    v = r.select(*keys, F.explode_outer("variants").alias("v")).join(ids, F.col("v.text") == F.col("pole_id"))
-    hit = F.struct("v.phase", "v.penalty", F.col("pole_id"), "v.steps", "match_count", "source_ids", "neighbours")
-    hits = v.groupBy(*keys).agg(F.min("v.phase").alias("phase"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    readable = (F.col("norm") != "") & F.col("unknown").isNull()
+    asked = lambda text, how: F.struct(text.alias("text"), F.lit(how).alias("how"))
+    plain = F.when(readable, asked(F.col("norm"), 0)), F.when(readable & (F.col("joined") != F.col("norm")) & (F.col("joined") != ""), asked(F.col("joined"), 1))
+    behind = F.when(readable & F.col("body_unknown").isNull() & (F.col("body") != ""), asked(F.col("body"), 2))
+    # the outer form, as the plain one infers a filter that would be pushed below the distinct texts and read every label's parts
+    asks = r.select(*keys, "context", "name", "penalty", F.explode_outer(F.array_compact(F.array(*plain, behind))).alias("v"))
+    met = asks.join(forms(catalog), F.col("v.text") == F.col("form")).filter("case when v.how < 2 then phase = 2 and ord = 0 else phase = 2 or not context end").join(ids, "pole_id")
+    behind = F.col("v.how") == 2
+    hit = F.struct(
+        F.when(behind, F.col("phase")).otherwise(F.col("v.how")).alias("phase"), F.when(behind, F.col("penalty") + F.col("cost")).otherwise(0).alias("penalty"), F.col("pole_id"),
+        F.when(behind, F.concat(F.array("name"), "made")).when(F.col("v.how") == 1, F.array(F.lit("removed_identifier_separators"))).otherwise(F.array().cast("array<string>")).alias("steps"), "match_count", "source_ids", "neighbours",
+    )
+    hits = met.select(*keys, hit.alias("hit")).groupBy(*keys).agg(F.min("hit.phase").alias("phase"), F.array_sort(F.collect_list("hit")).alias("hits"))
     # sorted by phase first: the first phase's hits lead
     hits = hits.withColumn("hits", F.filter("hits", lambda h: h["phase"] == F.col("phase")))
     r = r.join(hits, keys, "left").join(
@@ -115,10 +163,12 @@ def resolve_texts(readings: DataFrame, catalog: DataFrame, keys: list[str]) -> D
     union = lambda field: F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h[field]))))
     empty = F.array().cast("array<string>")
     near = F.when(single, best["neighbours"]).when(ambiguous & found, union("neighbours")).otherwise(empty)
-    texts = lambda name: F.transform(name, lambda v: v["text"])
+    r = r.withColumn("base", F.when(F.col("body").isNotNull() & F.col("body_unknown").isNull() & readable, tried_bodies(F.col("body"), F.col("__letters"))).otherwise(empty))
+    toggle = lambda t: F.when(t.endswith("F"), F.left(t, F.length(t) - 1)).otherwise(F.concat(t, F.lit("F")))
+    more = F.when(F.col("context"), empty).otherwise(F.filter(F.transform("base", toggle), lambda t: t != ""))
     tried = (
         F.when(F.col("norm") == "", empty).when(F.col("unknown").isNotNull(), F.array("unknown")).when(F.col("phase") == 0, F.array("norm")).when(F.col("phase") == 1, F.array("norm", "joined"))
-        .when(F.col("body_unknown").isNotNull(), F.array("body")).when(F.col("body").isNull(), F.array("norm")).when(F.col("phase") == 2, texts("base")).otherwise(F.concat(texts("base"), texts("more")))
+        .when(F.col("body_unknown").isNotNull(), F.array("body")).when(F.col("body").isNull(), F.array("norm")).when(F.col("phase") == 2, F.col("base")).otherwise(F.concat("base", more))
     )
     own = F.when(F.col("phase") == 0, F.col("norm")).when(F.col("phase") == 1, F.col("joined")).otherwise(F.col("body"))
     toggles = F.arrays_overlap(best["steps"], F.array(F.lit("added_terminal_f"), F.lit("removed_terminal_f")))
