@@ -71,19 +71,26 @@ def coordinates(catalog: DataFrame) -> DataFrame:
     return agreed.select("pole_id", *(F.when(F.col("n") == 1, F.col(f"p.{c}")).alias(c) for c in "xy"))
 
 
-def neighbourhood(catalog: DataFrame) -> DataFrame:
-    """pole_id, neighbours: ids of the same letters and as many digits that differ in one digit or in a last F only.
+NEAR = r"^([A-Z]+)(\p{Nd}+)(F?)$"
 
-    Ids meet on a key with one digit blanked: as many keys as digits, no comparison of all ids with all.
-    """
-    pattern = r"^([A-Z]+)(\p{Nd}+)(F?)$"
-    ids = catalog.select(F.col("pole_id_normalized").alias("pole_id")).distinct().filter(F.col("pole_id").rlike(pattern))
-    ids = ids.select("pole_id", F.regexp_extract("pole_id", pattern, 1).alias("l"), F.regexp_extract("pole_id", pattern, 2).alias("d"))
-    at = ids.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("d"))))
-    keyed = at.select("pole_id", F.concat_ws("|", "l", F.length("d").cast("string"), F.col("i").cast("string"), F.expr("concat(left(d, i - 1), '.', substring(d, i + 1))")).alias("k"))
-    pairs = keyed.join(keyed.select(F.col("pole_id").alias("other"), "k"), "k").filter("pole_id <> other")
-    found = pairs.groupBy("pole_id").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
-    return ids.select("pole_id").join(found, "pole_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
+
+def blanked(ids: DataFrame) -> DataFrame:
+    """pole_id, k: for each digit of an id a key with that digit blanked, without the last F. Ids with a key in common are neighbours."""
+    parts = ids.filter(F.col("pole_id").rlike(NEAR)).select("pole_id", F.regexp_extract("pole_id", NEAR, 1).alias("l"), F.regexp_extract("pole_id", NEAR, 2).alias("d"))
+    at = parts.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("d"))))
+    return at.select("pole_id", F.concat_ws("|", "l", F.length("d").cast("string"), F.col("i").cast("string"), F.expr("concat(left(d, i - 1), '.', substring(d, i + 1))")).alias("k"))
+
+
+def neighbours_among(ids: DataFrame, all_ids: DataFrame) -> DataFrame:
+    """pole_id, neighbours of those of ``ids`` that have any among ``all_ids``: no comparison of all ids with all, but an equi-join of as many keys as digits."""
+    pairs = blanked(ids).join(blanked(all_ids).withColumnRenamed("pole_id", "other"), "k").filter("pole_id <> other")
+    return pairs.groupBy("pole_id").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+
+
+def neighbourhood(catalog: DataFrame) -> DataFrame:
+    """pole_id, neighbours: ids of the same letters and as many digits that differ in one digit or in a last F only."""
+    ids = catalog.select(F.col("pole_id_normalized").alias("pole_id")).distinct().filter(F.col("pole_id").rlike(NEAR))
+    return ids.join(neighbours_among(ids, ids), "pole_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
 
 
 def few(rows: DataFrame, most: int = 200_000) -> bool:

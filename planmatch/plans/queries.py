@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planmatch.functions.text import explicit_label, normalized, plan_prefix, shape, unknown_body, unwrapped, without_separators
 from planmatch.functions.values import coverage
 from planmatch.operators import catalog as cat
-from planmatch.operators import evidence, geometry, merge, native, pages, permits, replies, resolver
+from planmatch.operators import evidence, geometry, index, merge, native, pages, permits, replies, resolver, spelling
 from planmatch.plans import fixtures as fx
 from planmatch.sources import pdf
 from planmatch.streaming import jobs
@@ -218,12 +218,12 @@ def prefix_removal(spark, d):
 def variants(spark, d):
     rows = _labelled(spark, d).withColumn("__norm", normalized("raw_text"))
     texts = rows.select("__norm", "explicit_pole_context").distinct().withColumn("raw_text", F.col("__norm"))
-    r = rows.join(resolver.spelled(texts, fx.catalog(spark, d)).select("__norm", "explicit_pole_context", "variants"), ["__norm", "explicit_pole_context"])
+    r = rows.join(spelling.spelled(texts, fx.catalog(spark, d)).select("__norm", "explicit_pole_context", "variants"), ["__norm", "explicit_pole_context"])
     return r.select(*TILE, "pos", F.explode_outer("variants").alias("v")).filter("v is not null").select(*TILE, "pos", "v.phase", "v.text", F.col("v.penalty").alias("penalty"), joined("v.steps", "steps"))
 
 
 def _resolved(spark, d, keep: bool = False):
-    return resolver.resolve(_labelled(spark, d), fx.catalog(spark, d), keep=keep)
+    return resolver.resolve(_labelled(spark, d), index.kept(fx.catalog(spark, d)), keep=keep)
 
 
 @query
