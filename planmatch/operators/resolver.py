@@ -10,6 +10,8 @@ spellings at most, whatever the look-alikes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ MARGIN = 500
 NEIGHBOURS = 12
 
 
-def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: bool = False) -> DataFrame:
+def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: bool | Callable[[DataFrame], DataFrame] = False) -> DataFrame:
     """``readings`` (raw_text, explicit_pole_context and whatever else) with their resolution.
 
     It depends on the normalised text and the context alone: each distinct pair is resolved once and joined back. ``keep`` holds the resolved
-    texts in memory, and on disk beyond it, for plans that use the result more than once; ``spark.catalog.clearCache()`` lets go of them.
+    texts in memory, and on disk beyond it, for plans that use the result more than once, until ``spark.catalog.clearCache()``; or it is what keeps them.
     """
     rows = readings.withColumn("raw_text", trimmed(F.coalesce(F.col("raw_text").cast("string"), F.lit(""))))
     rows = rows.withColumn("__norm", normalized("raw_text")).withColumn("__context", F.coalesce(F.col("explicit_pole_context"), F.lit(False)))
@@ -35,7 +37,7 @@ def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: boo
     texts = rows.select(*keys).distinct().repartition(tasks, *keys).withColumn("raw_text", F.col("__norm")).withColumn("explicit_pole_context", F.col("__context"))
     found = resolve_texts(texts, catalog, keys).drop("raw_text", "explicit_pole_context", "raw_normalized_text")
     if keep:
-        found = found.persist()
+        found = keep(found) if callable(keep) else found.persist()
     given = [c for c in rows.columns if c in keys or c not in found.columns]
     return rows.select(*given).join(found, keys).drop("__context").withColumnRenamed("__norm", "raw_normalized_text")
 

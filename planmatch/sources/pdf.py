@@ -80,23 +80,36 @@ def opened(rows: DataFrame, load: Callable = parser) -> DataFrame:
     return rows.mapInArrow(go, schema)
 
 
-def content(rows: DataFrame, load: Callable = parser) -> DataFrame:
-    """A row for each page of files without an error, with its words and the boxes of its images."""
+def page_rows(library, path: str, data: bytes) -> Iterator[tuple]:
+    """CONTENT of each page of one file."""
+    with library.open(stream=data, filetype="pdf") as document:
+        for i, page in enumerate(document):
+            words = page.get_text("words", sort=False)
+            boxes = [list(map(float, x["bbox"])) for x in page.get_image_info() if x.get("bbox") is not None]
+            kept = [dict(zip(_WORD.names, (w[4], *map(float, w[:4]), *w[5:8]))) for w in words if len(w) >= 8 and w[4].strip()]
+            yield path, i + 1, i, float(page.rect.width), float(page.rect.height), len(words), boxes, kept
+
+
+def content(rows: DataFrame, load: Callable = parser, faults: bool = False) -> DataFrame:
+    """A row for each page of files without an error, with its words and the boxes of its images. ``faults``: what goes wrong in a file is a row of it with an
+    ``error`` and without a page, in place of an error of the task; pages before it stay."""
+    schema = _CONTENT.append(pa.field("error", pa.string())) if faults else _CONTENT
+    row_of = lambda row: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = load()
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                with library.open(stream=data, filetype="pdf") as document:
-                    for i, page in enumerate(document):
-                        words = page.get_text("words", sort=False)
-                        boxes = [list(map(float, x["bbox"])) for x in page.get_image_info() if x.get("bbox") is not None]
-                        kept = [dict(zip(_WORD.names, (w[4], *map(float, w[:4]), *w[5:8]))) for w in words if len(w) >= 8 and w[4].strip()]
-                        row = (path, i + 1, i, float(page.rect.width), float(page.rect.height), len(words), boxes, kept)
-                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CONTENT)], schema=_CONTENT)
+                try:
+                    for row in page_rows(library, path, data):
+                        yield row_of((*row, None) if faults else row)
+                except Exception as e:
+                    if not faults:
+                        raise
+                    yield row_of((path, *[None] * (len(schema) - 2), f"Unexpected error: {e}"))
 
     # a row at a time, as a file may have hundreds of megabytes
-    return rows.filter("error is null").select("path", "content").mapInArrow(go, CONTENT)
+    return rows.filter("error is null").select("path", "content").mapInArrow(go, CONTENT + (", error string" if faults else ""))
 
 
 def pages(content: DataFrame) -> DataFrame:

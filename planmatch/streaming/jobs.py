@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from planmatch.operators.running import running
+from planmatch.operators.running import held, running
+from planmatch.sources.ledger import Ledger
 
 STATUSES = ["queued", "processing", "completed", "failed"]
 
@@ -107,27 +108,74 @@ def progress_messages(progressed: DataFrame, order: list[str], keys: list[str])
 
 
 class PermitNumbers:
-    """Sink of micro-batches that numbers each job once: numbers and jobs are one table, so that a batch run again gives the same."""
+    """Sink of micro-batches that numbers each job once; ``number`` gives the batch's numbers as a table.
 
-    def __init__(self, path: str, year: int):
-        self.path, self.year = path, year
+    The last number after each batch is a record of its own, and so is each job's number: a batch reads the record of the batch before and those of its own jobs, however
+    many were ever issued. A batch that runs again has its numbers from the same start and in the same order, whether it ended before or not.
+    """
 
-    def issued(self, spark) -> DataFrame:
-        schema = "job_id string, number long, permit_number string, batch long"
-        try:
-            return spark.read.schema(schema).parquet(f"{self.path}/*")
-        except Exception as e:  # nothing has been issued yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return spark.createDataFrame([], schema)
+    def __init__(self, path: str, year: int, last: int = 0):
+        self.path, self.year, self.first = path, year, last
+        self.jobs, self.ends = Ledger(f"{path}/jobs"), Ledger(f"{path}/ends")
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+    def last(self, batch_id: int) -> int:
+        """The last number before a batch: that of the nearest batch before, which is the one before but where numbers were skipped."""
+        for i in range(batch_id - 1, -1, -1):
+            if (found := self.ends.get(str(i))) is not None:
+                return found["last"]
+        return self.first
+
+    def number(self, batch: DataFrame, batch_id: int, key: str = "job_id", ts: str = "ts") -> DataFrame:
+        """job_id, number, permit_number, batch of the batch's jobs; those that another batch numbered keep what they have."""
         from planmatch.operators.permits import numbers
 
-        spark = batch.sparkSession
-        before = self.issued(spark).filter(F.col("batch") != batch_id)
-        last = before.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
-        new = batch.select(F.col("job_id").cast("string").alias("job_id"), "ts").groupBy("job_id").agg(F.min("ts").alias("ts")).join(before.select("job_id"), "job_id", "left_anti")
-        out = numbers(new, last, by=["ts", "job_id"], year=F.lit(self.year)).select("job_id", "number", "permit_number", F.lit(batch_id).cast("long").alias("batch"))
-        # a folder for each batch: written again, it is replaced
-        out.write.mode("overwrite").parquet(f"{self.path}/b{batch_id}")
+        asked = batch.select(F.col(key).cast("string").alias("job_id"), F.col(ts).alias("ts")).groupBy("job_id").agg(F.min("ts").alias("ts"))
+        known = self.jobs.known(asked, "job_id")
+        part = lambda name: F.get_json_object("known", f"$.{name}")
+        known = held(known.select("job_id", "ts", part("number").cast("long").alias("number"), part("permit_number").alias("permit_number"), part("batch").cast("long").alias("batch")))
+        before = known.filter(F.col("batch") != batch_id).select("job_id", "number", "permit_number", "batch")
+        last = self.last(batch_id)
+        new = numbers(known.filter(F.col("batch").isNull() | (F.col("batch") == batch_id)).select("job_id", "ts"), last, by=["ts", "job_id"], year=F.lit(self.year))
+        new = new.select("job_id", "number", "permit_number", F.lit(batch_id).cast("long").alias("batch"))
+        self.jobs.enter(new, "job_id")
+        self.ends.put(str(batch_id), {"last": last + new.count()})
+        return before.unionByName(new)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.number(batch, batch_id)
+
+    def issued(self, spark) -> DataFrame:
+        """All numbers ever issued, for reports."""
+        schema = "key string, number long, permit_number string, batch long"
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(f"{self.path}/jobs").withColumnRenamed("key", "job_id")
+
+
+class Outbox:
+    """Sink of micro-batches of messages (key, to_address, subject, content) that sends each key once. A message is marked when it is sent: a batch that runs
+    again sends those without a mark. Only a task that ends between the two sends one of its messages twice."""
+
+    def __init__(self, path: str, deliver: Callable[[str, str, str], None]):
+        self.sent, self.deliver = Ledger(f"{path}/sent"), deliver
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        sent, deliver = self.sent, self.deliver
+
+        def go(rows):
+            for r in rows:
+                if (sent.get(r["key"]) or {}).get("sent"):
+                    continue
+                try:
+                    deliver(r["to_address"], r["subject"], r["content"])
+                except Exception as e:  # best effort: the next run of the batch, or a message of the same key, tries again
+                    sent.put(r["key"], {"sent": False, "batch": batch_id, "error": str(e)})
+                else:
+                    sent.put(r["key"], {"sent": True, "batch": batch_id, "error": None})
+
+        # one task for all messages of a key, so that it is looked up after it was marked
+        batch.filter("key is not null").dropDuplicates(["key"]).foreachPartition(go)
+
+
+def outbox(messages: DataFrame, path: str, deliver: Callable[[str, str, str], None], delay: str = "1 day"):
+    """A stream of messages (ts, key, to_address, subject, content) into an outbox: copies of a key within ``delay`` are dropped by the stream's own state, later ones by the marks."""
+    once = messages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key"])
+    return once.writeStream.foreachBatch(Outbox(path, deliver))

@@ -336,7 +336,7 @@ def test_catalog_indexes(spark):
     assert got == {"O1": (3, ["S1", "S2"]), "O2": (1, ["S1"])}
 
 
-def test_flow_of_two_plan_sets(spark):
+def test_flow_of_two_plan_sets(spark, tmp_path):
     """Two documents with equal page numbers and one without findings: nothing of one reaches another."""
     poles = catalog.load(spark.createDataFrame([("S1", "O131F", "1", "2"), ("S2", "O200", "5", "6"), ("S3", "D044", "9", "9")], "source_id string, pole_id_raw string, x string, y string"))
     text = "doc_id long, page_number int, page_index int, block_number int, line_number int, word_number int, text string, x0 double, y0 double, x1 double, y1 double"
@@ -346,7 +346,7 @@ def test_flow_of_two_plan_sets(spark):
     found = '{"candidates": [{"text": "%s", "confidence": 0.95, "complete": true, "touches_tile_edge": false}]}'
     tiles = spark.createDataFrame([(7, 1, 1, found % "P#O200"), (8, 1, 1, found % "D044"), (8, 2, 1, found % "O200"), (8, 2, 2, "no such tile"), (9, 1, 1, "not json")], "doc_id long, page_number int, tile_index int, raw_response string")
     asked = spark.createDataFrame([(8, 1), (7, 2), (9, 3)], "doc_id long, submitted_at long")
-    got = flow.run(catalog=poles, inspections=page, words=words, previews=previews, tile_replies=tiles, requests=asked, year=2026, last_number=10)
+    got = flow.run(catalog=poles, inspections=page, words=words, previews=previews, tile_replies=tiles, requests=asked, year=2026, last_number=10, keep=flow.Tabled(str(tmp_path)))
     assert sorted((r["doc_id"], r["pole_id"], r["discovery_sources"], r["x"]) for r in got["poles"].collect()) == [(7, "O131F", ["native_text"], 1.0), (7, "O200", ["visual"], 5.0), (8, "O200", ["visual"], 5.0)]
     issued = {r["doc_id"]: (r["permit_number"], r["totalcitypolecount"], r["foreignpolecount"], r["geometry"] is not None) for r in got["permits"].collect()}
     assert issued == {8: ("11-2026", 1, 0, True), 7: ("12-2026", 1, 1, True), 9: ("13-2026", 0, 0, False)}
