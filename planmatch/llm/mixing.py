@@ -16,6 +16,7 @@ targets and quotas are found by aggregates over a table of sources, and joined b
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -36,18 +37,17 @@ SALTS = 32
 
 def targets(sizes: list[int], weights: list[int], total: Fraction, most: int) -> list[Fraction]:
     """Exact shares of ``total`` by weight, none above ``most`` times its size."""
-    out, free, left = [Fraction(0)] * len(sizes), list(range(len(sizes))), total
-    while free:
-        w = sum(weights[i] for i in free)
-        full = [i for i in free if left * weights[i] > most * sizes[i] * w]
-        if not full:
-            for i in free:
-                out[i] = left * weights[i] / w
+    # in order of size by weight, those at their limit come first: what is left over by any of them is shared by all after it
+    out, left, w = [Fraction(0)] * len(sizes), total, sum(weights)
+    common = math.lcm(*weights)
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i] * (common // weights[i]))
+    for place, i in enumerate(order):
+        if left * weights[i] <= most * sizes[i] * w:
+            for j in order[place:]:
+                out[j] = left * weights[j] / w
             break
-        for i in full:
-            out[i] = Fraction(most * sizes[i])
-        left -= sum(out[i] for i in full)
-        free = [i for i in free if i not in set(full)]
+        out[i] = Fraction(most * sizes[i])
+        left, w = left - out[i], w - weights[i]
     return out
 
 
