@@ -215,12 +215,17 @@ def kept_words(body: np.ndarray, starts: np.ndarray, at: np.ndarray, keep: np.nd
     return out
 
 
+#: Groups of documents, which are told apart by their numbers, at most; texts of a task, in which groups follow each other, and tasks at most.
+MOST_GROUPS, TASK_BYTES, MOST_TASKS = 1 << 18, 128 << 20, 100_000
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int = 1 << 20, held: int = HELD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = min(MOST_BUCKETS, 1 << max(8, int(size / 6 / bucket_windows).bit_length()))
-    groups = prime(max(1, int(size / (4 << 20))))
+    groups = prime(min(MOST_GROUPS, max(1, int(size / (4 << 20)))))
+    tasks = max(1, min(groups, MOST_TASKS, max(-(-size // TASK_BYTES), 4 * docs.sparkSession.sparkContext.defaultParallelism)))
     gone = removals(docs, window, buckets, groups, held)
     none = F.lit(None).cast("binary")
     both = docs.select(
@@ -263,7 +268,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_windows: int =
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(n - kept, pa.int64()), pa.array(kept_words(body, starts, at_, keep, first), pa.binary())], schema=schema
                 )
 
-    return both.repartition(groups, "g").sortWithinPartitions("g", "kind").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text binary")
+    return both.repartition(tasks, "g").sortWithinPartitions("g", "kind").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text binary")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
