@@ -24,6 +24,7 @@ that equal rows, or texts with equal sets, are one class; a null doc_id takes pa
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from planmatch.llm.components import connected
 from planmatch.llm.names import unused
-from planmatch.llm.skew import spread_join
+from planmatch.llm.skew import MOST_KEYS, spread_join
 from planmatch.llm.storage import cut_for_joins as cut
 from planmatch.llm.substring_dedup import NO_ID, ids
 from planmatch.llm.words import mix, ordered, runs, slices, windows, word_hashes
@@ -347,10 +348,38 @@ def sets_of(docs: DataFrame, size: int, nodes: DataFrame, count: int) -> DataFra
     return docs.mapInArrow(go, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, a_size, b, b_size) with the size of their sets' intersection."""
-    # a pivot may have many pairs: Spark splits these; salting would shuffle the sets, which lie by node already, once more for each end
-    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("b_set")), "b")
+#: Pairs of a set from which it is sent to several tasks.
+HUB = 256
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, hub_sets: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``pairs`` (a, a_size, b, b_size), a table that has been written, with the size of their sets' intersection.
+
+    A set lies where its node is dealt; pairs go there, take it along to their other end, and are compared. A set of many pairs, a pivot's, is sent to the salts of its
+    pairs instead, and only such sets, which ``hub_sets`` gives (for nodes, and how many they are at most), are sent again. It is the pair's other end, so that the pair takes along the other set.
+    """
+    each = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("pairs"))
+    n = pairs.count()
+    limit = max(HUB, -(-2 * n // MOST_KEYS))
+    hubs = cut(each.filter(F.col("pairs") > limit))
+    many = hubs.count()
+    own = lambda table, end: table.select(F.col("node").alias(end), F.col("set").alias(f"{end}_set"))
+    if not many:
+        with_sets = pairs.join(own(sets, "a"), "a").join(own(sets, "b"), "b")
+    else:
+        held = cut(hub_sets(hubs.select("node"), many))
+        # at most MOST_KEYS rows
+        hub = lambda end: F.broadcast(hubs.select(F.col("node").alias(end), F.lit(True).alias(f"{end}_hub")))
+        marked = pairs.join(hub("a"), "a", "left").join(hub("b"), "b", "left")
+        swap = F.col("a_hub").isNotNull() & F.col("b_hub").isNull()
+        turned = marked.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("a_size", "b_size"), ("b", "a"), ("b_size", "a_size"), ("a_hub", "b_hub"), ("b_hub", "a_hub"))])
+        hot = lambda rows, end: spread_join(rows, own(held, end), end, rows=2 * n, least=HUB)
+        far = turned.filter("a_hub is null").join(own(sets, "a"), "a")
+        both = hot(turned.filter("a_hub is not null"), "a")
+        to_hub = far.filter("b_hub is not null").unionByName(both)
+        # the pairs themselves tell how often a hub is met: they are small, and the sets on their way aren't made twice to be counted
+        to_hub = spread_join(to_hub, own(held, "b"), "b", rows=2 * n, least=HUB, counted=turned.filter("b_hub is not null"))
+        with_sets = far.filter("b_hub is null").join(own(sets, "b"), "b").unionByName(to_hub)
     names = ["a", "a_size", "b", "b_size"]
 
     def go(batches):
@@ -358,7 +387,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             count = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(pa.int64()) for c in names), pa.array(count, pa.int64())], names=[*names, "overlap"])
 
-    return with_sets.select(*names, "a_set", "b_set").mapInArrow(go, "a long, a_size long, b long, b_size long, overlap long")
+    found = with_sets.select(*names, "a_set", "b_set").mapInArrow(go, "a long, a_size long, b long, b_size long, overlap long")
+    turn = F.col("a") > F.col("b")
+    return found.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("a_size", "b_size"), ("b", "a"), ("b_size", "a_size"))], "overlap")
 
 
 def undecided(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -404,7 +435,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
     first = cut(pivots.select(*ordered_pair).distinct())
     n_first = first.count()
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first)))
+    known = cut(overlaps(first, sets_of(docs, size, ends(first), 2 * n_first), lambda nodes, n: sets_of(docs, size, nodes, n)))
     links = F.col("overlap") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
     roots = connected(known.filter(links).select("a", "b"))
 
@@ -425,7 +456,8 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
         tried = cut(apart.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= tries).select("a", "a_size", "b", "b_size", "sure"))
         for pairs in (tried, left.join(tried.select("a", "b"), ["a", "b"], "left_anti")):
             pairs = separate(pairs, roots)
-            more = overlaps(pairs.filter("not sure").select("a", "a_size", "b", "b_size"), sets).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
+            compared = cut(pairs.filter("not sure").select("a", "a_size", "b", "b_size"))
+            more = overlaps(compared, sets, lambda nodes, n: sets.join(F.broadcast(nodes), "node", "left_semi")).filter(links).select("a", "b").unionByName(pairs.filter("sure").select("a", "b"))
             roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rank = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.col("key"))

@@ -116,6 +116,16 @@ def test_spread_join(spark):
             assert sorted(map(tuple, skew.spread_join(big, small, "k", how, least=least).select("k", "key_salt", "x").collect()), key=repr) == sorted(map(tuple, rows.select("k", "key_salt", "x").collect()), key=repr)
 
 
+def test_hubs_of_pairs(spark, docs, monkeypatch):
+    """Sets of more pairs than a hub may have are dealt over salts, at either end and at both: the same components."""
+    monkeypatch.setattr(jaccard_join, "HUB", 2)
+    monkeypatch.setattr(components, "HUB", 2)
+    star = [(50_000 + i, " ".join(f"v{j}" for j in range(40) if j != i % 13) + f" x{i // 13}", "en", "s", 9) for i in range(30)]
+    more = docs.unionByName(spark.createDataFrame(star, SCHEMA)).repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(more).collect()}
+    assert got == jaccard_join.brute_force([(r["doc_id"], r["text"]) for r in more.collect()])
+
+
 def test_components_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 1500)] + [(i, 5000 + i) for i in range(300)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -261,11 +271,39 @@ def test_sainte_lague():
     assert mixing.sainte_lague(np.array([5.0, 5.0]), 9, np.array([2, 9])).tolist() == [2, 7]
 
 
+def test_tasks_stay_few():
+    """At 100 GB and 100 TB: groups and tasks of the last step of op7."""
+    d = substring_dedup
+    count = lambda size: (min(d.MOST_GROUPS, size // (4 << 20)), min(d.MOST_TASKS, -(-size // d.TASK_BYTES)))
+    assert count(10**11) == (23_841, 746) and count(10**14) == (1 << 18, 100_000)
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [3, 1, 2], Fraction(45), 2) == [20, Fraction(25, 3), Fraction(50, 3)]
     assert mixing.targets([0, 10], [3, 1], Fraction(15), 2) == [0, 15]
 
 
+def test_targets_of_many_sources():
+    """As by rounds in which all that are above their limit are put there and the rest is shared anew; a hundred thousand in good time."""
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        sizes, weights = [rng.choice([0, 1, 5, rng.randint(0, 100)]) for _ in range(n)], [rng.choice([3, 1, 2]) for _ in range(n)]
+        total = Fraction(3 * sum(sizes), 2)
+        want, free, left = [Fraction(0)] * n, list(range(n)), total
+        while free:
+            w = sum(weights[i] for i in free)
+            full = {i for i in free if left * weights[i] > 2 * sizes[i] * w}
+            for i in full or free:
+                want[i] = Fraction(2 * sizes[i]) if full else left * weights[i] / w
+            left, free = left - sum(want[i] for i in full), [i for i in free if i not in full] if full else []
+        assert mixing.targets(sizes, weights, total, 2) == want
+    began = time.time()
+    sizes = [rng.randint(0, 10**9) for _ in range(100_000)]
+    mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(100_000)], Fraction(3 * sum(sizes), 2), 2)
+    assert time.time() - began < 2
+
+
 # ---------------------------------------------------------------- 4
 
 
