@@ -77,16 +77,22 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, JOBS, events=table(spark, sf_dir, "events"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents, laid out line by line; numbers count empty strings between two blanks too."""
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents with their words; numbers count empty strings between two blanks too."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
-    parts = lines.select("doc_id", "line_number", F.posexplode(F.split("line", " ")).alias("word_number", "text")).filter("text <> ''")
-    x, y = F.col("word_number") * F.lit(10.0), F.col("line_number") * F.lit(12.0)
-    raw = parts.select(
-        F.col("doc_id").alias("page_index"), (F.col("doc_id") + 1).alias("page_number"), F.lit(0).alias("block_number"), "line_number", "word_number", "text", x.alias("x0"), y.alias("y0"), (x + 8).alias("x1"), (y + 10).alias("y1")
-    )
-    return native.words(raw)
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
+    y = F.col("line_number") * F.lit(12.0)
+
+    def word(text, i):
+        x = i * F.lit(10.0)
+        return F.struct(i.alias("word_number"), text.alias("text"), x.alias("x0"), y.alias("y0"), (x + 8).alias("x1"), (y + 10).alias("y1"))
+
+    there = F.filter(F.transform(F.split("line", " "), word), lambda w: w["text"] != "")
+    return native.lines(each.select(F.col("doc_id").alias("page_index"), (F.col("doc_id") + 1).alias("page_number"), F.lit(0).alias("block_number"), "line_number", there.alias("words")))
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return native.rows_of(lines(spark, sf_dir))
 
 
 def text_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,11 +100,11 @@ def native_single_tokens(spark, d):
 
 @query
 def native_adjacent_pairs(spark, d):
-    return native.pairs(fx.words(spark, d)).select("page_number", "line_number", "word_number", "raw_text", *(F.get("bbox", i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+    return native.pairs(fx.lines(spark, d)).select("page_number", "line_number", "word_number", "raw_text", *(F.get("bbox", i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
 
 
 def _native(spark, d):
-    return native.candidates(fx.words(spark, d), fx.text_catalog(spark, d))
+    return native.candidates(fx.lines(spark, d), fx.text_catalog(spark, d))
 
 
 @query
@@ -114,7 +114,7 @@ def native_candidates(spark, d):
 
 def _summaries(spark, d):
     all_pages = fx.table(spark, d, "documents").select((F.col("doc_id") + 1).alias("page_number"))
-    return native.page_summary(all_pages, fx.words(spark, d), _native(spark, d))
+    return native.page_summary(all_pages, fx.lines(spark, d), _native(spark, d))
 
 
 @query

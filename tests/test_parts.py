@@ -320,9 +320,37 @@ def test_native_both_ways(spark, sf_dir, monkeypatch):
     words = fixtures.words(spark, sf_dir).filter("page_number <= 40")
     once = sorted(map(tuple, native.candidates(words, fixtures.text_catalog(spark, sf_dir)).collect()), key=repr)
     monkeypatch.setattr(cat, "few", lambda *_: False)
+    # nearly all words are dropped where they stand
+    bare = native.rows_of(fixtures.lines(spark, sf_dir)).select(F.col("normalized_text"))
+    ids, shapes = (cat.by_id(fixtures.text_catalog(spark, sf_dir)).select(F.col("pole_id").alias("id")), cat.shapes(fixtures.text_catalog(spark, sf_dir)).select(F.col("shape").alias("known_shape")))
+    assert native._likely(bare, ids, shapes).count() < 0.1 * bare.count()
     assert once and sorted(map(tuple, native.candidates(words, fixtures.text_catalog(spark, sf_dir)).collect()), key=repr) == once
 
 
+def test_bloom(spark):
+    from planmatch.operators.bloom import bloom
+
+    held = spark.range(3000).select(F.concat(F.lit("O"), "id").alias("v"))
+    found = bloom(held.union(spark.createDataFrame([(None,)], "v string")), "v")
+    asked = spark.range(6000).select(F.concat(F.lit("O"), "id").alias("v"), "id").union(spark.createDataFrame([(None, -1)], "v string, id long"))
+    passed = {r["id"] for r in asked.filter(found.might_hold(F.col("v"))).collect()}
+    assert set(range(3000)) <= passed and len(passed) < 3000 + 120 and -1 not in passed
+    assert asked.filter(bloom(held.limit(0), "v").might_hold(F.col("v"))).count() == 0
+
+
+def test_lines_and_rows_alike(spark, sf_dir):
+    """Words nested by the source, or gathered from rows, give the same pairs and candidates; without a sort or shuffle of all words where they are nested."""
+    from planmatch.operators import native
+    from planmatch.plans import fixtures
+
+    few = fixtures.lines(spark, sf_dir).filter("page_number <= 30")
+    text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    order = ["page_number", "line_number", "word_number", "raw_text", "bbox"]
+    assert text(native.pairs(few).select(order)) == text(native.pairs(native.rows_of(few)).select(order)) != []
+    plan = native.pairs(few)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan and "Window" not in plan
+
+
 def test_integer_sets(spark):
     rows = spark.createDataFrame([(["3", "x", "1", "-2", "3"],), (None,)], "v array<string>")
     assert [r[0] for r in rows.select(values.integer_set("v")).collect()] == [[1, 3], []]
