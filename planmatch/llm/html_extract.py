@@ -3,21 +3,23 @@
 A page is read as a sequence of tags and of words. Words score one point; a tag scores below zero, the lower the more often it stood outside
 the content of the labelled pages. Elements that never hold content (scripts, styles, forms, menus, and blocks whose class or
 id says notice, advert, comments and the like) are left out before. One linear scan finds the run with the highest
-sum, and its text is put together block by block.
+sum, which on pages that mark no article is widened to the running text of the element around it, and its text is put together block by block.
 
 Markup is read in one pass: comments, declarations, tags with their attributes as HTML reads them (a value in quotes holds ``>``, one without
 doesn't), and elements whose content is no markup. Defined results: null or empty html, or html without words, gives an empty text; a tag, comment or
 declaration that the page ends inside is left out with all behind it; an element that is never closed (``<nav>`` without ``</nav>``) leaves out only the
-text up to the next tag; a quote that is never closed is part of a value without quotes; of runs with equal sums the first wins; of attributes only class,
+text up to the next tag; an element whose class, id or role names furniture stays where the page's article, main part or first heading is inside of it; a quote that is never closed is part of a value without quotes; of runs with equal sums the first wins; of attributes only class,
 id, role, hidden and aria-hidden by their whole names leave an element out, never what other attributes' values say; repeated rows are
 extracted each by itself; other columns are passed on, whatever their names, but for ``html`` and one named as the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +36,22 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Words of a class, id or role that mark an element as none of the content.
-FURNITURE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar\w*|footer|header|masthead|notice\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|"
-    r"comments?|commentlist|replies|disqus|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|search|login|signup|contentinfo|complementary|alert)(?:$|[\s_-])"
-)
+#: Words that name furniture; a class, id or role is furniture's if its words (between spaces, dashes and underscores) are these and neutral ones alone: ``sidebar-left`` is, ``with-sidebar`` and ``social-science`` aren't.
+FURNITURE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "banners", "sponsor", "sponsored", "promo", "promotion", "menu", "menubar", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "sidebars",
+    "footer", "header", "masthead", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "comment", "comments", "commentlist", "replies", "disqus", "share", "sharing", "social",
+    "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "search", "login", "signup", "contentinfo", "complementary", "alert",
+}
+NEUTRAL = {
+    "site", "page", "top", "bottom", "left", "right", "main", "global", "primary", "secondary", "inner", "outer", "wrap", "wrapper", "container", "box", "bar", "area", "block", "section", "region", "list", "item", "items", "links", "link", "buttons", "button",
+    "icons", "posts", "articles", "stories", "form", "panel", "group", "thread", "media", "us", "the", "a", "of", "js", "mobile", "desktop", "sticky", "fixed",
+}
+#: What readers wrote is furniture even where it is marked up as an article.
+READERS = {"comment", "comments", "commentlist", "replies", "disqus"}
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W_]+")
+#: Elements that hold blocks, and blocks of running text.
+HOLDERS = {"div", "section", "td", "center", "dd", "li", "figure", "details", "body", "html", "table", "tr", "tbody", "ul", "ol", "dl"}
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: What stands before an attribute's name, the name, and the sign before its value.
 ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(\s*=\s*)?")
@@ -56,12 +69,27 @@ LABELLED = (
 )
 
 
-def excluded(name: str, attributes: list[tuple[str, str]]) -> bool:
+@functools.lru_cache(1 << 12)
+def furniture(value: str) -> str:
+    """What a class, id or role says of its element: ``readers`` wrote it, it is other ``furniture``, or nothing."""
+    found = ""
+    for token in value.split():
+        words = [w.lower() for w in PARTS.findall(token) if not w.isdigit()]
+        if any(w in FURNITURE for w in words) and all(w in FURNITURE or w in NEUTRAL for w in words):
+            found = "readers" if found == "readers" or any(w in READERS for w in words) else "furniture"
+    return found
+
+
+def excluded(name: str, attributes: list[tuple[str, str]], holds) -> bool:
+    """Whether an element is left out. ``holds``: tells whether the page's article, its main part or its first heading stand inside, which no furniture has but for readers' comments."""
     if name in OUTSIDE:
         return True
     if not attributes or name in ("html", "body", "article", "main") or name in VOID:
         return False
-    return any(k == "hidden" or k == "aria-hidden" and v.lower() == "true" or k in ("class", "id", "role") and FURNITURE.search(v) for k, v in attributes)
+    if any(k == "hidden" or k == "aria-hidden" and v.lower() == "true" for k, v in attributes):
+        return True
+    said = {furniture(v) for k, v in attributes if k in ("class", "id", "role") and len(v) < 1000}
+    return "readers" in said or "furniture" in said and not holds()
 
 
 class Scan:
@@ -158,10 +186,11 @@ def items(page: str) -> list[tuple[str, str]]:
             closes.setdefault(name[1:], []).append(i)
         elif name and closes.get(name):
             end[i] = closes[name].pop()
+    marks = [i for i, (n, _, _) in enumerate(found) if n in ("article", "main", "h1")]
     out, i = [], 0
     while i < len(found):
         name, text, attributes = found[i]
-        if name and name[0] != "/" and excluded(name, attributes):
+        if name and name[0] != "/" and excluded(name, attributes, lambda: bisect_left(marks, end[i]) > bisect_left(marks, i)):
             out.append((name, ""))
             if name not in VOID:
                 i = end[i] if end[i] > 0 else i + 1 if i + 1 < len(found) and not found[i + 1][0] else i
@@ -224,9 +253,45 @@ def decoded(text: str) -> str:
     return entities.unescape(NUMBERS.sub(lambda m: "\ufffd" if m[0].strip("&#;xX").lstrip("0")[10:] else f"&#{m[0][2:].lstrip('0')}" if m[0][2] not in "xX" else f"&#x{m[0][3:].lstrip('0')}", text))
 
 
+def widened(found: list[tuple[str, str]], a: int, b: int) -> tuple[int, int]:
+    """The run, widened to all running text of the element that holds it, so that what costs much in between, a list of links say, cuts no paragraph off.
+    Only on pages that mark no article, and not to the body's own."""
+    up, close, inside, open_ = {}, {}, [-1] * len(found), []
+    for i, (name, _) in enumerate(found):
+        tag = name.lstrip("/")
+        if tag in HOLDERS and name == tag:
+            up[i] = open_[-1] if open_ else -1
+            open_.append(i)
+        elif tag in HOLDERS and any(found[x][0] == tag for x in open_[-8:]):
+            while found[x := open_.pop()][0] != tag:
+                close[x] = i
+            close[x] = i
+        inside[i] = open_[-1] if open_ else -1
+    written = [i for i in range(a, b) if not found[i][0] and found[i][1].strip()]
+    if not written or any(n in ("article", "main") for n, _ in found):
+        return a, b
+    holder = inside[written[0]]
+    while holder >= 0 and (close.get(holder, len(found)) < written[-1] or found[holder][0] in ("li", "ul", "ol", "tr", "tbody")):
+        holder = up[holder]
+    if holder < 0 or found[holder][0] in ("body", "html", "table"):
+        return a, b
+    own, i, end = [], holder, close.get(holder, len(found))
+    while i < end:
+        if inside[i] == holder and found[i][0] in RUNNING:
+            j = i + 1
+            while j < end and found[j][0].lstrip("/") not in BLOCKS:
+                j += 1
+            if any(not n and t.strip() for n, t in found[i:j]):
+                own += [i, j]
+            i = j
+        else:
+            i += 1
+    return (min(a, own[0]), max(b, own[-1])) if own else (a, b)
+
+
 def extract(page: str, weights: dict[str, float]) -> str:
     found = items(page)
-    a, b = best_run([score(k, t, weights) for k, (_, t) in zip(keyed(found), found)])
+    a, b = widened(found, *best_run([score(k, t, weights) for k, (_, t) in zip(keyed(found), found)]))
     blocks, now = [], []
     for name, text in found[a:b]:
         if not name:

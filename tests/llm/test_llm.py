@@ -555,6 +555,19 @@ def test_html_in_linear_time(page, want):
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<body><nav><a>x</a></nav><div class="content with-sidebar"><h1>T</h1><p>one two three four</p></div><div class="sidebar"><p>aside words</p></div></body>', "T\none two three four"),
+    ('<body><div class="social-science"><p>one two three four five</p></div><div class="social-links"><a>share</a></div></body>', "one two three four five"),
+    ('<body><div id="search-results-study"><p>one two three four five</p></div><div id="search-form"><p>find it here now</p></div></body>', "one two three four five"),
+    ("<body><div><a>Top</a></div><div><p>one two three</p><ul>" + "<li><a>x</a></li>" * 9 + "</ul><p>four five six seven</p></div><div><a>Next</a></div></body>", "one two three\n" + "x\n" * 9 + "four five six seven"),
+    ('<body><div class="layout sidebar-right"><article><h1>T</h1><p>one two</p></article></div></body>', "T\none two"),
+    ('<body><article><p>one two three</p></article><div class="comments"><article><p>readers wrote this all day long</p></article></div></body>', "one two three"),
+    ('<body><article><p>one</p><div class="related-posts"><p>more to read</p></div><div class="site_footer">f</div><div class="adBanner">b</div><p>two</p></article></body>', "one\ntwo"),
+])
+def test_html_of_other_shapes(page, want):
+    assert html_extract.extract(page, html_extract.item_weights()) == want
+
+
 def test_html_table(spark, empty):
     df = spark.createDataFrame([(1, "<p>a</p>", "old"), (1, "<p>a</p>", "old"), (2, None, None)], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in html_extract.main_text(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
