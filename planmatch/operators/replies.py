@@ -44,7 +44,11 @@ def first_json(text: Column) -> Column:
 
 
 def payload(rows: DataFrame, column: str = "raw_response") -> DataFrame:
-    """``rows`` with ``payload`` (variant) and ``error``. The decoder gets only the texts that need it, nulls for the rest."""
+    """``rows`` with ``payload`` (variant) and ``error``. The decoder gets only the texts that need it, nulls for the rest.
+
+    A reply is few bytes but much work: replies are dealt to as many tasks as shuffles have, which a count given keeps from being merged.
+    """
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = unfenced(F.coalesce(column, F.lit("")))
     needed = once(text, lambda t: F.when(F.try_parse_json(t).isNull() & (t != ""), t))
     rows = rows.withColumn("__salvaged", first_json(needed))

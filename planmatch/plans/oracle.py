@@ -217,7 +217,7 @@ SQL: dict[str, str] = {
     "permit_numbers": f"with {REQUESTS} select doc_id, number, number || '-2026' as permit_number from num",
     "permit_rows": f"""with {R}, {PERMIT_POLES} select num.doc_id, number || '-2026' as permit_number, count(*) filter (pole_owner = 'City') as totalcitypolecount, count(*) filter (pole_owner = 'Foreign') as foreignpolecount, 'Needs Review' as polereviewstatus
         from num left join placed using (doc_id) group by 1, 2""",
-    "pole_rows": f"with {R}, {PERMIT_POLES} select doc_id, number || '-2026' as permit_number, pole_id, pole_owner, confidence, case when confidence >= 0.85 then 'Approved' else 'Needs Review' end as status, x, y, 3734::int as wkid from placed join num using (doc_id)",
+    "pole_rows": f"with {R}, {PERMIT_POLES} select doc_id, number || '-2026' as permit_number, '{{' || regexp_replace(upper(md5('permit ' || number || '-2026')), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '}}' as permit_globalid, pole_id, pole_owner, confidence, case when confidence >= 0.85 then 'Approved' else 'Needs Review' end as status, x, y, 3734::int as wkid from placed join num using (doc_id)",
     "work_area_bbox": f"with {R}, {PERMIT_POLES} select doc_id, round(min(x) - 50, 4) as min_x, round(max(x) + 50, 4) as max_x, round(min(y) - 50, 4) as min_y, round(max(y) + 50, 4) as max_y from placed group by 1",
     "field_resolution": f"""with {R}, {PERMIT_POLES} select number || '-2026' as "Permit_Number", pole_id as "POLE_ID", pole_owner as "Pole_Owner", confidence as "Confidence", case when confidence >= 0.85 then 'Approved' else 'Needs Review' end as "STATUS", x as "X", y as "Y"
         from placed join num using (doc_id)""",

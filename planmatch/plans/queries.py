@@ -347,7 +347,7 @@ def permit_rows(spark, d):
 
 @query
 def pole_rows(spark, d):
-    return permits.pole_rows(_numbered(spark, d), _permit_poles(spark, d), ["doc_id"])
+    return permits.pole_rows(permits.identified(_numbered(spark, d)), _permit_poles(spark, d), ["doc_id"])
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,17 @@ def option(values: Mapping[str, str] | None, name: str, default, kind: Callable
     return kind(text) if text else default
 
 
-def evidence(report: DataFrame, path: str) -> None:
-    """One JSON object for each row; the write is committed as a whole."""
-    report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+def ascii_json(value: Column) -> Column:
+    """JSON text with all but ASCII escaped, characters beyond 16 bits as two."""
+    escaped = lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")).otherwise(c)
+    return F.when(value.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), escaped), "")).otherwise(value)
+
+
+def evidence(report: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """A JSON document for each row, all ASCII; the write is committed as a whole. With ``keys`` each is indented and lies in a folder of its own, named by the row's keys; without, they are lines."""
+    text = F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true" if keys else "false"})
+    written = report.select(*(keys or []), ascii_json(text).alias("value")).write.mode("overwrite")
+    (written.partitionBy(*keys) if keys else written).text(path)
 
 
 def write_features(permits: DataFrame, poles: DataFrame, folder: str, batch_id: int = 0) -> None:

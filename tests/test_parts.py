@@ -1,5 +1,6 @@
 """Replies, tiles, geometry, sources, sinks and streams on small inputs."""
 
+import json
 import sqlite3
 from types import SimpleNamespace
 
@@ -102,6 +103,10 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["permit_number"] for r in spark.read.parquet(f"{tmp_path}/permits").collect()) == ["7-2026", "9-2026"]
     sinks.evidence(permit.withColumn("none", F.lit(None).cast("string")), str(tmp_path / "report"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == ['{"doc_id":1,"permit_number":"7-2026","none":null}']
+    odd = spark.createDataFrame([(1, 'pö\U0001f600\n"x\\'), (2, "plain")], "doc_id long, t string")
+    sinks.evidence(odd, str(tmp_path / "documents"), ["doc_id"])
+    (one,) = (tmp_path / "documents" / "doc_id=1").glob("*.txt")
+    assert one.read_text().isascii() and json.loads(one.read_text()) == {"doc_id": 1, "t": 'pö\U0001f600\n"x\\'} and len(one.read_text().splitlines()) == 4
     files = spark.createDataFrame([(1, "a.pdf", b"x"), (2, "b.pdf", b"y")], "doc_id long, path string, content binary")
     assert [tuple(r) for r in sinks.attachments(permit, files, ["doc_id"]).collect()] == [("7-2026", "a.pdf", bytearray(b"x"))]
     assert sinks.option({"A": " "}, "A", 3, int) == 3 and sinks.option({"A": "5"}, "A", 3, int) == 5
