@@ -34,8 +34,7 @@ def tiles(grid: DataFrame, dpi: int = 225) -> DataFrame:
 def drawn(wanted: DataFrame, files: DataFrame, load: Callable = parser) -> DataFrame:
     """RECORD for each image of ``wanted``, with its bytes. ``files``: doc_id, content; ``load`` gives the library, once a group.
 
-    A group is one file and what is wanted of it: a file is read and opened once, however many images it gives. An image is sent on as soon as it
-    is drawn with its own row.
+    A group is one file and what is wanted of it: a file is read and opened once, however many images it gives. All images of a file are one table, 2 GB at most.
     """
     names = ["page_number", "page_index", "render_kind", "image_path", "dpi", "pdf_bbox", "tile_index", "tile_row", "tile_column"]
 

@@ -95,14 +95,16 @@ def created(permit: dict, connect: Callable[[], object], item_id: str, permits_a
             return permit["doc_id"], number, *ids, len(poles), f"permit {number} was created with {len(poles)} poles, but its file couldn't be attached"
     except (ServiceError, FieldError) as e:
         return permit["doc_id"], number, *ids, 0, str(e)
+    except Exception as e:  # whatever the client raises fails this permit, and isn't written again by a retry of its task
+        return permit["doc_id"], number, *ids, 0, f"Unexpected error: {e}"
     return permit["doc_id"], number, *ids, len(poles), None
 
 
 def write_permits(permits: DataFrame, poles: DataFrame, connect: Callable[[], object], item_id: str, permits_at: int = 0, poles_at: int = 1, files: DataFrame | None = None) -> DataFrame:
     """RESULT of each permit (doc_id, WORK_AREA_FIELDS, perhaps geometry); poles: doc_id and the columns of ``permits.pole_rows``; files: doc_id, content.
 
-    Each evaluation writes: save the result, and evaluate it no second time. A task that is run again writes its permits again; the permit number tells
-    such rows apart, so that a service should refuse a number that it has.
+    Each evaluation writes: save the result, and evaluate it no second time. A task that is run again writes its permits again: the data source ``features``
+    keeps a ledger and doesn't.
     """
     row = F.struct("pole_id", "pole_owner", "confidence", "status", "x", "y")
     owned = poles.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("poles"))
