@@ -25,8 +25,9 @@ def lines(raw: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     Words stay nested until they match: a page's words are never sorted or shuffled as rows.
     """
-    seen = F.filter("words", lambda w: w["text"].rlike(WS.replace("[", "[^", 1)))
-    return raw.select(*(keys or []), *PLACE, seen.alias("words")).filter(F.size("words") > 0)
+    # most words begin with a visible character of ASCII, which is told without a pattern
+    seen = F.filter("words", lambda w: (w["text"] >= "!") & (w["text"] < "\x7f") | w["text"].rlike(WS.replace("[", "[^", 1)))
+    return raw.select(*(keys or []), *PLACE, seen.alias("words"))
 
 
 def nested(word_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

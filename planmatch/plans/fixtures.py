@@ -79,7 +79,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with their words; numbers count empty strings between two blanks too."""
-    docs = table(spark, sf_dir, "documents")
+    # words are matched where their text is read: one small file would make few tasks of all of it
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "line"))
     y = F.col("line_number") * F.lit(12.0)
 
