@@ -1,18 +1,20 @@
 """N-gram language-model scores from an Elias-Fano trie in shards.
 
 Words are numbered first: buckets by hash add up the counts that chunks of documents send, and number their words by count, so that frequent words have small
-numbers everywhere. Then, for each order above one, chunks send their distinct n-grams, as word numbers with their counts in training documents,
-to shards by context. A shard adds them up and builds its part of the trie in one memory-mapped file: contexts as a monotone sequence, a monotone pointer
-for each to where its successors begin, the successors of all contexts as one monotone sequence relative to their context, and smoothed probabilities quantised
-to 16 bits. The n-grams of all chunks, those of held-out documents among them, are answered from it, each distinct one once: the context is
-searched, its two pointers are read, and the word is searched between them alone.
+numbers everywhere. Then chunks send their distinct windows of as many words as the order, as word numbers, to shards by first word, with their counts in training documents; every shorter
+n-gram is the beginning of a window, as texts are padded at both ends. One stage adds the counts up and builds the shard's trie of them as one file: the first words as a monotone
+sequence, and for each level a monotone pointer to where a place's successors begin in the next one, the successors of all places as one monotone sequence relative to their place, and
+smoothed probabilities quantised to 16 bits. The place of two words in the second level is the context of the third. Another stage maps that file into memory and answers from it
+alone for the windows of all chunks, those of held-out documents among them, each distinct one once: a word is searched between the two pointers of the place that the words before it led to.
 
 The model interpolates orders: p(w | context) = (c(context w) + s * p(w | shorter context)) / (c(context) + s), down to p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). It
 sums to one over the training words and one unseen word. A shard holds c(context w) / (c(context) + s) for each successor and s / (c(context) + s) for each context, which
-depend on nothing outside it; a chunk puts the orders together. Counts cover every training document; nothing is pruned.
+depend on nothing outside it; a chunk puts the orders together, each from the shard of its context's first word. Counts cover every training document; nothing is pruned, and words are compared
+by their exact numbers.
 
-What is sent grows with the input, and no table of all words or n-grams is in one place. A context too frequent for one shard is dealt over several by successor; its count is then
-sent to each. Chunks and shards get larger as the input does, so that records don't shrink with its square: they hold hundreds of n-grams up to about a terabyte.
+What is sent grows with the input, and no table of all words or n-grams is in one place. Windows of a word too frequent for one shard are dealt over several by their second word, and those of two words
+too frequent still by the third; the counts of these contexts are then sent to each. From order 4 on, windows with three words in common stay together. Chunks and shards get larger as the
+input does, so that records don't shrink with its square: they hold hundreds of n-grams up to about a terabyte.
 Documents are dealt to chunks by id, text and how often the task has seen both, so that no repeated row or id fills a chunk.
 
 Defined results: null text counts as empty and has one token, the end; a null doc_id is learnt from and not held out; repeated rows each count; no columns but
@@ -21,6 +23,7 @@ doc_id and text are read; with no training documents p(w) is 1 for every token;
 
 from __future__ import annotations
 
+import json
 import math
 import tempfile
 import zlib
@@ -48,26 +51,33 @@ def fold(doc_id: Column) -> Column:
 class EliasFano:
     """A sorted array of numbers: low bits packed, high bits in unary, with counts of zeros before each word for select."""
 
-    def __init__(self, values: np.ndarray, universe: int, keep=lambda x: x):
+    def __init__(self, values: np.ndarray, universe: int):
         n = len(values)
-        self.n, self.low_bits = n, max(0, int(universe // max(1, n)).bit_length() - 1)
-        low, high = values & np.uint64((1 << self.low_bits) - 1), (values >> np.uint64(self.low_bits)).astype(np.int64)
-        self.tops = (int(universe) >> self.low_bits) + 1
-        unary = np.zeros(-(-(n + self.tops + 1) // 64) * 8, np.uint8)
+        low_bits = max(0, int(universe // max(1, n)).bit_length() - 1)
+        low, high = values & np.uint64((1 << low_bits) - 1), (values >> np.uint64(low_bits)).astype(np.int64)
+        unary = np.zeros(-(-(n + (int(universe) >> low_bits) + 2) // 64) * 8, np.uint8)
         at = high + np.arange(n)
         np.bitwise_or.at(unary, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        words = unary.view(np.uint64)
-        self.high = keep(words)
-        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))]).astype(np.int64)
-        self.zeros, self.ones = keep(zeros), keep(64 * np.arange(len(zeros)) - zeros)
-        packed = np.zeros((n * self.low_bits >> 6) + 2, np.uint64)
-        if self.low_bits:
-            bit = np.arange(n, dtype=np.int64) * self.low_bits
+        packed = np.zeros((n * low_bits >> 6) + 2, np.uint64)
+        if low_bits:
+            bit = np.arange(n, dtype=np.int64) * low_bits
             word, shift = bit >> 6, (bit & 63).astype(np.uint64)
             np.bitwise_or.at(packed, word, low << shift)
             over = np.where(shift > 0, low >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
             np.bitwise_or.at(packed, word + 1, over)
-        self.low = keep(packed)
+        self._open(n, low_bits, unary.view(np.uint64), packed)
+
+    @classmethod
+    def of(cls, n: int, low_bits: int, high: np.ndarray, low: np.ndarray) -> EliasFano:
+        """One that was built before, from its parts, which may be mapped."""
+        self = cls.__new__(cls)
+        self._open(n, low_bits, high, low)
+        return self
+
+    def _open(self, n: int, low_bits: int, high: np.ndarray, low: np.ndarray) -> None:
+        self.n, self.low_bits, self.high, self.low = n, low_bits, high, low
+        self.zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))]).astype(np.int64)
+        self.ones = 64 * np.arange(len(self.zeros)) - self.zeros
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -120,70 +130,117 @@ def probability(code: np.ndarray) -> np.ndarray:
     return np.where(code == NONE, 0.0, 10.0 ** (-STEP * code.astype(float)))
 
 
-class Trie:
-    """One level of a shard: contexts, pointers, successors and quantised probabilities, all in one memory-mapped file."""
-
-    def __init__(self, contexts: np.ndarray, total: np.ndarray, owner: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, strength: float):
-        """contexts: sorted hashes with the counts ``total``; owner, word, count: successors by number of context and word, in order; words: above all word numbers."""
-        self._file, self._size, self.words = tempfile.TemporaryFile(), 0, words
-        n = len(contexts)
-        self.contexts = EliasFano(contexts, 1 << 64, self._keep)
-        self.pointers = EliasFano(np.searchsorted(owner, np.arange(n + 1)).astype(np.uint64), len(owner) + 1, self._keep)
-        self.successors = EliasFano(owner.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), max(1, n * words), self._keep)
-        self.back = self._keep(quantised(strength / (total + strength)))
-        self.p = self._keep(quantised(count / (total[owner] + strength)))
-
-    def _keep(self, array: np.ndarray) -> np.ndarray:
-        at = self._size
+def write_trie(words: list[np.ndarray], owner: list[np.ndarray], share: list[np.ndarray], back: list[np.ndarray]) -> bytes:
+    """A trie as one file. For each level, its words in order of the place of the words before (``owner``) and then by number; ``share`` has the codes of all
+    places but those of the first level, ``back`` those of all but the last."""
+    above = int(max((w.max() for w in words if len(w)), default=0)) + 1
+    head, parts, size = {"above": above, "arrays": [], "coded": []}, [], 0
+
+    def add(array: np.ndarray) -> None:
+        nonlocal size
         data = np.ascontiguousarray(array).tobytes()
-        self._file.write(data + b"\0" * (-len(data) % 64))
+        head["arrays"].append((array.dtype.str, len(array), size))
+        parts.append(data + b"\0" * (-len(data) % 64))
+        size += len(parts[-1])
+
+    def code(values: np.ndarray, universe: int) -> None:
+        found = EliasFano(values.astype(np.uint64), max(1, universe))
+        head["coded"].append((found.n, found.low_bits))
+        add(found.high)
+        add(found.low)
+
+    for k, w in enumerate(words):
+        before = len(words[k - 1]) if k else 1
+        if k:
+            code(np.searchsorted(owner[k], np.arange(before + 1)), len(w) + 1)
+        code(owner[k].astype(np.uint64) * np.uint64(above) + w if k else w, before * above)
+        if k:
+            add(share[k])
+        if k < len(words) - 1:
+            add(back[k])
+    front = json.dumps(head).encode()
+    return len(front).to_bytes(8, "little") + front + b"\0" * (-(len(front) + 8) % 64) + b"".join(parts)
+
+
+class Trie:
+    """A file of ``write_trie``, mapped into memory."""
+
+    def __init__(self, data: bytes):
+        self._file = tempfile.TemporaryFile()
+        self._file.write(data)
         self._file.flush()
-        self._size += len(data) + -len(data) % 64
-        return np.memmap(self._file, array.dtype, "r", at, array.shape) if array.size else array
+        end = 8 + int.from_bytes(data[:8], "little")
+        head = json.loads(data[8:end])
+        start, arrays, coded = end + -end % 64, iter(head["arrays"]), iter(head["coded"])
+
+        def array() -> np.ndarray:
+            kind, n, at = next(arrays)
+            return np.memmap(self._file, np.dtype(kind), "r", start + at, (n,)) if n else np.zeros(0, np.dtype(kind))
+
+        def code() -> EliasFano:
+            return EliasFano.of(*next(coded), array(), array())
+
+        self.above, self.pointers, self.successors, self.share, self.back = head["above"], [], [], [], []
+        levels = (len(head["coded"]) + 1) // 2
+        for k in range(levels):
+            if k:
+                self.pointers.append(code())
+            self.successors.append(code())
+            self.share.append(array() if k else None)
+            if k < levels - 1:
+                self.back.append(array())
 
     def close(self) -> None:
         self._file.close()
 
-    def look_up(self, contexts: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the share of each word in its context, NONE where it has none, and of what the shorter context gets. ``owner``: the number of each
-        word's context among the distinct ``contexts``, which are searched, and their pointers read, once each."""
-        share, back = np.full(len(word), NONE, np.uint16), np.zeros(len(contexts), np.uint16)
-        c = self.contexts.find(contexts)
-        known = np.flatnonzero(c >= 0)
-        if len(known):
-            first, end = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-            back[known] = self.back[c[known]]
-            first[known], end[known] = (self.pointers.get(i).astype(np.int64) for i in (c[known], c[known] + 1))
-            own = np.flatnonzero(end[owner] > first[owner])
-            if len(own):
-                o = owner[own]
-                at = self.successors.find(c[o].astype(np.uint64) * np.uint64(self.words) + word[own].astype(np.uint64), first[o], end[o])
-                share[own] = np.where(at >= 0, self.p[np.maximum(at, 0)], NONE)
-        return share, back[owner]
+    def walk(self, words: list[np.ndarray], owner: list[np.ndarray]) -> tuple[list, list]:
+        """For windows as ``write_trie`` has them: for each level but the first, codes of the share of each place among the words that follow the place before, NONE where
+        there is none; for each but the last, codes of what the shorter context gets after a place, 0 (all) where it isn't here."""
+        shares, backs, at = [None], [], np.zeros(0, np.int64)
+        for k, w in enumerate(words):
+            place = np.full(len(w), -1, np.int64)
+            if not k:
+                known = np.flatnonzero(w < self.above)
+                place[known] = self.successors[0].find(w[known])
+            else:
+                bounds = np.zeros((2, len(at)), np.int64)
+                found = np.flatnonzero(at >= 0)
+                if len(found):
+                    bounds[:, found] = [self.pointers[k - 1].get(at[found] + i).astype(np.int64) for i in (0, 1)]
+                known = np.flatnonzero((bounds[1] > bounds[0])[owner[k]] & (w < self.above))
+                o = owner[k][known]
+                place[known] = self.successors[k].find(at[o].astype(np.uint64) * np.uint64(self.above) + w[known], bounds[0][o], bounds[1][o])
+                shares.append(np.full(len(w), NONE, np.uint16))
+                shares[k][place >= 0] = self.share[k][place[place >= 0]]
+            if k < len(words) - 1:
+                backs.append(np.zeros(len(w), np.uint16))
+                backs[k][place >= 0] = self.back[k][place[place >= 0]]
+            at = place
+        return shares, backs
 
 
 # ---------------------------------------------------------------- what chunks and shards send
 
 
 def squeezed(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers of one length; the first one, where sorted, by its differences. Bytes of one weight lie side by side."""
-    parts, head = [], [len(columns)]
-    for i, c in enumerate(columns):
+    """Columns of whole numbers; sorted ones by their differences. Bytes of one weight lie side by side."""
+    parts, head = [], [np.array([len(columns), *map(len, columns)], np.uint32).tobytes()]
+    for c in columns:
         c = c.astype(np.uint64)
-        if rising := not i and bool((c[1:] >= c[:-1]).all()):
+        if rising := bool((c[1:] >= c[:-1]).all()):
             c = np.diff(c, prepend=np.uint64(0))
         width = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
-        head.append(width | rising << 7)
+        head.append(bytes([width | rising << 7]))
         parts.append(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
-    return zstandard.compress(bytes(head) + b"".join(parts), 1)
+    return zstandard.compress(b"".join(head + parts), 1)
 
 
 def grown(data: bytes) -> list[np.ndarray]:
     data = zstandard.decompress(data)
-    head, at = data[1 : 1 + data[0]], 1 + data[0]
-    n = (len(data) - at) // max(1, sum(x & 127 for x in head))
+    k = int.from_bytes(data[:4], "little")
+    lengths, at = np.frombuffer(data, np.uint32, k, 4).tolist(), 4 + 5 * k
     out = []
-    for x in head:
+    for x, n in zip(data[4 + 4 * k : at], lengths):
         width = x & 127
         full = np.zeros((n, 8), np.uint8)
         full[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
@@ -193,25 +250,26 @@ def grown(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def answered(share: np.ndarray, back: np.ndarray) -> tuple[bytes, bytes]:
-    """Codes of n-grams in order of context as little to send: the share's distance from its context's back-off, which depends on the count alone but for
-    rounding, or ``APART`` for none; and the back-off's change from the n-gram before."""
-    return squeezed(np.where(share == NONE, APART, share - back)), squeezed(np.diff(back, prepend=np.uint16(0)))
+def answered(share: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Codes of shares as little to send: the distance from their contexts' back-offs, which depends on the count alone but for rounding, or ``APART`` for none."""
+    return np.where(share == NONE, APART, share - back)
 
 
-def codes(first: bytes, second: bytes) -> tuple[np.ndarray, np.ndarray]:
-    away, back = grown(first)[0].astype(np.uint16), np.cumsum(grown(second)[0].astype(np.uint16), dtype=np.uint16)
-    return np.where(away == APART, np.uint16(NONE), away + back), back
+def codes(away: np.ndarray, back: np.ndarray) -> np.ndarray:
+    away = away.astype(np.uint16)
+    return np.where(away == APART, np.uint16(NONE), away + back.astype(np.uint16))
 
 
 #: No distance of codes: it would take counts above 10**18.
 APART = np.uint16(32768)
 DEALT = "g int, docs binary, train binary, lengths binary, texts binary"
-ASKED = "key int, g int, items binary, totals binary"
-TOLD = "g int, key int, first binary, second binary, n long, v long"
+ASKED = "key int, g int, items binary, counts binary, heads binary, pairs binary"
+BUILT = "key int, trie binary"
+TOLD = "g int, key int, found binary, n long, v long"
 NO_ID = np.iinfo(np.int64).min
-_ASKED = pa.schema([("key", pa.int32()), ("g", pa.int32()), ("items", pa.binary()), ("totals", pa.binary())])
-_TOLD = pa.schema([("g", pa.int32()), ("key", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+_ASKED = pa.schema([("key", pa.int32()), ("g", pa.int32()), *((c, pa.binary()) for c in ("items", "counts", "heads", "pairs"))])
+_BUILT = pa.schema([("key", pa.int32()), ("trie", pa.binary())])
+_TOLD = pa.schema([("g", pa.int32()), ("key", pa.int32()), ("found", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
 
 def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +349,7 @@ class Chunk:
 
     def told(self, answers: pa.Table, bits: int) -> None:
         """Takes the words' numbers and counts over all training documents from the answers of the buckets of words."""
-        parts = sorted((k, a) for k, a in zip(answers.column("key").to_pylist(), answers.column("first").to_pylist()) if k >> bits == 0)
+        parts = sorted((k, a) for k, a in zip(answers.column("key").to_pylist(), answers.column("found").to_pylist()) if k >> bits == 0)
         number, total = (np.concatenate(x) for x in zip(*(grown(a) for _, a in parts)))
         if len(number) != len(self.own):
             raise RuntimeError("a chunk's texts changed between two reads")
@@ -302,57 +360,196 @@ class Chunk:
         # place 0 stands for the start of a text
         self.local, self.numbers, self.frequency = rank[self.which] + 1, np.append(np.uint64(0), number[order]), np.append(np.int64(0), self.total[order])
 
-    def grams(self, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Words of the distinct n-grams of an order, context first, as places in ``numbers``, in order; and which of them each token ends."""
-        columns = [self.local]
-        for back in range(1, order):
-            before = np.zeros_like(self.local)
-            before[back:] = self.local[:-back]
-            for k in range(back):
-                at = self.at[:-1] + k
-                before[at[at < self.at[1:]]] = 0
-            columns.insert(0, before)
+    def windows(self, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The distinct windows of an order, as columns of places in ``numbers``, in order; how often each is in training documents; and which of them each window is. A text of n
+        tokens has n + order - 2, from one of its first word after starts to one of its last two before as many zeros as there is room for."""
+        texts = np.arange(len(self.at) - 1)
+        text = np.repeat(texts, np.diff(self.at))
+        padded = np.zeros(len(self.local) + len(texts) * (2 * order - 3), np.int64)
+        padded[np.arange(len(text)) + text * (2 * order - 3) + order - 1] = self.local
+        count = np.diff(self.at) + order - 2
+        begin = np.arange(count.sum()) + np.repeat(texts, count) * (order - 1)
         m, size = len(self.numbers), 1
-        code = np.zeros(len(self.local), np.int64)
-        for c in columns:
+        code = np.zeros(len(begin), np.int64)
+        for k in range(order):
             if size * m >= 1 << 62:
                 code = np.unique(code, return_inverse=True)[1]
                 size = int(code.max()) + 1
-            code, size = code * m + c, size * m
+            code, size = code * m + padded[begin + k], size * m
         _, place, which = numbered(code)
-        return [c[place] for c in columns], which
-
-
-def context_hash(numbers: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(numbers[0]), np.uint64)
-    for c in numbers:
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1))
-    return h
+        # the window that begins with a token's longest context; those of shorter ones follow
+        self.window_of = np.arange(len(text)) + text * (order - 2)
+        trained = np.bincount(which, np.repeat(self.train, count).astype(np.int64), len(place)).astype(np.int64)
+        return [padded[begin[place] + k] for k in range(order)], trained, which
 
 
 class Dealing:
-    """Which shard an n-gram goes to: by context, and by successor too where the context may be more frequent than a shard is large."""
+    """Which shard a window goes to: by first word, and by the second and third too where what is before them may be more frequent than a shard is large."""
 
     def __init__(self, bits: int, items: int, texts: int):
         self.bits, self.items, self.texts = bits, items, texts
 
-    def shares(self, chunk: Chunk, context: list[np.ndarray]) -> np.ndarray:
+    def shares(self, chunk: Chunk, places: list[np.ndarray]) -> np.ndarray:
         """Over how many shards a context is dealt: an n-gram is at most as frequent as each of its words."""
         most = chunk.frequency.copy()
         most[0] = self.texts
-        return np.maximum(1, -(-np.minimum.reduce([most[c] for c in context]) // self.items))
-
-    def shard(self, context: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return (mix(context + part.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def dealt(self, chunk: Chunk, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the n-grams by shard, their shards in that order, and of all n-grams the hash and shares of the context."""
-        numbers = [chunk.numbers[c] for c in columns]
-        h, shares = context_hash(numbers[:-1]), self.shares(chunk, columns[:-1])
-        part = np.where(shares > 1, (mix(numbers[-1]) % shares.astype(np.uint64)).astype(np.int64), 0)
-        shard = self.shard(h, part)
-        order = np.argsort(shard, kind="stable")
-        return order, shard[order], h, shares
+        return np.maximum(1, -(-np.minimum.reduce([most[c] for c in places]) // self.items))
+
+    def part(self, before: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return mix(before * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1))
+
+    def shard(self, parts: np.ndarray) -> np.ndarray:
+        return (parts >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+class Windows:
+    """A chunk's distinct windows by shard, in each by word numbers, as levels of beginnings: a beginning is written once, however many windows go on from it."""
+
+    def __init__(self, chunk: Chunk, order: int, dealing: Dealing):
+        places, trained, self.which = chunk.windows(order)
+        self.order, self.dealing, self.window_of = order, dealing, chunk.window_of
+        numbers = [chunk.numbers[c] for c in places]
+        shares, parts = [], [mix(numbers[0] + np.uint64(1))]
+        for k in range(1, min(order, 3)):
+            shares.append(dealing.shares(chunk, places[:k]))
+            part = np.where(shares[-1] > 1, (mix(numbers[k]) % shares[-1].astype(np.uint64)).astype(np.int64), 0)
+            parts.append(dealing.part(parts[-1], part))
+        shard = dealing.shard(parts[-1])
+        by_shard = np.argsort(shard, kind="stable")
+        self.row = np.empty(len(by_shard), np.int64)
+        self.row[by_shard] = np.arange(len(by_shard))
+        shard, self.trained = shard[by_shard], trained[by_shard]
+        self.numbers, self.shares, self.before = [c[by_shard] for c in numbers], [x[by_shard] for x in shares], [x[by_shard] for x in parts]
+        self.frequency = chunk.frequency[places[0]][by_shard]
+        self.at = runs(shard)
+        self.shards = shard[self.at[:-1]].tolist() if len(shard) else []
+        new = np.zeros(len(shard), bool)
+        new[self.at[:-1]] = True
+        self.new, self.first = [], []
+        for c in self.numbers:
+            new = new.copy()
+            new[1:] |= c[1:] != c[:-1]
+            self.new.append(new)
+            self.first.append(np.flatnonzero(new))
+
+    def items(self) -> list[bytes]:
+        """For each shard the words of each level, less the sibling before, and how many each has in the next."""
+        columns = []
+        for k, first in enumerate(self.first):
+            words = self.numbers[k][first]
+            if k:
+                less = words.copy()
+                less[1:] -= np.where(self.new[k - 1][first[1:]], np.uint64(0), words[:-1])
+                words = less
+            columns.append((k, words))
+            if k < self.order - 1:
+                columns.append((k, np.diff(np.searchsorted(self.first[k + 1], np.append(first, len(self.row))))))
+        bounds = [np.searchsorted(first, self.at) for first in self.first]
+        return [squeezed(*(c[bounds[k][i] : bounds[k][i + 1]] for k, c in columns)) for i in range(len(self.shards))]
+
+    def heads(self) -> list[bytes | None]:
+        """For each shard its first words that are dealt over several, with how often they are a context."""
+        first = self.first[0]
+        most = np.where(self.numbers[0][first] == 0, self.dealing.texts, self.frequency[first])
+        split, bounds = self.shares[0][first] > 1, np.searchsorted(first, self.at)
+        out = []
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            own = np.flatnonzero(split[i:j]) + i
+            out.append(squeezed(self.numbers[0][first[own]], most[own]) if len(own) else None)
+        return out
+
+    def pairs(self) -> dict[int, bytes]:
+        """By shard, pairs of words that are dealt over several, with how often they are a context here."""
+        if self.order < 3:
+            return {}
+        rows = np.flatnonzero((self.shares[1] > 1) & (self.trained > 0) & (self.numbers[2] > 0))
+        if not len(rows):
+            return {}
+        # rows of a pair lie in several shards, so that they are put side by side first
+        rows = rows[np.lexsort((self.numbers[1][rows], self.numbers[0][rows]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (self.numbers[0][rows[1:]] != self.numbers[0][rows[:-1]]) | (self.numbers[1][rows[1:]] != self.numbers[1][rows[:-1]])
+        first = np.flatnonzero(new)
+        own, count = rows[first], np.add.reduceat(self.trained[rows], first)
+        copies = self.shares[1][own]
+        which = np.repeat(np.arange(len(own)), copies)
+        part = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
+        shard = self.dealing.shard(self.dealing.part(self.before[1][own[which]], part))
+        place = np.unique(shard * len(own) + which)
+        shard, which = place // len(own), place % len(own)
+        at = runs(shard)
+        return {int(shard[i]): squeezed(self.numbers[0][own[which[i:j]]], self.numbers[1][own[which[i:j]]], count[which[i:j]]) for i, j in zip(at[:-1], at[1:])}
+
+    def places(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each token, the place of its n-gram of k + 1 words among the beginnings of that many, and of its context among those of k."""
+        row = self.row[self.which[self.window_of + self.order - k - 1]]
+        return np.searchsorted(self.first[k], row, side="right") - 1, np.searchsorted(self.first[k - 1], row, side="right") - 1
+
+
+def levels(items: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Words and owners of each level, from what ``Windows.items`` wrote."""
+    columns = grown(items)
+    words, owner = [columns[0]], [np.zeros(len(columns[0]), np.int64)]
+    for children, less in zip(columns[1::2], columns[2::2]):
+        children = children.astype(np.int64)
+        total = np.cumsum(less, dtype=np.uint64)
+        words.append(total - np.repeat((total - less)[np.cumsum(children) - children], children))
+        owner.append(np.repeat(np.arange(len(children)), children))
+    return words, owner
+
+
+def merged(asked: list[tuple[list, list]]) -> tuple[list, list, list]:
+    """Words and owners of the distinct beginnings of many, level by level, and which of them each is, all of one level behind each other."""
+    words, owner, which = [], [], []
+    for k in range(len(asked[0][0])):
+        w = np.concatenate([a[0][k] for a in asked])
+        if not k:
+            distinct, _, place = numbered(w)
+            words.append(distinct)
+            owner.append(np.zeros(len(distinct), np.int64))
+        else:
+            offset = np.cumsum([0, *(len(a[0][k - 1]) for a in asked)])
+            before = which[-1][np.concatenate([a[1][k] + o for a, o in zip(asked, offset)])]
+            above = int(w.max()) + 1
+            distinct, _, place = numbered(before.astype(np.uint64) * np.uint64(above) + w)
+            words.append(distinct % np.uint64(above))
+            owner.append((distinct // np.uint64(above)).astype(np.int64))
+        which.append(place)
+    return words, owner, which
+
+
+def built(asked: list[tuple[list, list]], counts: list[np.ndarray], heads: list[list], pairs: list[list], strength: float) -> bytes:
+    """The trie of windows with their counts in training documents; ``heads`` and ``pairs``: how often contexts are there whose windows lie in other shards too."""
+    words, owner, which = merged(asked)
+    order = len(words)
+    count = [np.zeros(len(w), np.int64) for w in words]
+    np.add.at(count[-1], which[-1], np.concatenate(counts).astype(np.int64))
+    for k in range(order - 2, -1, -1):
+        np.add.at(count[k], owner[k + 1], count[k + 1])
+    held = [c > 0 for c in count]
+    # only words follow a context, neither another start nor what pads the end
+    total = [np.bincount(owner[k + 1], np.where(words[k + 1] > 0, count[k + 1], 0), len(words[k])).astype(np.int64) for k in range(order - 1)]
+    if heads:
+        w, n = (np.concatenate(x) for x in zip(*heads))
+        place = np.searchsorted(words[0], w)
+        total[0][place] = n
+        held[0][place] |= n > 0
+    if pairs:
+        w, v, n = (np.concatenate(x) for x in zip(*pairs))
+        first = np.searchsorted(words[0], w)
+        above = np.uint64(max(int(words[1].max()), int(v.max())) + 1)
+        code, own = owner[1].astype(np.uint64) * above + words[1], first.astype(np.uint64) * above + v
+        place = np.minimum(np.searchsorted(code, own), len(code) - 1)
+        here = (first < len(words[0])) & (words[0][np.minimum(first, len(words[0]) - 1)] == w) & (code[place] == own)
+        given = np.zeros(len(code), np.int64)
+        np.add.at(given, place[here], n[here].astype(np.int64))
+        total[1] = np.where(given > 0, given, total[1])
+        count[1] = np.where(given > 0, given, count[1])
+        held[1] |= given > 0
+    share = [None, *(quantised(np.maximum(count[k], 1) / (np.maximum(total[k - 1][owner[k]], count[k]) + strength))[held[k]] for k in range(1, order))]
+    back = [quantised(strength / (t + strength))[held[k]] for k, t in enumerate(total)]
+    number = [np.cumsum(h) - 1 for h in held]
+    return write_trie([w[h] for w, h in zip(words, held)], [owner[0][held[0]], *(number[k - 1][owner[k][held[k]]] for k in range(1, order))], share, back)
 
 
 # ---------------------------------------------------------------- the model
@@ -377,7 +574,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
     def ask_words(key: tuple, part: pa.Table) -> pa.Table:
         chunk = Chunk(part)
         at = runs((bucket := (chunk.own >> np.uint64(64 - bits)).astype(np.int64)))
-        return rows_of([(int(bucket[i]), key[0].as_py(), squeezed(chunk.own[i:j], chunk.counts[i:j]), None) for i, j in zip(at[:-1], at[1:]) if j > i], _ASKED)
+        return rows_of([(int(bucket[i]), key[0].as_py(), squeezed(chunk.own[i:j], chunk.counts[i:j]), None, None, None) for i, j in zip(at[:-1], at[1:]) if j > i], _ASKED)
 
     def tell_words(key: tuple, part: pa.Table) -> pa.Table:
         asked = [grown(x) for x in part.column("items").to_pylist()]
@@ -390,69 +587,49 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
         rows, at = [], 0
         for g, (h, _) in zip(part.column("g").to_pylist(), asked):
             mine = which[at : at + len(h)]
-            rows.append((g, key[0].as_py(), squeezed(number[mine], total[mine]), None, 0 if at else int(total.sum()), 0 if at else int((total > 0).sum())))
+            rows.append((g, key[0].as_py(), squeezed(number[mine], total[mine]), 0 if at else int(total.sum()), 0 if at else int((total > 0).sum())))
             at += len(h)
         return rows_of(rows, _TOLD)
 
     def ask_grams(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
-        chunk, rows = Chunk(part), []
+        chunk = Chunk(part)
         chunk.told(told, bits)
-        for k in range(2, order + 1):
-            columns, which = chunk.grams(k)
-            counts = np.bincount(which, chunk.weight, len(columns[0])).astype(np.int64)
-            by_shard, shard, h, shares = dealing.dealt(chunk, columns)
-            numbers = [chunk.numbers[c] for c in columns]
-            totals: dict[int, list] = {}
-            split = np.flatnonzero((shares > 1) & (counts > 0))
-            if len(split):  # contexts of several shards: their counts go to each
-                own, first, inverse = np.unique(h[split], return_index=True, return_inverse=True)
-                n = np.bincount(inverse, counts[split]).astype(np.int64)
-                for x, c, s in zip(own, n, shares[split][first]):
-                    for b in np.unique(dealing.shard(np.full(s, x, np.uint64), np.arange(s))).tolist():
-                        totals.setdefault(b, []).append((x, c))
-            at = runs(shard)
-            sent = {int(shard[i]): squeezed(*(c[by_shard[i:j]] for c in numbers), counts[by_shard[i:j]]) for i, j in zip(at[:-1], at[1:]) if j > i}
-            extra = {b: squeezed(*(np.array(x, np.uint64) for x in zip(*sorted(rows)))) for b, rows in totals.items()}
-            rows += [((k - 1 << bits) + b, key[0].as_py(), sent.get(b), extra.get(b)) for b in sorted({*sent, *extra})]
-        return rows_of(rows, _ASKED)
-
-    def tell_grams(key: tuple, part: pa.Table) -> pa.Table:
-        asked = [grown(x) for x in part.column("items").to_pylist() if x is not None]
+        windows = Windows(chunk, order, dealing)
+        sent = {b: (x, squeezed(windows.trained[i:j]), h) for b, x, h, i, j in zip(windows.shards, windows.items(), windows.heads(), windows.at[:-1], windows.at[1:])}
+        pairs = windows.pairs()
+        return rows_of([(buckets + b, key[0].as_py(), *sent.get(b, (None, None, None)), pairs.get(b)) for b in sorted({*sent, *pairs})], _ASKED)
+
+    def build(key: tuple, part: pa.Table) -> pa.Table:
+        items, counts, heads, pairs = ([x for x in part.column(c).to_pylist() if x is not None] for c in ("items", "counts", "heads", "pairs"))
+        if not items:
+            return rows_of([], _BUILT)
+        return rows_of([(key[0].as_py(), built([levels(x) for x in items], [grown(x)[0] for x in counts], [grown(x) for x in heads], [grown(x) for x in pairs], strength))], _BUILT)
+
+    def tell_grams(key: tuple, part: pa.Table, tries: pa.Table) -> pa.Table:
+        asked = [(g, levels(x)) for g, x in zip(part.column("g").to_pylist(), part.column("items").to_pylist()) if x is not None]
         if not asked:
             return rows_of([], _TOLD)
-        columns = [np.concatenate(x) for x in zip(*asked)]
-        h, word = context_hash(columns[:-2]), columns[-2]
-        extra = [grown(x) for x in part.column("totals").to_pylist() if x is not None]
-        split = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in extra)])
-        contexts, _, number = numbered(np.concatenate([h, split]))
-        words = int(word.max()) + 1
-        distinct, _, which = numbered(number[: len(h)].astype(np.uint64) * np.uint64(words) + word)
-        count = np.zeros(len(distinct), np.int64)
-        np.add.at(count, which, columns[-1].astype(np.int64))
-        owner, word = (distinct // np.uint64(words)).astype(np.int64), distinct % np.uint64(words)
-        total, given = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-        np.add.at(total, owner, count)
-        np.add.at(given, number[len(h) :], np.concatenate([np.zeros(0, np.uint64), *(n for _, n in extra)]).astype(np.int64))
-        total = np.where(given > 0, given, total)
-        # the trie holds what training documents have
-        held, seen = total > 0, count > 0
-        renumbered = np.cumsum(held) - 1
-        trie = Trie(contexts[held], total[held], renumbered[owner[seen]], word[seen], count[seen], words, strength)
-        share, back = trie.look_up(contexts, owner, word)
+        words, owner, which = merged([x for _, x in asked])
+        trie = Trie(tries.column("trie")[0].as_py())
+        share, back = trie.walk(words, owner)
         trie.close()
-        rows, at = [], 0
-        for g, x in zip(part.column("g").to_pylist(), part.column("items").to_pylist()):
-            if x is not None:
-                n = len(asked[len(rows)][0])
-                rows.append((g, key[0].as_py(), *answered(share[which[at : at + n]], back[which[at : at + n]]), 0, 0))
-                at += n
+        rows, at = [], np.zeros(order, np.int64)
+        for g, (own, _) in asked:
+            end = at + [len(w) for w in own]
+            place = [which[k][at[k] : end[k]] for k in range(order)]
+            columns = [x for k in range(1, order) for x in (answered(share[k][place[k]], back[k - 1][owner[k][place[k]]]), back[k - 1][place[k - 1]])]
+            rows.append((g, key[0].as_py(), squeezed(*columns), 0, 0))
+            at = end
         return rows_of(rows, _TOLD)
 
     told_words = dealt.groupBy("g").applyInArrow(ask_words, ASKED).groupBy("key").applyInArrow(tell_words, TOLD)
-    told_grams = dealt.groupBy("g").cogroup(told_words.groupBy("g")).applyInArrow(ask_grams, ASKED).groupBy("key").applyInArrow(tell_grams, TOLD)
-    told = told_words.unionByName(told_grams) if order > 1 else told_words
+    told = told_words
+    if order > 1:
+        asked = dealt.groupBy("g").cogroup(told_words.groupBy("g")).applyInArrow(ask_grams, ASKED)
+        tries = asked.groupBy("key").applyInArrow(build, BUILT)
+        told = told.unionByName(asked.groupBy("key").cogroup(tries.groupBy("key")).applyInArrow(tell_grams, TOLD))
     sums = [told_words.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in ("n", "v")]
-    told = told.select("g", "key", "first", "second", sums[0].alias("n"), sums[1].alias("v"))
+    told = told.select("g", "key", "found", sums[0].alias("n"), sums[1].alias("v"))
 
     def score(part: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(part)
@@ -460,14 +637,15 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
         n, v = told.column("n")[0].as_py(), told.column("v")[0].as_py()
         plain = (chunk.total + 0.5) / (n + 0.5 * (v + 1))
         p = plain[chunk.which]
-        answers = sorted(zip(*(told.column(c).to_pylist() for c in ("key", "first", "second"))), key=lambda x: x[0])
-        for k in range(2, order + 1):
-            columns, which = chunk.grams(k)
-            by_shard, *_ = dealing.dealt(chunk, columns)
-            own = [x for x in answers if x[0] >> bits == k - 1]
-            share, back = (np.empty(len(by_shard), np.uint16) for _ in range(2))
-            share[by_shard], back[by_shard] = (np.concatenate(x) for x in zip(*(codes(*x[1:]) for x in own)))
-            p = probability(share)[which] + probability(back)[which] * p
+        if order > 1:
+            windows = Windows(chunk, order, dealing)
+            answers = sorted((k, x) for k, x in zip(told.column("key").to_pylist(), told.column("found").to_pylist()) if k >= buckets)
+            columns = [np.concatenate(x) for x in zip(*(grown(x) for _, x in answers))]
+            for k in range(1, order):
+                away, back = columns[2 * k - 2], columns[2 * k - 1]
+                place, context = windows.places(k)
+                back = back[context]
+                p = probability(codes(away[place], back)) + probability(back) * p
         add = lambda x: np.add.reduceat(x, chunk.at[:-1])
         return pa.table(
             {

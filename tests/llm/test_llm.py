@@ -585,7 +585,7 @@ def test_best_run():
 # ---------------------------------------------------------------- 9
 
 
-@pytest.mark.parametrize("order, options", [(3, {"chunk_bytes": 2000, "bucket_items": 300}), (3, {}), (2, {"chunk_bytes": 5000, "bucket_items": 20}), (1, {}), (4, {"chunk_bytes": 9000})])
+@pytest.mark.parametrize("order, options", [(3, {"chunk_bytes": 2000, "bucket_items": 300}), (3, {"chunk_bytes": 4000, "bucket_items": 15}), (3, {}), (2, {"chunk_bytes": 5000, "bucket_items": 20}), (1, {}), (4, {"chunk_bytes": 9000})])
 def test_language_model(spark, docs, order, options):
     """Also with contexts dealt over several shards."""
     rows = [tuple(r[:2]) for r in corpus()]
@@ -623,28 +623,54 @@ def test_longer_contexts_tell_more(spark):
     assert mean[0] < mean[1] < mean[2] - 0.2
 
 
-def test_trie():
-    """Pointers and successors against a dictionary, with contexts that have no successor here and words that no context has."""
-    rng = np.random.default_rng(2)
-    contexts = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
-    pairs = sorted({(int(c), int(w)) for c, w in zip(rng.integers(0, len(contexts) - 5, 500), rng.integers(0, 90, 500))})
-    owner, word = (np.array(x) for x in zip(*pairs))
-    count, total = rng.integers(1, 50, len(pairs)), rng.integers(500, 900, len(contexts))
-    trie = language_model.Trie(contexts, total, owner, word, count, 100, 20.0)
-    share = {(int(contexts[c]), w): n / (total[c] + 20) for (c, w), n in zip(pairs, count.tolist())}
-    back = {int(h): 20 / (t + 20) for h, t in zip(contexts, total)}
-    ask = [(int(h), w) for h in [*contexts.tolist(), 5, 2**62 + 1] for w in range(95)]
-    asked, owner = np.unique(np.array([h for h, _ in ask], np.uint64), return_inverse=True)
-    got = trie.look_up(asked, owner, np.array([w for _, w in ask]))
-    assert np.allclose(language_model.probability(got[0]), [share.get(x, 0.0) for x in ask], rtol=3e-3) and np.allclose(language_model.probability(got[1]), [back.get(h, 1.0) for h, _ in ask], rtol=3e-3)
+def windows_of(rng, n, words, order):
+    """Distinct windows with counts, as levels of their beginnings."""
+    counts = {}
+    for w in rng.integers(0, words, (n, order)).tolist():
+        counts[tuple(w)] = counts.get(tuple(w), 0) + int(rng.integers(0, 4))
+    found = [sorted({w[: k + 1] for w in counts}) for k in range(order)]
+    place = [{w: i for i, w in enumerate(x)} for x in found]
+    own = [np.array([w[-1] for w in x], np.uint64) for x in found]
+    owner = [np.zeros(len(found[0]), np.int64), *(np.array([place[k - 1][w[:-1]] for w in found[k]]) for k in range(1, order))]
+    return counts, found, (own, owner)
+
+
+@pytest.mark.parametrize("order, words, n", [(2, 40, 300), (3, 12, 900), (3, 2**33, 50), (4, 4, 300)])
+def test_trie(order, words, n):
+    """A file that is built from some chunks' windows answers those of others as dictionaries do, with windows that training documents lack and words that no context has."""
+    rng = np.random.default_rng(order)
+    parts = [windows_of(rng, n, words, order) for _ in range(3)]
+    count = {}
+    for counts, *_ in parts:
+        for w, c in counts.items():
+            count[w] = count.get(w, 0) + c
+    data = language_model.built([x for *_, x in parts], [np.array([counts[w] for w in found[-1]]) for counts, found, _ in parts], [], [], 20.0)
+    seen, context = {}, {}
+    for w, c in count.items():
+        for k in range(1, order):
+            seen[w[: k + 1]] = seen.get(w[: k + 1], 0) + c
+            context[w[:k]] = context.get(w[:k], 0) + c * (w[k] > 0)
+    trie = language_model.Trie(data)
+    for _, found, (own, owner) in [*parts, windows_of(rng, n, words + 5, order), ({}, [[]] * order, ([np.zeros(0, np.uint64)] * order, [np.zeros(0, np.int64)] * order))]:
+        share, back = trie.walk(own, owner)
+        for k in range(1, order):
+            # nothing but ends and starts follows a context without a count
+            asked = [i for i, w in enumerate(found[k]) if w[-1] > 0]
+            want = [seen.get(found[k][i], 0) / (context.get(found[k][i][:-1], 0) + 20) for i in asked]
+            assert np.allclose(language_model.probability(share[k])[asked], want, rtol=3e-3)
+            assert np.allclose(language_model.probability(back[k - 1]), [20 / (context.get(w, 0) + 20) for w in found[k - 1]], rtol=3e-3)
+    trie.close()
+    trie = language_model.Trie(language_model.built([x for *_, x in parts], [np.zeros(len(found[-1])) for _, found, _ in parts], [], [], 20.0))
+    share, back = trie.walk(*parts[0][2])
+    assert all((x == language_model.NONE).all() for x in share[1:]) and all((x == 0).all() for x in back)
     trie.close()
 
 
 def test_squeezed():
     share, back = np.array([language_model.NONE, 0, 65534, 5, 30000], np.uint16), np.array([7, 7, 65534, 9000, 0], np.uint16)
-    assert all((a == b).all() for a, b in zip(language_model.codes(*language_model.answered(share, back)), (share, back)))
+    assert (language_model.codes(language_model.answered(share, back), back) == share).all()
     rng = np.random.default_rng(3)
-    for columns in ([np.zeros(0, np.uint64)] * 2, [np.sort(rng.integers(0, 2**40, 50)), rng.integers(0, 3, 50)], [rng.integers(0, 2**63, 9)], [np.array([5, 5, 7]), np.array([2**63, 1, 0], np.uint64)]):
+    for columns in ([np.zeros(0, np.uint64)] * 2, [np.sort(rng.integers(0, 2**40, 50)), rng.integers(0, 3, 50)], [rng.integers(0, 2**63, 9)], [np.array([5, 5, 7]), np.array([2**63, 1, 0], np.uint64)], [np.arange(9), np.zeros(0, np.uint64), rng.integers(0, 300, 4)]):
         assert all((a == b).all() for a, b in zip(language_model.grown(language_model.squeezed(*columns)), columns))
 
 
