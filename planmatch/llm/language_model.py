@@ -480,10 +480,14 @@ class Windows:
         at = runs(shard)
         return {int(shard[i]): squeezed(self.numbers[0][own[which[i:j]]], self.numbers[1][own[which[i:j]]], count[which[i:j]]) for i, j in zip(at[:-1], at[1:])}
 
-    def places(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each token, the place of its n-gram of k + 1 words among the beginnings of that many, and of its context among those of k."""
-        row = self.row[self.which[self.window_of + self.order - k - 1]]
-        return np.searchsorted(self.first[k], row, side="right") - 1, np.searchsorted(self.first[k - 1], row, side="right") - 1
+    def owners(self, k: int) -> np.ndarray:
+        """For each beginning of k + 1 words the place of its context among those of k."""
+        return (np.cumsum(self.new[k - 1]) - 1)[self.first[k]]
+
+    def places(self, k: int) -> np.ndarray:
+        """For each token, the place of its n-gram of k + 1 words among the beginnings of that many."""
+        of_window = (np.cumsum(self.new[k]) - 1)[self.row]
+        return of_window[self.which[self.window_of + self.order - k - 1]]
 
 
 def levels(items: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -642,10 +646,9 @@ def score_texts(docs: DataFrame, train: Column, order: int = 3, strength: float
             answers = sorted((k, x) for k, x in zip(told.column("key").to_pylist(), told.column("found").to_pylist()) if k >= buckets)
             columns = [np.concatenate(x) for x in zip(*(grown(x) for _, x in answers))]
             for k in range(1, order):
-                away, back = columns[2 * k - 2], columns[2 * k - 1]
-                place, context = windows.places(k)
-                back = back[context]
-                p = probability(codes(away[place], back)) + probability(back) * p
+                away, back = columns[2 * k - 2], columns[2 * k - 1][windows.owners(k)]
+                place = windows.places(k)
+                p = probability(codes(away, back))[place] + probability(back)[place] * p
         add = lambda x: np.add.reduceat(x, chunk.at[:-1])
         return pa.table(
             {
