@@ -67,6 +67,16 @@ def work_areas(poles: DataFrame, keys: list[str], buffer: float = BUFFER, segmen
     return placed.mapInArrow(reduced, f"{schema}, x double, y double").groupBy(*keys).applyInArrow(ring, f"{schema}, ring array<array<double>>")
 
 
+def measured(areas: DataFrame) -> DataFrame:
+    """Work areas with ``area`` and ``perimeter`` of their ring, from differences to its first corner, as coordinates are large beside what they enclose."""
+    first = F.get("ring", 0)
+    corner = lambda p: F.struct(*((F.get(p, i) - F.get(first, i)).alias(c) for i, c in enumerate("xy")))
+    at = F.transform("ring", corner)
+    sides = F.zip_with(F.slice(at, 1, F.size("ring") - 1), F.slice(at, 2, F.size("ring") - 1), lambda a, b: F.struct(((b.x * a.y - a.x * b.y) / 2).alias("area"), F.hypot(b.x - a.x, b.y - a.y).alias("length")))
+    total = lambda name: F.aggregate(sides, F.lit(0.0), lambda t, x: t + x[name])
+    return areas.withColumn("area", total("area")).withColumn("perimeter", total("length"))
+
+
 def polygons(permits: DataFrame, areas: DataFrame, keys: list[str], wkid: int = 3734) -> DataFrame:
     """Permits with their polygon; permits without poles have none."""
     return permits.join(areas, keys, "left").withColumn("geometry", F.when(F.col("ring").isNotNull(), F.struct(F.array("ring").alias("rings"), F.struct(F.lit(wkid).alias("wkid")).alias("spatialReference")))).drop("ring")

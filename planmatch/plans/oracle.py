@@ -114,6 +114,23 @@ pp as (select * from (select (page_number - 1)::bigint as doc_id, normalized_tex
 placed as (select *, case when ends_with(pole_id, 'F') then 'Foreign' else 'City' end as pole_owner from pp where x is not null and y is not null)"""
 R = f"{fx.DUCK_CATALOG}, {fx.DUCK_READINGS}"
 
+# A hull is walked from its lowest point by the least turn; the sum of two convex shapes has the sum of their perimeters, and an area of theirs and of each side of one times how far
+# the other reaches across it.
+SIZES = f"""with recursive {R}, {PERMIT_POLES},
+    way as (select cos(2 * pi() * k / 64) * 50 as ox, sin(2 * pi() * k / 64) * 50 as oy from (select unnest(range(64)) as k)),
+    pt as (select distinct doc_id, x, y from placed where x is not null and y is not null),
+    start as (select doc_id, arg_min(x, (y, x)) as sx, min(y) as sy from pt group by 1),
+    walk as (select doc_id, sx, sy, sx as px, sy as py, sx as x, sy as y, 0::double as turn, 0 as step from start
+        union all select doc_id, sx, sy, px, py, n.x, n.y, n.turn, step from (
+            select w.doc_id, w.sx, w.sy, w.x as px, w.y as py, w.step + 1 as step,
+                arg_min({{'x': p.x, 'y': p.y, 'turn': round(a.turn, 12)}}, (round(a.turn, 12), -sqrt((p.x - w.x) ** 2 + (p.y - w.y) ** 2))) as n
+            from walk w join pt p on p.doc_id = w.doc_id and (p.x <> w.x or p.y <> w.y), lateral (select atan2(p.y - w.y, p.x - w.x) as t) b, lateral (select case when t < -1e-12 then t + 2 * pi() else t end as turn) a
+            where (w.step = 0 or w.x <> w.sx or w.y <> w.sy) and a.turn >= w.turn - 1e-11 group by all)),
+    side as (select doc_id, step, px - sx as ax, py - sy as ay, x - sx as bx, y - sy as by_ from walk where step > 0),
+    reach as (select doc_id, step, max((by_ - ay) * ox - (bx - ax) * oy) as r from side, way group by 1, 2),
+    own as (select doc_id, sum((ax * by_ - bx * ay) / 2 + r) as area, sum(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2)) as perimeter from side join reach using (doc_id, step) group by 1)
+    select doc_id, round(coalesce(area, 0) + 64 * 1250 * sin(2 * pi() / 64), 2) as area, round(coalesce(perimeter, 0) + 64 * 100 * sin(pi() / 64), 2) as perimeter from start left join own using (doc_id)"""
+
 BARE = """regexp_replace(regexp_replace(upper(replace({}, 'ß', 'SS')), '^[ \\t\\r\\n.,;:!?()\\[\\]{{}}<>"''`]+|[ \\t\\r\\n.,;:!?()\\[\\]{{}}<>"''`]+$', '', 'g'), '\\s', '', 'g')"""
 
 
@@ -163,6 +180,11 @@ SQL: dict[str, str] = {
     "catalog_leading_letters": f"with {fx.DUCK_CATALOG} select distinct left(pole_id_normalized, 1) as letter from fx_catalog",
     "catalog_coordinates": f"with {fx.DUCK_CATALOG}, {COORDINATES} select * from coord",
     "catalog_neighbourhood": f"with {fx.DUCK_CATALOG}, {NEIGHBOURS} select nid.pole_id, coalesce(len(neighbours), 0)::int as neighbour_count, coalesce({listed('neighbours[1:12]')}, '') as first_neighbours from nid left join nb using (pole_id)",
+    "catalog_records": f"""with {fx.DUCK_CATALOG}, m as (select *, case when source_id like 'T%' then 'T' else 'S' end as system from fx_catalog), n as (select pole_id_normalized, count(*) as match_count from m group by 1),
+        u as (select pole_id_normalized, system, x, y, min(pole_id_raw) as pole_id_raw from m group by all)
+        select pole_id_normalized as pole_id, match_count, (row_number() over (partition by pole_id_normalized order by system, x nulls first, y nulls first) - 1)::int as place, system as source_id, pole_id_raw, x, y from u join n using (pole_id_normalized)""",
+    "catalog_by_source": f"""with {fx.DUCK_CATALOG} select substr(source_id, 2) as source_id, (row_number() over (partition by substr(source_id, 2) order by pole_id_normalized, pole_id_raw, x nulls first, y nulls first) - 1)::int as place,
+        pole_id_normalized, pole_id_raw, x, y from fx_catalog""",
     "catalog_duplicates": f"with {fx.DUCK_CATALOG} select pole_id_normalized, count(*) as n from fx_catalog group by 1 having count(*) > 1",
     "exact_match": f"with {R} select {TILE}, pos, raw_text, source_id, x, y from fx_readings join fx_catalog on pole_id_normalized = {norm('raw_text')}",
     "exact_match_outer": f"""with {R}, g as (select pole_id_normalized, count(*) n, {listed('list_sort(list(distinct source_id))')} s from fx_catalog group by 1)
@@ -219,6 +241,7 @@ SQL: dict[str, str] = {
         from num left join placed using (doc_id) group by 1, 2""",
     "pole_rows": f"with {R}, {PERMIT_POLES} select doc_id, number || '-2026' as permit_number, '{{' || regexp_replace(upper(md5('permit ' || number || '-2026')), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '}}' as permit_globalid, pole_id, pole_owner, confidence, case when confidence >= 0.85 then 'Approved' else 'Needs Review' end as status, x, y, 3734::int as wkid from placed join num using (doc_id)",
     "work_area_bbox": f"with {R}, {PERMIT_POLES} select doc_id, round(min(x) - 50, 4) as min_x, round(max(x) + 50, 4) as max_x, round(min(y) - 50, 4) as min_y, round(max(y) + 50, 4) as max_y from placed group by 1",
+    "work_area_size": f"""{SIZES}""",
     "field_resolution": f"""with {R}, {PERMIT_POLES} select number || '-2026' as "Permit_Number", pole_id as "POLE_ID", pole_owner as "Pole_Owner", confidence as "Confidence", case when confidence >= 0.85 then 'Approved' else 'Needs Review' end as "STATUS", x as "X", y as "Y"
         from placed join num using (doc_id)""",
     "message_text": """select 'user' || user_id || '@example.com' as to_address, case when event_type = 'view' then 'New message on permit ' || event_id || ' -2026' else 'New message on your request' end as subject,

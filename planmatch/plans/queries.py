@@ -68,6 +68,21 @@ def catalog_duplicates(spark, d):
     return cat.duplicates(fx.catalog(spark, d))
 
 
+@query
+def catalog_records(spark, d):
+    """Each id's records, those of one place in systems S and D told once."""
+    merged = fx.catalog(spark, d).withColumn("source_id", F.when(F.col("source_id").startswith("T"), "T").otherwise("S"))
+    found = cat.by_id(merged, records=True)
+    return found.select("pole_id", "match_count", F.posexplode("records").alias("place", "r")).select("pole_id", "match_count", "place", "r.source_id", "r.pole_id_raw", "r.x", "r.y")
+
+
+@query
+def catalog_by_source(spark, d):
+    """Records of one asset number in all systems, repeated ones kept."""
+    assets = fx.catalog(spark, d).withColumn("source_id", F.substring("source_id", 2, 20))
+    return cat.by_source(assets).select("source_id", F.posexplode("records").alias("place", "r")).select("source_id", "place", "r.pole_id_normalized", "r.pole_id_raw", "r.x", "r.y")
+
+
 # ---------------------------------------------------------------- lookups
 
 
@@ -364,6 +379,12 @@ def work_area_bbox(spark, d):
     return areas.select("doc_id", *(v.alias(k) for k, v in ends.items()))
 
 
+@query
+def work_area_size(spark, d):
+    areas = geometry.measured(geometry.work_areas(_permit_poles(spark, d), ["doc_id"]))
+    return areas.select("doc_id", F.round("area", 2).alias("area"), F.round("perimeter", 2).alias("perimeter"))
+
+
 @query
 def field_resolution(spark, d):
     """Pole rows under the names of a sink that spells its fields another way."""

@@ -1,6 +1,7 @@
 """Replies, tiles, geometry, sources, sinks and streams on small inputs."""
 
 import json
+import math
 import sqlite3
 from types import SimpleNamespace
 
@@ -63,6 +64,15 @@ def test_work_areas(spark):
         assert np.allclose(ring.min(0), points.min(0) - 50) and np.allclose(ring.max(0), points.max(0) + 50)
 
 
+def test_measured_work_areas(spark):
+    """One pole has the polygon that stands for its circle, two poles a band between two halves of it; coordinates far from zero don't blur this."""
+    rows = spark.createDataFrame([("one", 2e6, 6e5)] * 3 + [("two", 2e6, 6e5), ("two", 2e6, 6e5 + 300), ("none", None, 6e5)], "k string, x double, y double")
+    got = {r["k"]: (r["area"], r["perimeter"]) for r in geometry.measured(geometry.work_areas(rows, ["k"])).collect()}
+    area, length = 32 * 2500 * math.sin(math.pi / 32), 6400 * math.sin(math.pi / 64)
+    assert got["one"] == pytest.approx((area, length), abs=1e-5) and got["two"] == pytest.approx((area + 300 * 100, length + 600), abs=1e-5) and len(got) == 2
+    assert geometry.measured(geometry.work_areas(rows.limit(0), ["k"])).count() == 0
+
+
 def test_work_areas_by_brute_force(spark):
     """Rings against the corners of all circles, found one by one as those that no triangle of others covers on either side."""
     rng = np.random.default_rng(4)

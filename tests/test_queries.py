@@ -8,6 +8,8 @@ from planmatch.plans import oracle
 from planmatch.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
+
+
 def text(value) -> str:
     if value is None or value is pd.NA or (isinstance(value, float) and value != value):
         return "~"
