@@ -76,10 +76,9 @@ def tiles(pages: DataFrame, *, keys: list[str], dpi: int = 225, tile_pixels: int
     """Tiles of each page (width_points, height_points), row by row from 1, with boxes to three places."""
     size = tile_pixels * 72.0 / dpi
     step = size * (1.0 - overlap)
-    # starts depend on a page's size alone, and pages have few sizes
-    sizes = pages.select("width_points", "height_points").distinct()
-    sizes = sizes.withColumns({"xs": axis_starts(F.col("width_points"), size, step), "ys": axis_starts(F.col("height_points"), size, step)})
-    placed = pages.select(*keys, "width_points", "height_points").join(sizes, ["width_points", "height_points"])
+    # each page has its own starts: a join on sizes would put all pages of a size, and all of their tiles, in one task
+    starts = {"xs": axis_starts(F.col("width_points"), size, step), "ys": axis_starts(F.col("height_points"), size, step)}
+    placed = pages.select(*keys, "width_points", "height_points").withColumns(starts)
     rows = placed.select("*", F.size("xs").alias("across"), F.posexplode("ys").alias("r", "y0"))
     cells = rows.select("*", F.posexplode("xs").alias("c", "x0"))
     box = [F.col("x0"), F.col("y0"), F.least(F.col("x0") + size, "width_points"), F.least(F.col("y0") + size, "height_points")]
