@@ -17,8 +17,8 @@ def once(value: Column, body) -> Column:
 
 def number(c: Column | str) -> Column:
     """A text as double, or null; underscores between digits are allowed, type suffixes aren't."""
-    t = F.regexp_replace(trimmed(c), r"(?<=[0-9])_(?=[0-9])", "")
-    return once(t, lambda x: F.when(x.rlike(NUMBER), x.try_cast("double")))
+    bare = lambda t: F.when(F.contains(t, F.lit("_")), F.regexp_replace(t, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(t)
+    return once(once(trimmed(c), bare), lambda x: F.when(x.rlike(NUMBER), x.try_cast("double")))
 
 
 def text_or_null(c: Column | str) -> Column:

@@ -66,9 +66,11 @@ def letters_array(catalog: DataFrame) -> Column:
 
 def coordinates(catalog: DataFrame) -> DataFrame:
     """pole_id, x, y: the one place on which all records of an id agree, else nulls. A pair of nulls is a place too."""
-    place = F.struct("x", "y")
-    agreed = catalog.groupBy(F.col("pole_id_normalized").alias("pole_id")).agg(F.count_distinct(place).alias("n"), F.first(place).alias("p"))
-    return agreed.select("pole_id", *(F.when(F.col("n") == 1, F.col(f"p.{c}")).alias(c) for c in "xy"))
+    # one place: x and y are the same in all records, or null in all; least and greatest need one row for each id, a set of places as many as it has
+    ends = [f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("least", F.min), ("most", F.max), ("n", F.count))]
+    agreed = catalog.groupBy(F.col("pole_id_normalized").alias("pole_id")).agg(F.count("*").alias("n"), *ends)
+    same = lambda c: F.col(f"least_{c}").eqNullSafe(F.col(f"most_{c}")) & F.col(f"n_{c}").isin(F.lit(0), F.col("n"))
+    return agreed.select("pole_id", *(F.when(same("x") & same("y"), F.col(f"least_{c}")).alias(c) for c in "xy"))
 
 
 NEAR = r"^([A-Z]+)(\p{Nd}+)(F?)$"

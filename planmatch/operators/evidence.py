@@ -54,13 +54,23 @@ def accepted(found: DataFrame) -> DataFrame:
     return found.filter("catalog_match_status = 'reference_exact' and acceptance_status = 'accepted'")
 
 
-def by_pole(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row for each accepted id: its pages, how often it was read, best confidence, records and source ids."""
-    keys = keys or []
-    return accepted(found).groupBy(*keys, F.col("normalized_text").alias("pole_id")).agg(
-        F.array_sort(F.collect_set("page_number")).alias("pages"), F.count("*").alias("tile_observation_count"), F.round(F.max("model_confidence"), 4).alias("maximum_model_confidence"),
-        F.max("catalog_match_count").alias("catalog_match_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("matched_source_ids")))).alias("matched_source_ids"),
+def by_pole(found: DataFrame, keys: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """One row for each accepted id: its pages, how often it was read, best confidence, records and source ids.
+
+    Source ids come from ``sources`` (pole_id, source_ids) where it is given, so that readings needn't carry them, or from ``found``, where that has them.
+    """
+    keys = [*(keys or []), "pole_id"]
+    own = sources is None and "matched_source_ids" in found.columns
+    named = accepted(found).withColumn("pole_id", F.col("normalized_text"))
+    # by page first, which needs no more than numbers: few rows are left to gather lists of
+    paged = named.groupBy(*keys, "page_number").agg(
+        F.count("*").alias("n"), F.max("model_confidence").alias("c"), F.max("catalog_match_count").alias("m"), *([F.collect_set("matched_source_ids").alias("s")] if own else [])
+    )
+    out = paged.groupBy(*keys).agg(
+        F.array_sort(F.collect_list("page_number")).alias("pages"), F.sum("n").alias("tile_observation_count"), F.round(F.max("c"), 4).alias("maximum_model_confidence"), F.max("m").alias("catalog_match_count"),
+        *([F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("s"))))).alias("matched_source_ids")] if own else []),
     )
+    return out if sources is None else out.join(sources.select("pole_id", F.col("source_ids").alias("matched_source_ids")), "pole_id", "left")
 
 
 def totals(found: DataFrame, skipped: DataFrame, assessments: DataFrame | None = None, tile_replies: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,9 @@ def observations(native: DataFrame, visual: DataFrame, keys: list[str]) -> DataF
 def accepted(native: DataFrame, visual: DataFrame, catalog: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row for each pole: discovery_sources, pages, confidence, and its coordinates if the catalog's records agree."""
     keys = keys or []
-    merged = observations(native, visual, keys).groupBy(*keys, "pole_id").agg(
+    # by page first, which needs no more than numbers: few rows are left to gather lists of
+    paged = observations(native, visual, keys).groupBy(*keys, "pole_id", "page_number", "visual").agg(F.max("confidence").alias("confidence"))
+    merged = paged.groupBy(*keys, "pole_id").agg(
         F.array_compact(F.array(F.when(F.max(~F.col("visual")), "native_text"), F.when(F.max("visual"), "visual"))).alias("discovery_sources"), F.array_sort(F.collect_set("page_number")).alias("pages"),
         F.coalesce(F.max("confidence"), F.lit(0.0)).alias("confidence"),
     )

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planmatch.functions.text import normalized, trimmed
+from planmatch.functions.text import explicit_label, normalized, trimmed
 from planmatch.operators.index import CatalogIndex, plain
 from planmatch.operators.spelling import grammar, tried_bodies
 
@@ -23,23 +23,30 @@ MARGIN = 500
 NEIGHBOURS = 12
 
 
-def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: bool | Callable[[DataFrame], DataFrame] = False) -> DataFrame:
-    """``readings`` (raw_text, explicit_pole_context and whatever else) with their resolution.
+def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: bool | Callable[[DataFrame], DataFrame] = False, lists: bool = True) -> DataFrame:
+    """``readings`` (raw_text, explicit_pole_context and whatever else; without that column it comes from label_text and raw_text) with their resolution.
 
-    It depends on the normalised text and the context alone: each distinct pair is resolved once and joined back. ``keep`` holds the resolved
-    texts in memory, and on disk beyond it, for plans that use the result more than once, until ``spark.catalog.clearCache()``; or it is what keeps them.
+    It depends on the normalised text and the context alone, and these on the text as read and the context or label: each distinct pair of those is trimmed, normalised and searched for
+    a label once, each distinct pair of these is resolved once, and a reading has one join with what is known of its own pair. ``keep`` holds that in memory, and on disk
+    beyond it, for plans that use the result more than once, until ``spark.catalog.clearCache()``; or it is what keeps it. ``lists=False`` leaves out matched_source_ids, which are
+    as long as an id has records, so that no reading carries them.
     """
-    rows = readings.withColumn("raw_text", trimmed(F.coalesce(F.col("raw_text").cast("string"), F.lit(""))))
-    rows = rows.withColumn("__norm", normalized("raw_text")).withColumn("__context", F.coalesce(F.col("explicit_pole_context"), F.lit(False)))
-    keys = ["__norm", "__context"]
+    empty, given = F.lit(""), "explicit_pole_context" in readings.columns
+    said = F.coalesce(F.col("explicit_pole_context"), F.lit(False)) if given else F.coalesce(F.col("label_text").cast("string"), empty)
+    rows = readings.withColumns({"__text": F.coalesce(F.col("raw_text").cast("string"), empty), "__said": said})
+    pair, keys = ["__text", "__said"], ["__norm", "__context"]
+    context = F.col("__said") if given else explicit_label("__said") | explicit_label("__text")
+    pairs = rows.select(*pair).distinct().withColumn("__trimmed", trimmed("__text")).withColumns({"__norm": normalized("__trimmed"), "__context": context})
     # few bytes a row but much work: as many tasks as shuffles have, which a count given keeps from being merged
     tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = rows.select(*keys).distinct().repartition(tasks, *keys).withColumn("raw_text", F.col("__norm")).withColumn("explicit_pole_context", F.col("__context"))
-    found = resolve_texts(texts, catalog, keys).drop("raw_text", "explicit_pole_context", "raw_normalized_text")
+    texts = pairs.select(*keys).distinct().repartition(tasks, *keys).withColumn("raw_text", F.col("__norm")).withColumn("explicit_pole_context", F.col("__context"))
+    found = resolve_texts(texts, catalog, keys).drop("raw_text", "explicit_pole_context", "raw_normalized_text", *([] if lists else ["matched_source_ids"]))
+    known = pairs.join(found, keys).withColumnsRenamed({"__trimmed": "raw_text", "__norm": "raw_normalized_text"})
+    known = known.drop("__context") if given else known.withColumnRenamed("__context", "explicit_pole_context")
     if keep:
-        found = keep(found) if callable(keep) else found.persist()
-    given = [c for c in rows.columns if c in keys or c not in found.columns]
-    return rows.select(*given).join(found, keys).drop("__context").withColumnRenamed("__norm", "raw_normalized_text")
+        known = keep(known) if callable(keep) else known.persist()
+    own = [c for c in rows.columns if c in pair or c not in known.columns]
+    return rows.select(*own).join(known, pair).drop(*pair)
 
 
 def resolve_texts(readings: DataFrame, catalog: DataFrame | CatalogIndex, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from planmatch.operators import catalog as cat
 from planmatch.operators import evidence, geometry, index, merge, native, pages, permits, replies, resolver, spelling
 from planmatch.plans import fixtures as fx
 from planmatch.sources import pdf
+from planmatch.sources.shared import cut
 from planmatch.streaming import jobs
 
 TILE, PAGE = ["page_number", "tile_index"], ["page_number"]
@@ -231,19 +232,30 @@ def prefix_removal(spark, d):
 
 @query
 def variants(spark, d):
-    rows = _labelled(spark, d).withColumn("__norm", normalized("raw_text"))
-    texts = rows.select("__norm", "explicit_pole_context").distinct().withColumn("raw_text", F.col("__norm"))
-    r = rows.join(spelling.spelled(texts, fx.catalog(spark, d)).select("__norm", "explicit_pole_context", "variants"), ["__norm", "explicit_pole_context"])
-    return r.select(*TILE, "pos", F.explode_outer("variants").alias("v")).filter("v is not null").select(*TILE, "pos", "v.phase", "v.text", F.col("v.penalty").alias("penalty"), joined("v.steps", "steps"))
+    """Spelled once for each distinct text and label, and written out where readings meet them."""
+    pairs = fx.readings(spark, d).select("raw_text", "label_text").distinct()
+    pairs = pairs.withColumns({"__norm": normalized("raw_text"), "explicit_pole_context": explicit_label("label_text") | explicit_label("raw_text")})
+    keys = ["__norm", "explicit_pole_context"]
+    texts = pairs.select(*keys).distinct().withColumn("raw_text", F.col("__norm"))
+    each = F.transform("variants", lambda v: F.struct(v["phase"].alias("phase"), v["text"].alias("text"), v["penalty"].alias("penalty"), F.array_join(v["steps"], ",").alias("steps")))
+    spelt = spelling.spelled(texts, fx.catalog(spark, d)).select(*keys, each.alias("variants"))
+    known = _texts(pairs.join(spelt, keys).select("raw_text", "label_text", "variants"))
+    return fx.readings(spark, d).join(known, ["raw_text", "label_text"]).select(*TILE, "pos", F.inline("variants"))
 
 
-def _resolved(spark, d, keep: bool = False):
-    return resolver.resolve(_labelled(spark, d), index.kept(fx.catalog(spark, d)), keep=keep)
+def _texts(known: DataFrame) -> DataFrame:
+    """What is known of distinct texts, resolved once for all uses; broadcast where they are counted to be few and have no lists as long as an id has records."""
+    known = cut(known)
+    return F.broadcast(known) if "matched_source_ids" not in known.columns and cat.few(known) else known
+
+
+def _resolved(spark, d, lists: bool = False):
+    return resolver.resolve(fx.readings(spark, d), index.kept(fx.catalog(spark, d)), keep=_texts, lists=lists)
 
 
 @query
 def resolve(spark, d):
-    return _resolved(spark, d).select(
+    return _resolved(spark, d, lists=True).select(
         *TILE, "pos", "raw_normalized_text", "status", "resolution_method", "resolved_pole_id", joined("transformations"), joined("candidate_variants"), "match_count", joined("matched_source_ids"),
         "resolution_confidence", "f_suffix_agrees", "id_neighborhood_count", joined("id_neighborhood_ids"), "requires_spatial_confirmation",
     )
@@ -260,9 +272,11 @@ def ambiguous_readings(spark, d):
     return a.select(*TILE, "pos", "raw_text", joined(F.transform("scored_candidates", lambda c: F.concat(c["pole_id"], F.lit(":"), (c["confidence"] * 10000).cast("int").cast("string"))), "ranked"))
 
 
-def _judged(spark, d):
-    """The rules join a page's candidates with its longer ids: resolved texts are used twice."""
-    return evidence.judged(evidence.candidates(_resolved(spark, d, keep=True), TILE), PAGE)
+def _judged(spark, d, resolved: DataFrame | None = None):
+    """The rules join a page's candidates with its longer ids: candidates are used twice, and made once."""
+    found = evidence.candidates(_resolved(spark, d) if resolved is None else resolved, TILE)
+    found = found.select(*TILE, "pos", "normalized_text", "catalog_match_status", "catalog_match_count", "resolution_confidence", "model_confidence", "model_reports_complete", "model_reports_edge_clipped")
+    return evidence.judged(cut(found), PAGE)
 
 
 @query
@@ -277,12 +291,13 @@ def evidence_rules(spark, d):
 
 @query
 def visual_dedupe(spark, d):
-    return evidence.by_pole(_judged(spark, d)).select("pole_id", joined("pages"), "tile_observation_count", "maximum_model_confidence", "catalog_match_count", joined("matched_source_ids"))
+    return evidence.by_pole(_judged(spark, d), sources=index.kept(fx.catalog(spark, d)).ids).select("pole_id", joined("pages"), "tile_observation_count", "maximum_model_confidence", "catalog_match_count", joined("matched_source_ids"))
 
 
 @query
 def visual_totals(spark, d):
-    return evidence.totals(_judged(spark, d), evidence.ignored(_resolved(spark, d, keep=True)))
+    resolved = _resolved(spark, d)
+    return evidence.totals(_judged(spark, d, resolved), evidence.ignored(resolved))
 
 
 @query
@@ -302,13 +317,14 @@ def review_queue(spark, d):
 def _pages_of_text(spark, d) -> DataFrame:
     """Native candidates: readings that print an id in full on every third page. The other pages stand for scans, so that poles are found in text, in images
     and in both: the merge needs all three."""
-    r = fx.readings(spark, d).filter("page_number % 3 = 0").withColumn("normalized_text", normalized("raw_text"))
+    # a page's poles don't count how often it names them: distinct texts are normalised, not readings
+    r = fx.readings(spark, d).filter("page_number % 3 = 0").select("page_number", "raw_text").distinct().withColumn("normalized_text", normalized("raw_text"))
     ids = fx.catalog(spark, d).select(F.col("pole_id_normalized").alias("normalized_text")).distinct()
     return r.join(ids, "normalized_text").withColumn("match_status", F.lit("reference_exact"))
 
 
-def _poles(spark, d):
-    return merge.accepted(_pages_of_text(spark, d), _judged(spark, d), fx.catalog(spark, d))
+def _poles(spark, d, judged: DataFrame | None = None):
+    return merge.accepted(_pages_of_text(spark, d), _judged(spark, d) if judged is None else judged, fx.catalog(spark, d))
 
 
 @query
@@ -330,7 +346,8 @@ def accepted_poles_by_page(spark, d):
 
 @query
 def discovery_status(spark, d):
-    return merge.status(_poles(spark, d), _judged(spark, d))
+    judged = _judged(spark, d)
+    return merge.status(_poles(spark, d, judged), judged)
 
 
 # ---------------------------------------------------------------- permits

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="planmatch-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once, written as a table in the shared folder and read again by each use."""
+    path = f"{shared_folder(rows.sparkSession)}/cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -1,10 +1,11 @@
 """What lets queries grow with their tables: no step that gathers many rows in a few tasks, no pattern where a set of characters does."""
 
-import pytest
+import re
+
 from pyspark.sql import functions as F
 
 from planmatch.functions import text
-from planmatch.operators import pages
+from planmatch.operators import catalog, evidence, pages, resolver
 
 
 def plan(rows) -> str:
@@ -17,3 +18,38 @@ def test_tiles_of_equal_pages_need_no_join(spark):
     found = pages.tiles(sizes, keys=["id"])
     assert "Join" not in plan(found)
     assert found.groupBy("id").count().filter("id < 2").orderBy("id").collect() == [(0, 24), (1, 12)]
+
+
+def test_characters_of_blanks_are_those_of_the_pattern(spark):
+    rows = spark.createDataFrame([(chr(i),) for i in range(0x3100)], "c string").withColumn("t", F.concat("c", F.lit("a"), "c", F.lit("b"), "c"))
+    trimmed, deleted = F.regexp_replace("t", rf"^{text.WS}+|{text.WS}+$", ""), F.regexp_replace(F.upper("t"), text.WS, "")
+    assert rows.filter((text.trimmed("t") != trimmed) | (text.normalized("t") != deleted)).count() == 0
+    assert "regexp" not in plan(rows.select(text.trimmed("t"), text.normalized("t")))
+
+
+def test_texts_are_normalised_once_not_for_each_reading(spark):
+    """A reading has one join with what is known of its text: what normalises stands below the distinct texts."""
+    records = catalog.load(spark.createDataFrame([("S1", "O123", 1.0, 2.0), ("S2", "O123", 1.0, 2.0)], "source_id string, pole_id_raw string, x double, y double"))
+    rows = spark.createDataFrame([(i, t, label) for i, (t, label) in enumerate([(" o123", ""), ("P#0123", None), ("0123", "POLE#: 0123"), (None, None)])], "i int, raw_text string, label_text string")
+    found = resolver.resolve(rows, records, lists=False)
+    assert "matched_source_ids" not in found.columns
+    assert not [x for x in plan(found).split("\n") if re.search(r"\bi#\d", x) and re.search(r"upper\(|regexp|trim\(", x)]
+    got = {r["i"]: r for r in found.collect()}
+    assert [got[i]["raw_text"] for i in range(4)] == ["o123", "P#0123", "0123", ""]
+    assert [got[i]["explicit_pole_context"] for i in range(4)] == [False, True, True, False]
+    assert [got[i]["resolved_pole_id"] for i in range(4)] == ["O123", "O123", "O123", None]
+    assert [got[i]["status"] for i in range(4)] == ["reference_exact", "reference_resolved", "reference_resolved", "ignored"]
+
+
+def test_accepted_ids_take_their_sources_from_the_catalog(spark):
+    seen = [(1, "O1", "reference_exact", "accepted", 0.9, 2), (1, "O1", "reference_exact", "accepted", 0.8, 2), (2, "O1", "reference_exact", "accepted", 0.7, 2), (2, "O2", "reference_exact", "review", 0.7, 1)]
+    found = spark.createDataFrame(seen, "page_number int, normalized_text string, catalog_match_status string, acceptance_status string, model_confidence double, catalog_match_count long")
+    sources = spark.createDataFrame([("O1", ["S1", "S2"]), ("O2", ["S3"])], "pole_id string, source_ids array<string>")
+    assert [tuple(r) for r in evidence.by_pole(found, sources=sources).collect()] == [("O1", [1, 2], 3, 0.9, 2, ["S1", "S2"])]
+
+
+def test_places_of_ids_need_no_set_of_places(spark):
+    rows = [("A", 1.0, 2.0), ("A", 1.0, 2.0), ("B", 1.0, 2.0), ("B", 1.0, 3.0), ("C", None, None), ("C", None, None), ("D", 1.0, 2.0), ("D", None, 2.0), ("E", float("nan"), 2.0), ("E", float("nan"), 2.0), ("F", None, 4.0), ("F", None, 4.0)]
+    found = catalog.coordinates(spark.createDataFrame(rows, "pole_id_normalized string, x double, y double"))
+    assert "distinct" not in plan(found)
+    assert {r["pole_id"]: str((r["x"], r["y"])) for r in found.collect()} == {"A": "(1.0, 2.0)", "B": "(None, None)", "C": "(None, None)", "D": "(None, None)", "E": "(nan, 2.0)", "F": "(None, 4.0)"}
