@@ -12,13 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planmatch.functions.text import WS, explicit_label, trimmed
+from planmatch.functions.text import BLANKS, WS, explicit_label, trimmed
 from planmatch.functions.values import confidence, flag, once
 from planmatch.operators.pages import FLAGS
 
 
 def unfenced(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(trimmed(c), rf"^(?i)```(?:json)?{WS}*", ""), rf"{WS}*```$", "")
+    """Without a fence around it. Patterns see only texts that begin with one: a reply is long."""
+    opened = lambda t: F.when(t.startswith("```"), F.regexp_replace(t, rf"^(?i)```(?:json)?{WS}*", "")).otherwise(t)
+    closed = lambda t: F.when(t.endswith("```"), F.rtrim(F.left(t, F.length(t) - 3), F.lit(BLANKS))).otherwise(t)
+    return once(once(trimmed(c), opened), closed)
 
 
 def first_json(text: Column) -> Column:
@@ -67,6 +70,15 @@ def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def is_list(v: Column) -> Column:
+    """Whether it is an array, told without the kinds of all that it holds."""
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+
+
+def is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def present(v: Column, key: str) -> Column:
     """Whether an object has the key, null values included."""
     return F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
@@ -100,15 +112,20 @@ def readings(rows: DataFrame, keys: list[str], column: str = "raw_response") ->
     """keys, pos (from 1), raw_text, label_text, context_type, model_confidence, model_reports_complete, model_reports_edge_clipped, explicit_pole_context."""
     out = payload(rows, column).filter("error is null")
     p = F.col("payload")
-    lists = [F.when(kind(F.try_variant_get(p, f"$.{c}", "variant")).startswith("ARRAY") & F.try_variant_get(p, f"$.{c}[0]", "variant").isNotNull(), F.try_variant_get(p, f"$.{c}", "variant")) for c in LISTS]
-    chosen = F.when(kind(p).startswith("ARRAY"), p).when(kind(p).startswith("OBJECT"), F.coalesce(*lists))
-    out = out.withColumn("__list", chosen).filter("__list is not null")
-    items = out.select(*keys, F.col("__list")).selectExpr(*[f"`{k}`" for k in keys], "posexplode(try_variant_get(__list, '$', 'array<variant>')) as (__pos, v)")
+    lists = [F.when(is_list(F.try_variant_get(p, f"$.{c}", "variant")) & F.try_variant_get(p, f"$.{c}[0]", "variant").isNotNull(), F.try_variant_get(p, f"$.{c}", "variant")) for c in LISTS]
+    chosen = F.when(is_list(p), p).when(is_object(p), F.coalesce(*lists))
+
+    def item(x: Column) -> Column:
+        """An entry with its kind and text: made once, where a filter on columns would make them again."""
+        kind_ = F.when(is_object(x), "OBJECT").otherwise(kind(x))
+        of_object = trimmed(F.coalesce(*(truthy(x, f"$.{c}") for c in ("text", "id", "facility_id", "pole_id"))))
+        return once(kind_, lambda k: F.struct(x.alias("v"), k.alias("kind"), F.when(k == "OBJECT", of_object).when(k == "STRING", trimmed(scalar(x, "$"))).alias("raw_text")))
+
+    items = out.select(*keys, F.posexplode(F.transform(F.try_variant_get(chosen, "$", "array<variant>"), item)).alias("__pos", "__item")).select(*keys, "__pos", "__item.*")
     v = F.col("v")
-    text, is_text, is_object = F.try_variant_get(v, "$", "string"), kind(v) == "STRING", kind(v).startswith("OBJECT")
-    raw = trimmed(F.when(is_text, text).otherwise(F.coalesce(*(truthy(v, f"$.{c}") for c in ("text", "id", "facility_id", "pole_id")))))
+    text, is_text = scalar(v, "$"), F.col("kind") == "STRING"
     either = lambda a, b: flag(F.coalesce(F.when(present(v, a), scalar(v, f"$.{a}")).otherwise(scalar(v, f"$.{b}")), F.lit("")))
-    items = items.withColumn("raw_text", raw).filter((is_text | is_object) & (F.col("raw_text") != ""))
+    items = items.filter(F.col("raw_text") != "")
     label = F.when(is_text, text).otherwise(trimmed(F.coalesce(truthy(v, "$.label_text"), F.col("raw_text"))))
     return items.select(
         *keys, (F.col("__pos") + 1).alias("pos"), "raw_text", label.alias("label_text"), F.when(is_text, "unknown").otherwise(F.lower(trimmed(F.coalesce(truthy(v, "$.context_type"), F.lit("unknown"))))).alias("context_type"),
