@@ -16,13 +16,15 @@ def load(rows: DataFrame, *, check: bool = False) -> DataFrame:
     Rows without an id are left out; a row without a source id stops the plan. ``check`` also counts, and stops where no record
     has both coordinates.
     """
-    names = {c.lower() for c in rows.columns}
-    given = lambda c: F.col(c) if c in names else F.lit(None)
+    kinds = {c.lower(): kind for c, kind in rows.dtypes}
+    given = lambda c: F.col(c) if c in kinds else F.lit(None)
+    # a double's text says what it is itself, but for what is no finite number
+    place = lambda c: F.when(F.abs(c) < float("inf"), F.col(c)) if kinds[c] == "double" else number(F.col(c).cast("string"))
     source = text_or_null("source_id")
     out = rows.select(
         F.when(source.isNull() & text_or_null("pole_id_raw").isNotNull(), F.raise_error(F.lit("a record has a blank source id"))).otherwise(source).alias("source_id"),
         text_or_null("pole_id_raw").alias("pole_id_raw"),
-        *(number(F.col(c).cast("string")).alias(c) for c in ("x", "y")),
+        *(place(c).alias(c) for c in ("x", "y")),
         *(text_or_null(given(c)).alias(c) for c in ("status", "source_updated_at")),
     ).filter("pole_id_raw is not null")
     out = out.select("source_id", "pole_id_raw", normalized("pole_id_raw").alias("pole_id_normalized"), "x", "y", "status", "source_updated_at")

@@ -18,6 +18,17 @@ def candidates(resolved: DataFrame, tile_keys: list[str]) -> DataFrame:
     return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n").withColumnRenamed("match_count", "catalog_match_count")
 
 
+def first_read(readings: DataFrame, tile_keys: list[str], text: list[str]) -> DataFrame:
+    """The first reading of each of ``text`` (what a reading's resolution hangs on) in a tile, by ``pos``, which is never null; what ``candidates`` takes of all readings is among these.
+
+    Gathered where readings are made, before any are joined or moved: no sort of all readings by tile and text.
+    """
+    keys = [*tile_keys, *text]
+    rest = [c for c in readings.columns if c not in (*keys, "pos")]
+    out = readings.groupBy(*keys).agg(F.min("pos").alias("pos"), *(F.min_by(c, "pos").alias(c) for c in rest))
+    return out.select(*readings.columns)
+
+
 def ignored(resolved: DataFrame) -> DataFrame:
     return resolved.filter(readable("raw_normalized_text") & (F.col("status") == "ignored"))
 

@@ -71,6 +71,15 @@ def plain(catalog: DataFrame) -> CatalogIndex:
 # ---------------------------------------------------------------- kept
 
 
+def _made(catalog: DataFrame, path: str) -> DataFrame:
+    """IDS of ``catalog``, whose records are read once and gathered by id below ``path``: all else is told of ids, which may be far fewer."""
+    gathered = catalog.groupBy(F.col("pole_id_normalized").alias("pole_id")).agg(F.count("*").alias("match_count"), F.array_sort(F.collect_set("source_id")).alias("source_ids"), records_digest().alias("digest"))
+    gathered.write.parquet(path)
+    own = catalog.sparkSession.read.schema(gathered.schema).parquet(path)
+    ids = own.select("pole_id")
+    return own.join(cat.neighbours_among(ids, ids), "pole_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
+
+
 def _table(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
     """A bucketed table whose files lie at ``path``, under a name of this session."""
     name = "planmatch_" + path.rsplit("/", 2)[1].replace("-", "_") + "_" + path.rsplit("/", 1)[1]
@@ -115,7 +124,7 @@ def kept(catalog: DataFrame, folder: str | None = None) -> CatalogIndex:
     path = f"{folder}/v{uuid.uuid4().hex}"
     # an index of other code has another layout
     old = next((r for r in rows if r["version"].startswith(f"{FORMAT}-")), None)
-    ids = renewed(catalog, opened(spark, old["path"], old["buckets"], old["shapes"], old["version"])) if old else cat.by_id(catalog, neighbours=True).join(digested(catalog), "pole_id")
+    ids = renewed(catalog, opened(spark, old["path"], old["buckets"], old["shapes"], old["version"])) if old else _made(catalog, f"{path}/records")
     buckets = max(1, -(-int(own.split("-")[1]) * 9 // BUCKET_ROWS))
     _write(ids.select("pole_id", "match_count", "source_ids", "neighbours", "digest"), f"{path}/ids", "pole_id", buckets)
     ids = _table(spark, f"{path}/ids", IDS, "pole_id", buckets)

@@ -29,7 +29,7 @@ def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: boo
     It depends on the normalised text and the context alone, and these on the text as read and the context or label: each distinct pair of those is trimmed, normalised and searched for
     a label once, each distinct pair of these is resolved once, and a reading has one join with what is known of its own pair. ``keep`` holds that in memory, and on disk
     beyond it, for plans that use the result more than once, until ``spark.catalog.clearCache()``; or it is what keeps it. ``lists=False`` leaves out matched_source_ids, which are
-    as long as an id has records, so that no reading carries them.
+    as long as an id has records, so that neither a reading nor a hit carries them.
     """
     empty, given = F.lit(""), "explicit_pole_context" in readings.columns
     said = F.coalesce(F.col("explicit_pole_context"), F.lit(False)) if given else F.coalesce(F.col("label_text").cast("string"), empty)
@@ -40,7 +40,7 @@ def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: boo
     # few bytes a row but much work: as many tasks as shuffles have, which a count given keeps from being merged
     tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = pairs.select(*keys).distinct().repartition(tasks, *keys).withColumn("raw_text", F.col("__norm")).withColumn("explicit_pole_context", F.col("__context"))
-    found = resolve_texts(texts, catalog, keys).drop("raw_text", "explicit_pole_context", "raw_normalized_text", *([] if lists else ["matched_source_ids"]))
+    found = resolve_texts(texts, catalog, keys, lists).drop("raw_text", "explicit_pole_context", "raw_normalized_text")
     known = pairs.join(found, keys).withColumnsRenamed({"__trimmed": "raw_text", "__norm": "raw_normalized_text"})
     known = known.drop("__context") if given else known.withColumnRenamed("__context", "explicit_pole_context")
     if keep:
@@ -49,8 +49,8 @@ def resolve(readings: DataFrame, catalog: DataFrame | CatalogIndex, *, keep: boo
     return rows.select(*own).join(known, pair).drop(*pair)
 
 
-def resolve_texts(readings: DataFrame, catalog: DataFrame | CatalogIndex, keys: list[str]) -> DataFrame:
-    """One row for each of ``readings``, which ``keys`` tell apart."""
+def resolve_texts(readings: DataFrame, catalog: DataFrame | CatalogIndex, keys: list[str], lists: bool = True) -> DataFrame:
+    """One row for each of ``readings``, which ``keys`` tell apart; without matched_source_ids where ``lists`` is false."""
     index = catalog if isinstance(catalog, CatalogIndex) else plain(catalog)
     r = grammar(readings, index.letters)
     readable = (F.col("norm") != "") & F.col("unknown").isNull()
@@ -63,7 +63,7 @@ def resolve_texts(readings: DataFrame, catalog: DataFrame | CatalogIndex, keys:
     behind = F.col("v.how") == 2
     hit = F.struct(
         F.when(behind, F.col("phase")).otherwise(F.col("v.how")).alias("phase"), F.when(behind, F.col("penalty") + F.col("cost")).otherwise(0).alias("penalty"), F.col("pole_id"),
-        F.when(behind, F.concat(F.array("name"), "made")).when(F.col("v.how") == 1, F.array(F.lit("removed_identifier_separators"))).otherwise(F.array().cast("array<string>")).alias("steps"), "match_count", "source_ids", "neighbours",
+        F.when(behind, F.concat(F.array("name"), "made")).when(F.col("v.how") == 1, F.array(F.lit("removed_identifier_separators"))).otherwise(F.array().cast("array<string>")).alias("steps"), "match_count", *(["source_ids"] if lists else []), "neighbours",
     )
     hits = met.select(*keys, hit.alias("hit")).groupBy(*keys).agg(F.min("hit.phase").alias("phase"), F.array_sort(F.collect_list("hit")).alias("hits"))
     # sorted by phase first: the first phase's hits lead
@@ -104,7 +104,7 @@ def resolve_texts(readings: DataFrame, catalog: DataFrame | CatalogIndex, keys:
         "raw_text": F.col("raw"), "raw_normalized_text": F.col("norm"), "status": F.col("status"), "resolution_method": F.col("resolution_method"), "resolved_pole_id": F.when(single, best["pole_id"]),
         "transformations": F.when(single, best["steps"]).otherwise(empty), "candidate_variants": tried,
         "match_count": F.when(single, best["match_count"]).when(F.col("status") == "reference_ambiguous", F.size("hits").cast("long")).otherwise(F.lit(0).cast("long")),
-        "matched_source_ids": F.when(single, best["source_ids"]).when(F.col("status") == "reference_ambiguous", union("source_ids")).otherwise(empty),
+        **({"matched_source_ids": F.when(single, best["source_ids"]).when(F.col("status") == "reference_ambiguous", union("source_ids")).otherwise(empty)} if lists else {}),
         "resolution_confidence": F.when(found, (10000 - best["penalty"]) / 10000.0).otherwise(0.0), "scored_candidates": F.when(found, scored),
         "f_suffix_agrees": F.when(single, own.endswith("F") == best["pole_id"].endswith("F")), "id_neighborhood_count": F.size("__near").cast("long"), "id_neighborhood_ids": F.slice("__near", 1, NEIGHBOURS),
         "requires_spatial_confirmation": F.when(single, (F.size("__near") > 0) | toggles).otherwise(F.col("status") == "reference_ambiguous"),

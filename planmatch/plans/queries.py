@@ -249,8 +249,11 @@ def _texts(known: DataFrame) -> DataFrame:
     return F.broadcast(known) if "matched_source_ids" not in known.columns and cat.few(known) else known
 
 
-def _resolved(spark, d, lists: bool = False):
-    return resolver.resolve(fx.readings(spark, d), index.kept(fx.catalog(spark, d)), keep=_texts, lists=lists)
+def _resolved(spark, d, lists: bool = False, firsts: bool = False):
+    """All readings resolved, or with ``firsts`` the first of each text and label in a tile: all that candidates are taken from."""
+    readings = fx.readings(spark, d)
+    readings = evidence.first_read(readings, TILE, ["raw_text", "label_text"]) if firsts else readings
+    return resolver.resolve(readings, index.kept(fx.catalog(spark, d)), keep=_texts, lists=lists)
 
 
 @query
@@ -274,14 +277,14 @@ def ambiguous_readings(spark, d):
 
 def _judged(spark, d, resolved: DataFrame | None = None):
     """The rules join a page's candidates with its longer ids: candidates are used twice, and made once."""
-    found = evidence.candidates(_resolved(spark, d) if resolved is None else resolved, TILE)
+    found = evidence.candidates(_resolved(spark, d, firsts=True) if resolved is None else resolved, TILE)
     found = found.select(*TILE, "pos", "normalized_text", "catalog_match_status", "catalog_match_count", "resolution_confidence", "model_confidence", "model_reports_complete", "model_reports_edge_clipped")
     return evidence.judged(cut(found), PAGE)
 
 
 @query
 def tile_dedupe(spark, d):
-    return evidence.candidates(_resolved(spark, d), TILE).select(*TILE, "pos", "normalized_text", "catalog_match_status", "catalog_match_count")
+    return evidence.candidates(_resolved(spark, d, firsts=True), TILE).select(*TILE, "pos", "normalized_text", "catalog_match_status", "catalog_match_count")
 
 
 @query
@@ -446,7 +449,7 @@ def job_view(spark, d):
 
 @query
 def progress_running_count(spark, d):
-    tiles = evidence.candidates(_resolved(spark, d), TILE).groupBy(*TILE).agg(F.count("*").alias("candidate_count"))
+    tiles = evidence.candidates(_resolved(spark, d, firsts=True), TILE).groupBy(*TILE).agg(F.count("*").alias("candidate_count"))
     return jobs.progress(tiles, TILE)
 
 

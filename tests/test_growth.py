@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from planmatch.functions import text
-from planmatch.operators import catalog, evidence, pages, resolver
+from planmatch.operators import catalog, evidence, index, pages, resolver
+from planmatch.plans import queries
 
 
 def plan(rows) -> str:
@@ -52,3 +53,49 @@ def test_places_of_ids_need_no_set_of_places(spark):
     found = catalog.coordinates(spark.createDataFrame(rows, "pole_id_normalized string, x double, y double"))
     assert "distinct" not in plan(found)
     assert {r["pole_id"]: str((r["x"], r["y"])) for r in found.collect()} == {"A": "(1.0, 2.0)", "B": "(None, None)", "C": "(None, None)", "D": "(None, None)", "E": "(nan, 2.0)", "F": "(None, 4.0)"}
+
+
+def test_first_reads_hold_all_that_candidates_take(spark):
+    """One reading for each text and label of a tile is moved and sorted, not every reading; the candidates are the same."""
+    texts = [("O123", "O123"), ("O-123", "O-123"), ("P#O123", "P#O123"), ("0123", "POLE#: 0123"), ("0123", "0123"), ("N9", "N9"), ("", "")]
+    seen = [(t % 3, 50 - t, *texts[t * t % 7], t / 100, t % 2 == 0) for t in range(50)]
+    rows = spark.createDataFrame(seen, "tile_index int, pos int, raw_text string, label_text string, model_confidence double, model_reports_complete boolean")
+    records = catalog.load(spark.createDataFrame([("S1", "O123", 1.0, 2.0), ("S2", "I456", 1.0, 2.0)], "source_id string, pole_id_raw string, x double, y double"))
+    first = evidence.first_read(rows, ["tile_index"], ["raw_text", "label_text"])
+    assert first.columns == rows.columns and first.count() == rows.select("tile_index", "raw_text", "label_text").distinct().count() < 50
+    taken = [sorted(map(str, evidence.candidates(resolver.resolve(x, records), ["tile_index"]).collect())) for x in (rows, first)]
+    assert taken[0] == taken[1] and taken[0]
+
+
+def test_candidates_are_sorted_after_readings_are_gathered(spark, sf_dir):
+    """A window over readings as they are made numbers them; none sorts them all again by text."""
+    assert "min(pos" in plan(queries.QUERIES["tile_dedupe"](spark, sf_dir))
+
+
+def test_hits_without_lists_leave_source_ids_unread(spark, tmp_path):
+    records = catalog.load(spark.createDataFrame([("S1", "O123", 1.0, 2.0)], "source_id string, pole_id_raw string, x double, y double"))
+    rows = spark.createDataFrame([("O123", "")], "raw_text string, label_text string")
+    kept = index.kept(records, f"{tmp_path}/i")
+    assert not [x for x in plan(resolver.resolve(rows, kept, lists=False)).split("\n") if "source_ids" in x and "Relation" not in x]
+
+
+def test_an_index_reads_its_records_once_beside_their_digest(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    raw = spark.range(300).selectExpr("concat('S', id) source_id", "concat('O', id % 100) pole_id_raw", "1.0D x", "2.0D y")
+    index.kept(catalog.load(raw.mapInArrow(counted, raw.schema)), f"{tmp_path}/i")
+    assert seen.value == 600
+
+
+def test_doubles_need_no_text(spark):
+    values = [1.5, -0.0, 1e-300, 5e-324, 1.7976931348623157e308, 123456789.125, float("nan"), float("inf"), float("-inf"), None]
+    raw = spark.createDataFrame([(f"S{i}", f"O{i}", v, v) for i, v in enumerate(values)], "source_id string, pole_id_raw string, x double, y double")
+    found = catalog.load(raw)
+    assert "cast(x" not in plan(found)
+    by_text = catalog.load(raw.withColumns({c: F.col(c).cast("string") for c in "xy"}))
+    assert str(found.orderBy("source_id").collect()) == str(by_text.orderBy("source_id").collect())
