@@ -15,8 +15,8 @@ def observations(native: DataFrame, visual: DataFrame, keys: list[str]) -> DataF
     return n.unionByName(v)
 
 
-def accepted(native: DataFrame, visual: DataFrame, catalog: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row for each pole: discovery_sources, pages, confidence, and its coordinates if the catalog's records agree."""
+def accepted(native: DataFrame, visual: DataFrame, catalog: DataFrame | None = None, keys: list[str] | None = None, *, places: DataFrame | None = None) -> DataFrame:
+    """One row for each pole: discovery_sources, pages, confidence, and its coordinates if the catalog's records agree; ``places`` are the catalog's coordinates where they are made already."""
     keys = keys or []
     # by page first, which needs no more than numbers: few rows are left to gather lists of
     paged = observations(native, visual, keys).groupBy(*keys, "pole_id", "page_number", "visual").agg(F.max("confidence").alias("confidence"))
@@ -24,7 +24,7 @@ def accepted(native: DataFrame, visual: DataFrame, catalog: DataFrame, keys: lis
         F.array_compact(F.array(F.when(F.max(~F.col("visual")), "native_text"), F.when(F.max("visual"), "visual"))).alias("discovery_sources"), F.array_sort(F.collect_set("page_number")).alias("pages"),
         F.coalesce(F.max("confidence"), F.lit(0.0)).alias("confidence"),
     )
-    return merged.join(cat.coordinates(catalog), "pole_id", "left").select(*keys, "pole_id", "x", "y", "discovery_sources", "pages", "confidence")
+    return merged.join(cat.coordinates(catalog) if places is None else places, "pole_id", "left").select(*keys, "pole_id", "x", "y", "discovery_sources", "pages", "confidence")
 
 
 def status(poles: DataFrame, judged: DataFrame, documents: DataFrame | None = None) -> DataFrame:

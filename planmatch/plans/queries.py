@@ -317,17 +317,22 @@ def review_queue(spark, d):
 # ---------------------------------------------------------------- merged poles
 
 
-def _pages_of_text(spark, d) -> DataFrame:
+def _places(spark, d) -> DataFrame:
+    """The catalog's coordinates by id, made once: what a join on them infers isn't pushed to records, to be told of each in the few tasks that read them."""
+    return cut(cat.coordinates(fx.catalog(spark, d)))
+
+
+def _pages_of_text(spark, d, ids: DataFrame) -> DataFrame:
     """Native candidates: readings that print an id in full on every third page. The other pages stand for scans, so that poles are found in text, in images
     and in both: the merge needs all three."""
-    # a page's poles don't count how often it names them: distinct texts are normalised, not readings
-    r = fx.readings(spark, d).filter("page_number % 3 = 0").select("page_number", "raw_text").distinct().withColumn("normalized_text", normalized("raw_text"))
-    ids = fx.catalog(spark, d).select(F.col("pole_id_normalized").alias("normalized_text")).distinct()
-    return r.join(ids, "normalized_text").withColumn("match_status", F.lit("reference_exact"))
+    # a page's poles don't count how often it names them: distinct texts are normalised, not readings, to which Catalyst would push what the join infers of the normal form
+    r = cut(fx.readings(spark, d).filter("page_number % 3 = 0").select("page_number", "raw_text").distinct()).withColumn("normalized_text", normalized("raw_text"))
+    return r.join(ids.select(F.col("pole_id").alias("normalized_text")), "normalized_text").withColumn("match_status", F.lit("reference_exact"))
 
 
 def _poles(spark, d, judged: DataFrame | None = None):
-    return merge.accepted(_pages_of_text(spark, d), _judged(spark, d) if judged is None else judged, fx.catalog(spark, d))
+    places = _places(spark, d)
+    return merge.accepted(_pages_of_text(spark, d, places), _judged(spark, d) if judged is None else judged, places=places)
 
 
 @query
@@ -344,7 +349,7 @@ def accepted_with_coordinates(spark, d):
 def accepted_poles_by_page(spark, d):
     """Accepted visual poles of each page with their coordinates."""
     found = evidence.by_pole(_judged(spark, d).withColumn("page", F.col("page_number")), ["page"])
-    return found.join(cat.coordinates(fx.catalog(spark, d)), "pole_id").select("page", "pole_id", "x", "y", "tile_observation_count", "maximum_model_confidence")
+    return found.join(_places(spark, d), "pole_id").select("page", "pole_id", "x", "y", "tile_observation_count", "maximum_model_confidence")
 
 
 @query
@@ -367,7 +372,7 @@ def _numbered(spark, d):
 def _permit_poles(spark, d):
     """Poles of permits: the accepted poles of a page belong to the permit of that number less one. One permit in ten has none: it has to stay, with counts of zero."""
     found = evidence.accepted(_judged(spark, d)).groupBy((F.col("page_number") - 1).cast("long").alias("doc_id"), F.col("normalized_text").alias("pole_id")).agg(F.max("resolution_confidence").alias("confidence"))
-    return found.join(cat.coordinates(fx.catalog(spark, d)), "pole_id").filter("doc_id % 10 <> 3")
+    return found.join(_places(spark, d), "pole_id").filter("doc_id % 10 <> 3")
 
 
 @query

@@ -99,3 +99,14 @@ def test_doubles_need_no_text(spark):
     assert "cast(x" not in plan(found)
     by_text = catalog.load(raw.withColumns({c: F.col(c).cast("string") for c in "xy"}))
     assert str(found.orderBy("source_id").collect()) == str(by_text.orderBy("source_id").collect())
+
+
+def test_texts_of_pages_are_normalised_once_distinct(spark, sf_dir):
+    """The join on the normal form infers a filter, which mustn't be pushed to all readings."""
+    ids = spark.createDataFrame([("O123",)], "pole_id string")
+    assert "l_orderkey" not in plan(queries._pages_of_text(spark, sf_dir, ids))
+
+
+def test_poles_of_permits_meet_places_by_id(spark, sf_dir):
+    """The join on ids infers a filter, which mustn't be pushed to all records of the catalog."""
+    assert "p_partkey" not in plan(queries._permit_poles(spark, sf_dir))
