@@ -2,7 +2,8 @@
 
 1. Equal sets form a class by digest; only one set of a class goes on.
 2. Shingles are ordered by how often their hash cell occurs in all documents (a sketch of bounded size, rarest first), then by hash. Two
-   sets that link share a shingle among the first |x| - ceil(t |x|) + 1 of each. Those go to index lists, packed by hash range.
+   sets that link share a shingle among the first |x| - ceil(t |x|) + 1 of each. Those go to index lists, packed by hash range. A list goes by the first
+   48 bits of the hash: shingles that have these in common share a list, which adds candidates and loses none, as a set keeps its earliest place there.
 3. A list is sorted by set size and cut into blocks, each ending where sets grow too large to link with its first. The pivot of a block is the set
    in which the shingle stands earliest: it has the fewest rare shingles of its own. Every set is compared with its blocks' pivots only, unless size or
    position in the order already rule the pair out. A list that the sketch says is long is split over tasks by set; each part has its own pivots, and these
@@ -23,6 +24,7 @@ that equal rows, or texts with equal sets, are one class; a null doc_id takes pa
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
@@ -82,21 +84,45 @@ def prefix(n, percent: int):
 
 SCAN = "cells int, salt int, data binary, docs binary, keys binary, sizes binary, nodes binary"
 ENTRY = "token long, node long, size int, pos int"
-#: Tasks' tables are added up in so many parts first.
+#: Tasks' tables are added up in so many parts first, at most.
 ADDERS = 64
 
 
-def added(parts: DataFrame, add) -> list:
-    """cells, data of each part of a table of bounded size, added up over all tasks in two steps."""
-    once = lambda rows, *keys: rows.groupBy(*keys).applyInArrow(lambda t: pa.table({"cells": t.column("cells").slice(0, 1), "data": pa.array([zlib.compress(add(t.column("data")), 1)], pa.binary())}), "cells int, data binary")
-    return once(once(parts, "cells", "salt"), "cells").collect()
+def added(parts: DataFrame, add: Callable, last: Callable | None = None) -> list:
+    """cells, data of each part of a table of bounded size, added up over all tasks in two steps, the second by ``last``."""
+    once = lambda rows, join, *keys: rows.groupBy(*keys).applyInArrow(lambda t: pa.table({"cells": t.column("cells").slice(0, 1), "data": pa.array([join(t.column("data").to_pylist())], pa.binary())}), "cells int, data binary")
+    return once(once(parts, add, "cells", "salt"), last or add, "cells").collect()
 
 
-def adder() -> int:
-    return TaskContext.get().partitionId() % ADDERS
+def adder(adders: int = ADDERS) -> int:
+    return TaskContext.get().partitionId() % adders
 
 
-def scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
+def planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: those that are zero nearly everywhere cost next to nothing once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of few bits each in about as many: planes up to the highest one in use, by runs and frequency."""
+    used = max(1, -(-int(counts.max()).bit_length() // 8))
+    code = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, 9, zlib.Z_RLE)
+    return code.compress(planes(counts)[: used * len(counts)]) + code.flush()
+
+
+def total(parts: list[bytes], cells: int) -> np.ndarray:
+    """The sum of packed counts of ``cells`` cells."""
+    out = np.zeros(cells, np.uint64)
+    for x in parts:
+        out += numbers(zlib.decompress(x).ljust(8 * cells, b"\0"), np.uint64)
+    return out
+
+
+def scan(docs: DataFrame, size: int, bits: int, adders: int = ADDERS) -> DataFrame:
     """Of each task: ids, set sizes and digests of its documents in parts, and how often each cell of hashes occurs."""
     schema = pa.schema([("cells", pa.int32()), ("salt", pa.int32()), ("data", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary())])
 
@@ -109,21 +135,18 @@ def scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
         parts = np.split(cells, max(1, 1 << (bits - 16)))
         for k, part in enumerate(parts):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([adder()], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([adder(adders)], pa.int32()), pa.array([packed(part)], pa.binary()), *(pa.array([None], pa.binary()) for _ in range(4))], schema=schema)
 
     return docs.mapInArrow(go, SCAN)
 
 
 def sketch(scanned: DataFrame, bits: int) -> np.ndarray:
     """A byte for each cell: about four times the logarithm of how often it occurs. 2**bits bytes, whatever the data."""
-
-    def add(parts: pa.ChunkedArray) -> bytes:
-        return sum((np.frombuffer(zlib.decompress(x), np.uint64) for x in parts.to_pylist()), np.uint64(0)).tobytes()
-
-    found = added(scanned.filter("cells is not null").select("cells", "salt", "data"), add)
-    out = np.zeros((max(1, 1 << (bits - 16)), min(1 << bits, 1 << 16)), np.uint8)
-    for r in found:
-        out[r["cells"]] = np.minimum(4 * np.log2(np.frombuffer(zlib.decompress(r["data"]), np.uint64) + 1.0), 255).astype(np.uint8)
+    part = min(1 << bits, 1 << 16)
+    level = lambda x: zlib.compress(np.minimum(4 * np.log2(total(x, part) + 1.0), 255).astype(np.uint8).tobytes(), 1)
+    out = np.zeros((max(1, 1 << (bits - 16)), part), np.uint8)
+    for r in added(scanned.filter("cells is not null").select("cells", "salt", "data"), lambda x: packed(total(x, part)), level):
+        out[r["cells"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
     return out.reshape(-1)
 
 
@@ -142,7 +165,7 @@ def unpacked(scanned: DataFrame) -> DataFrame:
 
 def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, bucket_bits: int, bucket_entries: int) -> DataFrame:
     """(bucket, part, tokens, nodes, sizes, places): the prefix entries of each set, once a task. ``part`` is -1 but in cells of the sketch that hold
-    more than ``bucket_entries``: their sets are dealt over as many parts as they fill."""
+    more than ``bucket_entries``: their sets are dealt over as many parts as they fill. Tokens lose their last 16 bits."""
     schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "places"))])
 
     def go(batches):
@@ -158,7 +181,7 @@ def index_lists(docs: DataFrame, size: int, percent: int, levels, bits: int, buc
             at = runs((bucket[order] << 32) + own[order])
             for i, j in zip(at[:-1], at[1:]):
                 o = order[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[o[0]]], pa.int32()), pa.array([own[o[0]]], pa.int32()), *(pa.array([x[o].tobytes()], pa.binary()) for x in (token, node, n, pos))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[o[0]]], pa.int32()), pa.array([own[o[0]]], pa.int32()), pa.array([planes(token[o])[2 * len(o) :]], pa.binary()), pa.array([node[o].tobytes()], pa.binary()), *(pa.array([planes(x[o])], pa.binary()) for x in (n, pos))], schema=schema)
 
         for batch in slices(batches, "text"):
             h, at = shingle_sets(batch.column("text"), size)
@@ -193,7 +216,7 @@ def possible(n, i, m, j, percent: int):
 def pivoted(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, split: bool) -> pa.Table:
     """The entries of lists that more than one set is in, each with its block's pivot, null where the pair is ruled out or the entry is the pivot.
     Of parts of lists, entries that are alone are kept, as their list has others."""
-    order = np.lexsort((node, n, token))
+    order = np.lexsort((pos, node, n, token))
     token, node, n, pos = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
@@ -229,7 +252,10 @@ def live(lists: DataFrame, percent: int) -> DataFrame:
     """Entries with their pivots; ``leads`` marks the pivots of parts of lists."""
 
     def go(key: tuple, part: pa.Table) -> pa.Table:
-        token, node, n, pos = (np.concatenate([np.frombuffer(x, t) for x in part.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.int32)))
+        column = lambda c, read: np.concatenate([read(x) for x in part.column(c).to_pylist()])
+        token = column("tokens", lambda x: numbers(bytes(len(x) // 3) + x, np.uint64))
+        node = column("nodes", lambda x: np.frombuffer(x, np.int64))
+        n, pos = (column(c, lambda x: numbers(x, np.int32)) for c in ("sizes", "places"))
         split = key[1].as_py() >= 0
         if not split:  # nearly all shingles have one set: leave these out before the long sort
             rank = np.argsort(token, kind="stable")
@@ -311,8 +337,8 @@ def bloom(nodes: DataFrame, bits: int) -> np.ndarray:
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([adder()], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["cells", "salt", "data"])
 
-    def join(parts: pa.ChunkedArray) -> bytes:
-        return np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in parts.to_pylist()]).tobytes()
+    def join(parts: list[bytes]) -> bytes:
+        return zlib.compress(np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in parts]).tobytes(), 1)
 
     out = np.zeros((1 << (bits - 3)) // part * part, np.uint8).reshape(-1, part)
     for r in added(nodes.mapInArrow(go, "cells int, salt int, data binary"), join):
@@ -422,7 +448,9 @@ def similar(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, cell_b
     bytes_ = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shingles = max(1, int(bytes_ / 6))
     bits = int(min(cell_bits, max(16, (shingles // 32).bit_length())))
-    scanned = cut(scan(docs, size, bits))
+    # as many as each then adds up, if a task reads 16 MB of text
+    adders = min(ADDERS, max(1, math.isqrt(bytes_ >> 24)))
+    scanned = cut(scan(docs, size, bits, adders))
     rows = unpacked(scanned)
     levels = spark.sparkContext.broadcast(sketch(scanned, bits))
     buckets = max(1, (shingles // 4 // bucket_entries)).bit_length()
